@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, packing, simhash, url_filter
-from .common import table, word_count, written
+from . import gif, html_text, mixing, multi_index, packing, quality, simhash, url_filter
+from .common import fold, table, word_count, written
 
 #: (action, host, path) of the URL rules.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -18,6 +18,21 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    machine = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality.scores(docs, machine)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -41,7 +56,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op4_gif_media, op5_harmonic_packing, op6_simhash, op7_url_filter, op10_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_multi_index, op4_gif_media, op5_harmonic_packing, op6_simhash, op7_url_filter, op10_systematic_mix)}
 
 _URL_PARTS = """
     SELECT page_id, lower_host AS host, regexp_extract(substr(rest, length(lower_host) + 1), '^[^?#]*') AS path FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, html_text, mixing, multi_index, packing, quality, simhash, url_filter
+from . import gif, hidden_markov, html_text, mixing, multi_index, packing, piece_counts, quality, simhash, url_filter
 from .common import fold, table, word_count, written
 
 #: (action, host, path) of the URL rules.
@@ -50,13 +50,21 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), fold(7) == 2)
+
+
+def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.piece_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.systematic_sample(written(docs, "sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_multi_index, op4_gif_media, op5_harmonic_packing, op6_simhash, op7_url_filter, op10_systematic_mix)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_quality, op3_multi_index, op4_gif_media, op5_harmonic_packing, op6_simhash, op7_url_filter, op8_hidden_markov, op9_piece_counts, op10_systematic_mix)}
 
 _URL_PARTS = """
     SELECT page_id, lower_host AS host, regexp_extract(substr(rest, length(lower_host) + 1), '^[^?#]*') AS path FROM (

@@ -1,0 +1,91 @@
+import html
+import re
+
+import pytest
+
+import corpus_pipeline
+from tolparse.llm import html_text, quality, queries
+from tolparse.llm.html_text import main_text
+
+LONG = "This is a sentence of the article that is long enough to make the sums of lengths surge. " * 2
+
+
+def page(inner, before="", after=""):
+    return f"<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{before}{inner}{after}</body></html>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<nav><a href='/'>Home</a></nav>", "<footer>&copy; 2024 someone, with a rather long line of text that tells who owns it all</footer>"),
+    ("<div class='ad'>Buy this, it is very cheap and it has a long description that nobody reads at all, ever</div>", "<div id=comments><p>A reader wrote quite a long comment about this article, and went on and on</p></div>"),
+    ("<header><p>Site name and its long slogan that goes on for a while, so that it is more than eighty characters</p></header>", "<aside class=sidebar><p>" + LONG + "</p></aside>"),
+    ("<div class='cookie-notice'><p>We use cookies, " + LONG + "</p></div>", "<form><label>Your name</label><textarea>" + LONG + "</textarea></form>"),
+    ("<!-- " + LONG + " --><noscript>" + LONG + "</noscript>", "<div style='display: none'>" + LONG + "</div>"),
+])
+@pytest.mark.parametrize("box", ["article", "main", "div"])
+def test_article_alone(before, after, box):
+    inner = f"<{box}><h1>A  title\n here</h1><p>{LONG}</p><p>Short.</p><p>{LONG}<b>bold</b>er &amp; &lt;b&gt; &eacute;&#33;</p></{box}>"
+    text = main_text(page(inner, before, after))
+    assert text == f"A title here\n{LONG.strip()}\nShort.\n{LONG}bolder & <b> é!"
+
+
+@pytest.mark.parametrize("source, text", [
+    (None, ""), ("", ""), ("plain words", "plain words"), ("<p>one<p>two", "one\ntwo"), ("<p>a<br>b</p>", "a\nb"), ("<script>only", ""), ("<!-- open", ""), ("a <b", "a"), ("1 < 2 & 3 > 2", "1 < 2 & 3 > 2"),
+    ("<article><p>x</p></article>", "x"), ("<article>", ""), ("<article><p>Be.</p><div class=ad>no</div><p>It.</p></article>", "Be.\nIt."), ("<p>a&nbsp;&nbsp;b\t c</p>", "a b c"),
+    ("<div class=ad>unclosed<article><p>kept</p></article>", "kept"), ("<article><header><h1>Head</h1></header><p>x</p><footer>no</footer></article>", "Head\nx"), ("<p title='a>b'>x</p>", "x"), ('<p title="open>x</p>', "x"),
+    ("<body class='has-sidebar'><article><p>x</p></article></body>", "x"), ("<table><tr><td>a</td><td>b</td></tr></table>", "a b"), ("<![CDATA[c]]>", "c"),
+])
+def test_cases(source, text):
+    assert main_text(source) == text
+
+
+def test_runs():
+    assert html_text._runs([0, 5, 90, 0, 3, 0, 0, 0, 7, 0], 3, 80) == [True, True, True, True, True, False, False, False, False, False]
+    assert html_text._runs([1, 2], 3, 80) == [True, True]
+
+
+def test_long_page():
+    assert len(main_text(page("<article>" + f"<p>{LONG}</p>" * 20000 + "</article>"))) == 20000 * (len(LONG.strip()) + 1) - 1
+    assert main_text("<a " * 2000) is not None and main_text("<" * 5000) is not None
+
+
+def test_pages(spark, sf_dir):
+    rows = queries.op1_html_text(spark, sf_dir).collect()
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", pages[r.page_id].html, re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)\b[^>]*>", article))
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, "\n".join(filter(None, blocks)), len(r.text))
+
+
+def test_extract_edge_cases(spark):
+    df = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (2, "u", "", "t")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "", 0), (1, "", 0), (2, "", 0)]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_stages(spark, sf_dir):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "mixing", "packing"] and corpus_pipeline.ORACLE_SQL is None
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = set(docs.columns)
+    machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    good = {r.doc_id for r in quality.scores(docs.select("doc_id", "text", "n_chars"), machine).collect() if r.score >= 0.3}
+    kept = corpus_pipeline.keep_quality(spark, docs, sf_dir)
+    assert {r.doc_id for r in kept.collect()} == good and set(kept.columns) == names and len(good) < docs.count()
+    from test_simhash import brute, plain
+
+    want = brute({r.doc_id: plain(r.text) for r in docs.collect()})
+    alone = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in alone.collect()) == sorted(set(want.values())) and set(alone.columns) == names
+    taken = {r.doc_id: r.taken // r.size for r in queries.op10_systematic_mix(spark, sf_dir).collect() if r.size}
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert counts == {i: n for i, n in taken.items() if n} and set(mixed.columns) == names
+
+
+def test_run(spark, sf_dir, tmp_path):
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert rows and all(r.offset + r.length <= 4096 for r in rows)
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -14,7 +14,9 @@ documents of their own; a text longer than a sequence is cut.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -30,46 +32,65 @@ from .common import written
 
 CAPACITY, END_ID, SLACK = 4096, 2, 1 / 128
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-_WORDS, _LONGEST = 300_000, 48
-
-
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+_WORDS, _LONGEST = 500_000, 48
 
 
 class WordIds:
     """Token ids by white-space-delimited words, as little-endian unsigned 32-bit bytes.
 
     Neither the tokenizer's splitting pattern nor its normalizer looks across ASCII white space, so a text's ids are those
-    of its words, one after the other; each worker tokenizes a word once as long as it remembers it.
+    of its words, one after the other; a worker tokenizes a word once as long as it remembers it. Words of printable
+    ASCII are lower-cased and split here by the tokenizer's own pattern, and only their parts go to its model.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+    #: Fixed value: the pattern of the tokenizer file, for lower-cased printable ASCII.
+    PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    PLAIN = re.compile(rb"[!-~]+")
 
-    def _look_up(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > _WORDS:
-            self.known = {}
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found, strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.pieces = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _part(self, part: bytes) -> bytes:
+        if (found := self.parts.get(part)) is None:
+            found = array("I", [t.id for t in self.pieces(part.decode())]).tobytes()
+            if len(part) <= _LONGEST:
+                if len(self.parts) >= _WORDS:
+                    self.parts.clear()
+                self.parts[part] = found
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        if self.PLAIN.fullmatch(word) and b"<|" not in word:
+            found = b"".join(map(self._part, self.PARTS.findall(word.lower())))
+        else:
+            found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if len(word) <= _LONGEST:
+            if len(self.known) >= _WORDS:
+                self.known.clear()
+            self.known[word] = found
+        return found
 
     def __call__(self, text: str) -> bytes:
         words = text.encode().split()
-        get = self.known.get
-        found = [get(w) for w in words]
+        found = list(map(self.known.get, words))
         if None in found:
-            self._look_up(list({w for w, f in zip(words, found, strict=True) if f is None}))
-            get = self.known.get
-            found = [f if f is not None else get(w) for w, f in zip(words, found, strict=True)]
-            for w in [w for w in set(words) if len(w) > _LONGEST]:
-                self.known.pop(w, None)
+            for i, f in enumerate(found):
+                if f is None:
+                    found[i] = self.known.get(words[i]) or self._word(words[i])
         return b"".join(found)
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process, so that tasks share what it remembers."""
+    return WordIds(path)
+
+
 @cache
 def cut(size: int, capacity: int = CAPACITY, slack: float = SLACK) -> tuple[tuple[int, int, int], ...]:
     """(start, length, class) of a document's pieces: heads of exactly capacity / k until the rest is near its class's top."""
@@ -96,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack
     end = end_id.to_bytes(4, "little")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for part in parts:
             out: list[tuple] = []
             ids: list[np.ndarray] = []

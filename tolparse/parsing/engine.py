@@ -426,13 +426,16 @@ class Parser:
     def waters(self) -> dict[str, tuple[Entry, tuple[str, ...]]]:
         return {r: found for r in self.grammar.rules if (found := self.sets.water_entry(r))}
 
-    def parse(self, text: str, rewrite: bool = True, trace: bool = False) -> Parsed:
-        """Parses one text; LL gives what it has even after an error, LR no tree then."""
+    def parse(self, text: str, rewrite: bool | None = True, trace: bool = False) -> Parsed:
+        """Parses one text; LL gives what it has even after an error, LR no tree then.
+
+        ``rewrite=None``: the tree is rewritten only where custom blocks may still bring messages.
+        """
         since = time.perf_counter()
         lexed = self.lexer(text)
         run = (_RunLL if self.grammar.kind == "LL" else _RunLR)(self, lexed, trace)
         root = run.parse()
-        if root is not None and rewrite:
+        if root is not None and (lexed.blocks if rewrite is None else rewrite):
             root, more = self.rewriter(root, lexed.blocks)
             run.messages += more
         s = run.statistics

@@ -30,18 +30,23 @@ class Node:
         self.own_start, self.end, self.line = start, end, line
 
     def span(self) -> tuple[int, int, int | None] | None:
-        """(start, end, line): its own, or the hull of its children's."""
+        """(start, end, line): its own, or the hull of the located nodes below that are outermost."""
         if self.own_start is not None:
             return self.own_start, self.end, self.line
-        spans = [s for c in self.children if (s := c.span())]
-        if not spans:
-            return None
-        first = min(spans)
-        return first[0], max(s[1] for s in spans), first[2]
+        first, last, stack = None, -1, list(self.children)
+        while stack:
+            n = stack.pop()
+            if n.own_start is None:
+                stack += n.children
+            else:
+                last = max(last, n.end)
+                if first is None or n.own_start < first[0]:
+                    first = (n.own_start, n.line)
+        return (first[0], last, first[1]) if first else None
 
     def text(self) -> list[str]:
         """Token texts of the subtree, in order."""
-        return self.value if not self.children else [t for c in self.children for t in c.text()]
+        return [t for n in self.walk() if not n.children for t in n.value]
 
     def local(self) -> set[str]:
         return {n for group, names in self.options if group == "nodes" for n in names}
@@ -59,6 +64,19 @@ class Node:
             stack.extend(reversed(n.children))
 
 
+def _flattened(node: Node, gone: Callable[[Node], bool], deeper: Callable[[Node], bool] = lambda _: True) -> list[Node]:
+    """A node's children, with those that go replaced by theirs, and so on below the ``deeper`` ones."""
+    kept, stack = [], [(c, True) for c in reversed(node.children)]
+    while stack:
+        c, on = stack.pop()
+        if on and gone(c):
+            below = deeper(c)
+            stack += [(x, below) for x in reversed(c.children)]
+        else:
+            kept.append(c)
+    return kept
+
+
 def _bottom_up(root: Node) -> list[Node]:
     return list(root.walk())[::-1]
 
@@ -72,6 +90,10 @@ class Rewriter:
     def __init__(self, grammar: Grammar, single_pass: bool = False, steps: tuple[Callable[[Node], Node], ...] = ()):
         self.grammar, self.single_pass, self.steps = grammar, single_pass, steps
         self.named = {o: frozenset(grammar.options.symbols("nodes", o)) for o in ("void", "ghost", "list", "leaf")}
+        local = {n for r in grammar.rules.values() for a in r.alternatives for e in a.entries for group, names in e.options if group == "nodes" for n in names}
+        #: Options that some node can have; without any, a step has nothing to do.
+        self.used = local | {o for o, own in self.named.items() if own}
+        self._shown: dict[str, str] = {}
 
     def has(self, node: Node, option: str) -> bool:
         """Local options, if there are any, hide all global ones."""
@@ -81,8 +103,13 @@ class Rewriter:
         return node.symbol in self.named[option] or node.alias is not None and node.alias in self.named[option]
 
     def __call__(self, root: Node, blocks: list[Block] | None = None) -> tuple[Node, list[Message]]:
-        for step in (self.drop_generated, self.splice, self.leaves, self.merge_water, self.name):
-            step(root)
+        self.drop_generated(root)
+        if self.used & {"void", "ghost", "list"}:
+            self.splice(root)
+        if "leaf" in self.used:
+            self.leaves(root)
+        self.merge_water(root)
+        self.name(root)
         messages: list[Message] = []
         if blocks:
             root, messages = insert_blocks(root, blocks)
@@ -90,17 +117,21 @@ class Rewriter:
             root = step(root)
         return root, messages
 
-    def drop_generated(self, root: Node) -> None:
-        for n in _bottom_up(root):
-            kept: list[Node] = []
-            for k, c in enumerate(n.children):
-                if c.symbol.startswith(AUTO_RULE):
-                    if k == len(n.children) - 1 and c.alias:
-                        n.alias = c.alias
-                    kept += c.children
-                else:
-                    kept.append(c)
-            n.adopt(kept)
+    @staticmethod
+    def drop_generated(root: Node) -> None:
+        """Children of generated nodes take their place; the deepest alias along the last ones becomes their parent's.
+
+        Each node is moved once, however long the chain of a repetition is.
+        """
+        todo = [root]
+        while todo:
+            n = todo.pop()
+            last = n.children[-1] if n.children else None
+            while last is not None and last.symbol.startswith(AUTO_RULE):
+                n.alias = last.alias or n.alias
+                last = last.children[-1] if last.children else None
+            n.adopt(_flattened(n, lambda c: c.symbol.startswith(AUTO_RULE)))
+            todo += n.children
 
     def splice(self, root: Node) -> None:
         for n in _bottom_up(root):
@@ -108,15 +139,21 @@ class Rewriter:
             for c in n.children:
                 if self.has(c, "void"):
                     continue
-                kept += c.children if self.has(c, "ghost") else [c]
+                if self.has(c, "ghost"):
+                    kept += c.children
+                else:
+                    kept.append(c)
             n.adopt(kept)
-        for n in _bottom_up(root):
+        if "list" not in self.used:
+            return
+        todo = [root]
+        while todo:
+            n = todo.pop()
             if self.has(n, "list"):
-                kept = []
-                for c in n.children:
-                    same = c.symbol == n.symbol or n.alias is not None and c.alias == n.alias
-                    kept += c.children if same else [c]
+                same = lambda c, n=n: c.symbol == n.symbol or n.alias is not None and c.alias == n.alias
+                kept = _flattened(n, same, lambda c: self.has(c, "list"))
                 n.adopt(kept if self.single_pass else [c for c in kept if not self.has(c, "void")])
+            todo += n.children
 
     def leaves(self, root: Node) -> None:
         stack = [root]
@@ -132,6 +169,8 @@ class Rewriter:
     @staticmethod
     def merge_water(root: Node) -> None:
         for n in root.walk():
+            if sum(c.symbol == ANY for c in n.children) < 2:
+                continue
             kept: list[Node] = []
             for c in n.children:
                 last = kept[-1] if kept else None
@@ -145,8 +184,9 @@ class Rewriter:
             n.adopt(kept)
 
     def name(self, root: Node) -> None:
+        known = self._shown
         for n in root.walk():
-            n.shown = self.grammar.shown(n.symbol)
+            n.shown = known.get(n.symbol) or known.setdefault(n.symbol, self.grammar.shown(n.symbol))
 
 
 def _block_node(block: Block) -> Node:

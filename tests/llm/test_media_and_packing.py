@@ -99,7 +99,7 @@ def test_media_frames(spark, docs):
 PATH = queries.tokenizer_path("word_bpe_49k.json")
 
 
-@pytest.mark.parametrize("text", ["", " ", "It's 2024, isn't it?\tYES\n\n", "Ünï\u00a0Σίσυφος ΣΑΣ\x1cx\x85y", "<|endoftext|> a<|endoftext|>b", "e\u0301 \u0301x", "a" * 5000, "日本語テキスト🙂 end"])
+@pytest.mark.parametrize("text", ["", " ", "It's 2024, isn't it?\tYES\n\n", "Ünï\u00a0Σίσυφος ΣΑΣ\x1cx\x85y", "<|endoftext|> a<|endoftext|>b", "e\u0301 \u0301x", "a" * 5000, "日本語テキスト🙂 end", "ÀÖØÞßöøÿ÷× Élan'S L'été über12straße,(ÄÖ) İx ŸŠ", "naïve'll café!! ***ñandú$$$ a|b"])
 def test_word_ids_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
 
@@ -108,6 +108,15 @@ def test_word_ids_equal_the_tokenizer(text):
     assert np.frombuffer(words(text), "<u4").tolist() == want == np.frombuffer(words(text), "<u4").tolist()
 
 
+def test_word_ids_equal_the_tokenizer_on_a_table(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text").collect()]
+    words = packing.WordIds(PATH)
+    for t, e in zip(texts, Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False), strict=True):
+        assert words(t) == np.array(e.ids, "<u4").tobytes()
+
+
 def test_cut_covers_and_fills():
     for size in [*range(1, 300), 511, 512, 1000, 1365, 1366, 4095, 4096, 4097, 8192, 20001]:
         at = 0

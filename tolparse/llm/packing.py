@@ -18,7 +18,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -35,54 +35,67 @@ CAPACITY, END_ID, SLACK = 4096, 2, 1 / 128
 _WORDS, _LONGEST = 500_000, 48
 
 
+class _Memo(dict):
+    """Remembers what ``find`` gives for short keys, and starts anew when it is full."""
+
+    def __init__(self, find: Callable[[bytes | str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: bytes | str) -> bytes:
+        found = self.find(key)
+        if len(key) <= _LONGEST:
+            if len(self) >= _WORDS:
+                self.clear()
+            self[key] = found
+        return found
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies name bytes: printable ones name themselves, the others count from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
 class WordIds:
     """Token ids by white-space-delimited words, as little-endian unsigned 32-bit bytes.
 
-    Neither the tokenizer's splitting pattern nor its normalizer looks across ASCII white space, so a text's ids are those
-    of its words, one after the other; a worker tokenizes a word once as long as it remembers it. Words of printable
-    ASCII are lower-cased and split here by the tokenizer's own pattern, and only their parts go to its model.
+    Texts of printable ASCII, ASCII white space and Latin-1 letters, which normalization only lower-cases, are split here
+    by the tokenizer's own pattern, and only their parts go to its model. For others: neither the splitting pattern nor
+    the normalizer looks across ASCII white space, so a text's ids are those of its words, one after the other. A worker
+    tokenizes a part or word once as long as it remembers it.
     """
 
-    #: Fixed value: the pattern of the tokenizer file, for lower-cased printable ASCII.
-    PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-    PLAIN = re.compile(rb"[!-~]+")
+    #: Such characters, and the pattern of the tokenizer file for lower-cased texts of them.
+    PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ\t-\r]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ \t-\r]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = self.tokenizer.model.tokenize
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _part(self, part: bytes) -> bytes:
-        if (found := self.parts.get(part)) is None:
-            found = array("I", [t.id for t in self.pieces(part.decode())]).tobytes()
-            if len(part) <= _LONGEST:
-                if len(self.parts) >= _WORDS:
-                    self.parts.clear()
-                self.parts[part] = found
-        return found
+        self.letters = _byte_letters()
+        self.words, self.parts = _Memo(self._word), _Memo(self._part)
+
+    def _part(self, part: str) -> bytes:
+        named = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.pieces(named)]).tobytes()
+
+    def _plain(self, text: str) -> bytes | None:
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
+        return None
 
     def _word(self, word: bytes) -> bytes:
-        if self.PLAIN.fullmatch(word) and b"<|" not in word:
-            found = b"".join(map(self._part, self.PARTS.findall(word.lower())))
-        else:
-            found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        if len(word) <= _LONGEST:
-            if len(self.known) >= _WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        text = word.decode()
+        found = self._plain(text)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if found is None else found
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            for i, f in enumerate(found):
-                if f is None:
-                    found[i] = self.known.get(words[i]) or self._word(words[i])
-        return b"".join(found)
+        found = self._plain(text)
+        return b"".join(map(self.words.__getitem__, text.encode().split())) if found is None else found
 
 
 @cache

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHINGLE, SEED, BITS, CROWD = 3, 42, 2, 48
+#: Fingerprints of which a task makes variants.
+_SHARE = 250_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -136,7 +138,8 @@ def _match(crowd: int):
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) links that join all distinct values of ``fps.fp`` within two bits; every component of theirs is connected."""
-    keyed = fps.select(F.explode(_variants(F.col("fp"))).alias("variant"), "fp")
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() // _SHARE))
+    keyed = fps.repartition(tasks, "fp").select(F.explode(_variants(F.col("fp"))).alias("variant"), "fp")
     found = written(keyed.repartition(F.col("variant")).sortWithinPartitions("variant").mapInArrow(_match(crowd), LINKS), "simhash-links")
     crowds = found.filter("b is null").select("a").distinct()
     flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("a").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
@@ -177,7 +180,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links."""
     marked = written(fingerprints(docs, words), "fingerprints")
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = written(components(links(first.select("fp"), crowd)), "roots")
     grouped = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -186,6 +189,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -
 
 
 def deduplicated(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``docs`` that are the first (smallest doc_id) of their component; of repeated rows with that id, one."""
+    """The rows of ``docs`` that are the first (smallest doc_id) of their component; of repeated rows with that id, one.
+
+    Rows without an id cannot be told apart, and go.
+    """
     keep = near_duplicates(docs, words, crowd).filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])

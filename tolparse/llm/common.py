@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores, dealt out to all for the Python work to come; larger tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
     global _own_dir

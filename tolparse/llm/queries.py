@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gif, hidden_markov, html_text, mixing, multi_index, packing, piece_counts, quality, simhash, url_filter
-from .common import fold, table, word_count, written
+from .common import fold, spread, table, word_count, written
 
 #: (action, host, path) of the URL rules.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -19,30 +19,30 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return html_text.extract(spread(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "n_chars"))
     machine = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     scored = quality.scores(docs, machine)
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multi_index.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+    return multi_index.nearest(spread(table(spark, sf_dir, "embeddings", "vec_id", "embedding")), F.col("vec_id") % 50 == 0)
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return gif.media_digests(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents", "doc_id", "text")), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -51,11 +51,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hidden_markov.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), fold(7) == 2)
+    return hidden_markov.score_documents(spread(table(spark, sf_dir, "documents", "doc_id", "text")), fold(7) == 2)
 
 
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_counts.piece_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return piece_counts.piece_counts(spread(table(spark, sf_dir, "documents", "doc_id", "text")), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-STATES, CLASSES, ROUNDS, FREQUENT, SUFFIX = 4, 2048, 3, 1 << 18, 3
+STATES, CLASSES, ROUNDS, FREQUENT, SUFFIX = 8, 2048, 4, 1 << 18, 3
 #: Tokens whose recursion is held at a time, distinct words counted before they are passed on, and words remembered.
 _CHUNK, _COUNTED, _MEMO = 1 << 20, 400_000, 400_000
 _BITS = 52

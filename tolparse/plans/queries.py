@@ -11,7 +11,8 @@ from pyspark.sql import window as W
 
 from .. import catalog, frames
 from ..functions import collapse_breaks, cut_out, either_case, enclosed_name, index_of, leading_count
-from ..operators import compare, entities, nesting, preprocess, sections, spans, trees
+from ..operators import baselines, compare, entities, nesting, preprocess, sections, spans, trees
+from ..parsing import visitors
 from ..parsing.engine import Parser, compile_grammar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,3 +643,48 @@ def text_functions(spark, sf_dir):
 @query("SELECT r_regionkey, array_to_string([CASE WHEN lower(x) <> upper(x) THEN '[' || lower(x) || upper(x) || ']' ELSE x END FOR x IN string_split(r_name, '')], '') AS pattern FROM region")
 def either_case_patterns(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", either_case(F.col("r_name")).alias("pattern"))
+
+
+# Second extractors and visitors.
+
+_CODE = """
+    SELECT n_regionkey::BIGINT AS doc_id, 'method' AS type, 'm' || n_nationkey AS value FROM nation
+    UNION ALL SELECT n_regionkey, 'field', 'f' || n_nationkey FROM nation UNION ALL SELECT r_regionkey, 'class_interface', 'C' || r_regionkey FROM region
+"""
+
+
+def java_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for each region, with a field and a method for each of its nations, and with what misleads plain patterns."""
+    member = F.concat(F.lit(" /* class X { */ int f"), "n_nationkey", F.lit(' = 1; String m'), "n_nationkey", F.lit('(int a) { call("}", a); }\n'))
+    members = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", member.alias("m"))
+    bodies = members.groupBy("r_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "m"))), lambda x: x["m"]), "").alias("body"))
+    text = F.concat(F.lit("public class C"), "r_regionkey", F.lit(" {\n"), "body", F.lit("}\n"))
+    return table(spark, sf_dir, "region").join(bodies, "r_regionkey").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text"))
+
+
+@query(_CODE)
+def java_entities(spark, sf_dir):
+    return frames.entities(java_code(spark, sf_dir), catalog.grammar("java"), ["class_interface", "method", "field"]).select("doc_id", "type", "value")
+
+
+@query(_CODE)
+def java_baseline(spark, sf_dir):
+    return baselines.baseline(java_code(spark, sf_dir), "java")
+
+
+@query(f"SELECT * FROM ({_CODE}) WHERE false")
+def java_disagreement(spark, sf_dir):
+    """What only one of the two extractors finds: nothing."""
+    left, right = compare.difference(java_entities(spark, sf_dir), java_baseline(spark, sf_dir))
+    return left.unionByName(right)
+
+
+@query("SELECT doc_id, 'outer' AS name, 'routine,routine,block,block' AS parts FROM documents")
+def routine_visitor(spark, sf_dir):
+    """A routine with another one inside: each takes its own block."""
+    code = F.concat(F.lit("procedure outer; forward; procedure outer(a: integer); function inner: integer; begin x := 1; end; begin y; end; // "), "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", code.alias("text"))
+    parser = visitors.with_visitors(catalog.grammar("pascal"), visitors.aggregate_routines)
+    nodes = frames.nodes(docs, parser).filter(F.col("type").isin("routine", "block"))
+    own = nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "type"))), lambda x: x["type"]), ",").alias("all"))
+    return own.select("doc_id", F.lit("outer").alias("name"), F.expr("substr(all, 9)").alias("parts"))

@@ -32,6 +32,8 @@ def test_article_alone(before, after, box):
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>one<p>two", "one\ntwo"), ("<p>a<br>b</p>", "a\nb"), ("<script>only", ""), ("<!-- open", ""), ("a <b", "a"), ("1 < 2 & 3 > 2", "1 < 2 & 3 > 2"),
     ("<article><p>x</p></article>", "x"), ("<article>", ""), ("<article><p>Be.</p><div class=ad>no</div><p>It.</p></article>", "Be.\nIt."), ("<p>a&nbsp;&nbsp;b\t c</p>", "a b c"),
     ("<div class=ad>unclosed<article><p>kept</p></article>", "kept"), ("<article><header><h1>Head</h1></header><p>x</p><footer>no</footer></article>", "Head\nx"), ("<p title='a>b'>x</p>", "x"), ('<p title="open>x</p>', "x"),
+    ("<main><article class='post category-social'><p>x</p></article><div id=comments><h2>1 reply</h2><article class='comment-body'><p>no</p></article></div></main>", "x"),
+    ("<div class='page with-sidebar'><p>x</p></div><div class='widget'>no</div>", "x"), ("<p><a href=a>link</a> <a href=b>link2</a></p><p>" + LONG + "</p>", LONG.strip()),
     ("<body class='has-sidebar'><article><p>x</p></article></body>", "x"), ("<table><tr><td>a</td><td>b</td></tr></table>", "a b"), ("<![CDATA[c]]>", "c"),
 ])
 def test_cases(source, text):

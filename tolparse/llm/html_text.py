@@ -1,6 +1,7 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines (one per block), each weighed by the length of its text outside links. The weights are
+Markup is stripped into lines (one per block), each weighed by the length of its text outside links
+(nothing, if links are most of it). The weights are
 summed over sliding windows of lines; the text begins where a window's sum surges past a threshold and ends where
 it dives to nothing, and a page may have several such runs. Lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments (by element or by the words of class, id and role) weigh nothing. Where a page marks its article, the
@@ -53,6 +54,8 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
+#: Words that make a name say something of a page's layout (``has-sidebar``), not of the element.
+_LAYOUT = frozenset("no has with without hide show".split())
 
 
 class _Element:
@@ -69,7 +72,11 @@ def _kind(name: str, attrs: str) -> tuple[str, bool]:
     words: set[str] = set()
     if attrs:
         for _, *values in _NAMED.findall(attrs):
-            words.update(w.lower() for w in _WORDS.findall("".join(values)))
+            for given in "".join(values).split():
+                own = [w.lower() for w in _WORDS.findall(given)]
+                if not _LAYOUT.intersection(own):
+                    # an article is often classed by its subjects, too; only the beginning of such a name counts
+                    words.update(own[:1] if name in ("article", "main") else own)
         if _HIDDEN.search(attrs):
             return "always", False
     article = name in ("article", "main") or "main" in words and "role" in attrs or "articleBody" in attrs
@@ -162,7 +169,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not lines:
         return ""
     places = lines[-1][2] + 2
-    marks = [e for e in elements if e.article]
+    marks = [e for e in elements if e.article and not e.drop]
     out = [0] * (places + 1)  # differences: how many dropped elements cover a place
 
     def cover(counts: list[int], e: _Element, end: int) -> None:
@@ -181,8 +188,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         cover(out, e, e.begin + 1 if holds and not e.closed else e.end)
     kept = [0] * (places + 1)
     for a in marks:
-        if not a.drop:
-            cover(kept, a, a.end if a.end > a.begin else places)
+        cover(kept, a, a.end if a.end > a.begin else places)
     dropped = article = 0
     covers = []
     for o, k in zip(out, kept, strict=True):
@@ -197,7 +203,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         elif marked:
             weights.append(max(surge, len(text)))
         else:
-            weights.append(max(0, len(text) - linked))
+            weights.append(len(text) - linked if 2 * linked <= len(text) else 0)
     return "\n".join(line[0] for line, w, on in zip(lines, weights, _runs(weights, window, surge), strict=True) if on and w)
 
 

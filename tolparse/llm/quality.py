@@ -148,7 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
             columns = [[bucket[a:b].astype("<u2").tobytes() for a, b in spans], [value[a:b].astype("<f4").tobytes() for a, b in spans], [s.astype("<f8").tobytes() for s in stats]]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["doc_id", "quality", "buckets", "vals", "stats"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text", "n_chars").mapInArrow(batches, "doc_id long, quality int, buckets binary, vals binary, stats binary").collect()
+    rows = sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text", "n_chars").mapInArrow(batches, "doc_id long, quality int, buckets binary, vals binary, stats binary")
+    # a row for each chosen label, however often its document is repeated
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("stats", "buckets", "vals")).alias("x")).select("doc_id", "quality", "x.*").collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, bytes(r.stats), bytes(r.buckets)))
     if len({r.quality for r in rows}) < 2:
         return None

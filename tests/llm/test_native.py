@@ -79,3 +79,9 @@ def test_sampling(spark):
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 2 * max(r.size for r in own)
     assert mixing.systematic_sample(df.limit(0)).count() == 0
     assert {r.copies for r in mixing.systematic_sample(spark.createDataFrame([(1, "a", 0), (2, None, 0)], "doc_id long, source string, size long")).collect()} == {0}
+
+
+@pytest.mark.parametrize("name", ["op7_url_filter", "op10_systematic_mix"])
+def test_native_plans(spark, sf_dir, name):
+    text = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|NestedLoop|Cartesian", text)

@@ -32,7 +32,7 @@ def test_text_can_be_read_again():
 
 @pytest.mark.parametrize("body, problem", [
     ("s = A", "no start symbol"), ("s = A D\n%%\n%parsing start s", "unknown symbol D"), ("s = s A | B\n%%\n%parsing start s", "left-recursive"), ("s = (A?)*\n%%\n%parsing start s", "repeats what may be empty"),
-    ("s = A B | A C\n%%\n%parsing start s", "not LL(1)"), ("A : 'x'\ns = A\n%%\n%parsing start s", "defined again"), ("s = %markup(land) A\n%%\n%parsing start s", "cannot be local"),
+    ("s = A B | A C\n%%\n%parsing start s", "not LL(1)"), ("A : 'x'\ns = A\n%%\n%parsing start s", "defined again"), ("s = %markup(x) A\n%%\n%parsing start s", "cannot be local"),
     ("s = Any(Include(A), Avoid(A)) B\n%%\n%parsing start s", "share"), ("s = Any(Include(Q)) B\n%%\n%parsing start s", "unknown symbols Q"), ("s = A\n%%\n%parsing {\nstart s\nskip s\n}", "cannot be skipped"),
     ("P : %left A %right B\ns = C\n%%\n%parsing {\nstart s\nskip A\n}", "belongs to a pair"), ("P : %left A %right B\nQ : %left A %right C\ns = C\n%%\n%parsing start s", "two pairs"),
     ("s = A\n%%\n%parsing {\nstart s\nrecovery s\n}", "recovery is only for"), ("s = A => x | B => x\nt = C => x\n%%\n%parsing start s", "alias x"), ("s = A (\n%%\n%parsing start s", "found the end"), ("s = A =>\n%%\n%parsing start s", "ends too early"),

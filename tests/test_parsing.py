@@ -208,19 +208,19 @@ def test_user_steps_and_single_pass():
     assert seen == ["text"]
 
 
-JAVA = """/// land start whole
+JAVA = """/// block begin whole
 class A {
   int a = 1, b;
-  /// land start fields
+  /// block begin fields
   int c;
   int d;
-  /// land end
+  /// block end
   void f() { }
-  /// land start
+  /// block begin
   void g() { }
-  /// land end
+  /// block end
 }
-/// land end
+/// block end
 """
 
 
@@ -229,9 +229,9 @@ def test_custom_blocks():
     assert not p.has_error and p.root.symbol == "custom_block"
     blocks = [n for n in p.root.walk() if n.symbol == "custom_block"]
     assert [b.children[0].value[0] for b in blocks] == ["whole", "fields", ""] and [c.type for c in blocks[1].children[1:-1]] == ["field", "field"]
-    cut = catalog.grammar("java").parse("class A { /// land start x\n int a; } class B { int b; /// land end\n }")
+    cut = catalog.grammar("java").parse("class A { /// block begin x\n int a; } class B { int b; /// block end\n }")
     assert any("cuts a node" in m.text for m in cut.messages)
-    lost = catalog.grammar("java").parse("class A { /// land end\n /// land start\n }")
+    lost = catalog.grammar("java").parse("class A { /// block end\n /// block begin\n }")
     assert [m.kind for m in lost.messages] == ["error"] and not lost.lexed.blocks
 
 

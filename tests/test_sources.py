@@ -37,8 +37,8 @@ def test_entity_report_round_trip(spark, folder):
 
 
 def test_value_report(spark, tmp_path):
-    (tmp_path / "class_land.txt").write_text("***\nf1\nA\nB\n***\nf2\n***\nf3\nC")
-    got = sorted((r.file, r.value) for r in reports.read_value_report(spark, str(tmp_path / "class_land.txt")).collect())
+    (tmp_path / "class_tolerant.txt").write_text("***\nf1\nA\nB\n***\nf2\n***\nf3\nC")
+    got = sorted((r.file, r.value) for r in reports.read_value_report(spark, str(tmp_path / "class_tolerant.txt")).collect())
     assert got == [("f1", "A"), ("f1", "B"), ("f3", "C")]
 
 

@@ -15,7 +15,7 @@ KINDS = {
 
 
 def text(name: str) -> str:
-    return (files(__package__) / f"{name}.land").read_text(encoding="utf-8")
+    return (files(__package__) / f"{name}.grammar").read_text(encoding="utf-8")
 
 
 @cache

@@ -543,11 +543,11 @@ def full_outer_files(spark, sf_dir):
 
 @query("""
     SELECT prefix, min(path) AS first, max(path) AS second FROM (SELECT regexp_extract(path, '^(.*)_[^_]*$', 1) AS prefix, path FROM (
-        SELECT 'out/' || n_name || CASE k WHEN 0 THEN '_land' ELSE '_baseline' END AS path FROM nation, range(2) r(k) WHERE n_nationkey % 3 <> 0 OR k = 0)) GROUP BY prefix HAVING count(*) = 2
+        SELECT 'out/' || n_name || CASE k WHEN 0 THEN '_tolerant' ELSE '_baseline' END AS path FROM nation, range(2) r(k) WHERE n_nationkey % 3 <> 0 OR k = 0)) GROUP BY prefix HAVING count(*) = 2
 """)
 def report_pairs(spark, sf_dir):
-    both = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.explode(F.array(F.lit("_land"), F.lit("_baseline"))).alias("kind"))
-    paths = both.filter("n_nationkey % 3 <> 0 or kind = '_land'").select(F.concat(F.lit("out/"), "n_name", "kind").alias("path"))
+    both = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.explode(F.array(F.lit("_tolerant"), F.lit("_baseline"))).alias("kind"))
+    paths = both.filter("n_nationkey % 3 <> 0 or kind = '_tolerant'").select(F.concat(F.lit("out/"), "n_name", "kind").alias("path"))
     return compare.report_pairs(paths)
 
 

@@ -32,7 +32,7 @@ from .common import written
 
 STATES, CLASSES, ROUNDS, FREQUENT, SUFFIX = 8, 2048, 4, 1 << 18, 3
 #: Tokens whose recursion is held at a time, distinct words counted before they are passed on, and words remembered.
-_CHUNK, _COUNTED, _MEMO = 1 << 20, 400_000, 400_000
+_CHUNK, _COUNTED, _MEMO = 1 << 19, 400_000, 400_000
 _BITS = 52
 END_CLASS = CLASSES - 1
 END_KEY = END_CLASS << _BITS

@@ -16,6 +16,7 @@ non-finite components take no part; repeated rows count once; no candidates, no
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import window as W
 
 from .common import written
 
-K, SAMPLE, PROBES, RECALL, ENTRY_BLOCK, QUERY_BLOCK = 5, 16_384, 384, 0.97, 4096, 1024
+K, SAMPLE, PROBES, RECALL, ENTRY_BLOCK, QUERY_BLOCK = 5, 16_384, 384, 0.96, 4096, 1024
 
 
 def _lloyd(points: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -89,7 +90,7 @@ class MultiIndex:
         """``sample``: distinct vectors; ``entries``: how many the index will hold, which sets the codebooks' size (8 to 512)."""
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         rng, half = np.random.default_rng(11), unit.shape[1] // 2
-        size = min(len(unit), max(8, min(512, round(2 ** (np.log2(max(2, entries)) / 2 - 3)))))
+        size = min(len(unit), max(8, min(512, round(2 ** (np.log2(max(2, entries)) / 2 - 2)))))
         index = cls(_lloyd(unit[:, :half], size, rng), _lloyd(unit[:, half:], size, rng))
         i, j = index.cells(unit)
         cell = i * len(index.second) + j
@@ -99,12 +100,13 @@ class MultiIndex:
             score = unit @ unit[q]
             score[q] = -np.inf
             true = np.argsort(-score)[: min(k, len(unit) - 1)]
-            held, rank = 0, {}
+            held, wanted = 0, Counter(cell[true].tolist())
             a, b = index.distances(unit[q : q + 1])
             for x, y in index.traverse(a[0], b[0]):
                 held += counts[x, y]
-                rank[x * counts.shape[1] + y] = held
-            needed += [rank[c] / len(unit) for c in cell[true]]
+                needed += [held / len(unit)] * wanted.pop(x * counts.shape[1] + y, 0)
+                if not wanted:
+                    break
         index.share = float(np.quantile(needed, recall)) if needed else 1.0
         return index
 

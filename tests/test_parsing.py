@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from tolparse import catalog
 from tolparse.grammar.model import Message
 from tolparse.parsing.engine import compile_grammar
-from tolparse.parsing.lexer import Lexer
+from tolparse.parsing.lexer import Lexer, _may_begin
 from tolparse.parsing.tree import Node
 
 
@@ -43,6 +43,8 @@ def test_patterns():
     assert lexed(r"U : 'A' [а-я\-\]]+", "Aя-]") == [("U", "Aя-]")]
     assert lexed("Q : '(' (Q | ~[()])* ')'", "(a(b)c)") == [("Q", "(a(b)c)")]
     assert lexed("K : 'a' | 'ab' | 'abc'", "abc") == [("K", "abc")]
+    assert lexed("K : 'ab'? 'x' ('y' | 'z')?", "x abx xz") == [("K", "x"), ("K", "abx"), ("K", "xz")]
+    assert lexed("K : [ab]* 'c'\nL : ('+' | '-')+ [0-9]", "c abc +-1") == [("K", "c"), ("K", "abc"), ("L", "+-1")]
 
 
 def test_line_start_ignore_case_fragment_undefined():
@@ -267,3 +269,13 @@ def test_pascal_markdown_xml_and_others():
     assert [t for t, _ in found("braces_lr", "f(a b); { x { y } } g(q);", "call", "block")] == ["call", "block", "call"]
     assert found("csharp_types", "namespace N { class A { void f() { x } } }", "class") == [("class", "A")]
     assert [t for t, _ in found("java_plain_lr", "class A { int x; int f ( a b ) { q { r } } }", "class", "field", "method")] == ["class", "field", "method"]
+
+
+def test_first_characters_never_hide_a_match():
+    for name in catalog.KINDS:
+        lexer = catalog.grammar(name).lexer
+        for char in map(chr, [*range(9, 14), *range(32, 127), 0xE9, 0x416]):
+            for _, branches, line_start in lexer.rules:
+                for b in branches:
+                    if not line_start and not _may_begin(b.pattern, char):
+                        assert not any((m := b.match(char + tail)) and m.end() for tail in ("", "a", "1", char, " x", "/*/", "->x", "''", '""', "=a>", "begin", "lass "))

@@ -229,15 +229,14 @@ class Lexer:
 
 
 def _may_begin(pattern: str, char: str) -> bool:
-    """False only if no text that begins with ``char`` can match: a plain first character or set that lacks it."""
-    if m := re.match(r"\[(?:\\.|[^\]\\])*\]", pattern, re.S):
-        first, rest = m[0], pattern[m.end() :]
-    elif m := re.match(r"(?:\(\?:)*(\\.|[^\\\[(.^$|*+?{)])", pattern, re.S):
-        if "|" in pattern:
-            return True
-        first, rest = m[1], pattern[m.end() :]
+    """False only if no text that begins with ``char`` can match: a literal, or a first character or set that must be there.
+
+    ``pattern`` is one branch: alternatives stand in groups.
+    """
+    if m := re.match(r"\(\?:((?:\\.|[^\\()|\[\].*+?{])+)\)", pattern, re.S):
+        first = re.match(r"\\.|.", m[1], re.S)[0]
+    elif m := re.match(r"\[(?:\\.|[^\]\\])*\]|\\.|[^\\\[(.^$*+?{)]", pattern, re.S):
+        first = m[0]
     else:
         return True
-    if rest[:1] in ("*", "?", "{", "|") or "|" in rest:
-        return True
-    return bool(re.match(first, char, re.S))
+    return pattern[m.end() : m.end() + 1] in tuple("*?{") or bool(re.match(first, char, re.S))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: The unknown piece scores this much less than the lowest normal piece.
 UNKNOWN_PENALTY = 10.0
-_MEMO, _LONGEST = 400_000, 64
+_MEMO, _LONGEST = 600_000, 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,28 +94,36 @@ class PieceCounter:
         self.fallback, self.known = fallback, {}
 
     def viterbi(self, text: str) -> int:
-        """Pieces on the best path of one stretch of text."""
+        """Pieces on the best path of one stretch of text.
+
+        The automaton gives matches by their ends, and those of one end by their beginnings.
+        """
         n = len(text)
-        best, count, open_ = [None] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        best, count, open_ = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        at, found, pieces, single = 0, None, 0, False  # the character that ends what is being compared
+
+        def close() -> None:
+            """The best way to the place behind ``at``: a match, or the unknown piece if the character has none of its own."""
+            to = at + 1
+            if not single and (found is None or best[at] + self.unknown > found):
+                best[to], open_[to] = best[at] + self.unknown, True
+                count[to] = count[at] + (len(text[at].encode()) if self.fallback else int(not open_[at]))
+            else:
+                best[to], count[to] = found, pieces
+
         for last, (size, score) in self.automaton.iter(text):
-            ends[last].append((size, score))
-        for at in range(n):
-            single = False
-            to, found, pieces, unknown = at + 1, None, 0, False
-            for size, score in sorted(ends[at], reverse=True):  # by beginnings
-                single |= size == 1
-                total = best[to - size] + score
-                if found is None or total > found:
-                    found, pieces, unknown = total, count[to - size] + 1, False
-            if not single:  # the character has no piece of its own
-                total = best[at] + self.unknown
-                if found is None or total > found:
-                    found, unknown = total, True
-                    more = len(text[at].encode()) if self.fallback else int(not open_[at])
-                    pieces = count[at] + more
-            best[to], count[to], open_[to] = found, pieces, unknown
+            while at < last:
+                close()
+                at, found, single = at + 1, None, False
+            begin = last + 1 - size
+            total = best[begin] + score
+            if size == 1:
+                single = True
+            if found is None or total > found:
+                found, pieces = total, count[begin] + 1
+        while at < n:
+            close()
+            at, found, single = at + 1, None, False
         return count[n]
 
     def __call__(self, text: str | None) -> int:
@@ -138,15 +146,21 @@ class PieceCounter:
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+@cache
+def counter(model_path: str) -> PieceCounter:
+    """One for each worker process, so that tasks share what it remembers."""
+    pieces, _, fallback = vocabulary(model_path)
+    return PieceCounter(pieces, fallback)
+
+
 def piece_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_chars, n_pieces) of every whole text under the vocabulary of a SentencePiece model file, as a unigram model."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, _, fallback = vocabulary(model_path)
-        counter = PieceCounter(pieces, fallback)
+        count = counter(model_path)
         for part in parts:
             texts = part.column(1).to_pylist()
-            chars, counts = [len(t or "") for t in texts], [counter(t) for t in texts]
+            chars, counts = [len(t or "") for t in texts], [count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chars, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_chars", "n_pieces"])
 
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(batches, "doc_id long, n_chars long, n_pieces long")

@@ -152,10 +152,16 @@ class Lexer:
 
     def scan(self, text: str) -> list[Token]:
         lines = [0, *(m.end() for m in re.finditer("\n", text))]
-        out, at, n = [], 0, len(text)
+        out, at, n, known = [], 0, len(text), self._first
         while at < n:
-            best, size = None, 0
-            for name, branches, line_start in self._candidates(text[at]):
+            best, size, char = None, 0, text[at]
+            candidates = known.get(char)
+            if candidates is None:
+                candidates = self._candidates(char)
+            if not candidates and (self.drop_unknown or char in " \n\r\t\u00a0"):
+                at += 1
+                continue
+            for name, branches, line_start in candidates:
                 if line_start and at and text[at - 1] != "\n":
                     continue
                 for b in branches:

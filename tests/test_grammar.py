@@ -94,3 +94,11 @@ def test_tables_as_rows():
     assert ("s", "A", "A s B") in compile_grammar(HEAD + "s = A s B |\n%%\n%parsing start s").table.rows()
     rows = compile_grammar(HEAD + "s = A s B |\n%%\n%parsing start s", "LR").table.rows()
     assert any(cell == "accept" for *_, cell in rows) and any(cell.startswith("shift") for *_, cell in rows)
+
+
+def test_lr_expects_what_may_follow_empty_water():
+    table = compile_grammar(HEAD + "s = A x B\nx = Any y\ny = Any C |\n%%\n%parsing start s", "LR").table
+    after_a = table.states[0].moves["A"]
+    assert {"B", "C"} <= table.expected(after_a) and "A" not in table.expected(after_a)
+    after_water = table.states[after_a].moves["Any"]
+    assert {"B", "C"} <= table.expected(after_water)

@@ -130,7 +130,7 @@ class TableLR:
             self.actions.append(cells)
         for own in self.states:
             ends = {m[2] for m in own.provoked if self._next(m) is None} | {s for m in own.provoked if (s := self._next(m)) is not None and s not in self.of}
-            past = {s for m in own.markers if self._next(m) == ANY for s in self.sets.first((*self.bodies[m[0]][m[1] + 1 :], m[2]), past_water=True)}
+            past = {s for m in own.markers | own.provoked if self._next(m) == ANY for s in self.sets.first((*self.bodies[m[0]][m[1] + 1 :], m[2]), past_water=True)}
             self.after_water.append(frozenset(ends | past) - {ANY, EMPTY})
 
     def action(self, state: int, token: str) -> tuple | None:

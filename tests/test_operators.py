@@ -262,3 +262,8 @@ def test_functions(spark):
     df = spark.createDataFrame([("<< a >>",), ("x",), (None,)], "t string")
     assert [r.n for r in df.select(enclosed_name(F.col("t"), "<<", ">>").alias("n")).collect()] == ["a", None, None]
     assert spark.range(1).select(words(F.lit(" a  b ")).alias("w")).first().w == ["a", "b"]
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(X'6162FF6364' as string)").alias("text"))
+    assert rows(frames.tokens(docs, catalog.grammar("words")), "text", "start_off") == [("ab", 0), ("cd", 3)]

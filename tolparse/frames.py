@@ -39,7 +39,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def per_document(docs: DataFrame, rows: Callable[[int, str], Iterable[tuple]], schema: str) -> DataFrame:
-    """Applies ``rows`` to each (doc_id, text); null texts give no rows."""
+    """Applies ``rows`` to each (doc_id, text); null texts give no rows, bytes that are no UTF-8 become replacement characters."""
     kinds = arrow_schema(schema)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +50,7 @@ def per_document(docs: DataFrame, rows: Callable[[int, str], Iterable[tuple]], s
                 columns = list(zip(*found, strict=True)) if found else [[] for _ in kinds]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batches, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string"))).mapInArrow(batches, schema)
 
 
 def tokens(docs: DataFrame, parser: Parser) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tolparse.llm import mixing, packing, quality, simhash
+from tolparse.llm import mixing, packing, quality, simhash, similar
 from tolparse.llm.common import table, word_count, written
 from tolparse.llm.queries import tokenizer_path
 
@@ -28,6 +28,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.deduplicated(docs.select(*COLUMNS))
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What SimHash keeps, less the edited copies: no two texts left have a five-word Jaccard index of 0.8 or more."""
+    return similar.deduplicated(drop_near_duplicates(spark, docs, sf_dir))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as systematic sampling takes it, from never to three times."""
     mixed = mixing.systematic_sample(docs.select(*COLUMNS).withColumn("size", word_count(F.col("text"))))
@@ -39,7 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: The classifier, the fingerprints' hash and the tokenizer are beyond SQL; a brute-force version tests the stages.
 ORACLE_SQL = None

@@ -47,6 +47,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent(few: DataFrame, at_most: int = 1 << 20) -> DataFrame:
+    """``few`` for a join, sent to all tasks unless it has more rows than ``at_most``."""
+    return F.broadcast(few) if few.count() <= at_most else few
+
+
+def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` less all but one of each group (row, root): that of the smallest doc_id, null ids last, then of the smallest row."""
+    ids = rows.select(F.col("_row").alias("row"), "doc_id").join(sent(groups), "row")
+    kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept")).select(F.col("kept.row").alias("row"))
+    gone = written(groups.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("_row")), "gone")
+    return rows.join(sent(gone), "_row", "left_anti").drop("_row")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, _UPPER, _LOWER)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tolparse.llm import similar
+from tolparse.llm import similar, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -57,3 +57,11 @@ def test_stage_leaves_no_edited_copy(spark, sf_dir):
     before, after = ([r.text for r in d.collect()] for d in (alone, kept))
     assert len(close(before)) == 2 and not close(after) and len(after) == len(before) - 2 and kept.columns == alone.columns
     assert dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs.limit(0), sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("operator", [simhash, similar])
+def test_null_and_repeated_ids(spark, operator):
+    texts = [(None, "a text without an id"), (None, "a text without an id"), (None, "one more, quite different from it"), (4, "red green blue black white"), (4, "some other words stand here"), (2, "RED green blue black white")]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    got = sorted(((r.doc_id, r.text) for r in operator.deduplicated(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == sorted([texts[0], texts[2], texts[4], texts[5]], key=str)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import first_of_groups, written
 
 SHINGLE, SEED, BITS, CROWD = 3, 42, 2, 48
 #: Fingerprints of which a task makes variants.
@@ -189,9 +189,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -
 
 
 def deduplicated(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``docs`` that are the first (smallest doc_id) of their component; of repeated rows with that id, one.
+    """The rows of ``docs`` that are the first of their component: one of the smallest doc_id, null ids last.
 
-    Rows without an id cannot be told apart, and go.
+    Rows are told apart by a number of their own, so null and repeated ids lose no text.
     """
-    keep = near_duplicates(docs, words, crowd).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, crowd)
+    return first_of_groups(rows, written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), "groups"))

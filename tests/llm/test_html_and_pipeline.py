@@ -41,8 +41,69 @@ def test_cases(source, text):
 
 
 def test_runs():
-    assert html_text._runs([0, 5, 90, 0, 3, 0, 0, 0, 7, 0], 3, 80) == [True, True, True, True, True, False, False, False, False, False]
-    assert html_text._runs([1, 2], 3, 80) == [True, True]
+    assert html_text._runs([0, 5, 90, 0, 3, 0, 0, 0, 7, 0], 3, 80, 4) == [(1, 3)]
+    assert html_text._runs([90, 0, 0, 30, 0, 0, 0, 85], 3, 80, 24) == [(0, 4), (7, 8)]
+    assert html_text._runs([1, 2], 3, 80, 24) == [] == html_text._runs([])
+
+
+def story(n):
+    return "".join(f"<p>Paragraph {k}. {LONG}</p><p>Thin {k}.</p>" for k in range(n))
+
+
+def told(n):
+    return "\n".join(f"Paragraph {k}. {LONG.strip()}\nThin {k}." for k in range(n))
+
+
+#: Pages of plain boxes without names: (before, story's box, after).
+UNNAMED = [
+    ("<div><ul>" + "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(9)) + "</ul></div>", "<div>{}</div>", "<div><p>About us</p><p>Contact</p></div>"),
+    ("<div><p>Home</p><p>News</p><p>Contact</p><p>Help</p></div>", "<div>{}</div>", "<div><p>Nice!</p><p>by Ann</p><p>So true.</p><p>by Bob</p></div>"),
+    ("<table><tr><td><a href=a>one</a> | <a href=b>two</a></td></tr></table>", "{}", "<ul>" + "".join(f"<li><a href=/{k}>Another story, number {k}, of the same paper</a></li>" for k in range(9)) + "</ul>"),
+    ("<section><p>Today</p><p>Sunny</p><p>21 degrees</p></section>", "<article>{}</article>", "<section><p>Most read: " + "x " * 15 + "</p></section>"),
+]
+
+
+@pytest.mark.parametrize("before, box, after", UNNAMED)
+def test_unnamed_boxes_need_the_windows(monkeypatch, before, box, after):
+    text = page(box.format("<h1>A title</h1>" + story(3)), before, after)
+    assert main_text(text) == "A title\n" + told(3)
+    monkeypatch.setattr(html_text, "_smoothed", lambda lines, *_: [True] * len(lines))  # every line between a surge and its dive
+    monkeypatch.setattr(html_text, "_region", lambda *_: None)
+    assert main_text(text) != "A title\n" + told(3)
+
+
+def test_windows_cut_between_runs(monkeypatch):
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Another story, number {k}, of the same paper</a></li>" for k in range(5)) + "</ul>"
+    for box in ("<div>{}</div>", "<article>{}</article>", "{}"):
+        text = page(box.format(story(2) + menu + story(2)))
+        monkeypatch.undo()
+        assert main_text(text) == told(2) + "\n" + told(2)
+        monkeypatch.setattr(html_text, "_runs", lambda weights, *_: [(0, len(weights))])
+        assert "Another story" in main_text(text)
+
+
+@pytest.mark.parametrize("name", ["story social-science", "share-price-analysis", "comment", "widget", "notice"])
+def test_names_never_drop_the_bulk(name):
+    assert main_text(page(f'<div class="{name}"><p>{LONG}</p></div>')) == LONG.strip()
+
+
+def test_links_within_a_run_and_teasers():
+    link = "<p>See <a href=x>a long title of another page of this paper</a>.</p>"
+    assert main_text(page(f"<div><p>{LONG}</p>{link}<p>{LONG}</p></div>")) == f"{LONG.strip()}\nSee a long title of another page of this paper.\n{LONG.strip()}"
+    teaser = f"<article><p>{LONG}</p></article>"
+    assert main_text(page("<div>" + story(9) + "</div>", before=teaser)).endswith(told(9))
+    assert main_text(page("<article>" + story(9) + "</article>", before=teaser)) == told(9)
+    assert main_text(page(f"<article>{story(2)}<section><article><p>{LONG}</p></article></section></article>")) == told(2)
+
+
+def test_linear_time():
+    import time
+
+    for text in ("</div>" * 170_000, "<div>" * 200_000, "<article><aside>" * 60_000, "<aside></article>x" * 60_000, "<b></i>" * 140_000, "<p>x" * 250_000, "<article>x</article><aside>y</aside>" * 27_000):
+        began = time.perf_counter()
+        main_text(text)
+        main_text(text + "</div>" * 9)
+        assert time.perf_counter() - began < 8 * len(text) / 1e6, text[:20]
 
 
 def test_long_page():

@@ -121,12 +121,31 @@ def test_cut_covers_and_fills():
     for size in [*range(1, 300), 511, 512, 1000, 1365, 1366, 4095, 4096, 4097, 8192, 20001]:
         at = 0
         for start, length, k in packing.cut(size):
-            assert start == at and length > 0 and k == packing.CAPACITY // length
-            assert packing.CAPACITY - k * length <= packing.CAPACITY * packing.SLACK or k * length > packing.CAPACITY - k
+            assert start == at and length > 0 and packing.CAPACITY // k >= length
+            assert packing.CAPACITY // k - length <= packing.SLACK
             at += length
         assert at == size
 
 
+def test_classes_are_bounded():
+    lengths = packing.classes()
+    assert len(lengths) < 30 and lengths[0] == (4096, 1) and lengths[-1][0] >= packing.SLACK and all(n == 4096 // k for n, k in lengths)
+    assert packing.classes(4, 8) == ((4, 1),) and packing.cut(9, 4, 8) == ((0, 4, 1), (4, 4, 1), (8, 1, 1))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shared_sequences_hold_what_is_left(seed):
+    rng = random.Random(seed)
+    totals = {k: rng.randrange(3 * k) for _, k in packing.classes() if rng.random() < 0.8}
+    rows, used = packing._planned(totals, packing.CAPACITY), {}
+    for k, full, _first, ends, shared in rows:
+        assert full == totals[k] // k and (ends[-1] if ends else 0) == totals[k] % k and len(ends) == len(shared)
+        for s, n in zip(shared, np.diff([0, *ends]).tolist(), strict=True):
+            assert n > 0 and s >= sum(r[1] for r in rows)
+            used[s] = used.get(s, 0) + n * (packing.CAPACITY // k)
+    assert all(u <= packing.CAPACITY for u in used.values()) and sum(u <= packing.CAPACITY // 2 for u in used.values()) <= 1
+
+
 def checked(rows, documents):
     spans = {}
     for r in rows:
@@ -170,7 +189,11 @@ def test_packing_of_a_table(spark, sf_dir):
         assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
-def test_full_sequences_hold_their_class(spark, sf_dir):
-    rows = queries.op5_harmonic_packing(spark, sf_dir)
-    by = rows.groupBy("sequence_id").agg(F.countDistinct("class").alias("kinds"), F.count("*").alias("n"), F.first("class").alias("class"))
-    assert by.filter("kinds = 1 and n > class").count() == 0
+def test_sequences_hold_fixed_counts(spark, sf_dir):
+    rows = queries.op5_harmonic_packing(spark, sf_dir).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, {}).setdefault(r["class"], []).append(r.length)
+    whole = [(k, n) for own in held.values() if len(own) == 1 for k, n in own.items()]
+    assert sum(len(n) == k for k, n in whole) == sum(v // k for k, v in {k: sum(len(own.get(k, [])) for own in held.values()) for k in {r["class"] for r in rows}}.items())
+    assert sorted(held) == list(range(len(held)))

@@ -1,15 +1,20 @@
 """Harmonic packing: lengths fall into reciprocal-capacity classes, and each class's sequences hold a fixed count.
 
-Class k holds the pieces of which k, and not k + 1, fit a sequence of ``capacity`` tokens; k of them make a sequence. A
-document is cut so that its pieces lie within ``slack`` of the top of their class, so a full sequence wastes at most
-that share. Workers fill sequences independently: the pieces of a class are numbered by counts per bucket, and a piece's
-number alone gives its sequence and place. What is left of each class after its last full sequence (fewer than k
-pieces, some ten thousand for all classes together at any size of the input) is packed by first fit decreasing.
+Class k holds pieces that are at most capacity / k tokens long and longer than the next class allows; k of them make a
+sequence. The classes are bounded: k up to ``FINE``, then powers of two and their halves more, down to pieces of ``SLACK``
+tokens (some 25). A document is cut into pieces of exactly a class's length until what is left is within ``SLACK`` tokens of one,
+so a piece wastes at most that. Workers fill sequences independently: pieces are numbered within their class by counts per
+bucket, and a piece's number alone gives its sequence.
+
+What is left of each class after its last full sequence, fewer than k pieces, makes shared sequences. They are planned from
+the classes' counts alone (one row for each class): in order of falling length, as many of a class as fit go to each sequence
+begun so far, so no piece takes part in anything but the lookup of its number.
 
 Only numbers move between workers, never token ids.
 
 Defined results: a null or empty text is a document of the end id alone; empty tables give no rows; repeated rows are
-documents of their own; a text longer than a sequence is cut.
+documents of their own, and null or repeated ids share no task, for pieces are dealt out by a row number; a text longer than
+a sequence is cut; which of several pieces of a class comes first follows the table's rows.
 """
 
 from __future__ import annotations
@@ -17,12 +22,11 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +34,8 @@ from pyspark.sql import window as W
 
 from .common import written
 
-CAPACITY, END_ID, SLACK = 4096, 2, 1 / 128
+#: ``SLACK``: tokens by which a piece may fall short of its class's length.
+CAPACITY, END_ID, SLACK, FINE = 4096, 2, 8, 16
 #: Words whose ids a worker remembers, and the longest of them in bytes.
 _WORDS, _LONGEST = 500_000, 48
 
@@ -105,18 +110,22 @@ def word_ids(path: str) -> WordIds:
 
 
 @cache
-def cut(size: int, capacity: int = CAPACITY, slack: float = SLACK) -> tuple[tuple[int, int, int], ...]:
-    """(start, length, class) of a document's pieces: heads of exactly capacity / k until the rest is near its class's top."""
-    pieces, start = [], 0
-    while size - start > capacity:
-        pieces.append((start, capacity, 1))
-        start += capacity
+def classes(capacity: int = CAPACITY, slack: int = SLACK) -> tuple[tuple[int, int], ...]:
+    """(length, k) of the classes, longest first; the last one's length is ``slack`` or little more."""
+    counts = {*range(1, FINE + 1), *(n << j for n in (2, 3) for j in range(31))}
+    lengths = {capacity // k: k for k in sorted(counts) if capacity // k >= max(1, slack)}
+    return tuple(sorted(lengths.items(), reverse=True)) or ((capacity, 1),)
+
+
+@cache
+def cut(size: int, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[tuple[int, int, int], ...]:
+    """(start, length, class) of a document's pieces: the longest class lengths that fit, until the rest is near one."""
+    pieces, start, own = [], 0, classes(capacity, slack)
     while start < size:
-        rest = size - start
-        k = capacity // rest
-        if capacity - k * rest > max(slack * capacity, 0):
-            rest = capacity // (k + 1)
-            k = capacity // rest
+        rest = min(size - start, capacity)
+        over, k = min((x for x in own if x[0] >= rest), default=own[0])
+        if over - rest > slack and (under := max((x for x in own if x[0] <= rest), default=None)):
+            rest, k = under
         pieces.append((start, rest, k))
         start += rest
     return tuple(pieces)
@@ -125,7 +134,7 @@ def cut(size: int, capacity: int = CAPACITY, slack: float = SLACK) -> tuple[tupl
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every document's pieces; ``with_ids`` adds their token ids as ``array<int>``."""
     end = end_id.to_bytes(4, "little")
 
@@ -153,54 +162,61 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(batches, schema)
 
 
-def _first_fit(capacity: int):
-    """Packs what is left of all classes, longest first, each into the fullest sequence that has room."""
-
-    def pack(left: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        rooms: list[tuple[int, int]] = []  # (room, sequence), ascending
-        sequence, offset, made = [], [], 0
-        for n in left["length"].tolist():
-            at = bisect_left(rooms, (n, -1))
-            if at < len(rooms):
-                room, s = rooms.pop(at)
-            else:
-                room, s, made = capacity, made, made + 1
-            sequence.append(s)
-            offset.append(capacity - room)
-            if room > n:
-                insort(rooms, (room - n, s))
-        return left.assign(sequence_id=np.array(sequence, np.int64) + left["base"].to_numpy(np.int64), offset=np.array(offset, np.int64)).drop(columns=["base", "one"])
-
-    return pack
+def _shared(left: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple[int, int]]], int]:
+    """For each class the (count, sequence) of its left pieces, and the number of sequences; at most a row for each pair of classes."""
+    rooms: list[int] = []
+    plan: dict[int, list[tuple[int, int]]] = {}
+    for k in sorted(left):
+        length, n = capacity // k, left[k]
+        plan[k] = []
+        for s in sorted(range(len(rooms)), key=lambda s: rooms[s]):
+            if taken := min(n, rooms[s] // length):
+                plan[k].append((taken, s))
+                rooms[s] -= taken * length
+                n -= taken
+        if n:  # fewer than k, so they fit one sequence
+            plan[k].append((n, len(rooms)))
+            rooms.append(capacity - n * length)
+    return plan, len(rooms)
+
+
+def _planned(totals: dict[int, int], capacity: int) -> list[tuple]:
+    """(class, full, first, ends, sequences) for each class: its full sequences, the first one's number, and where its left pieces go by their rank."""
+    full = {k: n // k for k, n in totals.items()}
+    plan, _ = _shared({k: n % k for k, n in totals.items() if n % k}, capacity)
+    base, first, rows = sum(full.values()), 0, []
+    for k in sorted(totals):
+        own = plan.get(k, [])
+        rows.append((k, full[k], first, list(accumulate(n for n, _ in own)), [base + s for _, s in own]))
+        first += full[k]
+    return rows
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, rows_per_bucket: int = 4096) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces; evaluated more than once, so give a table."""
-    total = parts.count()
-    buckets = max(1, -(-total // rows_per_bucket))
-    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    counts = keyed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
-    before = W.Window.partitionBy("class").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    whole = W.Window.partitionBy("class")
-    counts = counts.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "full": F.floor(F.sum("n").over(whole) / F.col("class"))})
-    # one row per class, some hundred: the number of the class's first sequence, and of those of all classes
-    classes = counts.groupBy("class").agg(F.first("full").alias("full"))
-    by_class = W.Window.orderBy("class").rowsBetween(W.Window.unboundedPreceding, -1)
-    classes = classes.select("class", F.coalesce(F.sum("full").over(by_class), F.lit(0)).alias("first"), F.sum("full").over(W.Window.partitionBy(F.lit(0))).alias("base"))
-    places = counts.join(F.broadcast(classes), "class")  # at most 2 * sqrt(capacity) + 1 classes
-    rank = F.row_number().over(W.Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "length", "ids_crc32")) - 1
-    placed = keyed.join(places, ["class", "bucket"]).withColumn("nr", F.col("before") + rank).withColumn("nth", F.floor(F.col("nr") / F.col("class")))
-    names = [c for c in parts.columns if c not in ("sequence_id", "offset")]
-    inside = W.Window.partitionBy("class", "nth").orderBy("nr").rowsBetween(W.Window.unboundedPreceding, -1)
-    filled = placed.filter(F.col("nth") < F.col("full")).select(
-        *names, (F.col("first") + F.col("nth")).alias("sequence_id"), F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset")
-    )
-    left = placed.filter(F.col("nth") >= F.col("full")).select(*names, "base", F.lit(1).alias("one"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*names).schema.fields)
-    return filled.unionByName(left.groupBy("one").applyInPandas(_first_fit(capacity), f"{schema}, sequence_id long, offset long"))
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: float = SLACK, end_id: int = END_ID) -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces (which are written first, and numbered); their ``class`` says how many make a sequence."""
+    names = [c for c in parts.columns if c not in ("sequence_id", "offset", "_row")]
+    parts = written(parts.select(*names).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    buckets = max(1, -(-parts.count() // rows_per_bucket))
+    keyed = parts.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    counts = keyed.groupBy("class", "_bucket").agg(F.count("*").alias("n")).withColumn("_super", (F.col("_bucket") / rows_per_bucket).cast("long"))
+    # buckets' first numbers by two levels of counts, so no class is summed up in one task
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(W.Window.partitionBy(*by).orderBy(order).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    supers = counts.groupBy("class", "_super").agg(F.sum("n").alias("n"))
+    totals = {r["class"]: r["n"] for r in supers.groupBy("class").agg(F.sum("n").alias("n")).collect()}  # one row for each class
+    spark = parts.sparkSession
+    planned = spark.createDataFrame(_planned(totals, capacity), "class int, full long, first long, ends array<long>, shared array<long>")
+    supers = supers.select("class", "_super", earlier(["class"], "_super").alias("above"))
+    begins = counts.withColumn("inner", earlier(["class", "_super"], "_bucket")).join(supers, ["class", "_super"])
+    places = begins.select("class", "_bucket", (F.col("above") + F.col("inner")).alias("_begin")).join(F.broadcast(planned), "class")  # some 25 classes
+    rank = F.row_number().over(W.Window.partitionBy("class", "_bucket").orderBy("_row")) - 1
+    placed = keyed.join(places, ["class", "_bucket"]).withColumn("_nr", F.col("_begin") + rank)
+    at = F.col("_nr") - F.col("full") * F.col("class")
+    shared = F.element_at("shared", (F.size(F.filter("ends", lambda end: end <= at)) + 1).cast("int"))
+    sequence = F.when(at < 0, F.col("first") + F.floor(F.col("_nr") / F.col("class"))).otherwise(shared)
+    inside = W.Window.partitionBy("sequence_id").orderBy("class", "_nr").rowsBetween(W.Window.unboundedPreceding, -1)
+    return placed.withColumn("sequence_id", sequence).select(*names, "sequence_id", F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and class) of every piece of every document."""
-    return pack(written(pieces(docs, tokenizer_path, capacity, slack, end_id), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer_path, capacity, slack, end_id), capacity)

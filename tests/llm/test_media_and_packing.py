@@ -25,6 +25,31 @@ def test_gif_round_trip(size, kind):
     frames = gif.decode(gif.encode(samples))
     assert b"".join(f.indices for f in frames) == samples
     assert sum(f.height for f in frames) == size // 192 and all(f.delay == gif.DELAY for f in frames)
+    assert [f.disposal for f in frames] == [1 + n % 3 for n in range(len(frames))]
+
+
+def test_stored_frames_by_the_rules():
+    """Composes the stored frames of a long mixed text pixel by pixel."""
+    rows = gif.FRAME_ROWS
+    samples = (b"a few words " * 9000)[: 192 * 2 * rows] + ("ünï çödé 🙂 " * 9000).encode()[: 192 * rows] + (b"b " * 90000)[: 192 * (2 * rows + 5)]
+    frames = gif.decode(gif.encode(samples))
+    assert [f.local for f in frames] == [False, False, True, False, False, False] and [f.transparent for f in frames] == [None] + [32] * 5
+    canvas = [[None] * 192 for _ in range(rows)]
+    for f in frames:
+        colours, before = gif.palette(8 if f.local else 7), [list(r) for r in canvas]
+        for k, i in enumerate(f.indices):
+            if i != f.transparent:
+                canvas[k // 192][k % 192] = tuple(map(int, colours[i]))
+        rgb, opaque = f.rgb(), f.opaque()
+        assert all((tuple(map(int, rgb[y, x])) if opaque[y, x] else None) == canvas[y][x] for y in range(rows) for x in range(192))
+        counts = [0] * 64
+        for r, g, b in (c for row in canvas for c in row if c):
+            counts[r // 64 * 16 + g // 64 * 4 + b // 64] += 1
+        assert gif.histogram(f.canvas).tolist() == counts
+        if f.disposal == 2:
+            canvas = [[None] * 192 if y < f.height else canvas[y] for y in range(rows)]
+        elif f.disposal == 3:
+            canvas = before
 
 
 def bits(codes, widths):
@@ -53,11 +78,11 @@ def test_gif_disposal_and_transparency():
     whole = (0, 0, 2, 2)
     frames = gif.decode(built([(1, None, 10, whole, 0, [0, 1, 2, 3]), (2, 3, 5, whole, 0, [3, 3, 0, 3]), (3, None, 7, (1, 0, 1, 1), 0, [2]), (0, None, 1, (0, 0, 1, 1), 0, [1])]))
     red, green, blue, grey = (255, 0, 0), (0, 255, 0), (0, 0, 255), (9, 9, 9)
-    shown = [[tuple(map(int, p)) for p in f.canvas.reshape(-1, 3)] for f in frames]
+    shown = [[tuple(map(int, p)) for p in f.rgb().reshape(-1, 3)] for f in frames]
     assert shown[0] == [red, green, blue, grey]
     assert shown[1] == [red, green, red, grey]  # transparent samples leave what was there
-    assert shown[2][1] == blue and not frames[2].opaque[0, 0]  # the second frame's area was cleared
-    assert not frames[3].opaque[0, 1] and shown[3][0] == green  # the third was undone
+    assert shown[2][1] == blue and not frames[2].opaque()[0, 0]  # the second frame's area was cleared
+    assert not frames[3].opaque()[0, 1] and shown[3][0] == green  # the third was undone
     assert [f.delay for f in frames] == [10, 5, 7, 1]
 
 
@@ -71,29 +96,34 @@ def test_gif_interlace_and_errors():
 
 def test_lzw_codes_grow_and_restart():
     runs = gif.lzw_codes(bytes(np.random.default_rng(1).integers(0, 256, 9000, np.uint8)))
-    assert len(runs) == 3 and all(len(r) == gif._RUN for r in runs[:-1])
+    assert len(runs) == 3 and all(len(r) == 4096 - 258 for r in runs[:-1])
     assert gif.lzw_decode(gif.pack_codes(runs), 8, 10**6) == bytes(np.random.default_rng(1).integers(0, 256, 9000, np.uint8))
 
 
 def test_media_digests(docs):
-    rows = gif.media_digests(docs).collect()
+    rows = gif.media_digests(gif.text_media(docs)).collect()
     assert len(rows) == len(ROWS)
     for r in rows:
         raw = (next(t for i, t, *_ in ROWS if i == r.doc_id) or "").encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        frames = gif.decode(gif.encode(payload))
+        total = sum(gif.histogram(f.canvas) for f in frames)
+        assert r.feature == f"{len(frames)}f{4 * len(frames)}cs-" + "".join(f"{int(x * 15 / max(1, total.sum()) + 0.5):x}" for x in total.tolist())
+        assert (r.media_bytes, r.media_sha256) == (len(gif.encode(payload)), hashlib.sha256(gif.encode(payload)).hexdigest())
     same = [tuple(r)[1:] for r in rows if r.doc_id in (1, 4)]
     assert len(set(same)) == 1 and len(same) == 3
-    assert gif.media_digests(docs.limit(0)).count() == 0
+    assert gif.media_digests(gif.text_media(docs.limit(0))).count() == 0
 
 
 def test_media_frames(spark, docs):
     media = gif.text_media(docs)
     frames = gif.media_frames(media, "doc_id", "media").collect()
     long = sorted((f for f in frames if f.key == 5), key=lambda f: f.frame)
-    assert [f.start_cs for f in long] == [gif.DELAY * k for k in range(len(long))] and sum(sum(f.histogram) for f in long) >= len(ROWS[5][1].encode())
-    odd = spark.createDataFrame([(1, b"no gif"), (2, None)], "doc_id long, media binary")
+    assert [f.start_cs for f in long] == [gif.DELAY * k for k in range(len(long))] and len(long) == -(-len(ROWS[5][1].encode()) // (192 * gif.FRAME_ROWS))
+    odd = spark.createDataFrame([(1, b"no gif", "x"), (2, None, "x")], "doc_id long, media binary, payload string")
     assert [(f.key, f.error) for f in gif.media_frames(odd, "doc_id", "media").collect()] == [(1, "not a GIF")]
+    assert sorted((r.doc_id, r.payload, r.frames, r.error) for r in gif.read_media(odd).collect()) == [(1, None, None, "not a GIF"), (2, None, None, None)]
 
 
 PATH = queries.tokenizer_path("word_bpe_49k.json")

@@ -1,32 +1,46 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames with colour histograms.
 
-``encode`` stores rows of 8-bit samples losslessly as a GIF (indices into a 256-colour palette, one frame for every
-``FRAME_ROWS`` rows); ``decode`` reads any GIF 87a/89a: global and local palettes, interlacing, graphic control
-extensions, partial frames, the four disposal methods. Frames are composed on the canvas as a viewer would show them.
-
-Defined results: an empty payload cannot be stored (callers pad it); null media give no frames; truncated or foreign
-bytes raise ``ValueError`` in ``decode``, and ``media_frames`` turns that into a row with ``error`` and no frame. Equal
-bytes give equal results; extra columns are not carried.
+``text_media`` stores texts' bytes losslessly as GIFs in a binary column, and ``read_media`` reads any GIF 87a/89a of such a
+column back: global and local palettes, interlacing, graphic control extensions, partial frames, transparency and the four
+disposal methods. Frames are composed on the canvas as a viewer would show them, one at a time, and become an array column
+with times, places and colour histograms; the samples themselves come back as ``payload``.
+
+``encode`` makes one frame for every ``FRAME_ROWS`` rows of samples. Samples are palette indices. Frames of ASCII samples take
+palettes of 128 colours and 7-bit codes, others 256; the global palette is the first frame's, and a frame of the other
+kind brings its own. Frames are disposed of by each method in turn (left, cleared, undone), and from the second on blanks are
+transparent: what is shown depends on these rules, the samples do not.
+
+Defined results: an empty payload cannot be stored (callers pad it); null media give null payload, frames and error;
+truncated or foreign bytes raise ``ValueError`` in ``decode``, and ``read_media`` turns that into ``error`` beside null
+payload and frames. Equal bytes give equal results; repeated rows stay; other columns pass through, those named like the
+added ones are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Samples in a stored row, and rows in a stored frame.
-ROW, FRAME_ROWS = 192, 256
-#: Hundredths of a second that a stored frame is shown.
-DELAY = 4
-_CLEAR, _END, _FIRST, _FULL = 256, 257, 258, 4096
-#: 256 colours: red and green in eight steps, blue in four.
-PALETTE = np.array([[(i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85] for i in range(256)], np.uint8)
+ROW, FRAME_ROWS = 192, 32
+#: Hundredths of a second that a stored frame is shown; the sample that is transparent in all frames but the first.
+DELAY, BLANK = 4, 32
+_FULL = 4096
+
+
+def palette(bits: int) -> np.ndarray:
+    """2**bits colours: red and green in eight steps; blue in four, or two of 7-bit palettes."""
+    i, blues = np.arange(1 << bits), 1 << bits - 6
+    return np.stack([i // (8 * blues) * 255 // 7, i // blues % 8 * 255 // 7, i % blues * 255 // (blues - 1)], axis=1).astype(np.uint8)
+
+
+_PALETTES = {bits: palette(bits).tobytes() for bits in (7, 8)}
 
 
 def _widths(first: int, least: int, n: int) -> np.ndarray:
@@ -35,15 +49,17 @@ def _widths(first: int, least: int, n: int) -> np.ndarray:
     return np.clip(np.floor(np.log2(used)).astype(np.int64) + 1, least, 12)
 
 
-_WIDTHS = _widths(_FIRST, 9, _FULL)
-_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
-#: Codes between two clear codes, when the table is filled and no further.
-_RUN = _FULL - _FIRST
+@cache
+def _sizes(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths of the codes after a clear code, and where they start."""
+    widths = _widths((1 << bits) + 2, bits + 1, _FULL)
+    return widths, np.concatenate([[0], np.cumsum(widths)])
 
 
-def lzw_codes(data: bytes) -> list[list[int]]:
-    """Runs of LZW codes of 8-bit samples; the table starts anew with each run."""
-    runs, codes, table, free = [], [], {}, _FIRST
+def lzw_codes(data: bytes, bits: int = 8) -> list[list[int]]:
+    """Runs of LZW codes of samples below 2**bits; the table starts anew with each run, when it is full and not before."""
+    first = (1 << bits) + 2
+    runs, codes, table, free = [], [], {}, first
     emit, known = codes.append, table.get
     prefix = data[0]
     for sample in data[1:]:
@@ -58,20 +74,21 @@ def lzw_codes(data: bytes) -> list[list[int]]:
         prefix = sample
         if free == _FULL:
             runs.append(codes)
-            codes, table, free = [], {}, _FIRST
+            codes, table, free = [], {}, first
             emit, known = codes.append, table.get
     emit(prefix)
     runs.append(codes)
     return runs
 
 
-def pack_codes(runs: list[list[int]]) -> bytes:
+def pack_codes(runs: list[list[int]], bits: int = 8) -> bytes:
     """The bit stream, least significant bit first: a clear code before each run, the end code after the last."""
-    values, widths = [np.array([_CLEAR])], [np.array([9])]
+    clear = 1 << bits
+    values, widths = [np.array([clear])], [np.array([bits + 1])]
     for k, codes in enumerate(runs):
-        tail = _END if k == len(runs) - 1 else _CLEAR
+        tail = clear + 1 if k == len(runs) - 1 else clear
         values.append(np.array([*codes, tail]))
-        widths.append(_WIDTHS[: len(codes) + 1])
+        widths.append(_sizes(bits)[0][: len(codes) + 1])
     value, width = np.concatenate(values), np.concatenate(widths)
     end = np.cumsum(width)
     at = end - width
@@ -89,11 +106,7 @@ def lzw_decode(stream: bytes, bits: int, limit: int) -> bytes:
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     total, at, size = 8 * len(stream), 0, 0
     singles = [bytes([i]) for i in range(clear)] + [b"", b""]
-    if bits == 8:
-        widths, starts = _WIDTHS, _STARTS
-    else:
-        widths = _widths(clear + 2, bits + 1, _FULL)
-        starts = np.concatenate([[0], np.cumsum(widths)])
+    widths, starts = _sizes(bits)
     out: list[bytes] = []
     table, previous, place, open_ = list(singles), b"", 0, True
     while size < limit and open_:
@@ -151,19 +164,29 @@ def encode(samples: bytes, width: int = ROW, frame_rows: int = FRAME_ROWS, delay
     rows, rest = divmod(len(samples), width)
     if rest or not rows:
         raise ValueError("samples are not whole rows")
-    height = min(rows, frame_rows)
     u16 = lambda n: n.to_bytes(2, "little")
-    parts = [b"GIF89a", u16(width), u16(height), bytes([0xF7, 0, 0]), PALETTE.tobytes()]
-    for top in range(0, rows, frame_rows):
+    parts: list[bytes] = []
+    common = 0
+    for nr, top in enumerate(range(0, rows, frame_rows)):
         n = min(frame_rows, rows - top)
-        parts += [b"\x21\xf9\x04", bytes([1 << 2]), u16(delay), b"\0\0", b"\x2c\0\0\0\0", u16(width), u16(n), b"\0\x08"]
-        parts.append(_blocks(pack_codes(lzw_codes(samples[top * width : (top + n) * width]))))
+        own = samples[top * width : (top + n) * width]
+        bits = 7 if own.isascii() else 8
+        if not nr:
+            common = bits
+            parts += [b"GIF89a", u16(width), u16(n), bytes([0xF0 | bits - 1, 0, 0]), _PALETTES[bits]]
+        parts += [b"\x21\xf9\x04", bytes([nr % 3 + 1 << 2 | (nr > 0)]), u16(delay), bytes([BLANK if nr else 0, 0])]
+        local = _PALETTES[bits] if bits != common else b""
+        parts += [b"\x2c\0\0\0\0", u16(width), u16(n), bytes([0x80 | bits - 1 if local else 0]), local, bytes([bits])]
+        parts.append(_blocks(pack_codes(lzw_codes(own, bits), bits)))
     return b"".join([*parts, b"\x3b"])
 
 
 @dataclass
 class Frame:
-    """One image of a GIF and the canvas (RGB, with what is opaque) as it is shown for ``delay`` hundredths of a second."""
+    """One image of a GIF, and the canvas as it is shown for ``delay`` hundredths of a second: 0xAARRGGBB, alpha 0 or 255.
+
+    The canvas is the decoder's own and holds only until the next frame is asked for.
+    """
 
     left: int
     top: int
@@ -172,22 +195,40 @@ class Frame:
     delay: int
     disposal: int
     transparent: int | None
+    local: bool
     indices: bytes
     canvas: np.ndarray
-    opaque: np.ndarray
+
+    def rgb(self) -> np.ndarray:
+        return np.stack([self.canvas >> 16 & 255, self.canvas >> 8 & 255, self.canvas & 255], axis=-1).astype(np.uint8)
+
+    def opaque(self) -> np.ndarray:
+        return self.canvas >> 24 != 0
+
+
+def _packed(colours: np.ndarray) -> np.ndarray:
+    """A palette as 256 values 0xFFRRGGBB."""
+    out = np.full(256, 0xFF000000, np.uint32)
+    c = colours.astype(np.uint32)
+    out[: len(c)] |= c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+    return out
 
 
 def decode(data: bytes) -> list[Frame]:
-    """All frames, composed. Rows of an interlaced frame are put in order; missing samples at a stream's end are index 0."""
+    """All frames, each with a canvas of its own."""
+    return [replace(f, canvas=f.canvas.copy()) for f in frames_of(data)]
+
+
+def frames_of(data: bytes) -> Iterator[Frame]:
+    """Frames, composed one by one. Rows of an interlaced frame are put in order; missing samples at a stream's end are index 0."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height = int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
     at, common = 13, None
     if data[10] & 0x80:
         n = 3 << (data[10] & 7) + 1
-        common, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
-    canvas, opaque = np.zeros((height, width, 3), np.uint8), np.zeros((height, width), bool)
-    frames: list[Frame] = []
+        common, at = _packed(np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)), at + n
+    canvas = np.zeros((height, width), np.uint32)
     delay, disposal, transparent = 0, 0, None
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
@@ -206,7 +247,7 @@ def decode(data: bytes) -> list[Frame]:
             raise ValueError("GIF without trailer")
         kind = data[at]
         if kind == 0x3B:
-            return frames
+            return
         if kind == 0x21:
             body, end = sub_blocks(at + 2)
             if data[at + 1] == 0xF9 and len(body) >= 4:
@@ -218,13 +259,15 @@ def decode(data: bytes) -> list[Frame]:
             raise ValueError("unknown GIF block")
         left, top, w, h = (int.from_bytes(data[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
         flags, at = data[at + 9], at + 10
-        palette = common
+        table = common
         if flags & 0x80:
             n = 3 << (flags & 7) + 1
-            palette, at = np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3), at + n
-        if palette is None:
+            table, at = _packed(np.frombuffer(data[at : at + n], np.uint8).reshape(-1, 3)), at + n
+        if table is None or at >= len(data):
             raise ValueError("GIF frame without palette")
         bits = data[at]
+        if not 2 <= bits <= 8:
+            raise ValueError("GIF samples of no known size")
         stream, at = sub_blocks(at + 1)
         found = lzw_decode(stream, bits, w * h)
         grid = np.frombuffer(found.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
@@ -233,73 +276,80 @@ def decode(data: bytes) -> list[Frame]:
             rows = np.empty_like(grid)
             rows[order] = grid
             grid = rows
-        before = (canvas.copy(), opaque.copy()) if disposal == 3 else None
+        before = canvas.copy() if disposal == 3 else None
         seen = grid[: max(0, height - top), : max(0, width - left)]
         area = np.s_[top : top + seen.shape[0], left : left + seen.shape[1]]
-        colours = np.zeros((256, 3), np.uint8)
-        colours[: len(palette)] = palette
         if transparent is None:
-            canvas[area], opaque[area] = colours[seen], True
+            canvas[area] = table[seen]
         else:
-            solid = seen != transparent
-            canvas[area][solid] = colours[seen[solid]]
-            opaque[area] |= solid
-        frames.append(Frame(left, top, w, h, delay, disposal, transparent, grid.tobytes(), canvas.copy(), opaque.copy()))
+            canvas[area] = np.where(seen != transparent, table[seen], canvas[area])
+        yield Frame(left, top, w, h, delay, disposal, transparent, bool(flags & 0x80), grid.tobytes(), canvas)
         if disposal == 2:
-            canvas[area], opaque[area] = 0, False
-        elif before:
-            canvas, opaque = before
+            canvas[area] = 0
+        elif before is not None:
+            canvas = before
         delay, disposal, transparent = 0, 0, None
 
 
-def histogram(canvas: np.ndarray, opaque: np.ndarray | None = None, bins: int = 4) -> np.ndarray:
-    """Opaque pixels by red, green and blue in ``bins`` steps each: bins**3 counts."""
-    pixels = canvas.reshape(-1, 3) if opaque is None or opaque.all() else canvas[opaque]
-    step = (pixels.astype(np.int64) * bins) >> 8
-    return np.bincount(step @ np.array([bins * bins, bins, 1]), minlength=bins**3)
+def histogram(canvas: np.ndarray) -> np.ndarray:
+    """Opaque pixels by red, green and blue in four steps each: 64 counts."""
+    steps = canvas >> 18 & 0x30 | canvas >> 12 & 0xC | canvas >> 6 & 3
+    return np.bincount((steps | canvas >> 25 & 64).ravel(), minlength=128)[64:]
 
 
-_LUMA = np.array([0.299, 0.587, 0.114])
+def luma(canvas: np.ndarray) -> float | None:
+    """Mean brightness of the opaque pixels."""
+    on = canvas[canvas >> 24 != 0]
+    return float((0.299 * (on >> 16 & 255) + 0.587 * (on >> 8 & 255) + 0.114 * (on & 255)).mean()) if len(on) else None
 
 
-def feature(frames: list[Frame]) -> str:
-    """Frames, their shown time, and the 4x4x4 colour histogram over all frames' own areas in base 16 of its share (0 to f)."""
-    total = np.zeros(64, np.int64)
-    for f in frames:
-        total += histogram(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width])
-    share = (total * 15 + total.sum() // 2) // max(1, int(total.sum()))
-    top = np.argsort(-total, kind="stable")[:4]
-    return f"{len(frames)}f{sum(f.delay for f in frames)}cs-{''.join(f'{s:x}' for s in share)}-{'.'.join(map(str, top))}"
+#: What ``read_media`` adds.
+FRAME = "frame int, `left` int, top int, width int, height int, delay_cs int, start_cs long, disposal int, transparent int, local_palette boolean, histogram array<long>, luma double"
+READ = f"payload binary, frames array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>, duration_cs long, histogram array<long>, error string"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+_FRAME = pa.struct([(n.strip("`"), _KINDS[k]) for n, k in (c.split(" ") for c in FRAME.split(", "))])
+_READ = [("payload", pa.binary()), ("frames", pa.list_(_FRAME)), ("duration_cs", pa.int64()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())]
 
 
-FRAMES = "key long, frame int, left int, top int, width int, height int, delay_cs int, start_cs long, disposal int, transparent int, histogram array<long>, luma double, error string"
-_FRAMES = pa.schema([("key", pa.int64()), *((k, pa.int32()) for k in ("frame", "left", "top", "width", "height", "delay_cs")), ("start_cs", pa.int64()), ("disposal", pa.int32()), ("transparent", pa.int32()), ("histogram", pa.list_(pa.int64())), ("luma", pa.float64()), ("error", pa.string())])
+def _read(data: bytes | None) -> dict:
+    if data is None:
+        return {}
+    payload, frames, start, total = [], [], 0, np.zeros(64, np.int64)
+    try:
+        for n, f in enumerate(frames_of(data)):
+            counts = histogram(f.canvas)
+            total += counts
+            payload.append(f.indices)
+            place = {"left": f.left, "top": f.top, "width": f.width, "height": f.height}
+            shown = {"delay_cs": f.delay, "start_cs": start, "disposal": f.disposal, "transparent": f.transparent, "local_palette": f.local}
+            frames.append({"frame": n, **place, **shown, "histogram": counts.tolist(), "luma": luma(f.canvas)})
+            start += f.delay
+    except ValueError as e:
+        return {"error": str(e)}
+    return {"payload": b"".join(payload), "frames": frames, "duration_cs": start, "histogram": total.tolist()}
 
 
-def media_frames(media: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per frame of the GIF bytes in ``column``: times, place, disposal, and the shown canvas as a colour histogram."""
-
-    def rows(keys: list, blobs: list) -> Iterator[dict]:
-        for k, blob in zip(keys, blobs, strict=True):
-            if blob is None:
-                continue
-            try:
-                frames = decode(blob)
-            except ValueError as e:
-                yield {"key": k, "error": str(e)}
-                continue
-            start = 0
-            for n, f in enumerate(frames):
-                counts = histogram(f.canvas, f.opaque)
-                luma = float((f.canvas[f.opaque] @ _LUMA).mean()) if f.opaque.any() else None
-                yield {"key": k, "frame": n, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "delay_cs": f.delay, "start_cs": start, "disposal": f.disposal, "transparent": f.transparent, "histogram": counts.tolist(), "luma": luma}
-                start += f.delay
+def read_media(media: DataFrame, column: str = "media") -> DataFrame:
+    """Adds to every row what the GIF in ``column`` holds: samples, timed frames, duration, the frames' histograms summed up, or the error."""
+    names = [n for n, _ in _READ]
+    kept = media.drop(*(n for n in names if n != column))
+    place = kept.columns.index(column)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            yield pa.RecordBatch.from_pylist(list(rows(part.column(0).to_pylist(), part.column(1).to_pylist())), schema=_FRAMES)
+            for k in range(0, part.num_rows, 256):
+                own = part.slice(k, 256)
+                found = [_read(x) for x in own.column(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([x.get(n) for x in found], kind) for n, kind in _READ)], [*own.schema.names, *names])
 
-    return media.select(media[key].cast("long").alias("key"), media[column].cast("binary").alias("media")).mapInArrow(batches, FRAMES)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(batches, f"{schema}, {READ}")
+
+
+def media_frames(media: DataFrame, key: str, column: str) -> DataFrame:
+    """One row per frame of the GIF bytes in ``column``, with the row's ``key``; one with ``error`` alone for bytes that cannot be read."""
+    read = read_media(media.select(media[key].cast("long").alias("key"), media[column].cast("binary").alias("media")))
+    return read.select("key", "error", F.explode_outer("frames").alias("f")).filter("f is not null or error is not null").select("key", "f.*", "error")
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -308,10 +358,6 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (-len(raw) % ROW if raw else ROW)
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-
-
 def text_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every whole text's padded UTF-8 bytes as a GIF."""
 
@@ -325,20 +371,17 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(batches, "doc_id long, n_bytes long, media binary")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as a GIF, decodes the stored bytes and returns digests of both and the decoded frames' feature."""
-
-    def digest(text: str | None) -> tuple:
-        size, samples = padded(text)
-        gif = encode(samples)
-        frames = decode(gif)
-        payload = b"".join(f.indices for f in frames)
-        return size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), feature(frames)
+def feature(frames: Column, duration: Column, counts: Column) -> Column:
+    """Number of frames, their time, and for each of the 64 colour bins its share of all shown pixels in sixteenths (0 to f)."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    share = F.transform(counts, lambda x: F.lower(F.hex(F.floor(x * 15 / F.greatest(total, F.lit(1)) + 0.5).cast("long"))))
+    return F.concat(F.size(frames).cast("string"), F.lit("f"), duration.cast("string"), F.lit("cs-"), F.array_join(share, ""))
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            got = [digest(t) for t in part.column(1).to_pylist()]
-            columns = [pa.array([x[k] for x in got], _DIGESTS.field(k + 1).type) for k in range(7)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=_DIGESTS)
 
-    return docs.select(docs.doc_id.cast("long"), docs.text.cast("string")).mapInArrow(batches, DIGESTS)
+def media_digests(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, and digests of what the stored GIFs of (doc_id, n_bytes, media) hold."""
+    tail = F.expr("substr(payload, -16)")
+    return read_media(media.select("doc_id", "n_bytes", "media")).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature(F.col("frames"), F.col("duration_cs"), F.col("histogram")).alias("feature"),
+    )

@@ -34,7 +34,7 @@ def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media_digests(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return gif.media_digests(written(gif.text_media(spread(table(spark, sf_dir, "documents", "doc_id", "text"))), "media"))
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

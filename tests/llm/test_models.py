@@ -141,17 +141,27 @@ def test_recursions_equal_all_paths():
     chunk = hidden_markov.Chunk(sequences)
     want = [all_paths(model, s) for s in sequences]
     assert np.allclose(chunk.log10(chunk.forward(model)[2]), [np.log10(w[0]) for w in want])
-    start, move, emit, fit = chunk.expected(model)
+    start, move, emit, fit, _ = chunk.expected(model)
     for got, k in ((start, 1), (move, 2), (emit, 3)):
         assert np.allclose(got, sum(w[k] for w in want))
     assert np.isclose(fit, sum(np.log10(w[0]) for w in want))
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_segments_change_nothing(size):
+    rng = np.random.default_rng(size)
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = hidden_markov.Model(norm(rng.random(4), 0), norm(rng.random((4, 4)), 1), norm(rng.random((9, 4)), 0))
+    sequence = [rng.integers(0, 9, 50)]
+    for whole, parts in zip(hidden_markov.expected_counts(sequence, model, 50), hidden_markov.expected_counts(sequence, model, size), strict=True):
+        assert np.allclose(whole, parts)
+    assert np.allclose(hidden_markov.log10_likelihoods(sequence, model, 50), hidden_markov.log10_likelihoods(sequence, model, size))
+
+
 def test_rounds_improve(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counts = hidden_markov.token_counts(docs)
-    seen = hidden_markov.Counts.of(counts)
-    rows = hidden_markov.encoded(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(False).alias("held_out"), "text"), seen)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lit(False).alias("held_out"), "text")
+    seen = hidden_markov.Counts.of(hidden_markov.token_counts(docs))
+    rows = hidden_markov.encoded(docs, seen)
     _, history = hidden_markov.baum_welch(rows, hidden_markov.Model.fresh(seen.mass), seen.mass, 4)
     assert history == sorted(history) and history[-1] > history[0]
 
@@ -171,12 +181,39 @@ def test_base_scores_and_gain(spark, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(1, "aa bb aa"), (2, "cc"), (3, "aa dd"), (9, None)], "doc_id long, text string")
-    seen = hidden_markov.Counts.of(hidden_markov.token_counts(docs))
-    model = hidden_markov.Model.fresh(seen.mass)
-    # one known or unseen word per place of each class: their shares of a class sum to one
-    assert np.isclose((model.start @ model.emit.T).sum(), 1) and seen.mass.sum() == seen.tokens + seen.distinct + hidden_markov.CLASSES
+TEXTS = [(1, "aa bb aa zz"), (2, "cc bb"), (3, "aa dd Bb"), (14, "aa xx"), (9, None), (9, None), (None, "dd")]
+
+
+@pytest.mark.parametrize("frequent, vocabulary", [(1 << 18, 2), (1 << 18, 0), (0, 9), (3, 1), (1 << 18, 1 << 14)])
+def test_scores_equal_all_paths(spark, monkeypatch, frequent, vocabulary):
+    """The query's score by the definition: the sum over all paths of states, each word by its symbol and its share of its class."""
+    monkeypatch.setattr(hidden_markov, "FREQUENT", frequent)
+    monkeypatch.setattr(hidden_markov, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(hidden_markov, "OFTEN", 1)
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    held = F.col("doc_id") == 14
+    marked = docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")).withColumn("row", F.monotonically_increasing_id())
+    _, _, seen, model = hidden_markov.train(marked, 2, 2)
+    words = {i: [*(t or "").lower().encode().split(), None] for i, t in TEXTS}
+    count = Counter(w for i, t in TEXTS if i != 14 for w in [*(t or "").lower().encode().split(), None])
+    assert seen.tokens == sum(count.values()) and seen.distinct == len(count)
+    key = lambda w: hidden_markov.END_KEY if w is None else hidden_markov.word_key(w)
+    own = {w: int(seen.symbol[list(seen.keys).index(key(w))]) for w in count if key(w) in seen.keys}
+    own = {w: s for w, s in own.items() if s >= hidden_markov.CLASSES}
+    assert len(own) <= vocabulary and (frequent < 9 or len(own) == min(vocabulary, len(count) - 1))
+    share = {}
+    for w in [*count, b"xx"]:
+        members = [v for v in count if v not in own and key(v) >> 52 == key(w) >> 52]
+        share[w] = 1.0 if w in own else (count[w] + 1) / (sum(count[v] + 1 for v in members) + 1)
+    # a state's words, and one unseen word for each class, have probability one
+    room = sum(model.emit[c] / seen.mass[c] * (sum(count[v] + 1 for v in count if v not in own and key(v) >> 52 == c) + 1) for c in range(hidden_markov.CLASSES))
+    assert np.allclose(room + model.emit[hidden_markov.CLASSES :].sum(axis=0), 1)
+    got = hidden_markov.score_documents(docs, held, 2, 2).collect()
+    assert len(got) == len(TEXTS)
+    for r in got:
+        symbols = [own.get(w, key(w) >> 52) for w in words[r.doc_id]]
+        want = np.log10(all_paths(model, np.array(symbols))[0]) + sum(np.log10(share[w]) for w in words[r.doc_id])
+        assert np.isclose(r.score, want) and r.held_out == (r.doc_id == 14) and r.n_known == sum(count[w] > 0 for w in words[r.doc_id])
 
 
 @pytest.mark.parametrize("frequent", [1 << 18, 0, 2])

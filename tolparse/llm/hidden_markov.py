@@ -138,7 +138,7 @@ def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
     names = [c.split()[0] for c in ENCODED.split(", ")]
     end = int(np.searchsorted(keys, END_KEY))
     end_log = float(logs[end]) if end < len(keys) and keys[end] == END_KEY and seen[end] else None
-    rare_end = [] if end < len(keys) and keys[end] == END_KEY else [END_KEY]
+    rare_end = np.array([] if end < len(keys) and keys[end] == END_KEY else [END_KEY], np.int64)  # of a float type, keys would lose bits
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}  # a word's number in the lists below: key, symbol, place among the frequent or -1
@@ -175,7 +175,7 @@ def encoded(docs: DataFrame, counts: Counts) -> DataFrame:
                     out[2].append(float(value.sum()) + (end_log or 0.0))
                     out[3].append(float(value[symbol[common] < CLASSES].sum()) + (end_log or 0.0))
                     out[4].append(int(seen[place[common]].sum()) + (end_log is not None) if len(keys) else 0)
-                    out[5].append(np.append(memo[0][nr[~common]], rare_end).astype(np.int64))
+                    out[5].append(np.concatenate([memo[0][nr[~common]], rare_end]))
                 types = (pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*own.columns[:3], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names)
 

@@ -92,6 +92,9 @@ def test_recall(spark, sf_dir):
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r)
     assert got.keys() == want.keys() and all([r["rank"] for r in own] == [1, 2, 3, 4, 5] for own in got.values())
+    unit = {i: np.asarray(v, np.float64) / np.linalg.norm(np.asarray(v, np.float64)) for i, v in vectors.items()}
+    assert all(np.isclose(r.score, unit[q] @ unit[r.vec_id], rtol=1e-12) for q, own in got.items() for r in own)
+    assert all((-a.score, a.vec_id) < (-b.score, b.vec_id) for own in got.values() for a, b in itertools.pairwise(own))
     hits = sum(len({r.vec_id for r in got[q]} & {i for _, i in want[q]}) for q in want)
     assert hits >= 0.9 * 5 * len(want)
 
@@ -99,7 +102,7 @@ def test_recall(spark, sf_dir):
 def test_vectors_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (100, [0.0, 2.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (150, [nan, 1.0]), (200, [inf, 1.0]), (250, [None, 1.0]), (5, []), (300, [1.0, 2.0, 3.0]), (2, [1.0, 1.0])]
-    rows += [(i, [-1.0, 0.5]) for i in range(1000, 1040)]
+    rows += [(i, [-1.0, 0.5]) for i in range(1000, 1400)] + [(1050, [-1.0, 0.5])] * 100
     df = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<float>, rank int")
     got = {}
     for r in multi_index.nearest(df, F.col("vec_id") % 50 == 0, recall=1.0).collect():

@@ -28,7 +28,7 @@ from pyspark.sql import window as W
 
 from .common import written
 
-K, SAMPLE, PROBES, RECALL, ENTRY_BLOCK, QUERY_BLOCK = 5, 16_384, 384, 0.96, 4096, 1024
+K, SAMPLE, PROBES, RECALL, ENTRY_BLOCK, QUERY_BLOCK, SALTS = 5, 16_384, 384, 0.96, 4096, 1024, 16
 
 
 def _lloyd(points: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -151,8 +151,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     if common is None:
         return spark.createDataFrame([], result)
     v = v.filter(F.size("vector") == common["n"]).withColumn("key", F.xxhash64("vector"))
+    v = v.groupBy("id", "key", "vector").agg(F.max("asks").alias("asks"))  # repeated rows count once, and no vector's repeats meet
     same = W.Window.partitionBy("key", "vector").orderBy("id")
-    distinct = v.withColumn("nr", F.dense_rank().over(same)).filter(F.col("nr") <= k + 1)
+    distinct = v.withColumn("nr", F.row_number().over(same)).filter(F.col("nr") <= k + 1)
     entries = written(distinct.groupBy("key", "vector").agg(F.sort_array(F.collect_set("id")).alias("ids")), "entries")
     total = entries.count()
     sample = entries.orderBy(F.xxhash64(F.col("ids")[0]), "key").limit(SAMPLE).select("vector").toArrow()
@@ -199,6 +200,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     order = [F.desc("score"), F.asc("vec_id")]
     top = found.withColumn("place", F.row_number().over(W.Window.partitionBy("q").orderBy(*order))).filter(F.col("place") <= k + 1)
     lists = top.groupBy("q").agg(F.collect_list(F.struct("place", "vec_id", "score")).alias("found"))
-    answered = asks.distinct().join(questions.join(lists, "q").select("key", "vector", "found"), ["key", "vector"]).select(F.col("id").alias("query_id"), "found")
+    # many queries can have one vector, so they are dealt out: each answer has a copy for each of SALTS parts
+    answers = questions.join(lists, "q").select("key", "vector", "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = asks.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    answered = salted.join(answers, ["key", "vector", "salt"]).select(F.col("id").alias("query_id"), "found")
     others = F.slice(F.filter(F.sort_array("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return answered.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

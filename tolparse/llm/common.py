@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from uuid import uuid4
@@ -29,10 +30,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, as in tests, a temporary one, if all runs in one process."""
     global _own_dir
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tolparse-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)

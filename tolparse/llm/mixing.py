@@ -4,13 +4,14 @@ Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and
 stops at ``max_repeat`` times its size, the excess is reshared by weight until none is above (water filling).
 
 Sampling: each document of a source is expected ``target / source size`` times. Documents stand in the order (size
-stratum, scattered id, id), so neighbours have near-equal sizes; the prefix sum of expected copies plus one offset per
+stratum, id and size scattered, id), so neighbours have near-equal sizes; the prefix sum of expected copies plus one offset per
 source is taken, and a document is emitted once per integer boundary that its step crosses. A prefix sum over a source
 that holds a third of all rows must not run in one task: the rank comes from three levels, the strata of a source (some
-hundred at most), about sqrt(rows) slices of a stratum, and the rows of a slice.
+hundred at most), slices of a stratum (one for every ``SLICE`` rows of the table), and the rows of a slice.
 
 Defined results: null texts have size 0; null sources are one source, the last; empty tables give no rows; repeated rows
-are documents of their own; a source of size 0 has target 0 and takes nothing.
+are documents of their own; a source of size 0 has target 0 and takes nothing. A source's taken words differ from its target
+by less than its largest document. One row for each source is held together, to set the targets.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Slices of the scattered id; a power of two.
-SCATTER = 1 << 20
+#: Slices of the scattered id at most, a power of two; rows of all sources and strata to a slice.
+SCATTER, SLICE = 1 << 20, 1 << 14
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -63,9 +64,10 @@ def systematic_sample(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] =
     docs = docs.drop("source_size", "target", "copies")
     total = docs.count()
     slices = 1
-    while slices * slices < total and slices < SCATTER:
+    while slices * SLICE < total and slices < SCATTER:
         slices *= 2
-    scatter = F.pmod(F.pmod(F.coalesce(F.col(id_col), F.lit(0)).cast("long"), F.lit(1_000_003)) * 7919, F.lit(SCATTER))
+    # the size takes part, so that null or repeated ids are not of one slice
+    scatter = F.pmod(F.pmod(F.coalesce(F.col(id_col), F.lit(0)).cast("long"), F.lit(1_000_003)) * 7919 + F.col("size").cast("long") * 104_729, F.lit(SCATTER))
     keyed = docs.withColumns({
         "_null": F.col("source").isNull(), "_source": F.coalesce("source", F.lit("")), "_stratum": _stratum(F.col("size")), "_scatter": scatter,
         "_slice": (scatter / (SCATTER // slices)).cast("int"),

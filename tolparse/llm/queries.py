@@ -97,7 +97,7 @@ ORACLES = {
             SELECT doc_id, d.source, size, source_size, target, shift,
                 CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate,
                 row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 8 + (4 * (substr(rpad(substr(bin(size), 2, 3), 3, '0'), 1, 1)::INT) + 2 * (substr(rpad(substr(bin(size), 2, 3), 3, '0'), 2, 1)::INT) + (substr(rpad(substr(bin(size), 2, 3), 3, '0'), 3, 1)::INT)),
-                    (((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003) * 7919) % 1048576, doc_id, size)::DOUBLE AS rank
+                    (((coalesce(doc_id, 0) % 1000003 + 1000003) % 1000003) * 7919 + size * 104729) % 1048576, doc_id, size)::DOUBLE AS rank
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, ((floor(rate * rank + shift) - floor(rate * (rank - 1.0) + shift)) * size)::BIGINT AS taken FROM r
     """,

@@ -37,7 +37,7 @@ from .common import written
 #: ``SLACK``: tokens by which a piece may fall short of its class's length.
 CAPACITY, END_ID, SLACK, FINE = 4096, 2, 8, 16
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-_WORDS, _LONGEST = 500_000, 48
+_WORDS, _LONGEST = 150_000, 48
 
 
 class _Memo(dict):
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        for part in parts:
+        for part in (whole.slice(k, 512) for whole in parts for k in range(0, whole.num_rows, 512)):
             out: list[tuple] = []
             ids: list[np.ndarray] = []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):

@@ -29,7 +29,7 @@ _UPPER, _LETTERS, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRS
 _SYMBOLS, _POINTS, _NOT_ASCII = b"#$%&*+<=>@\\^_`{|}~/", b".,;:?!'\"()-", bytes(range(128, 256))
 STATS = 20
 #: Words whose buckets a worker remembers.
-_MEMO = 400_000
+_MEMO = 150_000
 
 
 def statistics(raw: bytes, words: list[bytes], n_chars: int | None) -> list[float]:
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> M
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurize = Featurizer()
-        for part in parts:
+        for part in (whole.slice(k, 512) for whole in parts for k in range(0, whole.num_rows, 512)):
             ids, label, texts, meta = (c.to_pylist() for c in part.columns)
             doc, bucket, value, stats = featurize(texts, meta)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1))

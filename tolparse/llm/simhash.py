@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (whole.slice(k, 1024) for whole in parts for k in range(0, whole.num_rows, 1024)):
             fps = np.fromiter((fingerprint(t, words) for t in part.column(1).to_pylist()), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 

@@ -2,7 +2,7 @@
 
 Shingles are put in one order for all texts, those that a sample finds frequent last. Of n shingles, two texts that similar
 share one of the first n - ceil(0.8 n) + 1 of each, so an equality join on these prefixes misses no pair, whatever the
-sample. Pairs that sizes or positions rule out are left away; the rest are verified on the words themselves.
+sample. Pairs that sizes or positions rule out are left away; the rest are verified on all their shingles' XXH64 values.
 
 A shingle's texts, sorted by size, are paired with the next ``REACH`` each. Where a shingle has more texts than that, the
 missing pairs are made in a second round, only between texts that the first left in different components.
@@ -33,11 +33,6 @@ def shingles(text: str | None) -> list[bytes]:
     return [b" ".join(parts[i : i + WORDS]) for i in range(max(1, len(parts) - WORDS + 1))]
 
 
-def similar(a: set[bytes], b: set[bytes]) -> bool:
-    """Whether the Jaccard index is 0.8 or more."""
-    return 9 * len(a & b) >= 4 * (len(a) + len(b))
-
-
 def hashes(text: str | None) -> np.ndarray:
     """XXH64 of the distinct shingles, sorted."""
     import xxhash
@@ -66,9 +61,9 @@ def _prefixes(rows: DataFrame) -> DataFrame:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = often.value
-        for part in parts:
+        for own in (part.slice(k, 512) for part in parts for k in range(0, part.num_rows, 512)):
             out = []
-            for row, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for row, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
                 key = hashes(text)
                 n = len(key)
                 if len(names):
@@ -123,24 +118,22 @@ def _pairs(reach: int):
     return batches
 
 
-def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, first = None, set()
+def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (row, text): the number of shingles, and which of ``SKETCH`` classes of them hold an odd number."""
     for part in parts:
-        good = []
-        for a, x, y in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-            if a != last:
-                last, first = a, set(shingles(x))
-            good.append(similar(first, set(shingles(y))))
-        good = pa.array(good, pa.bool_())
-        yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
+        for k in range(0, part.num_rows, 512):
+            own = part.slice(k, 512)
+            sets = [hashes(t) for t in own.column(1).to_pylist()]
+            odd = [np.packbits(np.bincount(h & (SKETCH - 1), minlength=SKETCH) & 1).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(len, sets), pa.int64()), pa.array(odd, pa.binary())], ["row", "n", "odd"])
 
 
-def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For (row, text): the number of shingles, and which of ``SKETCH`` classes of them hold an odd number."""
+def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (row, text): the shingles' hashes."""
     for part in parts:
-        sets = [hashes(t) for t in part.column(1).to_pylist()]
-        odd = [np.packbits(np.bincount(h & (SKETCH - 1), minlength=SKETCH) & 1).tobytes() for h in sets]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, sets), pa.int64()), pa.array(odd, pa.binary())], ["row", "n", "odd"])
+        for k in range(0, part.num_rows, 512):
+            own = part.slice(k, 512)
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([hashes(t) for t in own.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "keys"])
 
 
 def _near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +151,13 @@ def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar; texts are dealt out only for those that sketches leave."""
+    """The (a, b) of ``pairs`` that are similar; hashes are dealt out, and compared in the JVM, only for those that sketches leave."""
     odd = written(_of(pairs, rows).mapInArrow(_sketches, "row long, n long, odd binary"), "similar-sketches")
     both = pairs.join(odd.toDF("a", "n", "x"), "a").join(odd.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     pairs = written(both.mapInArrow(_near, "a long, b long"), "similar-near")
-    texts = written(_of(pairs, rows), "similar-texts")
-    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return written(both.mapInArrow(_verify, "a long, b long"), "similar-links")
+    keys = written(_of(pairs, rows).mapInArrow(_hashed, "row long, keys array<long>"), "similar-keys")
+    both = pairs.join(keys.toDF("a", "x"), "a").join(keys.toDF("b", "y"), "b")
+    return written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
 
 
 def links(rows: DataFrame, reach: int = REACH) -> DataFrame:

@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tolparse.llm import html_text, quality, queries
+from tolparse.llm import html_text, quality, queries, simhash
 from tolparse.llm.html_text import main_text
 
 LONG = "This is a sentence of the article that is long enough to make the sums of lengths surge. " * 2
@@ -138,7 +138,7 @@ def test_stages(spark, sf_dir):
     from test_simhash import brute, plain
 
     want = brute({r.doc_id: plain(r.text) for r in docs.collect()})
-    alone = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    alone = simhash.deduplicated(docs.select(*corpus_pipeline.COLUMNS))
     assert sorted(r.doc_id for r in alone.collect()) == sorted(set(want.values())) and set(alone.columns) == names
     taken = {r.doc_id: r.taken // r.size for r in queries.op10_systematic_mix(spark, sf_dir).collect() if r.size}
     mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_groups, written
+from .common import gone_of_groups, sent, written
 
 SHINGLE, SEED, BITS, CROWD = 3, 42, 2, 48
 #: Fingerprints of which a task makes variants.
@@ -188,11 +188,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def duplicates(rows: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
+    """(_row): the rows of ``rows`` (_row, doc_id, text, a table) but the first of each component; see ``common.gone_of_groups``."""
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, crowd)
+    return gone_of_groups(rows, written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), "groups"))
+
+
 def deduplicated(docs: DataFrame, words: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """The rows of ``docs`` that are the first of their component: one of the smallest doc_id, null ids last.
 
     Rows are told apart by a number of their own, so null and repeated ids lose no text.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, crowd)
-    return first_of_groups(rows, written(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")), "groups"))
+    return rows.join(sent(duplicates(rows, words, crowd)), "_row", "left_anti").drop("_row")

@@ -4,8 +4,8 @@ Shingles are put in one order for all texts, those that a sample finds frequent
 share one of the first n - ceil(0.8 n) + 1 of each, so an equality join on these prefixes misses no pair, whatever the
 sample. Pairs that sizes or positions rule out are left away; the rest are verified on all their shingles' XXH64 values.
 
-A shingle's texts, sorted by size, are paired with the next ``REACH`` each. Where a shingle has more texts than that, the
-missing pairs are made in a second round, only between texts that the first left in different components.
+A shingle's texts, sorted by size, are paired with the next ``REACH`` each. The nearest ``NEXT`` are verified first; others only
+if these left them in different components, and so are, last, the pairs that are missing where a shingle has more texts.
 
 Words are as for SimHash: split at ASCII white space, ASCII letters lower-cased. A text of fewer than five words has one
 shingle, all its words; null, empty and blank texts are equal.
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_groups, sent, spread, written
+from .common import gone_of_groups, sent, spread, written
 from .simhash import SEED, components
 
-WORDS, REACH, SKETCH = 5, 24, 1024
+WORDS, REACH, NEXT, SKETCH = 5, 24, 2, 1024
 #: Texts in the sample, occurrences in it that make a shingle frequent, frequent shingles at most.
 _SAMPLE, _OFTEN, _FREQUENT = 4096, 3, 65_536
 
@@ -85,7 +85,7 @@ def _possible(n, pos, m, other):
 
 
 def _pairs(reach: int):
-    """Over prefixes sorted by key and size: (a, b) of each text and the next ``reach`` of its key, and (a, null, key, n, pos) for members of larger groups."""
+    """Over prefixes sorted by key and size: (a, b, step) of each text and the next ``reach`` of its key, and (a, null, null, key, n, pos) for members of larger groups."""
     half = reach // 2
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def _pairs(reach: int):
         for part in parts:
             old = len(held[0])
             key, row, n, pos = (np.concatenate([h, part.column(c).to_numpy()]) for c, h in enumerate(held))
-            a, b, crowd = [], [], []
+            a, b, steps, crowd = [], [], [], []
             for step in range(1, reach + 1):
                 j = np.arange(max(old, step), len(key))
                 j = j[key[j] == key[j - step]]
@@ -105,27 +105,38 @@ def _pairs(reach: int):
                 fits = _possible(n[i].astype(np.int64), pos[i], n[j].astype(np.int64), pos[j]) & (row[i] != row[j])
                 a.append(np.maximum(row[i], row[j])[fits])
                 b.append(np.minimum(row[i], row[j])[fits])
-            made = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+                steps.append(np.full(len(a[-1]), step))
+            made = np.concatenate([np.stack(x, axis=0) for x in zip(a, b, steps, strict=True)], axis=1) if a else np.zeros((3, 0), np.int64)
+            made = made[:, np.lexsort(made[::-1])]
+            if made.shape[1]:  # of a pair's steps the smallest
+                made = made[:, np.concatenate([[True], (made[:2, 1:] != made[:2, :-1]).any(axis=0)])]
             many = np.unique(np.concatenate(crowd)) if len(crowd) else np.zeros(0, np.int64)
-            none = lambda t: pa.nulls(made.shape[1], t)
+            none, no_pair = (lambda t: pa.nulls(made.shape[1], t)), (lambda t: pa.nulls(len(many), t))
             columns = [
-                pa.array(np.concatenate([made[0], row[many]])), pa.concat_arrays([pa.array(made[1]), pa.nulls(len(many), pa.int64())]), pa.concat_arrays([none(pa.int64()), pa.array(key[many])]),
-                pa.concat_arrays([none(pa.int32()), pa.array(n[many])]), pa.concat_arrays([none(pa.int32()), pa.array(pos[many])]),
+                pa.array(np.concatenate([made[0], row[many]])), pa.concat_arrays([pa.array(made[1]), no_pair(pa.int64())]), pa.concat_arrays([pa.array(made[2].astype(np.int32)), no_pair(pa.int32())]),
+                pa.concat_arrays([none(pa.int64()), pa.array(key[many])]), pa.concat_arrays([none(pa.int32()), pa.array(n[many])]), pa.concat_arrays([none(pa.int32()), pa.array(pos[many])]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "key", "n", "pos"])
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "step", "key", "n", "pos"])
             held = [c[-reach:] for c in (key, row, n, pos)]
 
     return batches
 
 
-def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For (row, text): the number of shingles, and which of ``SKETCH`` classes of them hold an odd number."""
-    for part in parts:
-        for k in range(0, part.num_rows, 512):
-            own = part.slice(k, 512)
-            sets = [hashes(t) for t in own.column(1).to_pylist()]
-            odd = [np.packbits(np.bincount(h & (SKETCH - 1), minlength=SKETCH) & 1).tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(len, sets), pa.int64()), pa.array(odd, pa.binary())], ["row", "n", "odd"])
+def _sketches(wide: bool):
+    """For (row, text): the number of shingles, and which classes of them hold an odd number; of ``SKETCH`` classes, or if ``wide`` of two to four for each shingle."""
+
+    def odd(keys: np.ndarray) -> bytes:
+        classes = 1 << max(6, (2 * len(keys) - 1).bit_length()) if wide else SKETCH
+        return np.packbits(np.bincount(keys & (classes - 1), minlength=classes) & 1).tobytes()
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, part.num_rows, 512):
+                own = part.slice(k, 512)
+                sets = [hashes(t) for t in own.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(odd, sets), pa.binary())], ["row", "n", "odd"])
+
+    return batches
 
 
 def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +147,21 @@ def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array([hashes(t) for t in own.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "keys"])
 
 
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of fewer classes."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs but those that cannot be similar: classes that differ are at most as many as shingles that only one has, and these at most a ninth of all."""
     for part in parts:
-        x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("x", "y"))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        differ = np.zeros(part.num_rows, np.int64)
+        for k, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            least = min(len(x), len(y))
+            differ[k] = np.bitwise_count(_folded(x, least) ^ _folded(y, least)).sum(dtype=np.int64)
         good = pa.array(9 * differ <= part.column("n").to_numpy() + part.column("m").to_numpy())
         yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(1).filter(good)], ["a", "b"])
 
@@ -151,37 +172,54 @@ def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar; hashes are dealt out, and compared in the JVM, only for those that sketches leave."""
-    odd = written(_of(pairs, rows).mapInArrow(_sketches, "row long, n long, odd binary"), "similar-sketches")
-    both = pairs.join(odd.toDF("a", "n", "x"), "a").join(odd.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    pairs = written(both.mapInArrow(_near, "a long, b long"), "similar-near")
+    """The (a, b) of ``pairs`` that are similar. Small sketches rule out most others, wide ones what is left of long texts; hashes are dealt out for the rest, and compared in the JVM."""
+    for wide in (False, True):
+        odd = written(_of(pairs, rows).mapInArrow(_sketches(wide), "row long, n long, odd binary"), "similar-sketches")
+        both = pairs.join(odd.toDF("a", "n", "x"), "a").join(odd.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        pairs = written(both.mapInArrow(_near, "a long, b long"), "similar-near")
     keys = written(_of(pairs, rows).mapInArrow(_hashed, "row long, keys array<long>"), "similar-keys")
     both = pairs.join(keys.toDF("a", "x"), "a").join(keys.toDF("b", "y"), "b")
     return written(both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar-links")
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose ends are in different components of ``roots`` (node, root)."""
+    both = pairs.join(roots.toDF("a", "x"), "a", "left").join(roots.toDF("b", "y"), "b", "left")
+    return both.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
 def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
-    """(a, b) links between similar rows of ``rows`` (row, text); they join every pair of similar rows, over others at times."""
+    """(a, b) links between similar rows of ``rows`` (row, text) that join every pair of similar rows, over others at times.
+
+    A key's neighbours are verified first, then pairs further apart that are not joined yet, and last those beyond the reach.
+    """
     keyed = _prefixes(rows).repartition(F.col("key")).sortWithinPartitions("key", "n", "row")
-    found = written(keyed.mapInArrow(_pairs(reach), "a long, b long, key long, n int, pos int"), "similar-pairs")
-    first = _verified(written(found.filter("b is not null").select("a", "b").distinct(), "candidates"), rows)
+    found = written(keyed.mapInArrow(_pairs(reach), "a long, b long, step int, key long, n int, pos int"), "similar-pairs")
+    pairs = written(found.filter("b is not null").groupBy("a", "b").agg(F.min("step").alias("step")), "candidates")
+    linked = _verified(pairs.filter(F.col("step") <= NEXT).select("a", "b"), rows)
+    roots = written(components(linked), "similar-roots")
+    linked = linked.unionByName(_verified(written(_across(pairs.filter(F.col("step") > NEXT).select("a", "b"), roots), "candidates"), rows))
     crowd = found.filter("b is null").select("key", F.col("a").alias("row"), "n", "pos").distinct()
     if crowd.isEmpty():
-        return first
-    roots = components(first)
+        return linked
+    roots = components(linked)
     crowd = crowd.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
     split = crowd.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
     crowd = written(crowd.join(split, "key", "left_semi"), "similar-crowds")
     x, y = crowd.alias("x"), crowd.alias("y")
     bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (9 * bound >= 4 * (F.col("x.n") + F.col("y.n"))))
-    second = _verified(written(across.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "candidates"), rows)
-    return first.unionByName(second)
+    return linked.unionByName(_verified(written(across.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "candidates"), rows))
+
+
+def duplicates(rows: DataFrame, reach: int = REACH) -> DataFrame:
+    """(_row): the rows of ``rows`` (_row, doc_id, text, a table) but the first of each component of similar texts; see ``common.gone_of_groups``."""
+    roots = components(links(rows.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")), reach))
+    roots = written(roots.union(roots.select("root", "root").distinct()).toDF("row", "root"), "roots")
+    return gone_of_groups(rows, roots)
 
 
 def deduplicated(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """One row of ``docs`` of each component of similar texts: that of the smallest doc_id, null ids last."""
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    roots = components(links(rows.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")), reach))
-    roots = written(roots.union(roots.select("root", "root").distinct()).toDF("row", "root"), "roots")
-    return first_of_groups(rows, roots)
+    return rows.join(sent(duplicates(rows, reach)), "_row", "left_anti").drop("_row")

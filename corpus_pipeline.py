@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept, and is written to the shared folder
 before the next one reads it. All but the last return the columns of documents.
+
+Defined results: null texts count as empty ones, and are scored, fingerprinted and packed as such (in a mix they have size 0 and
+are never taken); null and repeated ids are rows like any others; ties between documents of a group go to the smaller id and
+row; empty tables give no rows; other columns than those of documents are not read.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tolparse.llm import mixing, packing, quality, simhash, similar
-from tolparse.llm.common import table, word_count, written
+from tolparse.llm.common import sent, table, word_count, written
 from tolparse.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,13 +28,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of documents linked by SimHash."""
-    return simhash.deduplicated(docs.select(*COLUMNS))
-
+    """One document of each group of near duplicates: that of the smallest id, null ids last, then of the smallest row.
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What SimHash keeps, less the edited copies: no two texts left have a five-word Jaccard index of 0.8 or more."""
-    return similar.deduplicated(drop_near_duplicates(spark, docs, sf_dir))
+    First those that SimHash links (fingerprints within two bits); of the rest, no two texts stay that have a five-word
+    Jaccard index of 0.8 or more, which 64-bit fingerprints cannot tell (README). Repeated ids are documents of their own.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    for operator in (simhash, similar):
+        rows = rows.join(sent(operator.duplicates(rows)), "_row", "left_anti")
+    return rows.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", keep_quality), ("near_duplicates", drop_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+STAGES = [("quality", keep_quality), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: The classifier, the fingerprints' hash and the tokenizer are beyond SQL; a brute-force version tests the stages.
 ORACLE_SQL = None

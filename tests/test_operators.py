@@ -25,7 +25,7 @@ def test_frames_of_empty_null_and_repeated(spark):
     docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "class A { int x; }", 0), (3, "class A { int x; }", 0)], DOCS + ", type int")
     parser = catalog.grammar("java")
     assert frames.tokens(docs, parser).groupBy("doc_id").count().collect()[0][:] == (3, 14)
-    assert rows(frames.entities(docs, parser, ["class_interface", "field"]), "doc_id", "type", "value") == sorted([(3, "class_interface", "A"), (3, "field", "x")] * 2)
+    assert rows(frames.entities(docs, parser, ["class", "field"]), "doc_id", "type", "value") == sorted([(3, "class", "A"), (3, "field", "x")] * 2)
     assert rows(frames.stats(docs, parser), "doc_id", "tokens_count", "has_error") == [(2, 0, False), (3, 7, False), (3, 7, False)]
     for f in (frames.tokens, frames.nodes, frames.messages, frames.stats, frames.blocks):
         assert f(docs.limit(0), parser).count() == 0
@@ -40,7 +40,7 @@ def test_nodes_are_nested_sets(spark):
         if r.parent_id is not None:
             p = found[r.parent_id]
             assert p.node_id < r.node_id <= r.last_desc <= p.last_desc and r.level == p.level + 1 and p.start_off <= (r.start_off or p.start_off)
-    assert rows(entities.select_entities(nodes, ["field", "method", "class_interface"]), "type", "value") == [("class_interface", "A"), ("class_interface", "B"), ("field", "x"), ("field", "y"), ("method", "f")]
+    assert rows(entities.select_entities(nodes, ["field", "method", "class"]), "type", "value") == [("class", "A"), ("class", "B"), ("field", "x"), ("field", "y"), ("method", "f")]
     whole = rows(trees.spans(nodes).filter("node_id = 0"), "start_off", "end_off")
     assert whole == [(0, len(text) - 1)]
 

@@ -244,28 +244,28 @@ CSHARP = "using X.Y;\nnamespace N { [A] public enum E { P, Q } class S : B { pri
 
 @pytest.mark.parametrize("name", ["csharp", "csharp_lr"])
 def test_csharp(name):
-    types = ("enum", "class_struct_interface", "field", "property", "method")
-    assert found(name, CSHARP, *types) == [("enum", "E"), ("class_struct_interface", "S"), ("field", "f g"), ("property", "Pos"), ("method", "Read")]
+    types = ("enum", "class", "field", "property", "method", "delegate")
+    assert found(name, CSHARP, *types) == [("enum", "E"), ("class", "S"), ("field", "f g"), ("property", "Pos"), ("method", "Read"), ("delegate", "D")]
 
 
 @pytest.mark.parametrize("name, field", [("java", ("field", "a b")), ("java_lr", None)])
 def test_java(name, field):
     text = "import x.Y; @N(1) public class K extends Z { int a = 1, b; List<String> m(int q) throws E { } enum O { P } }"
-    own = found(name, text, "class_interface", "method", "enum")
-    assert own == [("class_interface", "K"), ("method", "m"), ("enum", "O")]
+    own = found(name, text, "class", "method", "enum")
+    assert own == [("class", "K"), ("method", "m"), ("enum", "O")]
     assert field is None or field in found(name, text, "field")
 
 
 def test_pascal_markdown_xml_and_others():
     assert found("pascal", "unit U; PROCEDURE Foo(a: integer); BEGIN x := 1; END; function B.C: integer; forward;", "routine") == [("routine", "Foo"), ("routine", "B.C")]
-    heads = found("markdown", "Title\n=====\ntext\n# one\n~~~\n# no\n~~~\nSub\n---\n    # code\n", "header_h1", "header_h2", "header_any")
-    assert [t for t, _ in heads] == ["header_h1", "header_any", "header_h2"]
+    heads = found("markdown", "Title\n=====\ntext\n# one\n~~~\n# no\n~~~\nSub\n---\n    # code\n", "setext_heading_1", "setext_heading_2", "atx_heading")
+    assert [t for t, _ in heads] == ["setext_heading_1", "atx_heading", "setext_heading_2"]
     note = "<?xml version='1.0' e=\"u\"?><note><to>T</to><from a='1'/><h>Don't</h><b>x</b></note>"
     assert [n for _, n in found("xml", note, "element")] == ["note", "to", "from", "h", "b"]
     assert found("yacc", "%token A\n%%\ne : e '+' t { x } | t ;\nt : A ;\n%%\nz", "rule") == [("rule", "e"), ("rule", "t")]
     assert [t for t, _ in found("lex", "D   [0-9]\n%%\n[a-z]+ { a }\n[0-9] { b }\n%%\n", "rule")] == ["rule", "rule"]
     assert found("typescript", "export class A { x: number = 1; f(a: b): c { } }\nfunction g(x) { y }", "class", "function") == [("class", "A"), ("function", "g")]
-    assert [t for t, _ in found("csharp_branches", "if (a) { switch (b) { } } else if (c) y();", "if", "switch")] == ["if", "switch", "if"]
+    assert [t for t, _ in found("csharp_branches", "if (a) { switch (b) { } } else if (c) y();", "if", "switch", "else")] == ["if", "switch", "else", "if"]
     assert [t for t, _ in found("braces_lr", "f(a b); { x { y } } g(q);", "call", "block")] == ["call", "block", "call"]
     assert found("csharp_types", "namespace N { class A { void f() { x } } }", "class") == [("class", "A")]
     assert [t for t, _ in found("java_plain_lr", "class A { int x; int f ( a b ) { q { r } } }", "class", "field", "method")] == ["class", "field", "method"]

@@ -27,7 +27,7 @@ def test_read_files(spark, folder):
 
 def test_entity_report_round_trip(spark, folder):
     docs = files.read_files(spark, str(folder / "src"), "java")
-    found = frames.entities(docs, catalog.grammar("java"), ["class_interface", "field", "method"])
+    found = frames.entities(docs, catalog.grammar("java"), ["class", "field", "method"])
     path = str(folder / "report")
     reports.write_entity_report(found, docs, path, "java", "src")
     again = reports.read_entity_report(spark, path)
@@ -44,20 +44,20 @@ def test_value_report(spark, tmp_path):
 
 def test_sinks(spark, folder):
     docs = files.read_files(spark, str(folder / "src"), "java")
-    found = frames.entities(docs, catalog.grammar("java"), ["class_interface", "method"])
+    found = frames.entities(docs, catalog.grammar("java"), ["class", "method"])
     reports.write_by_type(found, str(folder / "types"))
-    assert sorted(p.name for p in (folder / "types").iterdir() if p.is_dir()) == ["type=class_interface", "type=method"]
+    assert sorted(p.name for p in (folder / "types").iterdir() if p.is_dir()) == ["type=class", "type=method"]
     reports.write_stats(frames.stats(docs, catalog.grammar("java")), str(folder / "stats"))
     reports.write_stats(frames.stats(docs, catalog.grammar("java")), str(folder / "stats"))
     assert spark.read.json(str(folder / "stats")).count() == 2
     reports.write_differences(found, found.limit(0), str(folder / "diff"))
-    assert spark.read.parquet(str(folder / "diff/left")).count() == 2
+    assert spark.read.parquet(str(folder / "diff/left")).count() == 3  # A, f and Б
     assert reports.table_frame(spark, catalog.grammar("java").table).filter("cell like '%class%'").count() > 0
 
 
 def test_stream(spark, folder):
     docs = streaming.document_stream(spark, str(folder / "src"), "*.java")
-    found = streaming.entity_stream(docs, catalog.grammar("java"), ["class_interface", "method"])
+    found = streaming.entity_stream(docs, catalog.grammar("java"), ["class", "method"])
     q = found.writeStream.format("memory").queryName("entities_seen").outputMode("append").start()
     q.processAllAvailable()
     q.stop()

@@ -17,14 +17,15 @@ _NOT_TYPES = ("return", "new", "else", "throw", "in", "case", "package", "import
 #: language -> (what is no code, {entity type: pattern whose first group is the name}).
 PATTERNS: dict[str, tuple[str, dict[str, str]]] = {
     "java": (_C_LIKE, {
-        "class_interface": r"\b(?:class|interface)\s+([A-Za-z_][A-Za-z_0-9]*)", "enum": r"\benum\s+([A-Za-z_][A-Za-z_0-9]*)",
+        "class": r"\bclass\s+([A-Za-z_][A-Za-z_0-9]*)", "interface": r"(?<!@)\binterface\s+([A-Za-z_][A-Za-z_0-9]*)", "enum": r"\benum\s+([A-Za-z_][A-Za-z_0-9]*)",
         "method": rf"\b(?!(?:{'|'.join(_NOT_TYPES)})\b){_TYPE}\s+([A-Za-z_][A-Za-z_0-9]*)\s*\([^()]*\)\s*(?:throws [^;{{]*)?[;{{]",
         "field": rf"(?:^|[;{{}}])\s*(?:{_FLAGS}\s+)*(?!(?:{'|'.join((*_NOT_TYPES, *_FLAGS[3:-1].split('|')))})\b){_TYPE}\s+([A-Za-z_][A-Za-z_0-9]*)\s*[;=,]",
     }),
     "csharp": (_C_LIKE, {
-        "class_struct_interface": r"\b(?:class|struct|interface|record)\s+([A-Za-z_][A-Za-z_0-9]*)", "enum": r"\benum\s+([A-Za-z_][A-Za-z_0-9]*)",
+        **{k: rf"\b{k}\s+([A-Za-z_][A-Za-z_0-9]*)" for k in ("class", "struct", "interface")}, "enum": r"\benum\s+([A-Za-z_][A-Za-z_0-9]*)",
         "method": rf"\b(?!(?:{'|'.join(_NOT_TYPES)})\b){_TYPE}\s+([A-Za-z_][A-Za-z_0-9]*)\s*\([^()]*\)\s*(?:where [^;{{]*)?(?:[;{{]|=>)",
         "property": rf"\b(?!(?:{'|'.join(_NOT_TYPES)})\b){_TYPE}\s+([A-Za-z_][A-Za-z_0-9]*)\s*(?:\{{\s*(?:{_FLAGS}\s+)?(?:get|set)\b|=>)",
+        "field": rf"(?:^|[;{{}}])\s*(?:{_FLAGS}\s+)*(?!(?:{'|'.join((*_NOT_TYPES, *_FLAGS[3:-1].split('|')))})\b){_TYPE}\s+([A-Za-z_][A-Za-z_0-9]*)\s*(?:[;,]|=(?!>))",
     }),
     "pascal": (_PASCAL, {
         "routine": r"(?i)\b(?:procedure|function|constructor|destructor)\s+([A-Za-z_][A-Za-z_0-9.]*)", "property": r"(?i)\bproperty\s+([A-Za-z_][A-Za-z_0-9]*)", "class": r"(?i)\b([A-Za-z_][A-Za-z_0-9]*)\s*=\s*class\b",

@@ -13,7 +13,7 @@ SECTIONS = "doc_id long, section_id int, parent_id int, level int, title string,
 def header_level(kind, value):
     """Columns to a header's level: ``=`` and ``-`` underlines are 1 and 2, else the number of # (leading blanks don't count)."""
     marks = F.length(F.regexp_extract(F.ltrim(value), r"^#+", 0))
-    return F.when(kind == "header_h1", 1).when(kind == "header_h2", 2).when(kind == "header_any", marks).otherwise(0).cast("int")
+    return F.when(kind == "setext_heading_1", 1).when(kind == "setext_heading_2", 2).when(kind == "atx_heading", marks).otherwise(0).cast("int")
 
 
 def enclosing(headers: DataFrame) -> DataFrame:

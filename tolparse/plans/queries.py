@@ -462,7 +462,7 @@ def section_hierarchy(spark, sf_dir):
     blocks = frames.nodes(docs, catalog.grammar("markdown")).filter("symbol = 'block'").select("doc_id", F.col("node_id").alias("seq"), "type", F.array_join("value", "").alias("value"), "start_off", "end_off")
     found = sections.sections(blocks).select("doc_id", "section_id", "level", "title")
     # a second part, whose header jumps from level one to three
-    jump = sections.sections(blocks.filter("type = 'header_h1'").unionByName(blocks.filter("type = 'header_any'").withColumns({"value": F.lit("### deep"), "seq": F.col("seq") + 9})))
+    jump = sections.sections(blocks.filter("type = 'setext_heading_1'").unionByName(blocks.filter("type = 'atx_heading'").withColumns({"value": F.lit("### deep"), "seq": F.col("seq") + 9})))
     return found.unionByName(jump.filter("level > 1").select("doc_id", (F.col("section_id") + 1).alias("section_id"), "level", "title"))
 
 
@@ -649,7 +649,7 @@ def either_case_patterns(spark, sf_dir):
 
 _CODE = """
     SELECT n_regionkey::BIGINT AS doc_id, 'method' AS type, 'm' || n_nationkey AS value FROM nation
-    UNION ALL SELECT n_regionkey, 'field', 'f' || n_nationkey FROM nation UNION ALL SELECT r_regionkey, 'class_interface', 'C' || r_regionkey FROM region
+    UNION ALL SELECT n_regionkey, 'field', 'f' || n_nationkey FROM nation UNION ALL SELECT r_regionkey, 'class', 'C' || r_regionkey FROM region
 """
 
 
@@ -664,7 +664,7 @@ def java_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CODE)
 def java_entities(spark, sf_dir):
-    return frames.entities(java_code(spark, sf_dir), catalog.grammar("java"), ["class_interface", "method", "field"]).select("doc_id", "type", "value")
+    return frames.entities(java_code(spark, sf_dir), catalog.grammar("java"), ["class", "method", "field"]).select("doc_id", "type", "value")
 
 
 @query(_CODE)

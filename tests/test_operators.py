@@ -31,6 +31,29 @@ def test_frames_of_empty_null_and_repeated(spark):
         assert f(docs.limit(0), parser).count() == 0
 
 
+def test_statistics_without_trees_equal_those_with(spark):
+    text = "<p>a</p> <!-- <b> --> x < y"
+    for name in catalog.KINDS:
+        p = catalog.grammar(name)
+        if p.flat:
+            whole, (own, failed) = p.parse(text), p.statistics_of(text)
+            assert (own.chars_count, own.tokens_count, own.recovery_times, failed) == (whole.statistics.chars_count, whole.statistics.tokens_count, 0, whole.has_error)
+    assert [n for n in catalog.KINDS if catalog.grammar(n).flat] == ["html_tags", "words"]
+    assert not compile_grammar("A : 'a'\nB : 'b'\ns = (A | AnyAvoid(B))*\n%%\n%parsing start s").flat and not compile_grammar("A : 'a'\ns = A*\n%%\n%parsing start s").flat
+
+
+def test_table_functions(spark):
+    frames.register_functions(spark, "own", catalog.grammar("java"), ["class", "method"])
+    spark.createDataFrame([(1, "class A { int f() { } }"), (2, None), (3, "class { }")], DOCS).createOrReplaceTempView("own_docs")
+    assert rows(spark.sql("SELECT d.doc_id, t.seq, t.type, t.value FROM own_docs d, LATERAL own_entities(d.text) t WHERE doc_id < 3")) == [(1, 0, "class", "A"), (1, 1, "method", "f")]
+    docs = spark.table("own_docs")
+    for kind, frame in (("tokens", frames.tokens), ("nodes", frames.nodes), ("messages", frames.messages)):
+        want = frame(docs, catalog.grammar("java"))
+        got = spark.sql(f"SELECT d.doc_id, t.* FROM own_docs d, LATERAL own_{kind}(d.text) t")
+        plain = [c for c, k in want.dtypes if "map" not in k]
+        assert sorted(map(str, got.select(plain).collect())) == sorted(map(str, want.select(plain).collect()))
+
+
 def test_nodes_are_nested_sets(spark):
     text = "class A { int x; void f() { } class B { int y; } }"
     nodes = frames.nodes(spark.createDataFrame([(1, text)], DOCS), catalog.grammar("java"))
@@ -210,12 +233,58 @@ def test_pipeline_of_preprocessors(spark):
     docs = spark.createDataFrame([(1, "#if A\nclass X { }\n#endif\nclass Y { }")], DOCS)
     kept = both.before(docs)
     assert "class P" not in kept.first().text and "class Q" in kept.first().text and both.name == "noop | upper | conditional"
-    nodes = both.after(frames.nodes(kept, catalog.grammar("words")))
+    nodes = both.after(frames.nodes(kept, catalog.grammar("words")), kept)
     assert nodes.filter("symbol = 'WORD'").agg(F.min("start_off")).first()[0] == docs.first().text.index("class Y")
     preprocess.register("mine", lambda: upper)
     assert preprocess.REGISTRY["mine"]() is upper
 
 
+def test_offsets_lines_and_messages_come_back(spark):
+    text = "#if A\nint x;\n#endif\nclass B {\n#if A\n  void no() { }\n#else\n  void m() { }\n#endif\n  int ) y;\n}\n"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "class C { int z; }")], DOCS)
+    prep = preprocess.conditional(catalog.grammar("csharp_directives"))
+    found = preprocess.nodes_through(docs.filter("doc_id <> 1").union(docs.filter("doc_id = 1").limit(1)), catalog.grammar("csharp"), prep)
+    method = found.filter("type = 'method'").first()
+    assert text[method.start_off : method.end_off + 1] == "void m() { }" and method.start_line == 8
+    errors = preprocess.messages_through(docs, catalog.grammar("csharp"), prep).filter("unexpected_lexeme = ')'").collect()
+    assert errors and {(m.line, m.col, text[m.offset]) for m in errors} == {(10, 6, ")")}
+    cuts = preprocess.segments(prep.before(docs))
+    assert rows(preprocess.remap(spark.createDataFrame([(1, 0), (1, 0), (3, 5), (1, None)], "doc_id long, start_off int").filter("start_off is not null"), cuts)) == [(1, 0, 20), (1, 0, 20), (3, 5, 5)]
+    doubled = spark.createDataFrame([(1, 2, 9)] * 2, "doc_id long, start_off int, end_off int")
+    assert rows(preprocess.remap(spark.createDataFrame([(1, 1), (1, 2)], "doc_id long, start_off int"), doubled)) == [(1, 1, 1), (1, 2, 10)]
+    assert rows(preprocess.without(spark.createDataFrame([(1, "ab<!--x-->cd")] * 2, DOCS), doubled), "text") == [("abcd",)] * 2
+
+
+def test_a_failing_preprocessor_keeps_the_text(spark):
+    docs = spark.createDataFrame([(1, "bad", "q"), (2, "good", "q"), (3, None, "q")], DOCS + ", cuts string")
+
+    def find(text):
+        if text == "bad":
+            raise ValueError("no")
+        return [(0, 1)]
+
+    assert rows(preprocess.cut(docs, find), "doc_id", "text", "cut_error") == [(1, "bad", "ValueError: no"), (2, "od", None), (3, None, None)]
+
+
+def test_pascal_chain(spark):
+    text = "{$ifdef X}procedure no; begin end;{$endif}\nprocedure a;\nbegin {$ifdef X}q;{$endif} w; end;\n"
+    found = {r.type: r for r in preprocess.pascal_nodes(spark.createDataFrame([(1, text)], DOCS)).collect()}
+    routine, block = found["routine"], found["block"]
+    assert text[routine.start_off : routine.end_off + 1] == text[text.index("procedure a") : -1] and block.parent_id == routine.node_id and block.start_line == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_enclosing_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    data = [(d, k, rng.choice([None, 1, 2, 3, 8, 9, 40]), "x") for d in (1, 2, None) for k in range(40)]
+    got = rows(sections.enclosing(spark.createDataFrame(data, "doc_id long, seq int, level int, parent_seq string")).fillna(-1), "doc_id", "seq", "parent_seq")
+    want = []
+    for d, k, level, _ in data:
+        before = [s for e, s, other, _ in data if e == d and s < k and level is not None and other is not None and other < level]
+        want.append((-1 if d is None else d, k, max(before, default=-1)))
+    assert got == sorted(want)
+
+
 # hierarchies -----------------------------------------------------------------------------------------------------------
 
 
@@ -255,6 +324,8 @@ def test_fold(spark):
     assert entities.fold_stats(stats).first().asDict() == {"chars_count": 30, "tokens_count": 11, "recovery_times": 3, "longest_rollback": 5, "recovery_times_any": 6}
     assert entities.fold_stats(stats, True).first().asDict() == {"tokens_count": 11, "recovery_times": 3, "longest_rollback": 8, "recovery_times_any": 4}
     assert entities.render_stats(entities.fold_stats(stats)).first().line.startswith("chars_count: 30; ")
+    timed = stats.withColumns({"general_ms": F.lit(61500.25), "recovery_ms": F.col("doc_id") * 1.0})
+    assert entities.render_stats(entities.fold_stats(timed, times=True)).first().line.endswith("; general_ms: 02:03.001; recovery_ms: 00:00.003")
     assert rows(entities.top(stats, "tokens_count", 1), "doc_id") == [(2,)]
 
 

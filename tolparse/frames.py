@@ -11,8 +11,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from .parsing.engine import Parsed, Parser
 from .parsing.lexer import Block
@@ -104,9 +105,8 @@ def stats(docs: DataFrame, parser: Parser) -> DataFrame:
     """One row per document."""
 
     def rows(doc: int, text: str) -> Iterator[tuple]:
-        p = parser.parse(text, rewrite=None)
-        s = p.statistics
-        yield doc, s.chars_count, s.tokens_count, s.recovery_times, s.recovery_times_any, s.longest_rollback, s.general_ms, s.recovery_ms, p.has_error
+        s, has_error = parser.statistics_of(text)
+        yield doc, s.chars_count, s.tokens_count, s.recovery_times, s.recovery_times_any, s.longest_rollback, s.general_ms, s.recovery_ms, has_error
 
     return per_document(docs, rows, STATS)
 
@@ -137,6 +137,31 @@ def entities(docs: DataFrame, parser: Parser, types: Iterable[str], names: Itera
     return per_document(docs, rows, ENTITIES)
 
 
+def register_functions(spark: SparkSession, name: str, parser: Parser, types: Iterable[str] = (), names: Iterable[str] = ("name",)) -> None:
+    """Table functions for SQL: ``<name>_tokens(text)``, ``<name>_nodes(text)``, ``<name>_messages(text)`` and ``<name>_entities(text)`` (of ``types``).
+
+    ``SELECT d.doc_id, t.* FROM documents d, LATERAL java_entities(d.text) t``. A null text gives no rows.
+    """
+    kinds, texts = frozenset(types), frozenset(names)
+    made: dict[str, tuple[str, Callable[[str], Iterable[tuple]]]] = {
+        "tokens": (TOKENS, lambda t: ((k, x.name, x.text, x.start, x.end, x.line, x.column, x.direction, x.pair, x.depth) for k, x in enumerate(parser.lexer(t).tokens[:-1]))),
+        "nodes": (NODES, lambda t: (r[1:-2] + (dict(r[-2]), dict(r[-1])) for r in node_rows(0, parser.parse(t).root))),
+        "messages": (MESSAGES, lambda t: ((k, m.kind, m.text, m.line, m.column, m.offset, m.source, m.unexpected_token, m.unexpected_lexeme, list(m.expected)) for k, m in enumerate(parser.parse(t, rewrite=None).messages))),
+        "entities": (ENTITIES, lambda t: entity_rows(parser.parse(t), kinds, texts)),
+    }
+    for kind, (schema, rows) in made.items():
+        columns = schema.removeprefix("doc_id long, ")
+
+        class Function:
+            _rows = staticmethod(rows)
+
+            def eval(self, text: str):
+                if text is not None:
+                    yield from self._rows(text)
+
+        spark.udtf.register(f"{name}_{kind}", udtf(Function, returnType=columns))
+
+
 def blocks(docs: DataFrame, parser: Parser) -> DataFrame:
     """Closed custom blocks, outer ones before inner ones."""
 

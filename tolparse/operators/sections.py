@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import folds
+
 SECTIONS = "doc_id long, section_id int, parent_id int, level int, title string, start_off int, end_off int"
 
 
@@ -17,13 +19,26 @@ def header_level(kind, value):
 
 
 def enclosing(headers: DataFrame) -> DataFrame:
-    """Adds ``parent_seq``: the last header before, of the same document, that has a lower level. One window for each of six levels."""
-    before = W.Window.partitionBy("doc_id").orderBy("seq").rowsBetween(W.Window.unboundedPreceding, -1)
-    last = lambda n: F.last(F.when(F.col("level") < n, F.col("seq")), ignorenulls=True).over(before)
-    parent = F.lit(None).cast("int")
-    for n in range(2, 8):
-        parent = F.when(F.col("level") == n, last(n)).otherwise(parent)
-    return headers.withColumn("parent_seq", parent.cast("int"))
+    """Adds ``parent_seq``: the last header before, of the same document, that has a lower level, whatever the levels.
+
+    One sorted pass keeps the headers that later ones may belong to. A header without a level belongs to none and holds none.
+    """
+
+    def start():
+        open_: list[tuple[int, int]] = []
+
+        def step(seq: int, level: int | None) -> tuple[int | None]:
+            if level is None:
+                return (None,)
+            while open_ and open_[-1][0] >= level:
+                open_.pop()
+            parent = open_[-1][1] if open_ else None
+            open_.append((level, seq))
+            return (parent,)
+
+        return step
+
+    return folds.add_columns(headers, "seq", ["seq", "level"], start, "parent_seq int")
 
 
 def sections(blocks: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tree rewriting and tree queries on ``nodes`` tables, as relational algebra over the nested-set numbers.
 
-A node's descendants are the rows of its document with ``node_id < id <= last_desc``. Operators that delete rows find each
-kept row's parent again: its nearest kept ancestor, by one window over the document (see ``reparent``), not by a range join.
+A node's descendants are the rows of its document with ``node_id < id <= last_desc``. What needs a node's ancestors or all that
+is below it comes from one window, or from one fold over the document's sorted rows (``folds``), never from a range join; only
+``ancestors`` gives all pairs, for they are its result.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import folds
+
 DOC = "doc_id"
 
 
@@ -33,33 +36,39 @@ def ancestors(nodes: DataFrame, max_level: int | None = None) -> DataFrame:
     return d.join(a, DOC).filter((F.col("node_id") > F.col("ancestor_id")) & (F.col("node_id") <= F.col("_last"))).drop("_last")
 
 
-def splice(nodes: DataFrame, marked: Column) -> DataFrame:
-    """Deletes marked nodes; their children take their place (ghost, generated nodes). The root is kept.
+def _spliced(nodes: DataFrame, above: bool) -> DataFrame:
+    """Without the nodes marked by ``_gone``; with ``above``, of these only those below a node of their own symbol."""
 
-    Parents are followed upwards past marked rows, one join for each level of directly nested marked nodes.
-    """
-    marked = F.coalesce(marked, F.lit(False)) & F.col("parent_id").isNotNull()
-    all_rows = nodes.withColumn("_gone", marked)
-    kept = all_rows.filter(~F.col("_gone")).drop("_gone").withColumn("_up", F.col("parent_id"))
-    gone = all_rows.filter("_gone").select(DOC, F.col("node_id").alias("_up"), F.col("parent_id").alias("_next"))
-    # the nearest kept ancestor is the largest kept id that is an ancestor of the first deleted one
-    closed = _closed(gone)
-    return renumber(kept.join(closed, [DOC, "_up"], "left").withColumn("parent_id", F.coalesce("_top", "_up")).drop("_up", "_top"))
+    def start():
+        stack: list[list] = []  # open nodes: end, symbol, nearest kept ancestor (the node itself if it is kept), and the children that one has so far
 
+        def step(node: int, last: int, parent: int | None, symbol: str | None, gone: bool | None) -> tuple[bool, int | None, int]:
+            while stack and stack[-1][0] < node:
+                stack.pop()
+            gone = bool(gone) and parent is not None and (not above or bool(stack) and stack[-1][1] == symbol)
+            kept, counter = (stack[-1][2], stack[-1][3]) if stack else (None, [0])
+            if gone:
+                stack.append([last, symbol, kept, counter])
+                return True, None, 0
+            place = counter[0]
+            counter[0] += 1
+            stack.append([last, symbol, node, [0]])
+            return False, kept, place
 
-def _closed(gone: DataFrame) -> DataFrame:
-    """(doc_id, _up, _top): for each deleted node the nearest ancestor that is kept.
+        return step
 
-    Deleted nodes that follow each other upwards are a chain; pointers double until none ends at a deleted node.
+    symbols = nodes if "symbol" in nodes.columns else nodes.withColumn("symbol", F.lit(None).cast("string"))
+    folded = folds.add_columns(symbols, "node_id", ["node_id", "last_desc", "parent_id", "symbol", "_gone"], start, "_out boolean, _parent int, _place int", DOC)
+    kept = folded.filter(~F.col("_out")).withColumns({"parent_id": F.col("_parent"), "child_idx": F.col("_place")})
+    return kept.select(*(c for c in nodes.columns if c != "_gone"))
+
+
+def splice(nodes: DataFrame, marked: Column) -> DataFrame:
+    """Deletes marked nodes; their children take their place (ghost, generated nodes) and are numbered anew. The root is kept.
+
+    One sorted pass finds each row's nearest kept ancestor: no join, and no round for each level of nested marked nodes.
     """
-    pointers = gone.select(DOC, "_up", F.col("_next").alias("_top"))
-    other = pointers.select(DOC, F.col("_up").alias("_top"), F.col("_top").alias("_over"))
-    while True:
-        pointers = pointers.join(other, [DOC, "_top"], "left").select(DOC, "_up", F.coalesce("_over", "_top").alias("_top"), F.col("_over").isNotNull().alias("_moved"))
-        if pointers.filter("_moved").isEmpty():
-            return pointers.drop("_moved")
-        pointers = pointers.drop("_moved")
-        other = pointers.select(DOC, F.col("_up").alias("_top"), F.col("_top").alias("_over"))
+    return _spliced(nodes.withColumn("_gone", F.coalesce(marked, F.lit(False))), above=False)
 
 
 def renumber(nodes: DataFrame) -> DataFrame:
@@ -69,10 +78,7 @@ def renumber(nodes: DataFrame) -> DataFrame:
 
 def flatten_lists(nodes: DataFrame, symbols: Iterable[str]) -> DataFrame:
     """Splices list nodes into parents of the same symbol, however deep."""
-    symbols = list(symbols)
-    parents = nodes.select(DOC, F.col("node_id").alias("parent_id"), F.col("symbol").alias("_above"))
-    joined = nodes.join(parents, [DOC, "parent_id"], "left").select(*nodes.columns, "_above")
-    return splice(joined, F.col("symbol").isin(symbols) & (F.col("symbol") == F.col("_above"))).drop("_above")
+    return _spliced(nodes.withColumn("_gone", F.col("symbol").isin(list(symbols))), above=True)
 
 
 def collapse_leaves(nodes: DataFrame, symbols: Iterable[str]) -> DataFrame:
@@ -105,19 +111,52 @@ def merge_adjacent(rows: DataFrame, keys: Iterable[str], order: str, is_water: C
 
 
 def subtree_text(nodes: DataFrame, wanted: Column) -> DataFrame:
-    """(doc_id, node_id, text): the concatenated token texts below each wanted node."""
-    tops = nodes.filter(wanted).select(DOC, "node_id", "last_desc")
-    texts = nodes.filter("size(value) > 0").select(DOC, F.col("node_id").alias("_at"), F.array_join("value", "").alias("_text"))
-    below = tops.join(texts, DOC).filter((F.col("_at") >= F.col("node_id")) & (F.col("_at") <= F.col("last_desc")))
-    ordered = F.sort_array(F.collect_list(F.struct("_at", "_text")))
-    return below.groupBy(DOC, "node_id").agg(F.array_join(F.transform(ordered, lambda x: x["_text"]), "").alias("text"))
+    """(doc_id, node_id, text): the concatenated token texts below each wanted node that has any, in one sorted pass."""
+
+    def start():
+        stack: list[tuple[int, int, list[str]]] = []  # open wanted nodes: end, id, texts
+
+        def step(node: int | None = None, last: int = -1, value=(), asked: bool | None = None):
+            out = []
+            while stack and (node is None or stack[-1][0] < node):
+                _, own, texts = stack.pop()
+                if texts:
+                    out.append((own, "".join(texts)))
+            if asked:
+                stack.append((last, node, []))
+            if value:
+                text = "".join(value)
+                for _, _, texts in stack:
+                    texts.append(text)
+            return out
+
+        return step
+
+    return folds.emitted(nodes.withColumn("_asked", F.coalesce(wanted, F.lit(False))), "node_id", ["node_id", "last_desc", "value", "_asked"], start, "node_id int, text string", DOC)
 
 
 def spans(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, start_off, end_off): the hull of the located rows below, for nodes without a place of their own."""
-    located = nodes.filter("start_off is not null").select(DOC, F.col("node_id").alias("_at"), F.col("start_off").alias("_s"), F.col("end_off").alias("_e"))
-    below = nodes.select(DOC, "node_id", "last_desc").join(located, DOC).filter((F.col("_at") >= F.col("node_id")) & (F.col("_at") <= F.col("last_desc")))
-    return below.groupBy(DOC, "node_id").agg(F.min("_s").alias("start_off"), F.max("_e").alias("end_off"))
+    """(doc_id, node_id, start_off, end_off): the hull of a node's own place and those of all below it, in one sorted pass."""
+
+    def start():
+        stack: list[list] = []  # open nodes: end, id, first and last offset
+
+        def step(node: int | None = None, last: int = -1, begin: int | None = None, end: int | None = None):
+            out = []
+            while stack and (node is None or stack[-1][0] < node):
+                _, own, low, high = stack.pop()
+                if low is not None:
+                    out.append((own, low, high))
+                    if stack:
+                        up = stack[-1]
+                        up[2], up[3] = (low, high) if up[2] is None else (min(low, up[2]), max(high, up[3]))
+            if node is not None:
+                stack.append([last, node, begin, end])
+            return out
+
+        return step
+
+    return folds.emitted(nodes, "node_id", ["node_id", "last_desc", "start_off", "end_off"], start, "node_id int, start_off int, end_off int", DOC)
 
 
 def water(nodes: DataFrame) -> DataFrame:

@@ -426,6 +426,38 @@ class Parser:
     def waters(self) -> dict[str, tuple[Entry, tuple[str, ...]]]:
         return {r: found for r in self.grammar.rules if (found := self.sets.water_entry(r))}
 
+    @cached_property
+    def flat(self) -> bool:
+        """Whether the grammar is a loop over lone terminals and water, without pairs: no text can then need recovery or fail in the parser."""
+        rules, start = self.grammar.rules, self.grammar.rules.get(self.grammar.start or "")
+        if self.grammar.pairs or start is None or len(start.alternatives) != 1 or len(start.alternatives[0].entries) != 1:
+            return False
+        loop = rules.get(start.alternatives[0].entries[0].symbol)
+        if loop is None or sorted(len(a.entries) for a in loop.alternatives) != [0, 2]:
+            return False
+        one, again = max((a.entries for a in loop.alternatives), key=len)
+        leaves, todo = [], [one]
+        while todo:
+            entry = todo.pop()
+            if entry.symbol in rules:
+                own = [a.entries for a in rules[entry.symbol].alternatives]
+                if any(len(e) != 1 for e in own) or len(leaves) > len(rules) + len(self.grammar.terminals):
+                    return False
+                todo += [e[0] for e in own]
+            else:
+                leaves.append(entry)
+        return again.symbol == loop.name and any(e.symbol == ANY and not e.arguments for e in leaves) and all(e.symbol != ANY or not e.arguments for e in leaves)
+
+    def statistics_of(self, text: str) -> tuple[Statistics, bool]:
+        """A text's statistics and whether it has errors, without a tree where the tokens alone tell."""
+        if not self.flat:
+            p = self.parse(text, rewrite=None)
+            return p.statistics, p.has_error
+        since = time.perf_counter()
+        lexed = self.lexer(text)
+        s = Statistics(len(text), len(lexed.tokens) - 1, general_ms=1000 * (time.perf_counter() - since))
+        return s, any(m.kind == "error" for m in lexed.messages)
+
     def parse(self, text: str, rewrite: bool | None = True, trace: bool = False) -> Parsed:
         """Parses one text; LL gives what it has even after an error, LR no tree then.
 

@@ -14,6 +14,7 @@ from ..functions import collapse_breaks, cut_out, either_case, enclosed_name, in
 from ..operators import baselines, compare, entities, nesting, preprocess, sections, spans, trees
 from ..parsing import visitors
 from ..parsing.engine import Parser, compile_grammar
+from ..sources import reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +109,32 @@ name = ID
 """
 
 
+CODE_LR = CODE.replace("file = item*\nitem = field | Any ';'", "file = item*\nitem = field | other\nother = Any ';'")
+GROUPS = """
+ID : [A-Za-z_] [A-Za-z_0-9]*
+
+file = item*
+item = field | group | Any ';'
+group = 'group' AnyAvoid('int') 'end' ';'
+field = 'int' ID ';'
+
+%%
+%parsing {
+    start file
+    recovery item
+}
+"""
+BARS = """
+WORD : [A-Za-z]+
+BARS : %left '|' %right '|'
+
+text = (WORD | Any)*
+
+%%
+%parsing start text
+"""
+
+
 @cache
 def json_ll() -> Parser:
     return compile_grammar(JSON, "LL")
@@ -128,6 +155,37 @@ def code() -> Parser:
     return compile_grammar(CODE, "LL")
 
 
+@cache
+def code_lr() -> Parser:
+    return compile_grammar(CODE_LR, "LR")
+
+
+@cache
+def groups() -> Parser:
+    return compile_grammar(GROUPS, "LL")
+
+
+@cache
+def bars() -> Parser:
+    return compile_grammar(BARS, "LL")
+
+
+#: The words of every whole turn of the conversations, of which the queries below make code: (doc_id, nr, w).
+_TURN_WORDS = """
+    SELECT doc_id, generate_subscripts(ws, 1) AS nr, unnest(ws) AS w FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM conversations)
+"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+
+
+def turn_code(spark: SparkSession, sf_dir: str, piece: Callable, between: str = "") -> DataFrame:
+    """For each turn the text that ``piece`` makes of its words, one after the other."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    return turns(spark, sf_dir).withColumn("text", F.array_join(F.transform(words, piece), between))
+
+
 # Lexing.
 
 _WORDS = "regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -154,16 +212,24 @@ def tokenize_lines(spark, sf_dir):
     return found.select("doc_id", "tok_idx", F.rtrim(F.col("text"), F.lit("\n")).alias("line"))
 
 
-@query("""
-    SELECT doc_id, tok_idx, word, start_off FROM (
-        SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS tok_idx, unnest(p) AS word, 0 AS start_off FROM (
-            SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+') AS p FROM conversations)) WHERE tok_idx = 0
+@query(r"""
+    SELECT doc_id, 0 AS tok_idx, word, length(before)::INT AS start_off, (1 + length(before) - length(replace(before, chr(10), '')))::INT AS start_line, length(regexp_extract(before, '[^\n]*$'))::INT AS start_col
+    FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+') AS word, regexp_extract(text, '^[^A-Za-zÀ-ÖØ-öø-ÿ]*') AS before FROM (SELECT conv_id, turn, chr(10) || ' ' || text AS text FROM conversations)) WHERE word <> ''
 """)
 def first_words(spark, sf_dir):
-    """The first word of each turn, as a token's line and column of the beginning."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    found = frames.tokens(turns, catalog.grammar("words")).filter("tok_idx = 0")
-    return found.select("doc_id", "tok_idx", F.col("text").alias("word"), F.lit(0).alias("start_off"))
+    """The first word of each turn, with its offset, line and column; each turn is put on a line of its own."""
+    found = frames.tokens(turns(spark, sf_dir).withColumn("text", F.concat(F.lit("\n "), "text")), catalog.grammar("words")).filter("tok_idx = 0")
+    return found.select("doc_id", "tok_idx", F.col("text").alias("word"), "start_off", "start_line", "start_col")
+
+
+@query(f"""
+    SELECT doc_id, (2 * (nr - 1) + k)::INT AS tok_idx, CASE k WHEN 0 THEN w ELSE '|' END AS token, CASE k WHEN 0 THEN (nr - 1) % 2 ELSE 1 - nr % 2 END::INT AS depth,
+        CASE WHEN k = 0 THEN 'forward' WHEN nr % 2 = 1 THEN 'down' ELSE 'up' END AS direction FROM ({_TURN_WORDS}), range(2) r(k)
+""")
+def symmetric_pairs(spark, sf_dir):
+    """A pair whose two ends look alike: each end opens what the one before closed."""
+    found = frames.tokens(turn_code(spark, sf_dir, lambda w: F.concat(w, F.lit(" | "))), bars())
+    return found.select("doc_id", "tok_idx", F.col("text").alias("token"), "depth", "direction")
 
 
 # Nesting.
@@ -216,15 +282,26 @@ def pair_errors(spark, sf_dir):
     return frames.stats(broken, json_ll()).select("doc_id", "has_error")
 
 
-@query("""
-    SELECT doc_id, source AS name, 0 AS start_off, (length('/// begin ' || source) + 25)::INT AS end_off FROM documents
-    UNION ALL SELECT doc_id, '', (length('/// begin ' || source) + 1)::INT, (length('/// begin ' || source) + 17)::INT FROM documents
+_BLOCK = "24 + length(w) + CASE WHEN length(w) % 2 = 0 THEN length(w) + 6 ELSE 0 END"
+
+
+@query(f"""
+    SELECT doc_id, w AS name, (after - size)::INT AS start_off, (after - 2)::INT AS end_off
+    FROM (SELECT doc_id, w, sum({_BLOCK}) OVER (PARTITION BY doc_id ORDER BY nr) AS after, {_BLOCK} AS size FROM ({_TURN_WORDS}))
 """)
 def custom_blocks(spark, sf_dir):
-    """Nested custom blocks in generated code."""
-    text = F.concat(F.lit("/// begin "), F.col("source"), F.lit("\n/// begin\n/// end\n/// end"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    return frames.blocks(docs, code()).select("doc_id", "name", "start_off", "end_off")
+    """Custom blocks in generated code, some with a field within."""
+    piece = lambda w: F.concat(F.lit("/// begin "), w, F.lit("\n// x\n"), F.when(F.length(w) % 2 == 0, F.concat(F.lit("int "), w, F.lit(";\n"))).otherwise(""), F.lit("/// end\n"))
+    return frames.blocks(turn_code(spark, sf_dir, piece), code()).select("doc_id", "name", "start_off", "end_off")
+
+
+@query(f"SELECT doc_id, w AS name, (length(w) % 3)::BIGINT AS n_fields FROM ({_TURN_WORDS})")
+def block_nodes(spark, sf_dir):
+    """Blocks as nodes of the tree, with the fields that they hold."""
+    piece = lambda w: F.concat(F.lit("/// begin "), w, F.lit("\n"), F.repeat(F.lit("int a;\n"), F.length(w) % 3), F.lit("/// end\nint b;\n"))
+    nodes = frames.nodes(turn_code(spark, sf_dir, piece), code()).filter(F.col("type").isin("item", "custom_block_start"))
+    parts = nodes.groupBy("doc_id", "parent_id").agg(F.max(F.when(F.col("type") == "custom_block_start", F.col("value")[0])).alias("name"), F.count_if(F.col("type") == "item").alias("n_fields"))
+    return parts.filter("name is not null").select("doc_id", "name", "n_fields")
 
 
 # Parsing.
@@ -278,19 +355,48 @@ def entities_from_nodes(spark, sf_dir):
     return entities.select_entities(frames.nodes(props(spark, sf_dir), json_ll()), ["member"]).select("doc_id", "value")
 
 
-@query("SELECT doc_id, 1::BIGINT AS recovery_times, false AS has_error FROM documents")
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field for each word, but without its name if the word's length is a multiple of three."""
+    return turn_code(spark, sf_dir, lambda w: F.when(F.length(w) % 3 == 0, "int ;").otherwise(F.concat(F.lit("int "), w, F.lit(";"))), " ")
+
+
+_RECOVERY = f"SELECT conv_id * 1000 + turn AS doc_id, len([w FOR w IN regexp_extract_all(text, '[A-Za-z]+') IF length(w) % 3 = 0])::BIGINT AS recovery_times, false AS has_error FROM conversations"
+
+
+@query(_RECOVERY)
 def recovery(spark, sf_dir):
-    """A field without its name: the parser takes it for water and goes on behind it."""
-    text = F.concat(F.lit("int a; int ; int "), F.regexp_replace("source", "[^A-Za-z0-9]", ""), F.lit(";"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    return frames.stats(docs, code()).select("doc_id", "recovery_times", "has_error")
+    """Where a field lacks its name, the parser takes it for water and goes on behind it."""
+    return frames.stats(_statements(spark, sf_dir), code()).select("doc_id", "recovery_times", "has_error")
+
 
+@query(_RECOVERY)
+def lr_recovery(spark, sf_dir):
+    return frames.stats(_statements(spark, sf_dir), code_lr()).select("doc_id", "recovery_times", "has_error")
 
-@query()
+
+@query(f"{_RECOVERY} ORDER BY recovery_times DESC, doc_id LIMIT 5")
+def topk_recovery(spark, sf_dir):
+    found = entities.top(frames.stats(_statements(spark, sf_dir), code()), "recovery_times")
+    return found.select("doc_id", "recovery_times", "has_error")
+
+
+@query(f"""
+    SELECT doc_id, (sum(CASE WHEN length(w) % 3 = 0 THEN 6 ELSE 6 + length(w) END) OVER (PARTITION BY doc_id ORDER BY nr) - 2)::INT AS offset,
+        length(w) % 3 = 0 AS broken FROM ({_TURN_WORDS}) QUALIFY length(w) % 3 = 0
+""")
 def parse_messages(spark, sf_dir):
-    """Diagnostics of code that needs recovery."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("int a; int ; } int b; // "), F.col("source")).alias("text"))
-    return frames.messages(docs, code()).select("doc_id", "seq", "type", "unexpected_token", "unexpected_lexeme", "offset")
+    """Where the parser met an unexpected token: the ends of fields without a name."""
+    found = frames.messages(_statements(spark, sf_dir), code()).filter("text = 'unexpected token'")
+    return found.select("doc_id", "offset", ((F.col("unexpected_lexeme") == ";") & (F.col("line") == 1) & (F.col("col") == F.col("offset"))).alias("broken"))
+
+
+@query(f"""
+    SELECT doc_id, count(*) FILTER (length(w) % 2 = 0) AS recovery_times_any, coalesce(max(length(w) % 5) FILTER (length(w) % 2 = 0), 0)::BIGINT AS longest_rollback FROM ({_TURN_WORDS}) GROUP BY doc_id
+""")
+def rollbacks(spark, sf_dir):
+    """Water that meets what it must avoid is given back, and taken anew by an outer rule."""
+    piece = lambda w: F.concat(F.lit("group "), F.repeat(F.lit("x "), F.length(w) % 5), F.when(F.length(w) % 2 == 0, "int y; ").otherwise("end; "))
+    return frames.stats(turn_code(spark, sf_dir, piece).filter("text <> ''"), groups()).select("doc_id", "recovery_times_any", "longest_rollback")
 
 
 # Trees: regions, nations and customers are one, in pre-order.
@@ -411,9 +517,7 @@ _CUT = "<script[^>]*>.*?</script>|<!--.*?-->"
 
 @query(f"SELECT page_id AS doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace(html, '{_CUT}', '', 'gs') AS t FROM pages)")
 def exclude_segments(spark, sf_dir):
-    docs = pages(spark, sf_dir)
-    kept = preprocess.without(docs, preprocess.excluded_by_pattern(docs, _CUT))
-    return kept.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return preprocess.without_pattern(pages(spark, sf_dir), _CUT).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 _PLACES = """
@@ -427,43 +531,75 @@ _PLACES = """
     JOIN ({_PLACES.format(text="html")}) b ON a.doc_id = b.doc_id AND a.nr = b.nr
 """)
 def remap_offsets(spark, sf_dir):
-    """Places of paragraphs in the texts without scripts and comments, and in the whole texts."""
+    """Places of paragraphs in the texts without scripts and comments, and in the whole texts; every cut is given twice."""
     docs = pages(spark, sf_dir)
     cuts = preprocess.excluded_by_pattern(docs, _CUT)
-    found = preprocess.excluded_by_pattern(preprocess.without(docs, cuts), "<p>").select("doc_id", "start_off")
-    return preprocess.remap(found, cuts)
+    found = preprocess.excluded_by_pattern(preprocess.without_pattern(docs, _CUT), "<p>").select("doc_id", "start_off")
+    return preprocess.remap(found, cuts.unionByName(cuts))
+
 
+_LINE = "1 + length({0}) - length(replace({0}, chr(10), ''))"
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END AS kept, doc_id % 2 = 0 AS known FROM documents")
+
+@query(rf"""
+    SELECT doc_id, (length(text) - 1)::INT AS start_off, ({_LINE.format("text")})::INT AS line, (length(regexp_extract(text, '[^\n]*$')) - 1)::INT AS col FROM documents WHERE text <> '' AND text NOT LIKE '%' || chr(10)
+""")
+def located_ends(spark, sf_dir):
+    """Line and column of the last character of each document that does not end a line."""
+    docs = documents(spark, sf_dir)
+    ends = docs.filter((F.col("text") != "") & ~F.endswith("text", F.lit("\n"))).select("doc_id", (F.length("text") - 1).alias("start_off"))
+    return preprocess.located(ends, docs)
+
+
+@query(f"SELECT doc_id, string_agg(CASE WHEN length(w) % 2 = 0 THEN w ELSE 'other' END, ' ' ORDER BY nr) AS kept, count(*) AS n_cuts FROM ({_TURN_WORDS}) GROUP BY doc_id")
 def conditional_compilation(spark, sf_dir):
-    define = F.when(F.col("doc_id") % 2 == 0, "#define A\n").otherwise("")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(define, F.lit("#if A && !B\nyes\n#elif B\nnever\n#else\nno\n#endif\n")).alias("text"))
-    kept = preprocess.without(docs, preprocess.excluded(docs, catalog.grammar("csharp_directives")))
+    """Each word is defined, or not, and with it what is compiled."""
+    switch = lambda w: F.when(F.length(w) % 2 == 0, "#define A\n").otherwise("#undef A\n")
+    docs = turn_code(spark, sf_dir, lambda w: F.concat(switch(w), F.lit("#if A && !B || C\n"), w, F.lit("\n#elif B\nnever\n#else\nother\n#endif\n"))).filter("text <> ''")
+    kept = preprocess.conditional(catalog.grammar("csharp_directives")).before(docs)
     lines = F.filter(F.split("text", "\n"), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
-    return kept.select("doc_id", F.array_join(lines, " ").alias("kept"), (F.col("doc_id") % 2 == 0).alias("known"))
+    return kept.select("doc_id", F.array_join(lines, " ").alias("kept"), F.size("cuts").cast("long").alias("n_cuts"))
+
+
+@query(f"SELECT doc_id, string_agg(CASE WHEN length(w) % 2 = 0 THEN w ELSE 'other' END, ' ' ORDER BY nr) AS kept FROM ({_TURN_WORDS}) GROUP BY doc_id")
+def pascal_conditionals(spark, sf_dir):
+    switch = lambda w: F.when(F.length(w) % 2 == 0, "{$define A}").otherwise("{$undef A}")
+    docs = turn_code(spark, sf_dir, lambda w: F.concat(switch(w), F.lit("{$ifdef A}"), w, F.lit(" {$else}other {$endif}"))).filter("text <> ''")
+    kept = preprocess.conditional(catalog.grammar("pascal_directives")).before(docs)
+    return kept.select("doc_id", F.rtrim(F.regexp_replace("text", r"\{\$[^}]*\}", "")).alias("kept"))
 
 
 @query("""
     SELECT a.user_id AS doc_id, a.event_id AS seq, max(b.event_id)::INT AS parent_seq FROM events a
-    LEFT JOIN events b ON a.user_id = b.user_id AND b.event_id < a.event_id AND b.event_id * 7 % 5 < a.event_id * 7 % 5 GROUP BY ALL
+    LEFT JOIN events b ON a.user_id = b.user_id AND b.event_id < a.event_id AND b.event_id * 7 % 23 < a.event_id * 7 % 23 GROUP BY ALL
 """)
 def section_parents(spark, sf_dir):
-    heads = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 5 + 1).alias("level"))
+    heads = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 23 + 1).alias("level"))
     return sections.enclosing(heads).select("doc_id", "seq", "parent_seq")
 
 
-@query("""
-    SELECT doc_id, 0 AS section_id, 1 AS level, source AS title FROM documents UNION ALL SELECT doc_id, 1, 2, lang FROM documents UNION ALL SELECT doc_id, 2, 2, NULL FROM documents UNION ALL SELECT doc_id, 3, 3, 'deep' FROM documents
+_HEADERS = f"SELECT doc_id, nr, w, length(w) % 4 + 1 AS level, coalesce(lag(length(w) % 4 + 1) OVER (PARTITION BY doc_id ORDER BY nr), 0) AS above FROM ({_TURN_WORDS})"
+
+
+@query(f"""
+    WITH h AS (SELECT *, sum(greatest(level - above, 1)) OVER (PARTITION BY doc_id ORDER BY nr) AS last FROM ({_HEADERS}))
+    SELECT doc_id, (last - 1 - (level - l))::INT AS section_id, l::INT AS level, CASE WHEN l = level THEN w END AS title FROM (SELECT *, unnest(range(least(above + 1, level), level + 1)) AS l FROM h)
 """)
 def section_hierarchy(spark, sf_dir):
-    """Headers of generated Markdown; the third one skips a level under a header of the first."""
-    text = F.concat(F.col("source"), F.lit("\n===\ntext\n## "), F.col("lang"), F.lit("\nmore\n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    blocks = frames.nodes(docs, catalog.grammar("markdown")).filter("symbol = 'block'").select("doc_id", F.col("node_id").alias("seq"), "type", F.array_join("value", "").alias("value"), "start_off", "end_off")
-    found = sections.sections(blocks).select("doc_id", "section_id", "level", "title")
-    # a second part, whose header jumps from level one to three
-    jump = sections.sections(blocks.filter("type = 'setext_heading_1'").unionByName(blocks.filter("type = 'atx_heading'").withColumns({"value": F.lit("### deep"), "seq": F.col("seq") + 9})))
-    return found.unionByName(jump.filter("level > 1").select("doc_id", (F.col("section_id") + 1).alias("section_id"), "level", "title"))
+    """Headers of generated Markdown, one for each word; sections of the levels that a header skips are made up."""
+    text = turn_code(spark, sf_dir, lambda w: F.concat(F.repeat(F.lit("#"), (F.length(w) % 4 + 1).cast("int")), F.lit(" "), w, F.lit("\nsome text\n\n")))
+    blocks = frames.nodes(text, catalog.grammar("markdown")).filter("symbol = 'block'").select("doc_id", F.col("node_id").alias("seq"), "type", F.array_join("value", "").alias("value"), "start_off", "end_off")
+    return sections.sections(blocks).select("doc_id", "section_id", "level", "title")
+
+
+@query(f"""
+    SELECT doc_id, type, count(*) AS n FROM (SELECT doc_id, CASE length(w) % 5 WHEN 0 THEN 'setext_heading_1' WHEN 1 THEN 'setext_heading_2' WHEN 2 THEN 'atx_heading' WHEN 3 THEN 'code' ELSE 'list_item' END AS type FROM ({_TURN_WORDS})) GROUP BY ALL
+""")
+def markdown_blocks(spark, sf_dir):
+    kinds = lambda w: [F.concat(w, F.lit("\n===\n")), F.concat(w, F.lit("\n---\n")), F.concat(F.lit("## "), w, F.lit("\n")), F.concat(F.lit("~~~\n# "), w, F.lit("\n~~~\n")), F.concat(F.lit("* "), w, F.lit("\n"))]
+    text = turn_code(spark, sf_dir, lambda w: F.element_at(F.array(*kinds(w)), F.length(w) % 5 + 1), "\n")
+    found = frames.entities(text, catalog.grammar("markdown"), ["setext_heading_1", "setext_heading_2", "atx_heading", "code", "list_item"])
+    return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -500,13 +636,13 @@ def chunk_values(spark, sf_dir):
     return compare.chunk_values(suppliers.unionByName(nations), {"name": 2})
 
 
-_BAGS = ("SELECT c_nationkey AS value FROM customer WHERE c_acctbal > 5000", "SELECT s_nationkey AS value FROM supplier UNION ALL SELECT n_nationkey FROM nation")
+_BAGS = ("SELECT c_nationkey AS value FROM customer WHERE c_acctbal > 5000", "SELECT s_nationkey AS value FROM supplier UNION ALL SELECT n_nationkey + 20 FROM nation")
 
 
 def bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     left = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("value"))
     right = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("value"))
-    return left, right.union(table(spark, sf_dir, "nation").select("n_nationkey"))
+    return left, right.union(table(spark, sf_dir, "nation").select(F.col("n_nationkey") + 20))
 
 
 @query(f"({_BAGS[0]}) EXCEPT ALL ({_BAGS[1]})")
@@ -588,10 +724,18 @@ def count_by_type(spark, sf_dir):
     return entities.count_by_type(found)
 
 
-# Grammar analysis as data.
+# Grammar analysis as data. The SQL derives sentences: all that a leftmost derivation, or any, makes of at most so many symbols.
 
 GRAMMAR = "A : 'a'\nB : 'b'\nC : 'c'\ns = x y C\nx = A x |\ny = B | z\nz = s B |\n%%\n%parsing start s\n"
 _RULES = "(VALUES ('s', 0, 'x'), ('s', 0, 'y'), ('s', 0, 'C'), ('x', 0, 'A'), ('x', 0, 'x'), ('y', 0, 'B'), ('y', 1, 'z'), ('z', 0, 's'), ('z', 0, 'B')) g(rule, alt, symbol)"
+_BODIES = "(VALUES ('s', 'xyC'), ('x', 'Ax'), ('x', ''), ('y', 'B'), ('y', 'z'), ('z', 'sB'), ('z', '')) g(rule, body)"
+
+
+def _sets():
+    from ..grammar.analysis import Sets
+    from ..grammar.dsl import read_grammar
+
+    return Sets(read_grammar(GRAMMAR)[0])
 
 
 @query(f"""
@@ -599,29 +743,25 @@ _RULES = "(VALUES ('s', 0, 'x'), ('s', 0, 'y'), ('s', 0, 'C'), ('x', 0, 'A'), ('
     SELECT rule, symbol AS terminal FROM r WHERE symbol = upper(symbol)
 """)
 def reachable_symbols(spark, sf_dir):
-    from ..grammar.analysis import Sets
-    from ..grammar.dsl import read_grammar
-
-    sets = Sets(read_grammar(GRAMMAR)[0])
-    return spark.createDataFrame([(r, t) for r, own in sets.terminals_of.items() for t in sorted(own)], "rule string, terminal string")
+    return spark.createDataFrame([(r, t) for r, own in _sets().terminals_of.items() for t in sorted(own)], "rule string, terminal string")
 
 
-@query("SELECT * FROM (VALUES ('s', 'A'), ('s', 'B'), ('s', 'C'), ('x', 'A'), ('x', ''), ('y', 'A'), ('y', 'B'), ('y', 'C'), ('y', ''), ('z', 'A'), ('z', 'B'), ('z', 'C'), ('z', '')) t(rule, terminal)")
+@query(f"""
+    WITH RECURSIVE d(rule, form) AS (
+        SELECT rule, body FROM {_BODIES} UNION SELECT d.rule, g.body || substr(d.form, 2) FROM d JOIN {_BODIES} ON d.form[1] = g.rule WHERE length(g.body || substr(d.form, 2)) <= 9)
+    SELECT DISTINCT rule, form[1] AS terminal FROM d WHERE form[1] = upper(form[1])
+""")
 def first_sets(spark, sf_dir):
-    from ..grammar.analysis import Sets
-    from ..grammar.dsl import read_grammar
+    return spark.createDataFrame([(r, t) for r, own in _sets().firsts.items() for t in sorted(own)], "rule string, terminal string")
 
-    sets = Sets(read_grammar(GRAMMAR)[0])
-    return spark.createDataFrame([(r, t) for r, own in sets.firsts.items() for t in sorted(own)], "rule string, terminal string")
 
-
-@query("SELECT * FROM (VALUES ('s', 'EOF'), ('s', 'B'), ('x', 'A'), ('x', 'B'), ('x', 'C'), ('y', 'C'), ('z', 'C')) t(rule, terminal)")
+@query(f"""
+    WITH RECURSIVE d(form) AS (
+        SELECT 's$' UNION SELECT substr(form, 1, p - 1) || body || substr(form, p + 1) FROM (SELECT form, unnest(range(1, length(form) + 1)) AS p FROM d) JOIN {_BODIES} ON form[p] = rule WHERE length(form) + length(body) <= 8)
+    SELECT DISTINCT form[p] AS rule, CASE form[p + 1] WHEN '$' THEN 'EOF' ELSE form[p + 1] END AS terminal FROM (SELECT form, unnest(range(1, length(form))) AS p FROM d) WHERE form[p] <> upper(form[p]) AND form[p + 1] = upper(form[p + 1])
+""")
 def follow_sets(spark, sf_dir):
-    from ..grammar.analysis import Sets
-    from ..grammar.dsl import read_grammar
-
-    sets = Sets(read_grammar(GRAMMAR)[0])
-    return spark.createDataFrame([(r, t) for r, own in sets.follows.items() for t in sorted(own)], "rule string, terminal string")
+    return spark.createDataFrame([(r, t) for r, own in _sets().follows.items() for t in sorted(own)], "rule string, terminal string")
 
 
 # Text functions.
@@ -672,19 +812,99 @@ def java_baseline(spark, sf_dir):
     return baselines.baseline(java_code(spark, sf_dir), "java")
 
 
-@query(f"SELECT * FROM ({_CODE}) WHERE false")
+@query("SELECT n_regionkey::BIGINT AS doc_id, 'method' AS type, 'x' || n_nationkey AS value FROM nation WHERE n_nationkey % 2 = 0")
 def java_disagreement(spark, sf_dir):
-    """What only one of the two extractors finds: nothing."""
-    left, right = compare.difference(java_entities(spark, sf_dir), java_baseline(spark, sf_dir))
+    """What only one of the two extractors finds: calls that plain patterns take for methods."""
+    call = F.when(F.col("doc_id") >= 0, F.array_join(F.transform(F.filter(F.regexp_extract_all("text", F.lit(r"m(\d+)\("), F.lit(1)), lambda n: n.cast("int") % 2 == 0), lambda n: F.concat(F.lit("void g"), n, F.lit("() { assert x"), n, F.lit("(); }\n"))), ""))
+    docs = java_code(spark, sf_dir).withColumn("text", F.concat(F.expr("substr(text, 1, length(text) - 2)"), call, F.lit("}\n")))
+    parsed = frames.entities(docs, catalog.grammar("java"), ["class", "method", "field"]).select("doc_id", "type", "value")
+    left, right = compare.difference(parsed, baselines.baseline(docs, "java"))
     return left.unionByName(right)
 
 
-@query("SELECT doc_id, 'outer' AS name, 'routine,routine,block,block' AS parts FROM documents")
+@query(f"""
+    SELECT doc_id, 'p_' || w AS name, (length(w) % 3 > 0)::INT::BIGINT AS n_blocks, (length(w) % 3 = 2)::INT::BIGINT AS n_routines FROM ({_TURN_WORDS})
+    UNION ALL SELECT doc_id, 'q_' || w, 1, 0 FROM ({_TURN_WORDS}) WHERE length(w) % 3 = 2
+""")
 def routine_visitor(spark, sf_dir):
-    """A routine with another one inside: each takes its own block."""
-    code = F.concat(F.lit("procedure outer; forward; procedure outer(a: integer); function inner: integer; begin x := 1; end; begin y; end; // "), "source")
-    docs = table(spark, sf_dir, "documents").select("doc_id", code.alias("text"))
-    parser = visitors.with_visitors(catalog.grammar("pascal"), visitors.aggregate_routines)
-    nodes = frames.nodes(docs, parser).filter(F.col("type").isin("routine", "block"))
-    own = nodes.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "type"))), lambda x: x["type"]), ",").alias("all"))
-    return own.select("doc_id", F.lit("outer").alias("name"), F.expr("substr(all, 9)").alias("parts"))
+    """Routines that are announced, that have a block, or that have another routine and a block: each takes its own."""
+    inner = lambda w: F.concat(F.lit("function q_"), w, F.lit(": integer; begin y := 1; end; begin z; end;\n"))
+    rest = lambda w: F.when(F.length(w) % 3 == 0, "forward;\n").when(F.length(w) % 3 == 1, "begin x; end;\n").otherwise(inner(w))
+    docs = turn_code(spark, sf_dir, lambda w: F.concat(F.lit("procedure p_"), w, F.lit("(a: integer); "), rest(w)))
+    nodes = frames.nodes(docs, visitors.with_visitors(catalog.grammar("pascal"), visitors.aggregate_routines))
+    routines = entities.select_entities(nodes, ["routine"]).select("doc_id", F.col("seq").alias("node_id"), F.col("value").alias("name"))
+    within = lambda kind, n: nodes.filter(F.col("type") == kind).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias(n))
+    counted = routines.join(within("block", "n_blocks"), ["doc_id", "node_id"], "left").join(within("routine", "n_routines"), ["doc_id", "node_id"], "left")
+    return counted.select("doc_id", "name", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_routines", F.lit(0)).alias("n_routines"))
+
+
+def _members(spark: SparkSession, sf_dir: str, member, head: str, tail: str) -> DataFrame:
+    """For each nation a piece of code with a member for each of its suppliers."""
+    members = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", member.alias("m"))
+    bodies = members.groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "m"))), lambda x: x["m"]), "").alias("body"))
+    own = table(spark, sf_dir, "nation").join(bodies, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return own.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit(head), "n_nationkey", F.coalesce("body", F.lit("")), F.lit(tail)).alias("text"))
+
+
+_SUPPLIED = "SELECT s_nationkey::BIGINT AS doc_id, '{0}' AS type, '{1}' || s_suppkey AS value FROM supplier"
+_CSHARP = " UNION ALL ".join(["SELECT n_nationkey::BIGINT AS doc_id, 'class' AS type, 'C' || n_nationkey AS value FROM nation", *(_SUPPLIED.format(t, n) for t, n in (("field", "f"), ("property", "P"), ("method", "M"), ("struct", "S")))])
+_CSHARP_TYPES = ["class", "struct", "field", "property", "method"]
+
+
+def csharp_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    parts = ["\n/* class X { */ private readonly int f", key, ' = 1; // struct Y { }\n public string P', key, ' { get; set; }\n internal string M', key, '(int a) { call("}", a); }\n struct S', key, " { }"]
+    return _members(spark, sf_dir, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), "namespace N.M { public sealed class C", "\n} }") .withColumn("text", F.regexp_replace("text", r"^(namespace N.M \{ public sealed class C\d+)", "$1 : Base {"))
+
+
+@query(_CSHARP)
+def csharp_entities(spark, sf_dir):
+    return frames.entities(csharp_code(spark, sf_dir), catalog.grammar("csharp"), _CSHARP_TYPES).select("doc_id", "type", "value")
+
+
+@query(_CSHARP)
+def csharp_lr_entities(spark, sf_dir):
+    return frames.entities(csharp_code(spark, sf_dir), catalog.grammar("csharp_lr"), _CSHARP_TYPES).select("doc_id", "type", "value")
+
+
+@query(_CSHARP)
+def csharp_baseline(spark, sf_dir):
+    return baselines.baseline(csharp_code(spark, sf_dir), "csharp")
+
+
+_PASCAL = " UNION ALL ".join([_SUPPLIED.format("class", "T"), _SUPPLIED.format("routine", "R"), _SUPPLIED.format("routine", "Q"), _SUPPLIED.format("property", "P")])
+
+
+def pascal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey").cast("string")
+    parts = ["\n{ type X = class }\ntype T", key, " = class(TBase)\n private f: integer; // procedure no;\n public procedure R", key, "(a: integer); virtual;\n property P", key, ": integer read f;\n end;\nfunction Q", key, ": string; begin case x of 1: begin y('end'); end; end; end;\n"]
+    return _members(spark, sf_dir, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), "unit U", "\nend.").withColumn("text", F.regexp_replace("text", r"^(unit U\d+)", "$1; interface uses A;"))
+
+
+@query(_PASCAL)
+def pascal_entities(spark, sf_dir):
+    return frames.entities(pascal_code(spark, sf_dir), catalog.grammar("pascal"), ["class", "routine", "property"]).select("doc_id", "type", "value")
+
+
+@query(_PASCAL)
+def pascal_baseline(spark, sf_dir):
+    return baselines.baseline(pascal_code(spark, sf_dir), "pascal")
+
+
+@query(f"""
+    SELECT doc_id, '***' || chr(10) || 'nation/' || doc_id || coalesce(string_agg(chr(10) || type || chr(10) || value, '' ORDER BY k), '') AS line FROM (
+        SELECT n_nationkey::BIGINT AS doc_id, type, value, k FROM nation LEFT JOIN (SELECT s_nationkey, 'property' AS type, 'P' || s_suppkey AS value, s_suppkey AS k FROM supplier) ON n_nationkey = s_nationkey) GROUP BY doc_id
+""")
+def entity_report(spark, sf_dir):
+    """The report of a grammar's entities, a block for each file."""
+    docs = pascal_code(spark, sf_dir)
+    found = frames.entities(docs, catalog.grammar("pascal"), ["property"])
+    return reports.entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")))
+
+
+@query(f"SELECT doc_id, type, value FROM ({_CSHARP}) WHERE type IN ('class', 'method')")
+def table_functions(spark, sf_dir):
+    """A grammar's entities by a table function in SQL."""
+    frames.register_functions(spark, "csharp", catalog.grammar("csharp"), ["class", "method"])
+    csharp_code(spark, sf_dir).createOrReplaceTempView("csharp_code")
+    return spark.sql("SELECT d.doc_id, t.type, t.value FROM csharp_code d, LATERAL csharp_entities(d.text) t")

@@ -18,8 +18,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, for texts can be long: a setting of the session, left alone where it is lower already."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+    now = spark.conf.get(name, "-1").rstrip("bB")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, f"{most}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a Parquet table under ``sf_dir``; any other columns stay unread."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -50,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sent(few: DataFrame, at_most: int = 1 << 20) -> DataFrame:
+def sent(few: DataFrame, at_most: int = 1 << 18) -> DataFrame:
     """``few`` for a join, sent to all tasks unless it has more rows than ``at_most``."""
     return F.broadcast(few) if few.count() <= at_most else few
 

@@ -122,21 +122,19 @@ def _pairs(reach: int):
     return batches
 
 
-def _sketches(wide: bool):
-    """For (row, text): the number of shingles, and which classes of them hold an odd number; of ``SKETCH`` classes, or if ``wide`` of two to four for each shingle."""
+def _sketches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (row, text): the number of shingles, and which classes of them hold an odd number; of ``SKETCH`` classes, and of two to four for each shingle."""
 
-    def odd(keys: np.ndarray) -> bytes:
-        classes = 1 << max(6, (2 * len(keys) - 1).bit_length()) if wide else SKETCH
+    def odd(keys: np.ndarray, classes: int) -> bytes:
         return np.packbits(np.bincount(keys & (classes - 1), minlength=classes) & 1).tobytes()
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for k in range(0, part.num_rows, 512):
-                own = part.slice(k, 512)
-                sets = [hashes(t) for t in own.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(odd, sets), pa.binary())], ["row", "n", "odd"])
-
-    return batches
+    for part in parts:
+        for k in range(0, part.num_rows, 512):
+            own = part.slice(k, 512)
+            sets = [hashes(t) for t in own.column(1).to_pylist()]
+            narrow = pa.array([odd(h, SKETCH) for h in sets], pa.binary())
+            wide = pa.array([odd(h, 1 << max(6, (2 * len(h) - 1).bit_length())) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(len, sets), pa.int64()), narrow, wide], ["row", "n", "narrow", "wide"])
 
 
 def _hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +169,10 @@ def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").join(sent(named), "row", "left_semi")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that are similar. Small sketches rule out most others, wide ones what is left of long texts; hashes are dealt out for the rest, and compared in the JVM."""
-    for wide in (False, True):
-        odd = written(_of(pairs, rows).mapInArrow(_sketches(wide), "row long, n long, odd binary"), "similar-sketches")
+def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that are similar. Narrow sketches rule out most others, wide ones what is left of long texts; hashes are dealt out for the rest, and compared in the JVM."""
+    for width in ("narrow", "wide"):
+        odd = sketches.select("row", "n", width)
         both = pairs.join(odd.toDF("a", "n", "x"), "a").join(odd.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
         pairs = written(both.mapInArrow(_near, "a long, b long"), "similar-near")
     keys = written(_of(pairs, rows).mapInArrow(_hashed, "row long, keys array<long>"), "similar-keys")
@@ -193,12 +191,13 @@ def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
 
     A key's neighbours are verified first, then pairs further apart that are not joined yet, and last those beyond the reach.
     """
+    sketches = written(spread(rows.select("row", "text")).mapInArrow(_sketches, "row long, n long, narrow binary, wide binary"), "similar-sketches")
     keyed = _prefixes(rows).repartition(F.col("key")).sortWithinPartitions("key", "n", "row")
     found = written(keyed.mapInArrow(_pairs(reach), "a long, b long, step int, key long, n int, pos int"), "similar-pairs")
     pairs = written(found.filter("b is not null").groupBy("a", "b").agg(F.min("step").alias("step")), "candidates")
-    linked = _verified(pairs.filter(F.col("step") <= NEXT).select("a", "b"), rows)
+    linked = _verified(pairs.filter(F.col("step") <= NEXT).select("a", "b"), rows, sketches)
     roots = written(components(linked), "similar-roots")
-    linked = linked.unionByName(_verified(written(_across(pairs.filter(F.col("step") > NEXT).select("a", "b"), roots), "candidates"), rows))
+    linked = linked.unionByName(_verified(written(_across(pairs.filter(F.col("step") > NEXT).select("a", "b"), roots), "candidates"), rows, sketches))
     crowd = found.filter("b is null").select("key", F.col("a").alias("row"), "n", "pos").distinct()
     if crowd.isEmpty():
         return linked
@@ -209,7 +208,7 @@ def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
     x, y = crowd.alias("x"), crowd.alias("y")
     bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (9 * bound >= 4 * (F.col("x.n") + F.col("y.n"))))
-    return linked.unionByName(_verified(written(across.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "candidates"), rows))
+    return linked.unionByName(_verified(written(across.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "candidates"), rows, sketches))
 
 
 def duplicates(rows: DataFrame, reach: int = REACH) -> DataFrame:

@@ -1,4 +1,7 @@
+import hashlib
 import html
+import math
+import random
 import re
 
 import pytest
@@ -152,3 +155,72 @@ def test_run(spark, sf_dir, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def copies_taken(rows):
+    """Systematic sampling by the definition: (row number -> copies) of (doc_id, source, size) rows that are all unlike."""
+    size = {}
+    for _, source, n in rows:
+        size[source] = size.get(source, 0) + n
+    names = sorted((s for s in size if s is not None), key=str.encode) + [None] * (None in size)
+    weight, target, full = {s: k % 3 + 1 for k, s in enumerate(names)}, {}, set()
+    while True:
+        free, rest = [s for s in names if s not in full], sum(size.values()) - sum(3 * size[s] for s in full)
+        target = {s: 3.0 * size[s] for s in full} | {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        if not (over := {s for s in free if target[s] > 3 * size[s]}):
+            break
+        full |= over
+    out = {}
+    for source in names:
+        scattered = lambda r: ((r[0] or 0) % 1000003 * 7919 + r[2] * 104729) % (1 << 20)
+        stratum = lambda n: len(f"{n:b}") * 8 + int(f"{n:b}"[1:4].ljust(3, "0"), 2)
+        own = sorted((k for k, r in enumerate(rows) if r[1] == source), key=lambda k: (stratum(rows[k][2]), scattered(rows[k]), rows[k][0] is not None, rows[k][0] or 0, rows[k][2]))
+        rate = min(3.0, target[source] / size[source]) if size[source] else 0.0
+        shift = (int(hashlib.md5(f"7:{'n' if source is None else 's' + source}".encode()).hexdigest()[:4], 16) + 0.5) / 65536
+        for at, k in enumerate(own):
+            out[k] = math.floor(rate * (at + 1) + shift) - math.floor(rate * at + shift)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All four stages over null and repeated ids, null texts, exact copies, near copies and a long text."""
+    from test_similar import close
+    from test_simhash import brute, plain
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    good, bad = (lambda n: " ".join(rng.choice(["river", "stone", "house", "green"]) + str(rng.randrange(300)) for _ in range(n))), (lambda n: " ".join(rng.choice(["BUY!!", "$$$", "click|here"]) + str(rng.randrange(300)) for _ in range(n)))
+    docs = [(k, good(rng.randrange(20, 200)), "en", rng.choice(["a", "b", "c", None]), k) for k in range(70)] + [(100 + k, bad(rng.randrange(20, 100)), "en", "a", k) for k in range(40)]
+    edited = [" ".join([*t.split()[:-1], "changed"]) for _, t, *_ in docs[:12]]
+    docs += [(200 + k, docs[k][1], "en", "b", 1) for k in range(10)] + [(300 + k, t, "en", "c", 1) for k, t in enumerate(edited)]
+    docs += [(None, docs[3][1], "en", "a", 1), (None, good(50), "en", "a", 2), (None, good(51), "en", "a", 3), (5, good(52), "en", "b", 4), (5, good(53), None, "b", None), (400, None, "en", "b", 5), (401, good(9000), "en", "a", 6)]
+    spark.createDataFrame([(*d, "extra") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 70)] + [(100 + k, 0, 0) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    machine = quality.train(table.select("doc_id", "text", "n_chars"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scored = quality.scores(table.select("doc_id", "text", "lang", "source", "n_chars"), machine).collect()
+    left = [tuple(r)[:5] for r in scored if r.score >= quality.THRESHOLD]
+    assert 80 < len(left) < len(docs) - 30
+    left.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    alone = [left[k] for k in sorted(set(brute({k: plain(r[1]) for k, r in enumerate(left)}).values()))]
+    root = list(range(len(alone)))
+    for i, j in close([r[1] for r in alone]):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    kept = [r for k, r in enumerate(alone) if root[k] == k]
+    assert len(kept) < len(alone) < len(left) and sum(r[0] is None for r in kept) == 2 and sum(r[0] == 5 for r in kept) == 3
+    taken = copies_taken([(r[0], r[3], len((r[1] or "").split())) for r in kept])
+    tokenizer, want = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json")), {}
+    for k, n in taken.items():
+        key = (kept[k][0], len(tokenizer.encode(kept[k][1] or "", add_special_tokens=False).ids) + 1)
+        want[key] = want.get(key, 0) + n
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got, sequences = {}, {}
+    for r in rows:
+        got.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert {k: sum(s == 0 for s, _ in own) for k, own in got.items()} == {k: n for k, n in want.items() if n}
+    for (_, total), own in got.items():
+        assert sum(n for _, n in own) == total * sum(s == 0 for s, _ in own)
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and own[-1][0] + own[-1][1] <= 4096

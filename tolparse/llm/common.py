@@ -21,7 +21,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB at most, for texts can be long: a setting of the session, left alone where it is lower already."""
     name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-    now = spark.conf.get(name, "-1").rstrip("bB")
+    now = spark.conf.get(name, str(64 << 20)).rstrip("bB")
     if not now.isdigit() or int(now) > most:
         spark.conf.set(name, f"{most}b")
 

@@ -237,6 +237,13 @@ def test_custom_blocks():
     assert [m.kind for m in lost.messages] == ["error"] and not lost.lexed.blocks
 
 
+@pytest.mark.parametrize("deep", [1, 5, 30, 60])
+def test_patterns_that_use_themselves(deep):
+    p = compile_grammar("NESTED : '(*' (NESTED | ~[*()])* '*)'\nA : 'a'\ns = (A | Any)*\n%%\n%parsing {\nstart s\nskip NESTED\n}")
+    text = "a " + "(* x " * deep + "*) " * deep + " a"
+    assert [t.name for t in p.lexer.scan(text)[:-1]] == ["A", "NESTED", "A"]
+
+
 # bundled grammars --------------------------------------------------------------------------------------------------
 
 CSHARP = "using X.Y;\nnamespace N { [A] public enum E { P, Q } class S : B { private int f = 5, g; public int Pos { get; set; } int Read(int a) { if (a) { b(); } } delegate void D(int x); } }"

@@ -48,6 +48,11 @@ def shift(off: Column, by: Column) -> Column:
     return F.greatest(off + by, F.lit(0))
 
 
+def shift_line(line: Column, by: Column) -> Column:
+    """Moves a line number, not below one."""
+    return F.greatest(line + by, F.lit(1))
+
+
 def covered(structs: Column) -> Column:
     """Characters in an array of segments."""
     return F.aggregate(structs, F.lit(0), lambda n, s: n + s["end_off"] - s["start_off"] + F.lit(1))

@@ -1,7 +1,7 @@
 """Lexing: terminal patterns as Python regular expressions, longest match, first definition on ties; nesting; custom blocks.
 
 Patterns: ``'literal'``, ``[set]``, ``~[set]`` or ``~'x'``, ``.``, groups, ``|``, ``? * +`` with a lazy ``?`` behind them, and names
-of other terminals. A pattern that uses itself is unrolled ``DEPTH`` times.
+of other terminals. A pattern that uses itself once is unrolled ``DEEP`` times, one that does more often ``DEPTH`` times.
 """
 
 from __future__ import annotations
@@ -12,13 +12,24 @@ from dataclasses import dataclass, field
 
 from ..grammar.model import AUTO_TOKEN, EOF, ERROR, UNDEFINED, Grammar, GrammarError, Message
 
-DEPTH = 4
+DEPTH, DEEP = 4, 64
 _PART = re.compile(r"'(?:\\(?:u[0-9a-fA-F]{4}|.)|[^'\\])*'|\[(?:\\.|[^\]\\])*\]|[A-Za-z_]\w*|[~.()|]|[*+?]\??|\s+|->.*", re.S)
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|(.))", re.S)
 # What an escape stands for.
 _ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "f": "\f", "b": "\b"}
 
 
+def _uses(terminals: dict, name: str, wanted: str) -> bool:
+    """Whether a terminal's pattern names another one, through others too."""
+    seen, todo = set(), [name]
+    while todo:
+        now = todo.pop()
+        if now not in seen:
+            seen.add(now)
+            todo += [p for p in _PART.findall(terminals[now].pattern) if p in terminals]
+    return wanted in seen - {name} or wanted in _PART.findall(terminals[name].pattern)
+
+
 def literal_text(quoted: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1], 16)) if m[1] else _ESCAPES.get(m[2], m[2]), quoted[1:-1])
 
@@ -83,10 +94,15 @@ class Patterns:
                 if part not in self.terminals:
                     raise GrammarError(f"the pattern {pattern} uses the unknown terminal {part}")
                 used = depth.get(part, 0)
-                inner = self.translate(self.terminals[part].pattern, depth | {part: used + 1}) if used < DEPTH else ["(?!)"]
+                inner = self.translate(self.terminals[part].pattern, depth | {part: used + 1}) if used < self._most(part) else ["(?!)"]
                 put(f"(?:{'|'.join(inner)})")
         return ["".join(b) for b in branches]
 
+    def _most(self, name: str) -> int:
+        """How deep a terminal's own pattern may stand in itself, so that what it makes stays small."""
+        uses = [p for p in _PART.findall(self.terminals[name].pattern) if p in self.terminals]
+        return DEEP if uses.count(name) == 1 and all(u == name or not _uses(self.terminals, u, name) for u in uses) else DEPTH
+
     @staticmethod
     def _plain(branch: list[str]) -> bool:
         return all(not re.search(r"[*+?]$", x) and not x.startswith(("[^", "(?s")) for x in branch)

@@ -510,6 +510,13 @@ def span_exclude(spark, sf_dir):
     return left.select("l_orderkey", "l_linenumber", "x.start_off", "x.end_off")
 
 
+@query(f"SELECT l_orderkey, l_linenumber, s1 AS start_off, e2 AS end_off, greatest(s1 - 20, 0) AS moved, greatest(l_linenumber - 3, 1)::INT AS line FROM ({_SPANS}) WHERE s1 <= s2")
+def span_merge(spark, sf_dir):
+    """From the first segment's start to the second one's end; a start moved back by 20, and a line by 3, as far as they go."""
+    both = segments(spark, sf_dir).filter("s1 <= s2").withColumn("m", spans.merge(F.col("s1"), F.col("e2")))
+    return both.select("l_orderkey", "l_linenumber", "m.start_off", "m.end_off", spans.shift(F.col("s1"), F.lit(-20)).alias("moved"), spans.shift_line(F.col("l_linenumber"), F.lit(-3)).cast("int").alias("line"))
+
+
 # Preprocessing.
 
 _CUT = "<script[^>]*>.*?</script>|<!--.*?-->"
@@ -746,20 +753,39 @@ def reachable_symbols(spark, sf_dir):
     return spark.createDataFrame([(r, t) for r, own in _sets().terminals_of.items() for t in sorted(own)], "rule string, terminal string")
 
 
+_LEFTMOST = f"""d(rule, alternative, form) AS (
+        SELECT rule, body, body FROM {_BODIES} UNION SELECT d.rule, alternative, g.body || substr(d.form, 2) FROM d JOIN {_BODIES} ON d.form[1] = g.rule WHERE length(g.body || substr(d.form, 2)) <= 9)"""
+_FORMS = f"""e(form) AS (
+        SELECT 's$' UNION SELECT substr(form, 1, p - 1) || body || substr(form, p + 1) FROM (SELECT form, unnest(range(1, length(form) + 1)) AS p FROM e) JOIN {_BODIES} ON form[p] = rule WHERE length(form) + length(body) <= 8)"""
+_FOLLOW = "SELECT DISTINCT form[p] AS rule, CASE form[p + 1] WHEN '$' THEN 'EOF' ELSE form[p + 1] END AS terminal FROM (SELECT form, unnest(range(1, length(form))) AS p FROM e) WHERE form[p] <> upper(form[p]) AND form[p + 1] = upper(form[p + 1])"
+
+
+@query(f"WITH RECURSIVE {_LEFTMOST} SELECT DISTINCT rule FROM d WHERE form[1] = rule")
+def left_recursion(spark, sf_dir):
+    """Rules that can begin with themselves, behind what may be empty."""
+    return spark.createDataFrame([(r,) for r, own in _sets().begins.items() if r in own], "rule string")
+
+
 @query(f"""
-    WITH RECURSIVE d(rule, form) AS (
-        SELECT rule, body FROM {_BODIES} UNION SELECT d.rule, g.body || substr(d.form, 2) FROM d JOIN {_BODIES} ON d.form[1] = g.rule WHERE length(g.body || substr(d.form, 2)) <= 9)
-    SELECT DISTINCT rule, form[1] AS terminal FROM d WHERE form[1] = upper(form[1])
+    WITH RECURSIVE {_LEFTMOST}, {_FORMS}, f AS ({_FOLLOW})
+    SELECT rule, terminal, count(*) AS n FROM (
+        SELECT DISTINCT rule, alternative, form[1] AS terminal FROM d WHERE form <> '' AND form[1] = upper(form[1]) UNION SELECT d.rule, alternative, f.terminal FROM d JOIN f ON d.rule = f.rule WHERE form = '') GROUP BY ALL
 """)
+def ll_table(spark, sf_dir):
+    """How many alternatives each cell of the LL(1) table has."""
+    from ..grammar.dsl import read_grammar
+    from ..grammar.tables import TableLL
+
+    grammar = read_grammar(GRAMMAR)[0]
+    return spark.createDataFrame([(r, t, len(own)) for (r, t), own in TableLL(grammar, _sets()).cells.items()], "rule string, terminal string, n long")
+
+
+@query(f"WITH RECURSIVE {_LEFTMOST} SELECT DISTINCT rule, form[1] AS terminal FROM d WHERE form[1] = upper(form[1])")
 def first_sets(spark, sf_dir):
     return spark.createDataFrame([(r, t) for r, own in _sets().firsts.items() for t in sorted(own)], "rule string, terminal string")
 
 
-@query(f"""
-    WITH RECURSIVE d(form) AS (
-        SELECT 's$' UNION SELECT substr(form, 1, p - 1) || body || substr(form, p + 1) FROM (SELECT form, unnest(range(1, length(form) + 1)) AS p FROM d) JOIN {_BODIES} ON form[p] = rule WHERE length(form) + length(body) <= 8)
-    SELECT DISTINCT form[p] AS rule, CASE form[p + 1] WHEN '$' THEN 'EOF' ELSE form[p + 1] END AS terminal FROM (SELECT form, unnest(range(1, length(form))) AS p FROM d) WHERE form[p] <> upper(form[p]) AND form[p + 1] = upper(form[p + 1])
-""")
+@query(f"WITH RECURSIVE {_FORMS} {_FOLLOW}")
 def follow_sets(spark, sf_dir):
     return spark.createDataFrame([(r, t) for r, own in _sets().follows.items() for t in sorted(own)], "rule string, terminal string")
 

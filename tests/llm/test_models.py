@@ -36,6 +36,25 @@ def test_factorisation_machine_equals_all_pairs():
         assert np.isclose(machine._logit(doc, bucket, value, z)[0][d], logit)
 
 
+def test_query_scores_by_the_definition(spark, sf_dir):
+    """The query's score, from hashed words, statistics and all pairs of features one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    got = {r.doc_id: r.score for r in queries.op2_quality(spark, sf_dir).collect()}
+    some = sorted(docs.collect(), key=lambda r: len(r.text or ""))
+    assert len(got) == len(some)
+    for r in [*some[:40:8], *some[60:90:10]]:
+        raw = (r.text or "").encode()
+        words = raw.lower().split()
+        count = Counter(zlib.crc32(w) % quality.BUCKETS for w in words)
+        length = sum(n * n for n in count.values()) ** 0.5
+        x = {b: n / length for b, n in count.items()}
+        z = np.clip((np.array(quality.statistics(raw, words, r.n_chars)) - machine.mean) / machine.scale, -5, 5)
+        x |= {quality.BUCKETS + k: v for k, v in enumerate(z)}
+        logit = machine.bias + sum(machine.linear[i] * v for i, v in x.items()) + sum(x[i] * x[j] * float(machine.factors[i] @ machine.factors[j]) for i, j in itertools.combinations(x, 2))
+        assert np.isclose(got[r.doc_id], 1 / (1 + np.exp(-np.clip(logit, -40, 40))), rtol=1e-6, atol=1e-9)
+
+
 def test_gradient_lowers_the_loss():
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["good", "fine", "text"]) for _ in range(20)) if k % 2 else " ".join(rng.choice(["bad!!", "JUNK", "text"]) for _ in range(20)) for k in range(120)]

@@ -18,6 +18,16 @@ def test_decode():
     assert files.decode(b"\xef\xbb\xbfa") == "a" and files.decode("я".encode("cp1251")) == "я" and files.decode("я".encode()) == "я" and files.decode("a".encode("utf-16")) == "a" and files.decode(b"") == ""
 
 
+RUSSIAN = "// Возвращает имя файла, если он есть\nvoid F() { Print(\"Привет, мир!\"); }\n"
+
+
+@pytest.mark.parametrize("text, name", [
+    *((RUSSIAN, n) for n in ("cp1251", "koi8-r", "cp866", "iso8859-5", "utf-8", "utf-16-le", "utf-16-be", "utf-16")), ("// Élève: où est-il passé, naïf garçon? Über große Straßen", "cp1252"), ("int año; // señal", "cp1252"), ("plain", "utf-8"), ("ж", "cp1251"), ("", "utf-8"),
+])
+def test_charsets(text, name):
+    assert files.decode(text.encode(name)) == text
+
+
 def test_read_files(spark, folder):
     java = files.read_files(spark, str(folder / "src"), ".java")
     assert sorted(r.text for r in java.collect()) == ["class A { int x; void f() { } }", "class Б { }"]

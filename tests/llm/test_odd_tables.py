@@ -20,7 +20,7 @@ ROWS = {"op1_html_text": len(PAGES), "op7_url_filter": len(PAGES), "op3_multi_in
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("odd")
-    clash = {c: F.lit("clash") for c in ("size", "score", "key", "row", "copies", "held_out", "target", "host", "rule", "class", "quality_")}
+    clash = {c: F.lit("clash") for c in ("size", "score", "key", "row", "copies", "held_out", "target", "host", "rule", "class", "quality_", "_row", "_bucket", "n", "fp", "media", "payload", "frames", "symbols", "sequence_id", "offset", "salt", "vector", "component_id")}
     for name, rows, schema in (
         ("documents", DOCS, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", LABELS, "doc_id long, quality int, toxic int"),
         ("pages", PAGES, "page_id long, url string, html string"), ("embeddings", VECTORS, "vec_id long, embedding array<float>"),
@@ -38,5 +38,11 @@ def test_odd_and_empty(spark, odd, name):
     assert QUERIES[name](spark, f"{odd}/empty").count() == 0
 
 
+def test_packing_has_every_document(spark, odd):
+    rows = QUERIES["op5_harmonic_packing"](spark, f"{odd}/full").collect()
+    assert sum(r.start == 0 for r in rows) == len(DOCS) and sum(r.length for r in rows) == sum(r.doc_tokens for r in rows if r.start == 0)
+    assert sorted(r.doc_tokens for r in rows if r.start == 0)[:3] == [1, 1, 1]
+
+
 def test_pipeline(spark, odd):
     assert corpus_pipeline.run(spark, f"{odd}/full").count() > 0 and corpus_pipeline.run(spark, f"{odd}/empty").count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -399,6 +400,32 @@ def rollbacks(spark, sf_dir):
     return frames.stats(turn_code(spark, sf_dir, piece).filter("text <> ''"), groups()).select("doc_id", "recovery_times_any", "longest_rollback")
 
 
+@query("SELECT conv_id * 1000 + turn AS doc_id, len([w FOR w IN regexp_extract_all(text, '[A-Za-z]+') IF length(w) % 3 = 0]) > 0 AS has_error FROM conversations")
+def water_as_error(spark, sf_dir):
+    """Water that counts as an error, though parsing goes on behind it."""
+    parser = compile_grammar(CODE.replace("Any ';'", "AnyError ';'"), "LL")
+    return frames.stats(_statements(spark, sf_dir), parser).select("doc_id", "has_error")
+
+
+def _items(spark: SparkSession, sf_dir: str, water: str) -> DataFrame:
+    """How many items ``water`` makes of a text of ``(w; w); [w! w];`` for each word."""
+    parser = compile_grammar(f"WORD : [A-Za-z]+\nROUND : %left '(' %right ')'\nSQUARE : %left '[' %right ']'\n\ntext = item*\nitem = {water} ';' | '!'\n\n%%\n%parsing start text", "LL")
+    docs = turn_code(spark, sf_dir, lambda w: F.concat(F.lit("("), w, F.lit("; "), w, F.lit("); ["), w, F.lit("! "), w, F.lit("]; ")))
+    return frames.nodes(docs, parser).filter("symbol = 'item'").groupBy("doc_id").agg(F.count("*").alias(water.split("(")[0]))
+
+
+@query(f"""
+    SELECT doc_id, 2 * count(*) AS "Any", 3 * count(*) AS "AnyIgnorePairs", 2 * count(*) AS "AnyInclude", 2 * count(*) AS "AnyExcept" FROM ({_TURN_WORDS}) GROUP BY doc_id
+""")
+def water_forms(spark, sf_dir):
+    """Wildcards that step over pairs or into them, that take what could follow, or that stop at nothing else."""
+    forms = [_items(spark, sf_dir, w) for w in ("Any", "AnyIgnorePairs", "AnyInclude('!')", "AnyExcept(';')")]
+    out = forms[0]
+    for f in forms[1:]:
+        out = out.join(f, "doc_id")
+    return out
+
+
 # Trees: regions, nations and customers are one, in pre-order.
 
 _TREE = """
@@ -928,6 +955,49 @@ def entity_report(spark, sf_dir):
     return reports.entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share: the checkpoint folder, or else the warehouse."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/reports/{name}-{uuid4().hex}"
+
+
+@query(f"""
+    WITH f AS ({_CSHARP}) SELECT 'nation/' || doc_id AS file, type, value FROM f
+""")
+def entity_report_read(spark, sf_dir):
+    """A report written for all files and read back."""
+    docs, path = csharp_code(spark, sf_dir), _folder(spark, "entities")
+    found = frames.entities(docs, catalog.grammar("csharp"), _CSHARP_TYPES)
+    reports.write_entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")), path, "csharp", "nation")
+    return reports.read_entity_report(spark, path).select("file", "type", "value")
+
+
+@query(_CSHARP)
+def by_type_read(spark, sf_dir):
+    """Entities in a folder for each type, read back."""
+    path = _folder(spark, "types")
+    reports.write_by_type(frames.entities(csharp_code(spark, sf_dir), catalog.grammar("csharp"), _CSHARP_TYPES), path)
+    return spark.read.parquet(path).select("doc_id", F.col("type").cast("string").alias("type"), "value")
+
+
+@query(f"SELECT doc_id, n_words::BIGINT AS tokens_count FROM (SELECT conv_id * 1000 + turn AS doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS n_words FROM conversations)")
+def stats_read(spark, sf_dir):
+    """Statistics written as JSON twice, and read back once."""
+    path, stats = _folder(spark, "stats"), frames.stats(turns(spark, sf_dir), catalog.grammar("words"))
+    for _ in range(2):
+        reports.write_stats(stats, path)
+    return spark.read.schema("doc_id long, tokens_count long").json(path)
+
+
+@query(f"SELECT 'left' AS side, value::INT AS value FROM (({_BAGS[0]}) EXCEPT ALL ({_BAGS[1]})) UNION ALL SELECT 'right', value::INT FROM (({_BAGS[1]}) EXCEPT ALL ({_BAGS[0]}))")
+def differences_read(spark, sf_dir):
+    """What only one of two bags holds, written and read back."""
+    path = _folder(spark, "differences")
+    reports.write_differences(*compare.difference(*bags(spark, sf_dir)), path)
+    side = lambda name: spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("side"), F.col("value").cast("int").alias("value"))
+    return side("left").unionByName(side("right"))
+
+
 @query(f"SELECT doc_id, type, value FROM ({_CSHARP}) WHERE type IN ('class', 'method')")
 def table_functions(spark, sf_dir):
     """A grammar's entities by a table function in SQL."""

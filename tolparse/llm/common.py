@@ -66,7 +66,7 @@ def sent(few: DataFrame, at_most: int = 1 << 18) -> DataFrame:
 
 def gone_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """(_row): of ``rows`` (_row, doc_id) all but one of each group (row, root); that of the smallest doc_id stays, null ids last, then of the smallest row."""
-    ids = rows.select(F.col("_row").alias("row"), "doc_id").join(sent(groups), "row")
+    ids = rows.select(F.col("_row").alias("row"), "doc_id").join(groups, "row")
     kept = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("kept")).select(F.col("kept.row").alias("row"))
     return written(groups.select("row").join(kept, "row", "left_anti").select(F.col("row").alias("_row")), "gone")
 

@@ -38,7 +38,7 @@ from .common import written
 
 STATES, CLASSES, VOCABULARY, OFTEN, ROUNDS, FREQUENT, SUFFIX = 8, 2048, 16_384, 20, 4, 1 << 18, 3
 #: Tokens whose recursion is held at a time, distinct words counted before they are passed on, and words remembered.
-_CHUNK, _COUNTED, _MEMO = 1 << 18, 300_000, 300_000
+_CHUNK, _COUNTED, _MEMO = 1 << 19, 300_000, 300_000
 #: Tokens of one sequence whose recursion is held at a time.
 _SEGMENT = 1 << 18
 _BITS = 52
@@ -226,12 +226,17 @@ class Chunk:
         """Emissions, scaled forward probabilities, and the scales, all in step order. ``carried``: the forward probabilities before the first step."""
         emit = model.emit[self.classes]
         alpha, scale = np.empty_like(emit), np.empty(len(emit))
-        move, before = model.move, carried
+        move, before, ones = model.move, carried, np.ones(len(model.start))
         for a, n in zip(self.begin[:-1].tolist(), self.wide.tolist(), strict=True):
-            now = emit[a : a + n] * (model.start if before is None else before[:n] @ move)
-            c = now.sum(axis=1)
-            before = now / c[:, None]
-            alpha[a : a + n], scale[a : a + n] = before, c
+            now, c = alpha[a : a + n], scale[a : a + n]
+            if before is None:
+                now[:] = model.start
+            else:
+                np.matmul(before[:n], move, out=now)
+            now *= emit[a : a + n]
+            np.matmul(now, ones, out=c)
+            now /= c[:, None]
+            before = now
         return emit, alpha, scale
 
     def log10(self, scale: np.ndarray) -> np.ndarray:
@@ -246,7 +251,7 @@ class Chunk:
         ``carried`` and ``after``: the forward probabilities before the first step and the backward ones at the last, of one sequence's segment.
         """
         emit, alpha, scale = self.forward(model, carried)
-        ratio = emit / scale[:, None]
+        emit /= scale[:, None]
         gamma, moves = np.empty_like(alpha), np.zeros_like(model.move)
         back = model.move.T.copy()
         beta = np.ones((int(self.wide[-1]), len(model.start))) if after is None else after
@@ -256,7 +261,8 @@ class Chunk:
             if len(beta) < n:
                 beta = np.concatenate([beta, np.ones((n - len(beta), beta.shape[1]))])
             np.multiply(alpha[a : a + n], beta, out=gamma[a : a + n])
-            onward = ratio[a : a + n] * beta
+            onward = emit[a : a + n]
+            onward *= beta
             if t:
                 p = begin[t - 1]
                 moves += alpha[p : p + n].T @ onward

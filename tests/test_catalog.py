@@ -118,6 +118,9 @@ CASES = [
     ("yacc", YACC, "rule symbols", ["symbols", "symbols", "rule e", "rule t", "rule list", "rule q"]),
     ("lex", LEX, "rule group states definition", ["states", "definition", "rule", "rule", "group", "rule", "rule", "group", "rule"]),
     ("markdown", MARKDOWN, "setext_heading_1 setext_heading_2 atx_heading code list_item block_quote thematic_break", ["setext_heading_1", "atx_heading", "code", "setext_heading_2", "code", "list_item", "block_quote", "thematic_break", "atx_heading", "code", "atx_heading"]),
+    ("yacc", "%token <int> NUM 258 \"number\"\n%code requires {\n#include <x>\n}\n%%\n/* e : no */\nexp[result]: exp[l] '+' exp[r] %prec LOW { $$ = $l; }\n  | <int>{ mid(); } NUM | %empty ;\nlist: exp\nlast: ';' ;\n", "rule symbols code symbol", ["symbols", "code", "rule exp", "symbol", "symbol", "symbol", "symbol", "symbol", "rule list", "symbol", "rule last", "symbol"]),
+    ("markdown", "two\nlines\n===\n   ### closed ###\n    # code\n#none\n\n- - -\n---\n10) item\n+ x\n---\n~~~ py\na\n~~~\n====\n", "setext_heading_1 setext_heading_2 atx_heading code list_item thematic_break paragraph", ["paragraph", "setext_heading_1", "atx_heading", "code", "paragraph", "thematic_break", "thematic_break", "list_item", "list_item", "thematic_break", "code", "paragraph"]),
+    ("typescript", "function f<T extends A<B>[] = C | { x: 1 }, const U>(a: T): U { }\ninterface I<K extends keyof> { get<V>(k: K): V; }", "function interface method", ["function f", "interface I", "method get"]),
     ("xml", "<?xml version='1.0'?><!DOCTYPE a [<!ENTITY x 'y'>]><a:n><b c='<'/>it's = \"x <d e = 'f'>'</d><![CDATA[<no>]]></a:n>", "element", ["element a:n", "element b", "element d"]),
 ]
 
@@ -134,3 +137,9 @@ def test_entities(name, text, types, want):
 ])
 def test_recovery(name, text, types, want):
     assert found(name, text, types) == want
+
+
+def test_water_after_water_is_warned_about():
+    parser = catalog.grammar("consecutive_water")
+    assert [m.text for m in parser.messages] == ["Any in entry may be followed by Any in cause"]
+    assert not parser.parse("1:2 info up caused by 3:4 down").has_error

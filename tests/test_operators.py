@@ -210,6 +210,9 @@ def test_pascal_directives(spark):
     left = preprocess.without(docs, preprocess.excluded(docs, catalog.grammar("pascal_directives"))).first().text
     assert [w for w in ("one", "two", "three", "four", "five") if w in left] == ["two", "three"]
     assert preprocess.excluded(docs, catalog.grammar("pascal_directives"), ["N"]).count() == 2
+    other = "{a {$ note} (* {$ifdef Q} *) (*$define D*){$R+}x(*$ifdef E*)y(*$else a note*)z(*$endif*) '{$ifdef N}' // {$ifdef N}\nw(*$R *.res*)"
+    docs = spark.createDataFrame([(1, other)], DOCS)
+    assert preprocess.without(docs, preprocess.excluded(docs, catalog.grammar("pascal_directives"))).first().text == other.replace("(*$ifdef E*)y(*$else a note*)", "")
 
 
 def test_remap_equals_brute_force(spark):

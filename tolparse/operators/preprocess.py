@@ -98,7 +98,7 @@ def _directives(root: Node, text: str) -> Iterator[tuple[str, Node, int, int]]:
         if n.type in _KINDS:
             outer = n.parent if n.parent is not None and n.parent.symbol == "directive" else n
             start, end, _ = outer.span()
-            if not text[end] == "}":
+            if not text.startswith("}", end) and not text.startswith("*)", end - 1):
                 stop = text.find("\n", end)
                 end = len(text) - 1 if stop < 0 else stop
             yield n.type, n, start, end

@@ -27,6 +27,8 @@ from pyspark.sql import window as W
 from .common import written
 
 FANOUT, LEVELS = 2, 5
+#: Rows of a task at least, where fewer tasks than shuffle partitions suffice.
+ROWS = 1 << 13
 _PATH = "array<struct<before:string,after:string>>"
 
 
@@ -45,7 +47,8 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``rows`` (a table) with ``idx``, from 0 within each group, and ``n``, the group's rows; a null group is a group, and the first."""
     lead = [F.col(group).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in order), F.col("_row")]
     ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*lead).withColumn("_range", F.spark_partition_id())
-    ranged = written(ranged, "ranged")
+    tasks = _tasks(rows.count())
+    ranged = written(ranged.coalesce(tasks), "ranged")
     counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_count"))
     whole = W.Window.partitionBy(group)
     before = whole.orderBy("_range").rowsBetween(W.Window.unboundedPreceding, -1)
@@ -57,6 +60,10 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     return placed.withColumn("idx", (F.col("_start") + F.col("_place")).cast("long")).drop("_row", "_range", "_of", "_group", "_start", "_place", "_count")
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
 def _few(rows: DataFrame, at_most: int = 1 << 16) -> bool:
     return rows.limit(at_most + 1).count() <= at_most
 
@@ -71,8 +78,8 @@ class Step:
     """Some levels of all trees: ``rows`` (group, block, depth, c0 ... c<levels>, kept) hold the children of each block and their ancestors within it."""
 
     def __init__(self, nodes: DataFrame, fanout: int, levels: int, kept: list[str], name: str):
-        """``nodes``: (group, idx, n, digest, and the columns ``kept``)."""
-        width = fanout**levels
+        """``nodes``: a table (group, idx, n, digest, and the columns ``kept``)."""
+        width, self.tasks = fanout**levels, _tasks(nodes.count())
         children = F.sort_array(F.collect_list(F.struct("idx", "digest", *kept)))
         rows = nodes.groupBy("group", F.expr(f"idx div {width}").alias("block")).agg(children.alias("children"), F.max("n").alias("n"))
         height = F.lit(0)  # levels that the tree still has, as far as they are of this step
@@ -83,7 +90,7 @@ class Step:
             above = F.transform(_runs(F.col(f"c{k}"), fanout), digest)
             rows = rows.withColumn(f"c{k + 1}", F.when(F.col("depth") > k, above).otherwise(F.col(f"c{k}")))
         self.fanout, self.levels, self.kept = fanout, levels, kept
-        self.rows = written(rows, name)
+        self.rows = written(rows.coalesce(self.tasks), name)
 
     def parents(self) -> DataFrame:
         """(group, idx, n, digest) of the blocks' tops."""
@@ -124,7 +131,7 @@ def _descended(steps: list[Step], paths: DataFrame) -> DataFrame:
     for k, step in reversed(list(enumerate(steps))):
         paths = step.children(paths)
         if k:
-            paths = written(paths.select("group", "idx", "path"), "merkle-paths")
+            paths = written(paths.select("group", "idx", "path").coalesce(step.tasks), "merkle-paths")
     return paths
 
 
@@ -139,7 +146,7 @@ def manifest(leaves: DataFrame, group: str, order: list[str], kept: list[str], f
     A path has an entry for each level from the leaf to the root: the digests of the siblings before and after the node, joined.
     """
     rows = numbered(leaves, group, order).select(F.col(group).alias("group"), "idx", "n", "digest", *kept)
-    steps, subroots = _grown(written(rows, "leaves"), fanout, levels, kept, "merkle")
+    steps, subroots = _grown(written(rows.coalesce(_tasks(leaves.count())), "leaves"), fanout, levels, kept, "merkle")
     subroots = written(subroots.withColumn("_one", F.lit(0)), "subroots")
     tops = numbered(subroots, "_one", ["group"]).select(F.col("_one").alias("group"), "idx", "n", "digest", F.col("group").alias("of"))
     over, roots = _grown(written(tops, "tops"), fanout, levels, ["of"], "merkle-top")

@@ -13,8 +13,9 @@ DOCS = [
 ]
 PAGES = [(1, "http://A.com/en/7x", "<p>hi</p>"), (2, None, None), (2, None, None), (3, "x", ""), (4, "://", "<div>" * 3000 + "deep"), (5, "http://x.org/es/", "<" * 3000 + "a")]
 VECTORS = [(0, [1.0, 2.0]), (50, None), (50, [0.5, 1.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0])]
+ITEMS = [(1, "Hello wörd"), (1, "Hello wörd"), (None, "null"), (4, None), (5, ""), (6, "?!")]
 LABELS = [(1, 1, 0), (2, 0, 0), (3, None, 1), (None, 1, 1), (6, 0, 0), (1, 0, 0)]
-ROWS = {"op1_html_text": len(PAGES), "op7_url_filter": len(PAGES), "op3_multi_index": 4} | dict.fromkeys(("op2_quality", "op4_gif_media", "op6_simhash", "op8_hidden_markov", "op9_piece_counts", "op10_systematic_mix"), len(DOCS))
+ROWS = {"op1_html_text": len(PAGES), "op7_url_filter": len(PAGES), "op3_multi_index": 4, "op11_ranked_search": 7} | dict.fromkeys(("op2_quality", "op4_gif_media", "op6_simhash", "op8_hidden_markov", "op9_piece_counts", "op10_systematic_mix", "op12_merkle", "op13_line_dedup"), len(DOCS))
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,7 @@ def odd(spark, tmp_path_factory):
     clash = {c: F.lit("clash") for c in ("size", "score", "key", "row", "copies", "held_out", "target", "host", "rule", "class", "quality_", "_row", "_bucket", "n", "fp", "media", "payload", "frames", "symbols", "sequence_id", "offset", "salt", "vector", "component_id")}
     for name, rows, schema in (
         ("documents", DOCS, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", LABELS, "doc_id long, quality int, toxic int"),
-        ("pages", PAGES, "page_id long, url string, html string"), ("embeddings", VECTORS, "vec_id long, embedding array<float>"),
+        ("benchmark", ITEMS, "item_id long, text string"), ("pages", PAGES, "page_id long, url string, html string"), ("embeddings", VECTORS, "vec_id long, embedding array<float>"),
     ):
         df = spark.createDataFrame(rows, schema).withColumns(clash)
         df.write.parquet(f"{path}/full/{name}.parquet")

@@ -20,8 +20,8 @@ Step = Callable[..., tuple]
 Emit = Callable[..., Iterable[tuple]]
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def _schema(columns: str | StructType) -> StructType:
+    return columns if isinstance(columns, StructType) else StructType.fromDDL(columns)
 
 
 def add_columns(rows: DataFrame, order: str, inputs: list[str], start: Callable[[], Step], added: str, key: str = "doc_id") -> DataFrame:
@@ -49,8 +49,8 @@ def add_columns(rows: DataFrame, order: str, inputs: list[str], start: Callable[
     return staged.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(batches, schema)
 
 
-def emitted(rows: DataFrame, order: str, inputs: list[str], start: Callable[[], Emit], out: str, key: str = "doc_id", size: int = 4096) -> DataFrame:
-    """What a fold gives for each row and at the end of each document, after the key: ``out`` names the columns (DDL) behind it."""
+def emitted(rows: DataFrame, order: str, inputs: list[str], start: Callable[[], Emit], out: str | StructType, key: str = "doc_id", size: int = 4096) -> DataFrame:
+    """What a fold gives for each row and at the end of each document, after the key: ``out`` names the columns (DDL or a type) behind it."""
     fields = _schema(out)
     schema = StructType([rows.schema[key], *fields.fields])
     arrow = to_arrow_schema(schema)

@@ -544,6 +544,37 @@ def span_merge(spark, sf_dir):
     return both.select("l_orderkey", "l_linenumber", "m.start_off", "m.end_off", spans.shift(F.col("s1"), F.lit(-20)).alias("moved"), spans.shift_line(F.col("l_linenumber"), F.lit(-3)).cast("int").alias("line"))
 
 
+_TILES = "SELECT doc_id, generate_subscripts(t, 1) AS nr, t, unnest(t) AS x FROM (SELECT doc_id, {0} AS t FROM documents)"
+_SENTENCES = f"""
+    SELECT doc_id, (coalesce(sum(length(x)) OVER before, 0))::INT AS s, (coalesce(sum(length(x)) OVER before, 0) + length(x) - 1)::INT AS e
+    FROM ({_TILES.format("regexp_extract_all(text, '[^.!?]+[.!?]*|[.!?]+')")}) WINDOW before AS (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+"""
+_LINE_SPANS = f"""
+    SELECT * FROM (SELECT doc_id, (coalesce(sum(length(x) + 1) OVER before, 0))::INT AS s, (coalesce(sum(length(x) + 1) OVER before, 0) + length(x) - 1)::INT AS e
+    FROM ({_TILES.format("string_split(text, chr(10))")}) WINDOW before AS (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE e >= s
+"""
+
+
+def _lines_and_sentences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines and the sentences of whole documents, as segments."""
+    docs = documents(spark, sf_dir)
+    return tuple(preprocess.excluded_by_pattern(docs, p) for p in (r"[^\n]+", r"[^.!?]+[.!?]*|[.!?]+"))
+
+
+@query(f"SELECT l.doc_id, l.s AS line, t.s AS start_off, t.e AS end_off FROM ({_LINE_SPANS}) l JOIN ({_SENTENCES}) t ON l.doc_id = t.doc_id AND l.s <= t.s AND l.e >= t.e")
+def sentences_in_lines(spark, sf_dir):
+    """The sentences that stand within a line."""
+    found = spans.matches(*_lines_and_sentences(spark, sf_dir), "includes")
+    return found.select("doc_id", F.col("left.start_off").alias("line"), "right.start_off", "right.end_off")
+
+
+@query(f"SELECT t.doc_id, t.s AS start_off, l.s AS line FROM ({_SENTENCES}) t JOIN ({_LINE_SPANS}) l ON l.doc_id = t.doc_id AND (t.s <= l.s AND l.s <= t.e) <> (t.s <= l.e AND l.e <= t.e)")
+def sentences_across_lines(spark, sf_dir):
+    """The sentences that hold just one end of a line."""
+    lines, sentences = _lines_and_sentences(spark, sf_dir)
+    return spans.matches(sentences, lines, "overlaps").select("doc_id", "left.start_off", F.col("right.start_off").alias("line"))
+
+
 # Preprocessing.
 
 _CUT = "<script[^>]*>.*?</script>|<!--.*?-->"

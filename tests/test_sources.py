@@ -82,3 +82,44 @@ def test_counts_by_window(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows_seen").agg({"n": "sum"}).first()[0] == events.count()
+
+
+def report_file(path, blocks, end="\n", last=True):
+    text = end.join(line for b in blocks for line in ("***", *b)) + (end if last else "")
+    path.write_bytes(text.encode())
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("last", [True, False])
+def test_reports_are_cut_at_marks_alone(spark, tmp_path, end, last):
+    blocks = [["f1", "class", "A***", "method", "***b"], [], ["f2"], ["f3", "field", "***", "x", "y"][:3], ["f4", "class", "Z"]]
+    report_file(tmp_path / "a.txt", [["f1", "class", "A***", "method", "***b"], [], ["f2"], ["f4", "class", "Z"]], end, last)
+    got = sorted((r.file, r.seq, r.type, r.value) for r in reports.read_entity_report(spark, str(tmp_path / "a.txt")).collect())
+    assert blocks and got == [("f1", 0, "class", "A***"), ("f1", 1, "method", "***b"), ("f4", 0, "class", "Z")]
+
+
+def test_one_long_report_is_read_by_many_tasks(spark, tmp_path):
+    """The same rows, however small the splits are."""
+    blocks = [[f"f{k}", *(x for j in range(k % 7) for x in (f"t{j}", f"value {k} {j} " * (k % 11)))] for k in range(3000)]
+    report_file(tmp_path / "a.txt", blocks)
+    want = sorted((b[0], j, b[1 + 2 * j], b[2 + 2 * j]) for b in blocks for j in range(len(b) // 2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1000b", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = reports.read_entity_report(spark, str(tmp_path / "a.txt"))
+            assert found.rdd.getNumPartitions() > 5
+            assert sorted((r.file, r.seq, r.type, r.value) for r in found.collect()) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_value_report_round_trip_and_comparison(spark, tmp_path):
+    rows = [(k, "class_tolerant" if k % 2 else "class_baseline", f"f{j}", k, f"v{k // 2 if k < 8 else k}") for k in range(10) for j in range(3)]
+    df = spark.createDataFrame(rows, "n int, type string, file string, seq int, value string")
+    reports.write_value_report(df, str(tmp_path / "r"))
+    back = reports.read_value_report(spark, [str(p) for p in (tmp_path / "r").iterdir() if p.is_dir()])
+    assert sorted((r.file, r.value) for r in back.collect()) == sorted((r[2], r[4]) for r in rows)
+    reports.compare_reports(spark, str(tmp_path / "r/type=class_baseline"), str(tmp_path / "r/type=class_tolerant"), str(tmp_path / "d"))
+    side = lambda name: sorted((r.file, r.value) for r in spark.read.parquet(str(tmp_path / "d" / name)).collect())
+    assert side("left") == [(f"f{j}", "v8") for j in range(3)] and side("right") == [(f"f{j}", "v9") for j in range(3)]

@@ -137,6 +137,61 @@ def entities(docs: DataFrame, parser: Parser, types: Iterable[str], names: Itera
     return per_document(docs, rows, ENTITIES)
 
 
+def _rest(columns: str) -> str:
+    """Columns (DDL) without the document's, as those of a struct."""
+    return ",".join(c.replace(" ", ":", 1) for c in columns.split(", ")[1:])
+
+
+#: What one pass can give of a document: a struct of statistics, arrays of structs of the rest.
+OUTPUTS = {"stats": f"struct<{_rest(STATS)}>", "messages": f"array<struct<{_rest(MESSAGES)}>>", "entities": f"array<struct<{_rest(ENTITIES)}>>", "nodes": f"array<struct<{_rest(NODES)}>>"}
+
+
+def _output(name: str) -> pa.DataType:
+    columns = {"stats": STATS, "messages": MESSAGES, "entities": ENTITIES, "nodes": NODES}[name]
+    row = pa.struct(list(arrow_schema(columns))[1:])
+    return row if name == "stats" else pa.list_(row)
+
+
+def outcomes(docs: DataFrame, parser: Parser, want: Iterable[str] = ("stats",), types: Iterable[str] = (), names: Iterable[str] = ("name",)) -> DataFrame:
+    """``docs`` with ``has_error`` and the columns in ``want`` (of ``OUTPUTS``), all from one parse of each text.
+
+    Documents with errors have no entities. A null text stays, without error, and what is wanted of it is null; columns of
+    ``docs`` that are named like the added ones are replaced. No shuffle; each row is a document of its own, whatever its id.
+    """
+    want, types, names = tuple(want), frozenset(types), frozenset(names)
+    kept = docs.drop("has_error", *want)
+    at, kinds = kept.columns.index("text"), [_output(w) for w in want]
+    tree = bool({"entities", "nodes"} & set(want))
+
+    def one(text: str | None) -> list:
+        if text is None:
+            return [False, *(None for _ in want)]
+        if want in (("stats",), ()):
+            s, failed = parser.statistics_of(text)
+            made = {}
+        else:
+            parsed = parser.parse(text, True if tree else None)
+            s, failed = parsed.statistics, parsed.has_error
+            made = {
+                "messages": lambda: [(k, m.kind, m.text, m.line, m.column, m.offset, m.source, m.unexpected_token, m.unexpected_lexeme, list(m.expected)) for k, m in enumerate(parsed.messages)],
+                "entities": lambda: [] if failed else list(entity_rows(parsed, types, names)),
+                "nodes": lambda: [r[1:] for r in node_rows(0, parsed.root)],
+            }
+        made["stats"] = lambda: (s.chars_count, s.tokens_count, s.recovery_times, s.recovery_times_any, s.longest_rollback, s.general_ms, s.recovery_ms, failed)
+        return [failed, *(made[w]() for w in want)]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, part.num_rows, _BATCH):
+                own = part.slice(k, _BATCH)
+                found = list(zip(*map(one, own.column(at).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, kind) for c, kind in zip(found, [pa.bool_(), *kinds], strict=True))], [*own.schema.names, "has_error", *want])
+
+    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in kept.schema.fields)
+    valid = kept.withColumn("text", F.make_valid_utf8(F.col("text").cast("string")))
+    return valid.mapInArrow(batches, ", ".join([schema, "has_error boolean", *(f"{w} {OUTPUTS[w]}" for w in want)]))
+
+
 def register_functions(spark: SparkSession, name: str, parser: Parser, types: Iterable[str] = (), names: Iterable[str] = ("name",)) -> None:
     """Table functions for SQL: ``<name>_tokens(text)``, ``<name>_nodes(text)``, ``<name>_messages(text)`` and ``<name>_entities(text)`` (of ``types``).
 

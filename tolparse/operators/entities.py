@@ -52,10 +52,9 @@ def count_by_type(entities: DataFrame) -> DataFrame:
     return entities.filter("value <> ''").groupBy("type").agg(F.count("*").alias("n"))
 
 
-def split_by_outcome(docs: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents parsed without error, the others)."""
-    failed = stats.filter("has_error").select("doc_id")
-    return docs.join(failed, "doc_id", "left_anti"), docs.join(failed, "doc_id", "left_semi")
+def split_by_outcome(outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents parsed without error, the others) of ``frames.outcomes``; a text that is not there has no error."""
+    return outcomes.filter(~F.col("has_error")), outcomes.filter(F.col("has_error"))
 
 
 def top(stats: DataFrame, by: str, n: int = 5, tie: str = "doc_id") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +11,11 @@ from pyspark.sql import window as W
 
 from .. import catalog, frames
 from ..functions import collapse_breaks, cut_out, either_case, enclosed_name, index_of, leading_count
-from ..operators import baselines, compare, entities, nesting, preprocess, sections, spans, trees
+from ..operators import baselines, batch, compare, entities, nesting, preprocess, sections, spans, trees
 from ..parsing import visitors
 from ..parsing.engine import Parser, compile_grammar
 from ..sources import reports
+from ..sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -777,10 +777,61 @@ def stats_fold_compat(spark, sf_dir):
     return entities.fold_stats(rows, reference_compat=True)
 
 
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event's properties without their first brace."""
+    return props(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.expr("substr(text, 2)")).otherwise(F.col("text")))
+
+
 @query("SELECT event_id AS doc_id FROM events WHERE event_id % 3 <> 0")
 def error_split(spark, sf_dir):
-    broken = props(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.expr("substr(text, 2)")).otherwise(F.col("text")))
-    return entities.split_by_outcome(broken, frames.stats(broken, json_ll()))[0].select("doc_id")
+    return entities.split_by_outcome(frames.outcomes(_broken(spark, sf_dir), json_ll()))[0].select("doc_id")
+
+
+# A batch: one parse, all outputs.
+
+_EVENT_STATS = f"SELECT event_id, event_id % 3 = 0 AS failed, length(props)::BIGINT AS chars_count, len({_PROPS})::BIGINT AS tokens_count, json_keys(props) AS keys FROM events"
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> batch.Batch:
+    docs = _broken(spark, sf_dir).withColumn("path", F.concat(F.lit("events/"), "doc_id"))
+    return batch.run(docs, json_ll(), ["member"], shared_folder(spark, "batch"))
+
+
+@query(f"""
+    SELECT count(*) AS documents, count(*) FILTER (failed) AS failed, coalesce(sum(chars_count) FILTER (NOT failed), 0)::BIGINT AS chars_count, coalesce(sum(tokens_count) FILTER (NOT failed), 0)::BIGINT AS tokens_count,
+        0::BIGINT AS recovery_times, 0::BIGINT AS recovery_times_any, 0::BIGINT AS longest_rollback FROM ({_EVENT_STATS})
+""")
+def batch_totals(spark, sf_dir):
+    """The totals that come with the write of a batch."""
+    return _batch(spark, sf_dir).totals_frame().drop("general_ms", "recovery_ms")
+
+
+@query(f"""
+    WITH s AS ({_EVENT_STATS})
+    SELECT 'count' AS part, 'member' AS name, sum(len(keys))::BIGINT AS n FROM s WHERE NOT failed HAVING count(*) > 0
+    UNION ALL (SELECT 'most tokens', event_id::VARCHAR, tokens_count FROM s WHERE NOT failed ORDER BY tokens_count DESC, event_id LIMIT 5)
+    UNION ALL SELECT 'failed', 'events/' || event_id, 1 FROM s WHERE failed
+    UNION ALL SELECT 'total', 'tokens', coalesce(sum(tokens_count) FILTER (NOT failed), 0)::BIGINT FROM s
+    UNION ALL SELECT 'report', 'events/' || event_id, len(keys) FROM s WHERE NOT failed AND len(keys) > 0
+    UNION ALL SELECT 'stats', 'chars', coalesce(sum(chars_count) FILTER (NOT failed), 0)::BIGINT FROM s
+""")
+def batch_report(spark, sf_dir):
+    """All that a batch over files gives: counts, the largest files, those with errors, totals, and its reports read back."""
+    done = _batch(spark, sf_dir)
+    rows = lambda part, df, name, n: df.select(F.lit(part).alias("part"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+    folder = shared_folder(spark, "batch-reports")
+    done.write_reports(folder, "json", "events")
+    report = reports.read_entity_report(spark, f"{folder}/entities").groupBy("file").agg(F.count("*").alias("n"))
+    stats = spark.read.schema("chars_count long").json(f"{folder}/stats").agg(F.coalesce(F.sum("chars_count"), F.lit(0)).alias("n"))
+    failed = spark.read.schema("doc_id long, path string, error struct<text:string>").json(f"{folder}/failed").filter("error.text is not null")
+    parts = [
+        rows("count", done.counts(), F.col("type"), F.col("n")), rows("most tokens", done.most("tokens_count"), F.col("doc_id"), F.col("tokens_count")), rows("failed", failed, F.col("path"), F.lit(1)),
+        rows("total", done.totals_frame(), F.lit("tokens"), F.col("tokens_count")), rows("report", report, F.col("file"), F.col("n")), rows("stats", stats, F.lit("chars"), F.col("n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("SELECT p_brand AS type, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand")
@@ -986,18 +1037,12 @@ def entity_report(spark, sf_dir):
     return reports.entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share: the checkpoint folder, or else the warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/reports/{name}-{uuid4().hex}"
-
-
 @query(f"""
     WITH f AS ({_CSHARP}) SELECT 'nation/' || doc_id AS file, type, value FROM f
 """)
 def entity_report_read(spark, sf_dir):
     """A report written for all files and read back."""
-    docs, path = csharp_code(spark, sf_dir), _folder(spark, "entities")
+    docs, path = csharp_code(spark, sf_dir), shared_folder(spark, "entities")
     found = frames.entities(docs, catalog.grammar("csharp"), _CSHARP_TYPES)
     reports.write_entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")), path, "csharp", "nation")
     return reports.read_entity_report(spark, path).select("file", "type", "value")
@@ -1006,7 +1051,7 @@ def entity_report_read(spark, sf_dir):
 @query(_CSHARP)
 def by_type_read(spark, sf_dir):
     """Entities in a folder for each type, read back."""
-    path = _folder(spark, "types")
+    path = shared_folder(spark, "types")
     reports.write_by_type(frames.entities(csharp_code(spark, sf_dir), catalog.grammar("csharp"), _CSHARP_TYPES), path)
     return spark.read.parquet(path).select("doc_id", F.col("type").cast("string").alias("type"), "value")
 
@@ -1014,7 +1059,7 @@ def by_type_read(spark, sf_dir):
 @query(f"SELECT doc_id, n_words::BIGINT AS tokens_count FROM (SELECT conv_id * 1000 + turn AS doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS n_words FROM conversations)")
 def stats_read(spark, sf_dir):
     """Statistics written as JSON twice, and read back once."""
-    path, stats = _folder(spark, "stats"), frames.stats(turns(spark, sf_dir), catalog.grammar("words"))
+    path, stats = shared_folder(spark, "stats"), frames.stats(turns(spark, sf_dir), catalog.grammar("words"))
     for _ in range(2):
         reports.write_stats(stats, path)
     return spark.read.schema("doc_id long, tokens_count long").json(path)
@@ -1023,7 +1068,7 @@ def stats_read(spark, sf_dir):
 @query(f"SELECT 'left' AS side, value::INT AS value FROM (({_BAGS[0]}) EXCEPT ALL ({_BAGS[1]})) UNION ALL SELECT 'right', value::INT FROM (({_BAGS[1]}) EXCEPT ALL ({_BAGS[0]}))")
 def differences_read(spark, sf_dir):
     """What only one of two bags holds, written and read back."""
-    path = _folder(spark, "differences")
+    path = shared_folder(spark, "differences")
     reports.write_differences(*compare.difference(*bags(spark, sf_dir)), path)
     side = lambda name: spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("side"), F.col("value").cast("int").alias("value"))
     return side("left").unionByName(side("right"))
@@ -1035,3 +1080,25 @@ def table_functions(spark, sf_dir):
     frames.register_functions(spark, "csharp", catalog.grammar("csharp"), ["class", "method"])
     csharp_code(spark, sf_dir).createOrReplaceTempView("csharp_code")
     return spark.sql("SELECT d.doc_id, t.type, t.value FROM csharp_code d, LATERAL csharp_entities(d.text) t")
+
+
+_WORDS_OF_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, unnest(regexp_extract_all(text, '{0}')) AS value FROM conversations"
+
+
+@query(f"""
+    WITH a AS ({_WORDS_OF_TURNS.format("[A-Za-z]+")}), b AS ({_WORDS_OF_TURNS.format("[A-Za-zÀ-ÖØ-öø-ÿ]+")})
+    SELECT 'left' AS side, 'turn/' || doc_id AS file, value FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', 'turn/' || doc_id, value FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
+""")
+def reports_compared(spark, sf_dir):
+    """Reports of two extractors written, paired by their names, read, and compared into files: a plain pattern's words against a grammar's tokens."""
+    folder, docs = shared_folder(spark, "compared"), turns(spark, sf_dir)
+    file = F.concat(F.lit("turn/"), "doc_id").alias("file")
+    plain = docs.select(file, F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("seq", "value"))
+    tokens = frames.tokens(docs, catalog.grammar("words")).select(file, F.col("tok_idx").alias("seq"), F.col("text").alias("value"))
+    both = plain.withColumn("type", F.lit("word_baseline")).unionByName(tokens.withColumn("type", F.lit("word_tolerant")))
+    reports.write_value_report(both, f"{folder}/reports")
+    paths = both.select(F.concat(F.lit(f"{folder}/reports/type="), "type").alias("path")).distinct()
+    pair = compare.report_pairs(paths).first()
+    reports.compare_reports(spark, pair.first, pair.second, f"{folder}/out")
+    side = lambda name: spark.read.parquet(f"{folder}/out/{name}").select(F.lit(name).alias("side"), "file", "value")
+    return side("left").unionByName(side("right"))

@@ -16,22 +16,43 @@ def entity_report(entities: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(pairs, "doc_id", "left").select("doc_id", F.concat(F.lit(f"{MARK}\n"), F.col("path"), F.coalesce(body, F.lit(""))).alias("line"))
 
 
+def _block(path, found):
+    """A file's block, from its path and its entities in order."""
+    lines = F.transform(found, lambda e: F.concat(F.lit("\n"), e["type"], F.lit("\n"), e["value"]))
+    return F.concat(F.lit(f"{MARK}\n"), path, F.array_join(F.coalesce(lines, F.array().cast("array<string>")), ""))
+
+
+def write_outcomes_report(outcomes: DataFrame, path: str, grammar: str, folder: str) -> None:
+    """The entity report of (path, entities): one text file a partition, no shuffle; the header in a folder of its own."""
+    outcomes.select(_block(F.col("path"), F.col("entities"))).write.mode("overwrite").text(path)
+    _write_header(outcomes.sparkSession, path, grammar, folder)
+
+
 def write_entity_report(entities: DataFrame, files: DataFrame, path: str, grammar: str, folder: str) -> None:
-    """One text file a partition; grammar and folder in a header of the folder's own."""
-    spark = entities.sparkSession
-    report = entity_report(entities, files).orderBy("doc_id").select("line")
-    report.write.mode("overwrite").text(path)
+    """One text file a partition, blocks in no order; grammar and folder in a header of the folder's own."""
+    entity_report(entities, files).select("line").write.mode("overwrite").text(path)
+    _write_header(entities.sparkSession, path, grammar, folder)
+
+
+def _write_header(spark: SparkSession, path: str, grammar: str, folder: str) -> None:
     spark.createDataFrame([(f"{grammar}\n{folder}",)], "line string").coalesce(1).write.mode("append").text(f"{path}/header")
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(block) of every file: what stands between two marks."""
-    whole = spark.read.text(path, wholetext=True)
-    parts = F.split("value", r"(?:^|\n)\*\*\*\r?\n", -1)
-    return whole.select(F.input_file_name().alias("report"), F.posexplode(F.filter(parts, lambda p: F.trim(p) != "")).alias("nr", "block"))
+def _blocks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(report, block) of all files: what stands between two marks.
 
+    The reader cuts files at their marks, as it would at line ends, so a report of any length is read by as many tasks as it has
+    splits, and no row holds more than a block. All files end their lines as the first one does, with or without a carriage return.
+    """
+    head = spark.read.option("lineSep", "\n").text(path).first()
+    end = "\r\n" if head and head[0].endswith("\r") else "\n"
+    cut = spark.read.option("lineSep", f"{end}{MARK}{end}").text(path).select(F.input_file_name().alias("report"), "value")
+    # a mark that follows another, or begins or ends a file, is still there
+    block = F.regexp_replace("value", r"^(\*\*\*(\r?\n|$))+|\r?\n\*\*\*$", "")
+    return cut.select("report", block.alias("block")).filter(F.trim("block") != "")
 
-def read_entity_report(spark: SparkSession, path: str) -> DataFrame:
+
+def read_entity_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, seq, type, value) of an entity report."""
     lines = F.split("block", r"\r?\n", -1)
     blocks = _blocks(spark, path).select(F.element_at(lines, 1).alias("file"), F.slice(lines, 2, F.size(lines)).alias("rest"))
@@ -39,13 +60,28 @@ def read_entity_report(spark: SparkSession, path: str) -> DataFrame:
     return blocks.filter(F.size("rest") > 1).select("file", F.posexplode(pairs).alias("seq", "pair")).select("file", "seq", "pair.type", "pair.value")
 
 
-def read_value_report(spark: SparkSession, path: str) -> DataFrame:
+def read_value_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(report, file, value) of a per-type report: a block's first line is its file."""
     lines = F.split("block", r"\r?\n", -1)
     rows = _blocks(spark, path).select("report", F.element_at(lines, 1).alias("file"), F.explode(F.slice(lines, 2, F.size(lines))).alias("value"))
     return rows.filter("value <> ''")
 
 
+def write_value_report(entities: DataFrame, path: str) -> None:
+    """A report for each entity type, in folders ``type=...`` below ``path``: (type, file, seq, value) as blocks of a file's values in order."""
+    values = F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda e: F.concat(F.lit("\n"), e["value"]))
+    blocks = entities.groupBy("type", "file").agg(F.concat(F.lit(f"{MARK}\n"), F.first("file"), F.array_join(values, "")).alias("block"))
+    blocks.select("type", "block").write.mode("overwrite").partitionBy("type").text(path)
+
+
+def compare_reports(spark: SparkSession, left: str | list[str], right: str | list[str], path: str) -> None:
+    """Value reports of two extractors, from files to files: what only one side has, by file, in folders ``left`` and ``right`` below ``path``."""
+    from ..operators import compare
+
+    sides = [read_value_report(spark, p).select("file", "value") for p in (left, right)]
+    write_differences(*compare.difference(*sides), path)
+
+
 def write_by_type(entities: DataFrame, path: str) -> None:
     """A folder for each entity type."""
     entities.write.mode("overwrite").partitionBy("type").parquet(path)

@@ -58,7 +58,7 @@ def searched(spark, docs, items, k, **more):
     return sorted(((r.item_id, r["rank"], r.doc_id, r.score) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize(("seed", "k", "block"), [(1, 5, 1024), (2, 50, 4), (3, 1, 1024), (4, 3, 1)])
+@pytest.mark.parametrize(("seed", "k", "block"), [(1, 5, 1024), (2, 50, 5)])
 def test_search_equals_brute_force(spark, monkeypatch, seed, k, block):
     monkeypatch.setattr(ranked_search, "DOCS", 16)  # bounds rise within a task
     docs, items = corpus(seed, 300)
@@ -131,8 +131,7 @@ def brute_manifest(rows):
 ODD = [(1, None, None, None, None), (1, "", "", 0, ""), (None, "a", "en", 3, "x"), (None, "a", "en", 3, "x"), (7, "ü", "é", 5, "日本 🙂"), (-4, "s", "z", 2**63 - 2, "t" * 100_000), (9, "0", "Z", 1, "-")]
 
 
-@pytest.mark.parametrize("rows", [ODD, ODD[:1], [ODD[1], ODD[1]], [(k, "s", "en" if k % 9 else "de", k, f"text {k}") for k in range(333)] + ODD, [(k, None, f"l{k % 70}", None, "") for k in range(100)], [(k, "s", "en", 1, "t") for k in range(64)]])
-@pytest.mark.parametrize("levels", [1, 3, 5])
+@pytest.mark.parametrize(("rows", "levels"), [(ODD, 5), (ODD[:1], 5), ([(k, "s", "en" if k % 9 else "de", k, f"text {k}") for k in range(333)] + ODD, 5), ([(k, None, f"l{k % 70}", None, "") for k in range(100)], 3), ([(k, "s", "en", 1, "t") for k in range(16)] + ODD[:1] * 2, 1)])
 def test_manifest_equals_brute_force(spark, rows, levels):
     df = spark.createDataFrame([(*r, "clash", 1, "x") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, idx string, n int, path string")
     got = merkle.verified(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, levels=levels).collect()

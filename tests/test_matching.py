@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tolparse.operators import spans
+from tolparse import catalog, frames
+from tolparse.operators import compare, entities, nesting, sections, spans, trees
+from tolparse.parsing.engine import compile_grammar
 
 SEGMENTS = "doc_id long, start_off int, end_off int, name string"
 
@@ -47,3 +49,67 @@ def test_a_sweep_shuffles_once_and_joins_nothing(spark):
     a = spark.createDataFrame([(1, 2, 3, "x")], SEGMENTS)
     text = spans.matches(a, a, "overlaps")._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+# Brackets.
+
+KINDS = {"round": ("(", ")"), "square": ("[", "]"), "curly": ("{", "}")}
+
+
+def stack_matched(text):
+    """(open, kind, close, kind, level) of each pair, closer alone and opener alone."""
+    opened, out, low = [], [], 0
+    for k, c in enumerate(text):
+        kind = next((n for n, sides in KINDS.items() if c in sides), None)
+        if kind and c == KINDS[kind][0]:
+            opened.append((k, kind))
+        elif kind and opened:
+            out.append((*opened.pop(), k, kind, low + len(opened)))
+        elif kind:
+            low -= 1
+            out.append((None, None, k, kind, low))
+    return out + [(k, kind, None, None, low + n) for n, (k, kind) in enumerate(opened)]
+
+
+GRAMMAR = "ID : [a-z]+\nROUND : %left '(' %right ')'\nSQUARE : %left '[' %right ']'\nCURLY : %left '{' %right '}'\n\ntext = (ID | Any)*\n\n%%\n%parsing start text"
+
+
+def test_brackets_equal_a_stack(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("()[]{}a") for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(20)]
+    texts += ["(" * 200, ")" * 200, "(" * 100 + "[" * 50 + "]" * 50 + ")" * 100, "( ]", "([)]", "((a)", "a", "){", "()" * 100]
+    rows = [(d, k, c) for d, t in enumerate(texts) for k, c in enumerate(t)]
+    df = spark.createDataFrame(rows + [(0, None, "(")], "doc_id long, tok_idx int, text string")
+    want = sorted(((d, *m) for d, t in enumerate(texts) for m in stack_matched(t)), key=repr)
+    for stretch in (7, 1 << 16):
+        found = nesting.brackets(df, KINDS, stretch=stretch)
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == want
+    errors = {r.doc_id: (r.tok_idx, r.kind, r.expected) for r in nesting.first_errors(found).collect()}
+    parser = compile_grammar(GRAMMAR, "LL")
+    for d, t in enumerate(texts):  # the lexer's own stack stops at the same place
+        seen = [m for m in parser.lexer(t).messages if m.kind == "error"]
+        assert (errors[d][0] if d in errors else None) == (seen[0].offset if seen else None)
+        depths = {x.start: x.depth for x in parser.lexer(t).tokens if x.pair}
+        for _, o, _, c, _, level in (m for m in want if m[0] == d):
+            assert o not in depths or depths[o] == level
+            assert o is None or c not in depths or depths[c] == level + 1
+
+
+# Trees and sections.
+
+
+def test_surplus_of_many_equal_rows(spark):
+    a = spark.range(20_000).select(F.lit("x").alias("v")).unionByName(spark.createDataFrame([("y",)], "v string"))
+    left, right = compare.difference(a, spark.createDataFrame([("x",), ("z",)], "v string"))
+    assert {r.v: r.n for r in left.groupBy("v").agg(F.count("*").alias("n")).collect()} == {"x": 19_999, "y": 1} and [r.v for r in right.collect()] == ["z"]
+
+
+def test_headings_without_text_and_shared_ids(spark):
+    blocks = [(1, 0, "atx_heading", "## a", 0, 3), (1, 1, "text", "t", 4, 5), (1, 2, "atx_heading", None, 6, 7), (1, 3, "setext_heading_2", None, 8, 9), (None, 0, "atx_heading", "# n", 0, 2)]
+    got = sections.sections(spark.createDataFrame(blocks, "doc_id long, seq int, type string, value string, start_off int, end_off int")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 0, None, 1, None, 0, 5), (1, 1, 0, 2, "a", 0, 5), (1, 2, None, 1, None, 6, 9), (1, 3, 2, 2, None, 8, 9), (None, 0, None, 1, "n", 0, 2)], key=repr)
+    docs = spark.createDataFrame([(1, "class A { int x; }"), (1, "class B { }"), (None, "class C { }")], "doc_id long, text string")
+    with pytest.raises(Exception, match="share a doc_id"):
+        entities.select_entities(frames.nodes(docs, catalog.grammar("java")), ["class"]).collect()
+    own = entities.select_entities(frames.nodes(trees.numbered_documents(docs), catalog.grammar("java")), ["class", "field"])
+    assert sorted(r.value for r in own.collect()) == ["A", "B", "C", "x"]

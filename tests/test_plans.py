@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tolparse.plans.queries import QUERIES, geo_tree
+from tolparse.plans.queries import QUERIES, customer_trees
 
 
 def plan(df):
@@ -40,7 +40,7 @@ def test_no_nested_loops(spark, sf_dir, name):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-@pytest.mark.parametrize("name, by_key, tables", [("ghost_splice", 1, 3), ("list_flatten", 1, 3), ("entities_from_nodes", 1, 1), ("section_parents", 1, 1), ("routine_visitor", 9, 1)])
+@pytest.mark.parametrize("name, by_key, tables", [("ghost_splice", 1, 2), ("list_flatten", 1, 2), ("entities_from_nodes", 1, 1), ("section_parents", 1, 1), ("routine_visitor", 9, 1)])
 def test_folds_shuffle_once_and_need_no_action(spark, sf_dir, name, by_key, tables):
     """Building the plan runs no job but those that read tables' schemas; a fold is one shuffle by document over what it is given."""
     status = spark.sparkContext.statusTracker()
@@ -49,11 +49,18 @@ def test_folds_shuffle_once_and_need_no_action(spark, sf_dir, name, by_key, tabl
     assert len(status.getJobIdsForGroup(f"planning {name}")) <= tables
     spark.sparkContext.setJobGroup("tests", "tests")
     text = plan(df)
-    given = exchanges(plan(geo_tree(spark, sf_dir))) if name in ("ghost_splice", "list_flatten") else 0
+    given = exchanges(plan(customer_trees(spark, sf_dir))) if name in ("ghost_splice", "list_flatten") else 0
     assert exchanges(text) - given <= by_key and "NestedLoop" not in text
     assert name == "routine_visitor" or "Join" not in text or given
 
 
+@pytest.mark.parametrize("name", ["leaf_collapse", "ancestor_pairs", "section_hierarchy"])
+def test_trees_and_sections_are_one_fold(spark, sf_dir, name):
+    given = exchanges(plan(customer_trees(spark, sf_dir))) if name != "section_hierarchy" else 0
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert exchanges(text) - given == 1 and "FlatMapGroups" not in text and "SortMergeJoin" not in text.split("MapInArrow")[0]
+
+
 def test_cutting_patterns_moves_no_text(spark, sf_dir):
     assert "Exchange hash" not in (text := plan(QUERIES["exclude_segments"](spark, sf_dir))) and "Arrow" not in text
     moved = re.findall(r"Exchange hashpartitioning\([^\n]*", plan(QUERIES["remap_offsets"](spark, sf_dir)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,8 +38,13 @@ def difference(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]
     counted = lambda df, name: df.select(*columns).groupBy(*columns).agg(F.count("*").alias(name))
     a, b = counted(left, "_a").withColumn("_b", F.lit(0).cast("long")), counted(right, "_b").withColumn("_a", F.lit(0).cast("long"))
     both = a.unionByName(b).groupBy(*columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    rest = lambda x, y: both.filter(F.col(x) > F.col(y)).withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col(x) - F.col(y)))).select(*columns)
-    return rest("_a", "_b"), rest("_b", "_a")
+    return _repeated(both, F.col("_a") - F.col("_b"), columns), _repeated(both, F.col("_b") - F.col("_a"), columns)
+
+
+def _repeated(rows: DataFrame, times: Column, columns: list[str], most: int = 1 << 12) -> DataFrame:
+    """``columns`` of each row so many times; in two steps, so that no array is longer than ``most`` or a surplus's number of such arrays."""
+    parts = rows.withColumn("_n", times).filter("_n > 0").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most))))
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most).cast("long"), F.col("_n") - F.col("_part") * most)))).select(*columns)
 
 
 def by_file(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("type", "doc_id")) -> DataFrame:

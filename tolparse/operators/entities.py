@@ -14,14 +14,22 @@ _BREAKS = re.compile(r"[\n\r\t\f]+")
 
 
 def select_entities(nodes: DataFrame, types: Iterable[str], names: Iterable[str] = ("name",)) -> DataFrame:
-    """(doc_id, seq, type, value) from a ``nodes`` table: nodes by alias or symbol, with their direct name children's text, in one sorted pass."""
+    """(doc_id, seq, type, value) from a ``nodes`` table: nodes by alias or symbol, with their direct name children's text, in one sorted pass.
+
+    Two documents of one id are a ``ValueError``: their nodes cannot be told apart (``trees.numbered_documents`` gives them ids of their own).
+    """
     types, names = frozenset(types), frozenset(names)
 
     def start():
         stack: list[tuple] = []  # open entities (end, id, type, values) and names (end, None, texts, their entity's values), outer ones first
         values_of: dict[int, list[str]] = {}
+        before = -1
 
         def step(node: int | None = None, last: int = -1, parent: int | None = None, kind: str | None = None, alias: str | None = None, symbol: str | None = None, value=()):
+            nonlocal before
+            if node is not None and node <= before:
+                raise ValueError("two documents share a doc_id; number them with trees.numbered_documents first")
+            before = before if node is None else node
             out = []
             while stack and (node is None or stack[-1][0] < node):
                 _, own, first, second = stack.pop()

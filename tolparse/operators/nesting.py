@@ -1,13 +1,15 @@
-"""Nesting depth of tokens in relational form, for pairs that are well formed."""
+"""Nesting of tokens in relational form: depth by windows, and the matching of brackets of several kinds in documents of any length."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from . import folds
+
 
 def with_depth(tokens: DataFrame, left: Iterable[str], right: Iterable[str], column: str = "text") -> DataFrame:
     """Adds ``direction`` and ``depth``: an opener has the outer depth, its contents and closer one more."""
@@ -30,3 +32,74 @@ def unmatched(tokens: DataFrame, left: Iterable[str], right: Iterable[str], colu
     run = F.sum(step).over(W.Window.partitionBy("doc_id").orderBy("tok_idx"))
     low = tokens.select("doc_id", step.alias("step"), run.alias("run")).groupBy("doc_id").agg(F.least(F.min("run"), F.lit(0)).alias("low"), F.sum("step").alias("last"))
     return low.select("doc_id", (-F.col("low")).cast("long").alias("unopened"), (F.col("last") - F.col("low")).cast("long").alias("unclosed"))
+
+
+# Brackets in stretches.
+
+#: Tokens of a stretch: what one fold holds of a document.
+STRETCH = 1 << 16
+
+
+def _of_stretch():
+    """Pairs within a stretch, what is left open or closes what was opened before, and at its end by how much it rises.
+
+    Levels are those of a pair's outside, counted from the stretch's beginning. Any closer closes the innermost opener, of whatever kind.
+    """
+    opened: list[tuple[int, str]] = []
+    low = 0
+
+    def step(tok: int | None = None, kind: str | None = None, up: bool | None = None):
+        nonlocal low
+        if tok is None:
+            return [(at, own, None, None, low + k, None) for k, (at, own) in enumerate(opened)] + [(None, None, None, None, None, low + len(opened))]
+        if not up:
+            opened.append((tok, kind))
+            return ()
+        if opened:
+            at, own = opened.pop()
+            return [(at, own, tok, kind, low + len(opened), None)]
+        low -= 1
+        return [(None, None, tok, kind, low, None)]
+
+    return step
+
+
+def brackets(tokens: DataFrame, pairs: Mapping[str, tuple[Iterable[str], Iterable[str]]], column: str = "text", stretch: int = STRETCH) -> DataFrame:
+    """(doc_id, open_idx, open_kind, close_idx, close_kind, level) for each pair, each closer without opener and each opener without closer.
+
+    ``tokens``: doc_id, tok_idx and ``column``; ``pairs``: the texts that open and close each kind (no text is of two roles). A closer
+    takes the innermost opener; where that is of another kind the two kinds differ, which is an error like a closer without
+    opener (``first_errors``). ``level`` counts the pairs around, so an opener has that depth and its closer one more;
+    behind a closer without opener it is one less.
+
+    An associative reduction: stretches of a document are reduced to their own pairs, to the closers and openers left over, and to
+    their rise. Rises are summed over a document's stretches, and what is left over meets at its level: a stretch leaves
+    at most one closer and one opener at each. So a document of any length is the work of many tasks; none holds more than a
+    stretch's openers. Null ids are an id; repeated ids are one document; tokens without an index are left out.
+    """
+    roles = [(text, name, up) for name, sides in pairs.items() for up, texts in enumerate(sides) for text in texts]
+    lookup = F.create_map(*[x for text, name, up in roles for x in (F.lit(text), F.struct(F.lit(name).alias("kind"), F.lit(bool(up)).alias("up")))])
+    marks = tokens.filter(F.col(column).isin([r[0] for r in roles]) & F.col("tok_idx").isNotNull()).withColumn("_role", lookup[F.col(column)])
+    marks = marks.select(F.struct("doc_id", F.floor(F.col("tok_idx") / stretch).alias("_nr")).alias("_key"), F.col("tok_idx").cast("long").alias("tok_idx"), "_role.kind", "_role.up")
+    found = folds.emitted(marks, "tok_idx", ["tok_idx", "kind", "up"], _of_stretch, "open_idx long, open_kind string, close_idx long, close_kind string, level long, rise long", "_key")
+    before = W.Window.partitionBy("_key.doc_id").orderBy("_key._nr").rowsBetween(W.Window.unboundedPreceding, -1)
+    #: One row of each stretch, so the window below holds no document's tokens.
+    bases = found.filter("rise is not null").select("_key", F.coalesce(F.sum("rise").over(before), F.lit(0)).alias("_base"))
+    bases = bases.select(F.col("_key.doc_id").alias("_doc"), F.col("_key._nr").alias("_of"), "_base")
+    placed = found.filter("rise is null").join(bases, F.col("_key.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key._nr") == F.col("_of")))
+    placed = placed.select("_key.doc_id", "open_idx", "open_kind", "close_idx", "close_kind", (F.col("level") + F.col("_base")).alias("level"))
+    whole = (F.col("open_idx").isNotNull()) & (F.col("close_idx").isNotNull())
+    at_level = W.Window.partitionBy("doc_id", "level").orderBy(F.coalesce("open_idx", "close_idx"))
+    left = placed.filter(~whole)
+    met = left.withColumns({
+        "_open": F.lag("open_idx").over(at_level), "_kind": F.lag("open_kind").over(at_level), "_closed": F.lead("close_idx").over(at_level).isNotNull(),
+    }).filter(F.col("close_idx").isNotNull() | ~F.col("_closed"))
+    met = met.withColumns({"open_idx": F.coalesce("open_idx", "_open"), "open_kind": F.coalesce("open_kind", "_kind")}).select(*placed.columns)
+    return placed.filter(whole).unionByName(met)
+
+
+def first_errors(matched: DataFrame) -> DataFrame:
+    """(doc_id, tok_idx, kind, expected): of ``brackets``, each document's first closer that closes nothing (``expected`` is null) or another kind."""
+    wrong = matched.filter("close_idx is not null and (open_idx is null or open_kind <> close_kind)")
+    first = wrong.groupBy("doc_id").agg(F.min_by(F.struct("close_idx", "close_kind", "open_kind"), "close_idx").alias("e"))
+    return first.select("doc_id", F.col("e.close_idx").alias("tok_idx"), F.col("e.close_kind").alias("kind"), F.col("e.open_kind").alias("expected"))

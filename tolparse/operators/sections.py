@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -13,8 +12,8 @@ SECTIONS = "doc_id long, section_id int, parent_id int, level int, title string,
 
 
 def header_level(kind, value):
-    """Columns to a header's level: ``=`` and ``-`` underlines are 1 and 2, else the number of # (leading blanks don't count)."""
-    marks = F.length(F.regexp_extract(F.ltrim(value), r"^#+", 0))
+    """Columns to a header's level: ``=`` and ``-`` underlines are 1 and 2, else the number of # (leading blanks don't count; 1 where the text is not there)."""
+    marks = F.greatest(F.coalesce(F.length(F.regexp_extract(F.ltrim(value), r"^#+", 0)), F.lit(1)), F.lit(1))
     return F.when(kind == "setext_heading_1", 1).when(kind == "setext_heading_2", 2).when(kind == "atx_heading", marks).otherwise(0).cast("int")
 
 
@@ -44,32 +43,35 @@ def enclosing(headers: DataFrame) -> DataFrame:
 def sections(blocks: DataFrame) -> DataFrame:
     """Nested sections from flat blocks (doc_id, seq, type, value, start_off, end_off); missing levels get sections of their own.
 
-    A section reaches to the end of its last block. One document's headers are held at a time.
+    A section reaches to the end of its last block. One sorted pass holds the sections that are open and gives each as it closes;
+    ids count sections as they begin. A heading without a text is one of level 1 without a title.
     """
 
-    def nest(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("seq")
-        rows: list[list] = []
-        open_: list[int] = []
-        for r in own.itertuples(index=False):
-            if not r.level:
-                for s in open_:
-                    rows[s][6] = r.end_off
-                continue
-            while open_ and rows[open_[-1]][3] >= r.level:
-                open_.pop()
-            level = rows[open_[-1]][3] if open_ else 0
-            while level < r.level:
-                level += 1
-                rows.append([r.doc_id, len(rows), open_[-1] if open_ else None, level, r.value.strip("# \r\n").split("\n")[0] if level == r.level else None, r.start_off, r.end_off])
-                open_.append(len(rows) - 1)
-            for s in open_:
-                rows[s][6] = r.end_off
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in SECTIONS.split(", ")])
-        return out.astype({"parent_id": "Int32"})
+    def start():
+        opened: list[tuple[int, int | None, int, str | None, int]] = []  # id, parent, level, title, first offset
+        nr, end = 0, None
+
+        def step(seq: int | None = None, level: int = 0, value: str | None = None, first: int | None = None, last: int | None = None):
+            nonlocal nr, end
+            if seq is not None and not level:
+                end = last
+                return ()
+            found = []
+            while opened and (seq is None or opened[-1][2] >= level):
+                found.append((*opened.pop(), end))
+            if seq is None:
+                return found
+            title = None if value is None else value.strip("# \r\n").split("\n")[0]
+            for own in range(opened[-1][2] + 1 if opened else 1, level + 1):
+                opened.append((nr, opened[-1][0] if opened else None, own, title if own == level else None, first))
+                nr += 1
+            end = last
+            return found
+
+        return step
 
     leveled = blocks.withColumn("level", header_level(F.col("type"), F.col("value")))
-    return leveled.groupBy("doc_id").applyInPandas(nest, SECTIONS)
+    return folds.emitted(leveled, "seq", ["seq", "level", "value", "start_off", "end_off"], start, SECTIONS.split(", ", 1)[1])
 
 
 def attach_to_routines(parts: DataFrame, header: str = "routine", attached: tuple[str, ...] = ("modifier", "block", "tail")) -> DataFrame:

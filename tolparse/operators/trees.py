@@ -1,8 +1,10 @@
 """Tree rewriting and tree queries on ``nodes`` tables, as relational algebra over the nested-set numbers.
 
 A node's descendants are the rows of its document with ``node_id < id <= last_desc``. What needs a node's ancestors or all that
-is below it comes from one window, or from one fold over the document's sorted rows (``folds``), never from a range join; only
-``ancestors`` gives all pairs, for they are its result.
+is below it comes from one window, or from one fold over the document's sorted rows (``folds``), never from a range join.
+
+A document is told by ``doc_id``, and its rows by ``node_id``: the rows of two documents that share an id, or have none, are taken
+for one document's, so give such documents numbers of their own first (``numbered_documents``).
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import StructType
 
 from . import folds
 
@@ -29,11 +32,29 @@ def drop_subtrees(nodes: DataFrame, marked: Column) -> DataFrame:
     return nodes.withColumn("_below", _marked_below(nodes, marked)).filter(~F.col("_below") & ~F.coalesce(marked, F.lit(False))).drop("_below")
 
 
-def ancestors(nodes: DataFrame, max_level: int | None = None) -> DataFrame:
-    """(doc_id, node_id, ancestor_id) for all pairs, by a join on the document and the nested-set range."""
-    a = nodes.select(DOC, F.col("node_id").alias("ancestor_id"), F.col("last_desc").alias("_last"))
-    d = nodes.select(DOC, "node_id")
-    return d.join(a, DOC).filter((F.col("node_id") > F.col("ancestor_id")) & (F.col("node_id") <= F.col("_last"))).drop("_last")
+def numbered_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` replaced by a number of each row's own, and the old one as ``given_id``: for documents that share ids or have none."""
+    return docs.withColumn("given_id", F.col("doc_id")).withColumn("doc_id", F.monotonically_increasing_id())
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(doc_id, node_id, ancestor_id) for all pairs, from the nodes that are open at each, in one sorted pass."""
+
+    def start():
+        stack: list[tuple[int, int]] = []
+
+        def step(node: int | None = None, last: int = -1):
+            if node is None:
+                return ()
+            while stack and stack[-1][0] < node:
+                stack.pop()
+            found = [(node, own) for _, own in stack]
+            stack.append((last, node))
+            return found
+
+        return step
+
+    return folds.emitted(nodes, "node_id", ["node_id", "last_desc"], start, "node_id int, ancestor_id int", DOC)
 
 
 def _spliced(nodes: DataFrame, above: bool) -> DataFrame:
@@ -82,20 +103,39 @@ def flatten_lists(nodes: DataFrame, symbols: Iterable[str]) -> DataFrame:
 
 
 def collapse_leaves(nodes: DataFrame, symbols: Iterable[str]) -> DataFrame:
-    """Nodes of the given symbols get the token texts below them as their value and lose their descendants; the outermost counts."""
-    leaf = F.col("symbol").isin(list(symbols))
-    flat = nodes.withColumn("_below", _marked_below(nodes, leaf)).withColumn("_leaf", leaf & ~F.col("_below"))
-    before = W.Window.partitionBy(DOC).orderBy("node_id")
-    owner = F.when(F.col("_below") | F.col("_leaf"), F.last(F.when(F.col("_leaf"), F.col("node_id")), ignorenulls=True).over(before))
-    owned = flat.withColumn("_owner", owner)
-    texts = (
-        owned.filter("_owner is not null and size(value) > 0").groupBy(DOC, F.col("_owner").alias("node_id"))
-        .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("node_id", "value"))), lambda x: x["value"])).alias("_texts"))
-    )
-    kept = owned.filter(~F.col("_below")).join(texts, [DOC, "node_id"], "left")
-    value = F.when(F.col("_leaf"), F.coalesce("_texts", F.array().cast("array<string>"))).otherwise(F.col("value"))
-    last = F.when(F.col("_leaf"), F.col("node_id")).otherwise(F.col("last_desc"))
-    return kept.withColumns({"value": value, "last_desc": last}).select(*nodes.columns)
+    """Nodes of the given symbols get the token texts below them as their value and lose their descendants; the outermost counts.
+
+    One sorted pass: only the leaf that is open is held, with its texts.
+    """
+    leaves = frozenset(symbols)
+    out = StructType([f for f in nodes.schema.fields if f.name != DOC])
+    at_value, at_last = out.names.index("value"), out.names.index("last_desc")
+
+    def start():
+        leaf: list | None = None
+
+        def step(node: int | None = None, last: int = -1, symbol: str | None = None, value=(), row: dict | None = None):
+            nonlocal leaf
+            found = []
+            if leaf is not None:
+                if node is not None and node <= leaf[0]:
+                    leaf[1][at_value] += value or []
+                    return ()
+                found.append(leaf[1])
+                leaf = None
+            if node is not None:
+                own = list(row.values())
+                if symbol in leaves:
+                    own[at_value], own[at_last] = list(value or ()), node
+                    leaf = [last, own]
+                else:
+                    found.append(own)
+            return found
+
+        return step
+
+    rows = nodes.withColumn("_row", F.struct(*(F.col(c) for c in out.names)))
+    return folds.emitted(rows, "node_id", ["node_id", "last_desc", "symbol", "value", "_row"], start, out, DOC).select(*nodes.columns)
 
 
 def merge_adjacent(rows: DataFrame, keys: Iterable[str], order: str, is_water: Column, is_empty: Column, value: str = "value", start: str = "start_off", end: str = "end_off") -> DataFrame:

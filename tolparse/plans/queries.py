@@ -171,14 +171,14 @@ def bars() -> Parser:
     return compile_grammar(BARS, "LL")
 
 
-#: The words of every whole turn of the conversations, of which the queries below make code: (doc_id, nr, w).
+#: The words of every whole turn of the conversations, of which the queries below make code: (doc_id, nr, w). Ids are told apart for up to 2 ** 24 turns.
 _TURN_WORDS = """
-    SELECT doc_id, generate_subscripts(ws, 1) AS nr, unnest(ws) AS w FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM conversations)
+    SELECT doc_id, generate_subscripts(ws, 1) AS nr, unnest(ws) AS w FROM (SELECT conv_id * 16777216 + turn AS doc_id, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM conversations)
 """
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    return spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 16777216 + F.col("turn")).alias("doc_id"), "text"))
 
 
 def turn_code(spark: SparkSession, sf_dir: str, piece: Callable, between: str = "") -> DataFrame:
@@ -215,7 +215,7 @@ def tokenize_lines(spark, sf_dir):
 
 @query(r"""
     SELECT doc_id, 0 AS tok_idx, word, length(before)::INT AS start_off, (1 + length(before) - length(replace(before, chr(10), '')))::INT AS start_line, length(regexp_extract(before, '[^\n]*$'))::INT AS start_col
-    FROM (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+') AS word, regexp_extract(text, '^[^A-Za-zÀ-ÖØ-öø-ÿ]*') AS before FROM (SELECT conv_id, turn, chr(10) || ' ' || text AS text FROM conversations)) WHERE word <> ''
+    FROM (SELECT conv_id * 16777216 + turn AS doc_id, regexp_extract(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+') AS word, regexp_extract(text, '^[^A-Za-zÀ-ÖØ-öø-ÿ]*') AS before FROM (SELECT conv_id, turn, chr(10) || ' ' || text AS text FROM conversations)) WHERE word <> ''
 """)
 def first_words(spark, sf_dir):
     """The first word of each turn, with its offset, line and column; each turn is put on a line of its own."""
@@ -276,6 +276,38 @@ def unmatched_brackets(spark, sf_dir):
     return nesting.unmatched(marks, ["("], [")"])
 
 
+_MARKS = """
+    SELECT doc_id * 4294967296 + nr - 1 AS idx, CASE WHEN m IN ('(', ')') THEN 'round' WHEN m IN ('b', 'd') THEN 'b' ELSE 'p' END AS kind, m IN ('(', 'b', 'p') AS opens
+    FROM (SELECT doc_id, generate_subscripts(ms, 1) AS nr, unnest(ms) AS m FROM (SELECT doc_id, regexp_extract_all(text, '[()bdpq]') AS ms FROM documents))
+"""
+_BRACKETS = f"""
+    WITH r AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (ORDER BY idx) - CASE WHEN opens THEN 1 ELSE 0 END AS level FROM ({_MARKS})),
+    b AS (SELECT *, lag(idx) OVER w AS before, lag(kind) OVER w AS kind_before, lag(opens) OVER w AS opens_before, lead(opens) OVER w AS opens_next FROM r WINDOW w AS (PARTITION BY level ORDER BY idx)),
+    m AS (
+        SELECT CASE WHEN opens_before THEN before END AS open_idx, CASE WHEN opens_before THEN kind_before END AS open_kind, idx AS close_idx, kind AS close_kind, level::BIGINT AS level FROM b WHERE NOT opens
+        UNION ALL SELECT idx, kind, NULL, NULL, level::BIGINT FROM b WHERE opens AND coalesce(opens_next, true))
+"""
+_PAIRS = {"round": ("(", ")"), "b": ("b", "d"), "p": ("p", "q")}
+
+
+def _one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets, and letters that look like some, of all documents, as those of one text."""
+    marks = F.posexplode(F.regexp_extract_all("text", F.lit("([()bdpq])"), F.lit(1))).alias("nr", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", marks).select(F.lit(0).alias("doc_id"), (F.col("doc_id") * (1 << 32) + F.col("nr")).alias("tok_idx"), "text")
+
+
+@query(f"{_BRACKETS} SELECT * FROM m")
+def bracket_pairs(spark, sf_dir):
+    """Brackets of three kinds matched over all documents as one text."""
+    return nesting.brackets(_one_text(spark, sf_dir), _PAIRS, stretch=64 << 32).drop("doc_id")
+
+
+@query(f"{_BRACKETS} SELECT min(close_idx) AS tok_idx, min_by(close_kind, close_idx) AS kind, min_by(coalesce(open_kind, ''), close_idx) AS expected FROM m WHERE close_idx IS NOT NULL AND (open_idx IS NULL OR open_kind <> close_kind) HAVING count(*) > 0")
+def first_bracket_error(spark, sf_dir):
+    found = nesting.first_errors(nesting.brackets(_one_text(spark, sf_dir), _PAIRS, stretch=64 << 32))
+    return found.select("tok_idx", "kind", F.coalesce("expected", F.lit("")).alias("expected"))
+
+
 @query("SELECT event_id AS doc_id, event_id % 3 = 0 AS has_error FROM events")
 def pair_errors(spark, sf_dir):
     """A closer without its opener stops the parse: every third event loses its first brace."""
@@ -361,7 +393,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_code(spark, sf_dir, lambda w: F.when(F.length(w) % 3 == 0, "int ;").otherwise(F.concat(F.lit("int "), w, F.lit(";"))), " ")
 
 
-_RECOVERY = f"SELECT conv_id * 1000 + turn AS doc_id, len([w FOR w IN regexp_extract_all(text, '[A-Za-z]+') IF length(w) % 3 = 0])::BIGINT AS recovery_times, false AS has_error FROM conversations"
+_RECOVERY = f"SELECT conv_id * 16777216 + turn AS doc_id, len([w FOR w IN regexp_extract_all(text, '[A-Za-z]+') IF length(w) % 3 = 0])::BIGINT AS recovery_times, false AS has_error FROM conversations"
 
 
 @query(_RECOVERY)
@@ -400,7 +432,7 @@ def rollbacks(spark, sf_dir):
     return frames.stats(turn_code(spark, sf_dir, piece).filter("text <> ''"), groups()).select("doc_id", "recovery_times_any", "longest_rollback")
 
 
-@query("SELECT conv_id * 1000 + turn AS doc_id, len([w FOR w IN regexp_extract_all(text, '[A-Za-z]+') IF length(w) % 3 = 0]) > 0 AS has_error FROM conversations")
+@query("SELECT conv_id * 16777216 + turn AS doc_id, len([w FOR w IN regexp_extract_all(text, '[A-Za-z]+') IF length(w) % 3 = 0]) > 0 AS has_error FROM conversations")
 def water_as_error(spark, sf_dir):
     """Water that counts as an error, though parsing goes on behind it."""
     parser = compile_grammar(CODE.replace("Any ';'", "AnyError ';'"), "LL")
@@ -426,63 +458,63 @@ def water_forms(spark, sf_dir):
     return out
 
 
-# Trees: regions, nations and customers are one, in pre-order.
+# Trees: each customer with the years of their orders and the orders below these, in pre-order.
 
 _TREE = """
     WITH n AS (
-        SELECT r_regionkey AS doc_id, 'region' AS symbol, r_name AS name, -1 AS a, -1::BIGINT AS b FROM region
-        UNION ALL SELECT n_regionkey, 'nation', n_name, n_nationkey, -1 FROM nation
-        UNION ALL SELECT n_regionkey, 'customer', c_name, c_nationkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+        SELECT c_custkey AS doc_id, 'customer' AS symbol, c_name AS name, -1 AS a, -1::BIGINT AS b FROM customer
+        UNION ALL SELECT DISTINCT o_custkey, 'year', year(o_orderdate)::VARCHAR, year(o_orderdate), -1 FROM orders
+        UNION ALL SELECT o_custkey, 'order', 'o' || o_orderkey, year(o_orderdate), o_orderkey FROM orders),
     t AS (
-        SELECT doc_id::BIGINT AS doc_id, symbol, name, a, b, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::INT AS node_id,
-            (CASE symbol WHEN 'region' THEN count(*) OVER (PARTITION BY doc_id) ELSE count(*) OVER (PARTITION BY doc_id, a) END)::INT AS size FROM n),
+        SELECT doc_id, symbol, name, a, b, (row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::INT AS node_id,
+            (CASE symbol WHEN 'customer' THEN count(*) OVER (PARTITION BY doc_id) ELSE count(*) OVER (PARTITION BY doc_id, a) END)::INT AS size FROM n SEMI JOIN customer ON doc_id = c_custkey),
     tree AS (
-        SELECT doc_id, node_id, symbol, name, a, CASE symbol WHEN 'customer' THEN node_id ELSE node_id + size - 1 END AS last_desc,
-            CASE symbol WHEN 'region' THEN NULL WHEN 'nation' THEN 0 ELSE min(node_id) OVER (PARTITION BY doc_id, a) END AS parent_id FROM t)
+        SELECT doc_id, node_id, symbol, name, a, CASE symbol WHEN 'order' THEN node_id ELSE node_id + size - 1 END AS last_desc,
+            CASE symbol WHEN 'customer' THEN NULL WHEN 'year' THEN 0 ELSE min(node_id) OVER (PARTITION BY doc_id, a) END AS parent_id FROM t)
 """
 
 
-def geo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    rows = lambda df, doc, symbol, name, a, b: df.select(F.col(doc).cast("long").alias("doc_id"), F.lit(symbol).alias("symbol"), F.col(name).alias("name"), a.cast("int").alias("a"), b.cast("long").alias("b"))
-    below = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    n = rows(region, "r_regionkey", "region", "r_name", F.lit(-1), F.lit(-1)).unionByName(rows(nation, "n_regionkey", "nation", "n_name", F.col("n_nationkey"), F.lit(-1)))
-    n = n.unionByName(rows(below, "n_regionkey", "customer", "c_name", F.col("c_nationkey"), F.col("c_custkey")))
+def customer_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    orders = orders.join(customers.select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("year"))
+    rows = lambda df, doc, symbol, name, a, b: df.select(F.col(doc).cast("long").alias("doc_id"), F.lit(symbol).alias("symbol"), name.cast("string").alias("name"), a.cast("int").alias("a"), b.cast("long").alias("b"))
+    n = rows(customers, "c_custkey", "customer", F.col("c_name"), F.lit(-1), F.lit(-1)).unionByName(rows(orders.select("o_custkey", "year").distinct(), "o_custkey", "year", F.col("year"), F.col("year"), F.lit(-1)))
+    n = n.unionByName(rows(orders, "o_custkey", "order", F.concat(F.lit("o"), "o_orderkey"), F.col("year"), F.col("o_orderkey")))
     own, group = W.Window.partitionBy("doc_id"), W.Window.partitionBy("doc_id", "a")
     n = n.withColumn("node_id", (F.row_number().over(own.orderBy("a", "b")) - 1).cast("int"))
-    size = F.when(F.col("symbol") == "region", F.count("*").over(own)).otherwise(F.count("*").over(group))
-    n = n.withColumn("last_desc", F.when(F.col("symbol") == "customer", F.col("node_id")).otherwise(F.col("node_id") + size - 1).cast("int"))
-    parent = F.when(F.col("symbol") == "nation", F.lit(0)).when(F.col("symbol") == "customer", F.min("node_id").over(group)).cast("int")
+    size = F.when(F.col("symbol") == "customer", F.count("*").over(own)).otherwise(F.count("*").over(group))
+    n = n.withColumn("last_desc", F.when(F.col("symbol") == "order", F.col("node_id")).otherwise(F.col("node_id") + size - 1).cast("int"))
+    parent = F.when(F.col("symbol") == "year", F.lit(0)).when(F.col("symbol") == "order", F.min("node_id").over(group)).cast("int")
     return n.select("doc_id", "node_id", "last_desc", parent.alias("parent_id"), F.lit(0).alias("child_idx"), "symbol", "name", "a", F.array("name").alias("value"))
 
 
-@query(f"{_TREE} SELECT doc_id, node_id, symbol FROM tree WHERE symbol = 'region' OR a % 2 = 1")
+@query(f"{_TREE} SELECT doc_id, node_id, symbol FROM tree WHERE symbol = 'customer' OR a % 2 = 1")
 def void_subtrees(spark, sf_dir):
-    return trees.drop_subtrees(geo_tree(spark, sf_dir), (F.col("symbol") == "nation") & (F.col("a") % 2 == 0)).select("doc_id", "node_id", "symbol")
+    return trees.drop_subtrees(customer_trees(spark, sf_dir), (F.col("symbol") == "year") & (F.col("a") % 2 == 0)).select("doc_id", "node_id", "symbol")
 
 
-@query(f"""{_TREE} SELECT doc_id, node_id, CASE WHEN symbol = 'region' THEN NULL ELSE 0 END AS parent_id,
-    CASE WHEN symbol = 'region' THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, symbol = 'region' ORDER BY node_id) - 1 END::INT AS child_idx FROM tree WHERE symbol <> 'nation'""")
+@query(f"""{_TREE} SELECT doc_id, node_id, CASE WHEN symbol = 'customer' THEN NULL ELSE 0 END AS parent_id,
+    CASE WHEN symbol = 'customer' THEN 0 ELSE row_number() OVER (PARTITION BY doc_id, symbol = 'customer' ORDER BY node_id) - 1 END::INT AS child_idx FROM tree WHERE symbol <> 'year'""")
 def ghost_splice(spark, sf_dir):
-    return trees.splice(geo_tree(spark, sf_dir), F.col("symbol") == "nation").select("doc_id", "node_id", "parent_id", "child_idx")
+    return trees.splice(customer_trees(spark, sf_dir), F.col("symbol") == "year").select("doc_id", "node_id", "parent_id", "child_idx")
 
 
-@query(f"""{_TREE} SELECT doc_id, node_id, CASE WHEN symbol = 'region' THEN NULL WHEN a % 2 = 0 THEN 0 ELSE parent_id END AS parent_id
-    FROM tree WHERE NOT (symbol = 'nation' AND a % 2 = 0)""")
+@query(f"""{_TREE} SELECT doc_id, node_id, CASE WHEN symbol = 'customer' THEN NULL WHEN a % 2 = 0 AND symbol = 'order' THEN 0 ELSE parent_id END AS parent_id
+    FROM tree WHERE NOT (symbol = 'year' AND a % 2 = 0)""")
 def list_flatten(spark, sf_dir):
-    """Even nations are lists within their region's list."""
-    tree = geo_tree(spark, sf_dir).withColumn("symbol", F.when((F.col("symbol") == "region") | (F.col("symbol") == "nation") & (F.col("a") % 2 == 0), "list").otherwise(F.col("symbol")))
+    """Even years are lists within their customer's list."""
+    tree = customer_trees(spark, sf_dir).withColumn("symbol", F.when((F.col("symbol") == "customer") | (F.col("symbol") == "year") & (F.col("a") % 2 == 0), "list").otherwise(F.col("symbol")))
     return trees.flatten_lists(tree, ["list"]).select("doc_id", "node_id", "parent_id")
 
 
 @query(f"""{_TREE} SELECT doc_id, min(node_id) AS node_id, CASE WHEN a = -1 THEN min(name) ELSE string_agg(name, '' ORDER BY node_id) END AS text FROM tree GROUP BY doc_id, a""")
 def leaf_collapse(spark, sf_dir):
-    return trees.collapse_leaves(geo_tree(spark, sf_dir), ["nation"]).select("doc_id", "node_id", F.array_join("value", "").alias("text"))
+    return trees.collapse_leaves(customer_trees(spark, sf_dir), ["year"]).select("doc_id", "node_id", F.array_join("value", "").alias("text"))
 
 
 @query(f"{_TREE} SELECT d.doc_id, d.node_id, a.node_id AS ancestor_id FROM tree d JOIN tree a ON d.doc_id = a.doc_id AND d.node_id > a.node_id AND d.node_id <= a.last_desc")
 def ancestor_pairs(spark, sf_dir):
-    return trees.ancestors(geo_tree(spark, sf_dir))
+    return trees.ancestors(customer_trees(spark, sf_dir))
 
 
 _LINES = "SELECT doc_id, generate_subscripts(l, 1) - 1 AS nr, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
@@ -922,19 +954,14 @@ def either_case_patterns(spark, sf_dir):
 
 # Second extractors and visitors.
 
-_CODE = """
-    SELECT n_regionkey::BIGINT AS doc_id, 'method' AS type, 'm' || n_nationkey AS value FROM nation
-    UNION ALL SELECT n_regionkey, 'field', 'f' || n_nationkey FROM nation UNION ALL SELECT r_regionkey, 'class', 'C' || r_regionkey FROM region
-"""
+_CODE = " UNION ALL ".join(f"SELECT p_partkey AS doc_id, '{t}' AS type, '{n}' || p_partkey AS value FROM part" for t, n in (("method", "m"), ("field", "f"), ("class", "C")))
 
 
 def java_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A class for each region, with a field and a method for each of its nations, and with what misleads plain patterns."""
-    member = F.concat(F.lit(" /* class X { */ int f"), "n_nationkey", F.lit(' = 1; String m'), "n_nationkey", F.lit('(int a) { call("}", a); }\n'))
-    members = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_nationkey", member.alias("m"))
-    bodies = members.groupBy("r_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "m"))), lambda x: x["m"]), "").alias("body"))
-    text = F.concat(F.lit("public class C"), "r_regionkey", F.lit(" {\n"), "body", F.lit("}\n"))
-    return table(spark, sf_dir, "region").join(bodies, "r_regionkey").select(F.col("r_regionkey").cast("long").alias("doc_id"), text.alias("text"))
+    """A class for each part, with a field and a method, and with what misleads plain patterns."""
+    pieces = ["public class C", " {\n /* class X { */ int f", ' = 1; String m', '(int a) { call("}", a); }\n}\n']
+    text = F.concat(*(x for p in pieces[:-1] for x in (F.lit(p), F.col("p_partkey").cast("string"))), F.lit(pieces[-1]))
+    return spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
 @query(_CODE)
@@ -947,7 +974,7 @@ def java_baseline(spark, sf_dir):
     return baselines.baseline(java_code(spark, sf_dir), "java")
 
 
-@query("SELECT n_regionkey::BIGINT AS doc_id, 'method' AS type, 'x' || n_nationkey AS value FROM nation WHERE n_nationkey % 2 = 0")
+@query("SELECT p_partkey AS doc_id, 'method' AS type, 'x' || p_partkey AS value FROM part WHERE p_partkey % 2 = 0")
 def java_disagreement(spark, sf_dir):
     """What only one of the two extractors finds: calls that plain patterns take for methods."""
     call = F.when(F.col("doc_id") >= 0, F.array_join(F.transform(F.filter(F.regexp_extract_all("text", F.lit(r"m(\d+)\("), F.lit(1)), lambda n: n.cast("int") % 2 == 0), lambda n: F.concat(F.lit("void g"), n, F.lit("() { assert x"), n, F.lit("(); }\n"))), ""))
@@ -973,23 +1000,20 @@ def routine_visitor(spark, sf_dir):
     return counted.select("doc_id", "name", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_routines", F.lit(0)).alias("n_routines"))
 
 
-def _members(spark: SparkSession, sf_dir: str, member, head: str, tail: str) -> DataFrame:
-    """For each nation a piece of code with a member for each of its suppliers."""
-    members = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", member.alias("m"))
-    bodies = members.groupBy("s_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "m"))), lambda x: x["m"]), "").alias("body"))
-    own = table(spark, sf_dir, "nation").join(bodies, F.col("n_nationkey") == F.col("s_nationkey"), "left")
-    return own.select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit(head), "n_nationkey", F.coalesce("body", F.lit("")), F.lit(tail)).alias("text"))
+def _supplier_code(spark: SparkSession, sf_dir: str, pieces: list[str]) -> DataFrame:
+    """A piece of code for each supplier, with their number between the pieces."""
+    text = F.concat(*(x for p in pieces[:-1] for x in (F.lit(p), F.col("s_suppkey").cast("string"))), F.lit(pieces[-1]))
+    return spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
 
 
-_SUPPLIED = "SELECT s_nationkey::BIGINT AS doc_id, '{0}' AS type, '{1}' || s_suppkey AS value FROM supplier"
-_CSHARP = " UNION ALL ".join(["SELECT n_nationkey::BIGINT AS doc_id, 'class' AS type, 'C' || n_nationkey AS value FROM nation", *(_SUPPLIED.format(t, n) for t, n in (("field", "f"), ("property", "P"), ("method", "M"), ("struct", "S")))])
+_SUPPLIED = "SELECT s_suppkey AS doc_id, '{0}' AS type, '{1}' || s_suppkey AS value FROM supplier"
+_CSHARP = " UNION ALL ".join(_SUPPLIED.format(t, n) for t, n in (("class", "C"), ("field", "f"), ("property", "P"), ("method", "M"), ("struct", "S")))
 _CSHARP_TYPES = ["class", "struct", "field", "property", "method"]
 
 
 def csharp_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey").cast("string")
-    parts = ["\n/* class X { */ private readonly int f", key, ' = 1; // struct Y { }\n public string P', key, ' { get; set; }\n internal string M', key, '(int a) { call("}", a); }\n struct S', key, " { }"]
-    return _members(spark, sf_dir, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), "namespace N.M { public sealed class C", "\n} }") .withColumn("text", F.regexp_replace("text", r"^(namespace N.M \{ public sealed class C\d+)", "$1 : Base {"))
+    pieces = ["namespace N.M { public sealed class C", " : Base {\n/* class X { */ private readonly int f", ' = 1; // struct Y { }\n public string P', ' { get; set; }\n internal string M', '(int a) { call("}", a); }\n struct S', " { }\n} }"]
+    return _supplier_code(spark, sf_dir, pieces)
 
 
 @query(_CSHARP)
@@ -1011,9 +1035,8 @@ _PASCAL = " UNION ALL ".join([_SUPPLIED.format("class", "T"), _SUPPLIED.format("
 
 
 def pascal_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey").cast("string")
-    parts = ["\n{ type X = class }\ntype T", key, " = class(TBase)\n private f: integer; // procedure no;\n public procedure R", key, "(a: integer); virtual;\n property P", key, ": integer read f;\n end;\nfunction Q", key, ": string; begin case x of 1: begin y('end'); end; end; end;\n"]
-    return _members(spark, sf_dir, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)), "unit U", "\nend.").withColumn("text", F.regexp_replace("text", r"^(unit U\d+)", "$1; interface uses A;"))
+    pieces = ["unit U; interface uses A;\n{ type X = class }\ntype T", " = class(TBase)\n private f: integer; // procedure no;\n public procedure R", "(a: integer); virtual;\n property P", ": integer read f;\n end;\nfunction Q", ": string; begin case x of 1: begin y('end'); end; end; end;\nend."]
+    return _supplier_code(spark, sf_dir, pieces)
 
 
 @query(_PASCAL)
@@ -1026,25 +1049,22 @@ def pascal_baseline(spark, sf_dir):
     return baselines.baseline(pascal_code(spark, sf_dir), "pascal")
 
 
-@query(f"""
-    SELECT doc_id, '***' || chr(10) || 'nation/' || doc_id || coalesce(string_agg(chr(10) || type || chr(10) || value, '' ORDER BY k), '') AS line FROM (
-        SELECT n_nationkey::BIGINT AS doc_id, type, value, k FROM nation LEFT JOIN (SELECT s_nationkey, 'property' AS type, 'P' || s_suppkey AS value, s_suppkey AS k FROM supplier) ON n_nationkey = s_nationkey) GROUP BY doc_id
-""")
+@query("SELECT s_suppkey AS doc_id, '***' || chr(10) || 'supplier/' || s_suppkey || chr(10) || 'property' || chr(10) || 'P' || s_suppkey AS line FROM supplier")
 def entity_report(spark, sf_dir):
     """The report of a grammar's entities, a block for each file."""
     docs = pascal_code(spark, sf_dir)
     found = frames.entities(docs, catalog.grammar("pascal"), ["property"])
-    return reports.entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")))
+    return reports.entity_report(found, docs.select("doc_id", F.concat(F.lit("supplier/"), "doc_id").alias("path")))
 
 
 @query(f"""
-    WITH f AS ({_CSHARP}) SELECT 'nation/' || doc_id AS file, type, value FROM f
+    WITH f AS ({_CSHARP}) SELECT 'supplier/' || doc_id AS file, type, value FROM f
 """)
 def entity_report_read(spark, sf_dir):
     """A report written for all files and read back."""
     docs, path = csharp_code(spark, sf_dir), shared_folder(spark, "entities")
     found = frames.entities(docs, catalog.grammar("csharp"), _CSHARP_TYPES)
-    reports.write_entity_report(found, docs.select("doc_id", F.concat(F.lit("nation/"), "doc_id").alias("path")), path, "csharp", "nation")
+    reports.write_entity_report(found, docs.select("doc_id", F.concat(F.lit("supplier/"), "doc_id").alias("path")), path, "csharp", "supplier")
     return reports.read_entity_report(spark, path).select("file", "type", "value")
 
 
@@ -1056,7 +1076,7 @@ def by_type_read(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", F.col("type").cast("string").alias("type"), "value")
 
 
-@query(f"SELECT doc_id, n_words::BIGINT AS tokens_count FROM (SELECT conv_id * 1000 + turn AS doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS n_words FROM conversations)")
+@query(f"SELECT doc_id, n_words::BIGINT AS tokens_count FROM (SELECT conv_id * 16777216 + turn AS doc_id, len(regexp_extract_all(text, '[A-Za-zÀ-ÖØ-öø-ÿ]+')) AS n_words FROM conversations)")
 def stats_read(spark, sf_dir):
     """Statistics written as JSON twice, and read back once."""
     path, stats = shared_folder(spark, "stats"), frames.stats(turns(spark, sf_dir), catalog.grammar("words"))
@@ -1078,11 +1098,10 @@ def differences_read(spark, sf_dir):
 def table_functions(spark, sf_dir):
     """A grammar's entities by a table function in SQL."""
     frames.register_functions(spark, "csharp", catalog.grammar("csharp"), ["class", "method"])
-    csharp_code(spark, sf_dir).createOrReplaceTempView("csharp_code")
-    return spark.sql("SELECT d.doc_id, t.type, t.value FROM csharp_code d, LATERAL csharp_entities(d.text) t")
+    return spark.sql("SELECT d.doc_id, t.type, t.value FROM {code} d, LATERAL csharp_entities(d.text) t", code=csharp_code(spark, sf_dir))
 
 
-_WORDS_OF_TURNS = "SELECT conv_id * 1000 + turn AS doc_id, unnest(regexp_extract_all(text, '{0}')) AS value FROM conversations"
+_WORDS_OF_TURNS = "SELECT conv_id * 16777216 + turn AS doc_id, unnest(regexp_extract_all(text, '{0}')) AS value FROM conversations"
 
 
 @query(f"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tolparse import catalog, frames
 from tolparse.operators import compare, entities, nesting, sections, spans, trees
 from tolparse.parsing.engine import compile_grammar
+from tolparse.parsing.lexer import Block, Token
+from tolparse.parsing.tree import Node, insert_blocks
 
 SEGMENTS = "doc_id long, start_off int, end_off int, name string"
 
@@ -113,3 +115,88 @@ def test_headings_without_text_and_shared_ids(spark):
         entities.select_entities(frames.nodes(docs, catalog.grammar("java")), ["class"]).collect()
     own = entities.select_entities(frames.nodes(trees.numbered_documents(docs), catalog.grammar("java")), ["class", "field"])
     assert sorted(r.value for r in own.collect()) == ["A", "B", "C", "x"]
+
+
+# Blocks.
+
+
+def random_tree(rng, first, size, depth):
+    """A tree over [first, first + size), some nodes without a place, and single characters between siblings that are of no node."""
+    node = Node(rng.choice(["a", "b"]))
+    parts, at = [], first
+    while depth and at < first + size:
+        if rng.random() < 0.25:
+            at += 1
+            continue
+        if rng.random() < 0.2:
+            empty = Node("e")
+            if rng.random() < 0.3:
+                empty.adopt([Node("e")])
+            parts.append(empty)
+            continue
+        n = min(rng.randint(1, max(1, size // 2)), first + size - at)
+        parts.append(random_tree(rng, at, n, depth - 1))
+        at += n
+    node.adopt(parts)
+    if not any(c.span() for c in parts):
+        node.place(first, first + size - 1, 1)
+    return node
+
+
+def random_blocks(rng, first, last, depth=2):
+    out, at = [], first
+    while depth and at <= last:
+        a = rng.randint(at, last)
+        z = rng.randint(a, last)
+        if rng.random() < 0.7:
+            edge = lambda s, e: Token("NOTE", "", s, e, 1, 0)
+            out.append(Block(edge(a, a), f"b{a}-{z}", edge(z, z), random_blocks(rng, a + 1, z - 1, depth - 1)))
+        at = z + 1
+    return out
+
+
+def as_block_rows(doc, blocks):
+    todo, out = list(blocks), []
+    while todo:
+        b = todo.pop()
+        out.append((doc, len(out), None, b.name, b.start.start, b.end.end, b.start.end, b.end.start, 1, 1))
+        todo += b.children
+    return out
+
+
+def test_blocks_equal_those_of_the_tree(spark):
+    rng = random.Random(11)
+    node_rows, block_rows, want, bad = [], [], [], []
+    for doc in range(150):
+        size = rng.choice([1, 4, 12, 30])
+        root, blocks = random_tree(rng, 3, size, 3), random_blocks(rng, 0, size + 5)
+        node_rows += list(frames.node_rows(doc, root))
+        block_rows += as_block_rows(doc, blocks)
+        top, messages = insert_blocks(root, blocks)
+        bad += [(doc, m.text) for m in messages]
+        want += list(frames.node_rows(doc, top))
+    nodes = spark.createDataFrame([(*r[:-2], dict(r[-2]), dict(r[-1])) for r in node_rows], frames.NODES)
+    blocks = spark.createDataFrame(block_rows, frames.BLOCKS)
+    got = trees.insert_blocks(nodes, blocks).collect()
+    shown = lambda r: (*r[:7], r[9], r[10], r[11], r[12])
+    assert bad and sorted(map(shown, got), key=repr) == sorted(((*r[:7], r[9], r[10], r[11], r[12]) for r in want), key=repr)
+    assert sorted((r.doc_id, f"the custom block {r.name!r} cuts a node") for r in trees.cutting_blocks(nodes, blocks).collect()) == sorted(bad)
+
+
+def test_blocks_of_parsed_texts(spark):
+    """Nodes of a grammar without custom blocks, with the blocks brought in afterwards, are those of the grammar with them."""
+    begin, end = "\n/// block begin {}\n", "\n/// block end\n"
+    block = lambda name, text: begin.format(name) + text + end
+    texts = [
+        "class A {" + block("x", "int a; int b;") + " int c; }", block("all", "class A { int a; }"), "class A { int a" + block("cut", "; int b; }"), "class A {" + block("o", "int a;" + block("i", "") + "void f() { }") + "}", "", block("e", ""),
+        "class A { void f() {" + block("water", "x();") + "} }" + block("after", "class B { }") + block("last", ""),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with_blocks = catalog.grammar("java")
+    without = compile_grammar(catalog.text("java").split("%customblock")[0], "LL")
+    nodes, blocks = frames.nodes(docs, without), frames.blocks(docs, with_blocks)
+    shown = lambda df: sorted(((r.doc_id, r.node_id, r.last_desc, r.parent_id, r.child_idx, r.level, r.type, r.value) for r in df.collect()), key=repr)
+    assert shown(trees.insert_blocks(nodes, blocks)) == shown(frames.nodes(docs, with_blocks))
+    messages = frames.messages(docs, with_blocks).filter("source = 'blocks'").collect()
+    assert sorted(r.name for r in trees.cutting_blocks(nodes, blocks).collect()) == sorted(m.text.split("'")[1] for m in messages) != []
+    assert trees.insert_blocks(nodes.limit(0), blocks).count() == 0 and trees.insert_blocks(nodes, blocks.limit(0)).count() == nodes.count()

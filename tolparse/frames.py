@@ -30,7 +30,7 @@ NODES = (
 MESSAGES = "doc_id long, seq int, type string, text string, line int, col int, offset int, source string, unexpected_token string, unexpected_lexeme string, expected array<string>"
 STATS = "doc_id long, chars_count long, tokens_count long, recovery_times long, recovery_times_any long, longest_rollback long, general_ms double, recovery_ms double, has_error boolean"
 ENTITIES = "doc_id long, seq int, type string, value string"
-BLOCKS = "doc_id long, block_id int, parent_block_id int, name string, start_off int, end_off int"
+BLOCKS = "doc_id long, block_id int, parent_block_id int, name string, start_off int, end_off int, head_end int, tail_start int, start_line int, end_line int"
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,array<string>>": pa.map_(pa.string(), pa.list_(pa.string()))}
 
@@ -218,14 +218,14 @@ def register_functions(spark: SparkSession, name: str, parser: Parser, types: It
 
 
 def blocks(docs: DataFrame, parser: Parser) -> DataFrame:
-    """Closed custom blocks, outer ones before inner ones."""
+    """Closed custom blocks, outer ones before inner ones; the lexeme that begins one ends at ``head_end``, and the one that ends it begins at ``tail_start``."""
 
     def rows(doc: int, text: str) -> Iterator[tuple]:
         todo: list[tuple[Block, int | None]] = [(b, None) for b in reversed(parser.lexer(text).blocks)]
         nr = 0
         while todo:
             block, parent = todo.pop()
-            yield doc, nr, parent, block.name, block.start.start, block.end.end
+            yield doc, nr, parent, block.name, block.start.start, block.end.end, block.start.end, block.end.start, block.start.line, block.end.line
             todo += [(c, nr) for c in reversed(block.children)]
             nr += 1
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.types import StructType
 
+from ..grammar.model import BLOCK
 from . import folds
+from . import spans as span_matches
 
 DOC = "doc_id"
 
@@ -202,3 +204,183 @@ def spans(nodes: DataFrame) -> DataFrame:
 def water(nodes: DataFrame) -> DataFrame:
     """Segments of all wildcards that matched something."""
     return nodes.filter("symbol = 'Any' and start_off is not null").select(DOC, "node_id", "start_off", "end_off")
+
+
+# Blocks.
+
+
+def cutting_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of ``blocks`` (doc_id, block_id, start_off, end_off, ...) that cannot be nodes: an end of theirs is within a node that they do not hold, or they are within a leaf.
+
+    The root may be cut: blocks before, behind and across its ends come below it. By two plane sweeps (``spans.matches``).
+    """
+    own = blocks.select(DOC, "block_id", "start_off", "end_off")
+    below = nodes.filter("node_id > 0 and start_off is not null").select(DOC, "start_off", "end_off", (F.col("node_id") == F.col("last_desc")).alias("leaf"))
+    across = span_matches.matches(own, below, "overlaps").filter("not (right.start_off <= left.start_off and left.end_off <= right.end_off)").select(DOC, "left.block_id")
+    held = span_matches.matches(below.filter("leaf"), own, "includes").filter("left.start_off <> right.start_off or left.end_off <> right.end_off").select(DOC, "right.block_id")
+    bad = across.unionByName(held).distinct().select(F.col(DOC).alias("_doc"), F.col("block_id").alias("_block"))
+    return blocks.join(bad, F.col(DOC).eqNullSafe(F.col("_doc")) & (F.col("block_id") == F.col("_block")), "left_semi")
+
+
+class _Frame:
+    """An open node or block: its row, its id, its last descendant's old id or its last offset, and how many children it has."""
+
+    __slots__ = ("block", "children", "end", "id", "last", "row", "waiting")
+
+    def __init__(self, row: dict, own: int, last: int | None, end: int | None, block: dict | None):
+        self.row, self.id, self.last, self.end, self.block = row, own, last, end, block
+        self.children, self.waiting = 0, []
+
+
+class _Inserting:
+    """One document's nodes in pre-order, with its blocks opened and closed between them; rows are given as they close."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+        self.blocks: list[dict] = []
+        self.next = self.count = 0
+        self.root, self.hull, self.placed = -1, [], False
+        self.stack: list[_Frame] = []
+        self.out: list[tuple] = []
+
+    def push(self, row: dict, last: int | None, end: int | None, block: dict | None = None) -> None:
+        up = self.stack[-1] if self.stack else None
+        row = row | {"node_id": self.count, "parent_id": up.id if up else None, "child_idx": up.children if up else 0, "level": len(self.stack)}
+        if up:
+            up.children += 1
+        self.stack.append(_Frame(row, self.count, last, end, block))
+        self.count += 1
+
+    def pop(self) -> None:
+        done = self.stack.pop()
+        done.row["last_desc"] = self.count - 1
+        if done.id == self.root and self.hull and (self.placed or done.row["start_off"] is None):  # a root that reaches as far as what is below it
+            own = [x for x in (done.row["start_off"], done.row["end_off"]) if x is not None]
+            done.row |= {"start_off": min([*own, *self.hull]), "end_off": max([*own, *self.hull])}
+        self.out.append(tuple(done.row.get(c) for c in self.columns))
+
+    def edge(self, block: dict, which: str, value: str, start: int, end: int, line: int) -> None:
+        self.push({"symbol": which, "type": which, "value": [value], "start_off": start, "end_off": end, "start_line": line, "options": [], "args": []}, None, None)
+        self.pop()
+
+    def begin(self, b: dict) -> None:
+        if self.stack and self.stack[-1].id == self.root:
+            self.hull += [b["start_off"], b["end_off"]]
+        self.push({"symbol": BLOCK, "type": BLOCK, "value": [], "start_off": b["start_off"], "end_off": b["end_off"], "start_line": b["start_line"], "options": [], "args": []}, None, b["end_off"], b)
+        self.edge(b, f"{BLOCK}_start", b["name"], b["start_off"], b["head_end"], b["start_line"])
+
+    def end_block(self) -> None:
+        b = self.stack[-1].block
+        self.empty_ones(b["end_off"])
+        self.edge(b, f"{BLOCK}_end", "", b["tail_start"], b["end_off"], b["end_line"])
+        self.pop()
+
+    def empty_ones(self, upto: int | None) -> None:
+        """Blocks that end there at the latest, and hold no node: each with those within it."""
+        depth = len(self.stack)
+        while self.next < len(self.blocks) and (upto is None or self.blocks[self.next]["end_off"] <= upto):
+            b = self.blocks[self.next]
+            while len(self.stack) > depth and self.stack[-1].end < b["start_off"]:
+                self.end_block()
+            self.next += 1
+            self.begin(b)
+        while len(self.stack) > depth:
+            self.end_block()
+
+    def unplaced(self, frame: _Frame) -> None:
+        """The nodes without a place that have come below ``frame`` since the last one with a place."""
+        rows, frame.waiting = frame.waiting, []
+        depth = len(self.stack)
+        for node, last, row in rows:
+            while len(self.stack) > depth and self.stack[-1].last < node:
+                self.pop()
+            self.push(row, last, None)
+        while len(self.stack) > depth:
+            self.pop()
+
+    def finish(self) -> None:
+        """Closes the innermost node, and the blocks open within it."""
+        at = max(k for k, f in enumerate(self.stack) if f.block is None)
+        while len(self.stack) > at + 1:
+            self.end_block()
+        frame = self.stack[at]
+        self.unplaced(frame)
+        if frame.id == self.root:
+            self.empty_ones(None)
+        elif frame.end is not None:
+            self.empty_ones(frame.end)
+        self.pop()
+
+    def add(self, node: int, last: int, start: int | None, end: int | None, row: dict) -> None:
+        if not self.count:
+            self.blocks.sort(key=lambda b: (b["start_off"], -b["end_off"]))
+            around = [b for b in self.blocks if start is not None and b["start_off"] <= start and end <= b["end_off"]]
+            self.blocks = [b for b in self.blocks if not any(b is a for a in around)]
+            for b in around:
+                self.begin(b)
+            self.root = self.count
+            self.push(row, last, end)
+            return
+        while True:
+            host = next(f for f in reversed(self.stack) if f.block is None)
+            if host.last >= node:
+                break
+            self.finish()
+        if start is None:
+            host.waiting.append((node, last, row))
+            return
+        self.placed = self.placed or host.id == self.root
+        while self.stack[-1].block is not None and self.stack[-1].end < start:
+            self.end_block()
+        self.unplaced(host)
+        self.empty_ones(start - 1)
+        while self.next < len(self.blocks) and self.blocks[self.next]["start_off"] <= start and end <= self.blocks[self.next]["end_off"]:
+            self.next += 1
+            self.begin(self.blocks[self.next - 1])
+        self.push(row, last, end)
+
+    def close(self) -> None:
+        while self.stack:
+            if self.stack[-1].block is not None and not any(f.block is None for f in self.stack):
+                self.end_block()
+            else:
+                self.finish()
+
+    def given(self) -> list[tuple]:
+        rows, self.out = self.out, []
+        return rows
+
+
+def insert_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``nodes`` with a node for each of ``blocks`` (as ``frames.blocks`` gives them) around the siblings, or the root, that it holds; ids and places are new.
+
+    Blocks that cut a node are left out (``cutting_blocks`` has them). A block that holds nothing comes before the first sibling behind
+    it; one outside the root's segment comes below the root; nodes without a place stay between the same neighbours, outside a block that
+    ends or begins there. Two streams in one sorted pass: a document's blocks are held, and of its nodes those that are open.
+    """
+    bad = cutting_blocks(nodes, blocks).select(F.col(DOC).alias("_doc"), F.col("block_id").alias("_block"))
+    good = blocks.join(bad, F.col(DOC).eqNullSafe(F.col("_doc")) & (F.col("block_id") == F.col("_block")), "left_anti")
+    out = StructType([f for f in nodes.schema.fields if f.name != DOC])
+    edges = ["name", "start_off", "end_off", "head_end", "tail_start", "start_line", "end_line"]
+    block = F.struct(*edges)
+    columns = lambda kind, own, row: [DOC, F.lit(kind).alias("_kind"), own.alias("_block"), row.alias("_row")]
+    both = good.select(*columns(0, block, F.lit(None).cast(out)), F.lit(-1).alias("node_id")).unionByName(
+        nodes.select(*columns(1, F.lit(None).cast(good.select(*edges).schema), F.struct(*(F.col(c) for c in out.names))), "node_id")
+    )
+
+    def start():
+        state = _Inserting(out.names)
+
+        def step(own: dict | None = None, row: dict | None = None):
+            if own is not None:
+                state.blocks.append(own)
+                return ()
+            if row is None:
+                state.close()
+            else:
+                state.add(row["node_id"], row["last_desc"], row["start_off"], row["end_off"], row)
+            return state.given()
+
+        return step
+
+    return folds.emitted(both, "node_id", ["_block", "_row"], start, out, DOC)

@@ -517,6 +517,60 @@ def ancestor_pairs(spark, sf_dir):
     return trees.ancestors(customer_trees(spark, sf_dir))
 
 
+#: Sentences without the white space before them: the leaves of a document's root; its lines are blocks.
+_LEAVES = r"""
+    SELECT doc_id, (s + length(x) - length(regexp_replace(x, '^\s+', '')))::INT AS s, (s + length(x) - 1)::INT AS e FROM (
+        SELECT doc_id, x, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+        FROM (SELECT doc_id, generate_subscripts(t, 1) AS nr, unnest(t) AS x FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*|[.!?]+') AS t FROM documents)))
+    WHERE regexp_replace(x, '^\s+', '') <> ''
+"""
+_LINE_BLOCKS = """
+    SELECT doc_id, s, e, size FROM (
+        SELECT doc_id, (coalesce(sum(length(x) + 1) OVER w, 0))::INT AS s, (coalesce(sum(length(x) + 1) OVER w, 0) + length(x) - 1)::INT AS e, size
+        FROM (SELECT doc_id, length(text) AS size, generate_subscripts(t, 1) AS nr, unnest(t) AS x FROM (SELECT doc_id, text, string_split(text, chr(10)) AS t FROM documents))
+        WINDOW w AS (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE e >= s
+"""
+_CUTTING = f"""
+    SELECT DISTINCT b.doc_id, b.s FROM ({_LINE_BLOCKS}) b JOIN ({_LEAVES}) l ON b.doc_id = l.doc_id AND l.s <= b.e AND l.e >= b.s AND (l.s < b.s OR l.e > b.e)
+"""
+
+
+def _leaves_and_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A tree for each document, the whole text with its sentences below it, and the lines as blocks."""
+    docs = documents(spark, sf_dir).filter("text <> ''")
+    found = preprocess.excluded_by_pattern(docs, r"[^.!?\s][^.!?]*[.!?]*|[.!?]+")
+    own = W.Window.partitionBy("doc_id")
+    leaves = found.withColumn("node_id", F.row_number().over(own.orderBy("start_off")).cast("int"))
+    root = docs.select("doc_id", F.lit(0).alias("start_off"), (F.length("text") - 1).alias("end_off"), F.lit(0).alias("node_id"))
+    both = root.unionByName(leaves).withColumn("last_desc", F.when(F.col("node_id") == 0, (F.count("*").over(own) - 1).cast("int")).otherwise(F.col("node_id")))
+    kind, parent = F.when(F.col("node_id") == 0, "text").otherwise("sentence"), F.when(F.col("node_id") > 0, F.lit(0))
+    nodes = both.select(
+        "doc_id", "node_id", "last_desc", parent.alias("parent_id"), F.greatest(F.col("node_id") - 1, F.lit(0)).alias("child_idx"), F.coalesce(parent + 1, F.lit(0)).alias("level"), kind.alias("symbol"), kind.alias("type"),
+        F.array().cast("array<string>").alias("value"), "start_off", "end_off",
+    )
+    lines = preprocess.excluded_by_pattern(docs, r"[^\n]+")
+    edges = {"block_id": F.col("start_off"), "name": F.lit("line"), "head_end": F.col("start_off"), "tail_start": F.col("end_off"), "start_line": F.lit(1), "end_line": F.lit(1)}
+    return nodes, lines.withColumns(edges)
+
+
+@query(f"""
+    SELECT b.doc_id, b.s AS start_off, CASE WHEN b.s = 0 AND b.e = b.size - 1 THEN 1 ELSE (SELECT count(*) FROM ({_LEAVES}) l WHERE l.doc_id = b.doc_id AND b.s <= l.s AND l.e <= b.e) END AS n
+    FROM ({_LINE_BLOCKS}) b ANTI JOIN ({_CUTTING}) c ON b.doc_id = c.doc_id AND b.s = c.s AND NOT (b.s = 0 AND b.e = b.size - 1)
+""")
+def blocks_inserted(spark, sf_dir):
+    """Lines as nodes around the sentences that they hold (or around the root), and how many."""
+    nodes = trees.insert_blocks(*_leaves_and_blocks(spark, sf_dir))
+    held = nodes.filter(~F.col("symbol").startswith("custom_block")).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
+    blocks = nodes.filter("symbol = 'custom_block'").select("doc_id", "node_id", "start_off")
+    return blocks.join(held, ["doc_id", "node_id"], "left").select("doc_id", "start_off", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"{_CUTTING}".replace("b.doc_id, b.s FROM", "b.doc_id, b.s AS start_off FROM", 1))
+def blocks_that_cut(spark, sf_dir):
+    """Lines that cut a sentence, or stand within one."""
+    return trees.cutting_blocks(*_leaves_and_blocks(spark, sf_dir)).select("doc_id", "start_off")
+
+
 _LINES = "SELECT doc_id, generate_subscripts(l, 1) - 1 AS nr, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
 

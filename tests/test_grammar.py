@@ -102,3 +102,17 @@ def test_lr_expects_what_may_follow_empty_water():
     assert {"B", "C"} <= table.expected(after_a) and "A" not in table.expected(after_a)
     after_water = table.states[after_a].moves["Any"]
     assert {"B", "C"} <= table.expected(after_water)
+
+
+def test_many_grammars_as_documents(spark):
+    from tolparse.operators import grammars
+
+    text = HEAD + "s = x B | Any C\nx = A |\nl = x l | C\n%%\n%parsing start s"
+    docs = spark.createDataFrame([(1, text), (2, "s = = ;"), (3, None), (None, HEAD + "s = A\n%%\n%parsing start s")], "doc_id long, text string")
+    rows = [tuple(r) for r in grammars.analysis(docs).collect()]
+    of = lambda doc, kind: {(r[2], r[3]) for r in rows if r[:2] == (doc, kind)}
+    sets = Sets(read_grammar(text)[0])
+    assert of(1, "first") == {(r, s) for r, own in sets.firsts.items() for s in own - {EMPTY}} and of(1, "follow") == {(r, s) for r, own in sets.follows.items() for s in own}
+    assert of(1, "reachable") == {(r, s) for r, own in sets.terminals_of.items() for s in own} and of(1, "left_recursive") == {("l", "l")}
+    assert any("left-recursive" in t for _, t in of(1, "message")) and of(2, "error") and of(None, "first") == {("s", "A")}
+    assert {r[0] for r in rows} == {1, 2, None} and grammars.analysis(docs.limit(0)).count() == 0

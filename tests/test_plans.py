@@ -15,7 +15,7 @@ def exchanges(text):
     return len(re.findall(r"\bExchange (?:hash|range|Single)", text))
 
 
-@pytest.mark.parametrize("name, columns", [("tokenize_words", {"doc_id", "text"}), ("tag_counts", {"page_id", "html"}), ("pair_depth", {"event_id", "props"}), ("span_relations", {"l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"})])
+@pytest.mark.parametrize("name, columns", [("tokenize_words", {"doc_id", "text"}), ("tag_counts", {"html"}), ("tag_entities", {"page_id", "html"}), ("pair_depth", {"event_id", "props"}), ("span_relations", {"l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"})])
 def test_scans_read_what_is_used(spark, sf_dir, name, columns):
     text = plan(QUERIES[name](spark, sf_dir))
     read = re.findall(r"ReadSchema: struct<([^>]*)>", text)
@@ -58,7 +58,7 @@ def test_folds_shuffle_once_and_need_no_action(spark, sf_dir, name, by_key, tabl
 def test_trees_and_sections_are_one_fold(spark, sf_dir, name):
     given = exchanges(plan(customer_trees(spark, sf_dir))) if name != "section_hierarchy" else 0
     text = plan(QUERIES[name](spark, sf_dir))
-    assert exchanges(text) - given == 1 and "FlatMapGroups" not in text and "SortMergeJoin" not in text.split("MapInArrow")[0]
+    assert exchanges(text) - given <= 1 and "FlatMapGroups" not in text and "SortMergeJoin" not in text.split("MapInArrow")[0]
 
 
 def test_cutting_patterns_moves_no_text(spark, sf_dir):

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .grammar.model import UNDEFINED
+from .parsing import flat
 from .parsing.engine import Parsed, Parser
 from .parsing.lexer import Block
 from .parsing.tree import Node
@@ -64,6 +66,22 @@ def tokens(docs: DataFrame, parser: Parser) -> DataFrame:
     return per_document(docs, rows, TOKENS)
 
 
+def plain_tokens(docs: DataFrame, parser: Parser) -> DataFrame:
+    """(doc_id, tok_idx, name, text) of all tokens, without places and nesting.
+
+    Where the lexer can be written as one expression (``parsing.flat``), Spark's own functions find the tokens and no worker runs.
+    """
+    pattern = flat.expression(parser.lexer)
+    if pattern is None:
+        return tokens(docs, parser).select("doc_id", "tok_idx", "name", "text")
+    text = F.make_valid_utf8(F.col("text").cast("string"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("tok_idx", "text"))
+    name = F.lit(UNDEFINED)
+    for rule, own in reversed(flat.alternatives(parser.lexer)):
+        name = F.when(F.col("text").rlike(flat.name_pattern(own)), rule).otherwise(name)
+    return found.select("doc_id", "tok_idx", name.alias("name"), "text")
+
+
 def node_rows(doc: int, root: Node | None) -> Iterator[tuple]:
     if root is None:
         return

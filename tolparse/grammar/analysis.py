@@ -24,6 +24,7 @@ class Sets:
         while before != (before := sum(map(len, start.values()))):
             for a in alternatives:
                 step(start, a)
+            alternatives.reverse()  # chains of rules in either order are followed in one round
         return {k: frozenset(v) for k, v in start.items()}
 
     def _chain(self, firsts: dict, symbols: Iterable[str], past_water: bool) -> set[str]:

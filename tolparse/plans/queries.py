@@ -11,10 +11,10 @@ from pyspark.sql import window as W
 
 from .. import catalog, frames
 from ..functions import collapse_breaks, cut_out, either_case, enclosed_name, index_of, leading_count
-from ..operators import baselines, batch, compare, entities, nesting, preprocess, sections, spans, trees
+from ..operators import baselines, batch, compare, entities, grammars, nesting, preprocess, sections, spans, trees
 from ..parsing import visitors
 from ..parsing.engine import Parser, compile_grammar
-from ..sources import reports
+from ..sources import files, reports
 from ..sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,7 +199,7 @@ def tokenize_words(spark, sf_dir):
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word")
 def token_counts(spark, sf_dir):
-    found = frames.tokens(documents(spark, sf_dir), catalog.grammar("words"))
+    found = frames.plain_tokens(documents(spark, sf_dir), catalog.grammar("words"))
     return found.groupBy(F.col("text").alias("word")).agg(F.count("*").alias("n"))
 
 
@@ -346,8 +346,8 @@ _TAGS = r"regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script[^>]*>.*?</
     SELECT tag, count(*) AS n FROM (SELECT lower(regexp_extract(t, '^</?([A-Za-z0-9]+)', 1)) AS tag FROM (SELECT unnest({_TAGS}) AS t FROM pages)) GROUP BY tag
 """)
 def tag_counts(spark, sf_dir):
-    nodes = frames.nodes(pages(spark, sf_dir), catalog.grammar("html_tags")).filter(F.col("symbol").isin("open_tag", "close_tag"))
-    return nodes.groupBy(F.lower(F.regexp_extract(F.col("value")[0], "^</?([A-Za-z0-9]+)", 1)).alias("tag")).agg(F.count("*").alias("n"))
+    found = frames.plain_tokens(pages(spark, sf_dir), catalog.grammar("html_tags")).filter(F.col("name").isin("OPEN_TAG", "CLOSE_TAG"))
+    return found.groupBy(F.lower(F.regexp_extract("text", "^</?([A-Za-z0-9]+)", 1)).alias("tag")).agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -838,6 +838,23 @@ def report_pairs(spark, sf_dir):
     return compare.report_pairs(paths)
 
 
+# Files.
+
+
+@query("SELECT doc_id, text FROM documents")
+def files_read(spark, sf_dir):
+    """Documents written as files of five charsets in two levels of folders, and read back by two patterns."""
+    top = shared_folder(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("text", F.lit("\n")).alias("text"))
+    latin = F.col("text").rlike(r"\A[\x00-\x7F\u00A0-\u00FF]*\z")
+    docs = docs.withColumn("charset", F.when((F.col("doc_id") % 5 == 4) & ~latin, 0).otherwise(F.col("doc_id") % 5))
+    for nr, (name, mark, end) in enumerate((("UTF-8", "", "\n"), ("UTF-8", "EFBBBF", "\n"), ("UTF-16LE", "FFFE", "\0"), ("UTF-16BE", "", "\n"), ("ISO-8859-1", "", "\n"))):
+        raw = F.concat(F.unhex(F.lit(mark)), F.encode("text", name))  # the writer itself adds the last byte
+        docs.filter(F.col("charset") == nr).withColumn("raw", raw).select(F.expr("substring(raw, 1, length(raw) - 1)").cast("string").alias("value"), "lang", "doc_id").write.option("lineSep", end).partitionBy("lang", "doc_id").text(f"{top}/{nr}")
+    read = files.read_files(spark, [f"{top}/[0-1]", f"{top}/[2-4]/lang=*"], "*.text, *.txt", fallback="cp1252")
+    return read.select(F.regexp_extract("path", r"/doc_id=(\d+)/", 1).cast("long").alias("doc_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
 # Statistics.
 
 _STATS = f"SELECT doc_id, length(text)::BIGINT AS chars_count, len({_WORDS})::BIGINT AS tokens_count FROM documents"
@@ -926,63 +943,71 @@ def count_by_type(spark, sf_dir):
     return entities.count_by_type(found)
 
 
-# Grammar analysis as data. The SQL derives sentences: all that a leftmost derivation, or any, makes of at most so many symbols.
+# Grammar analysis: a grammar for each turn. Word k is terminal Tk; tk is Tk, or nothing where the word's length is even; rk is tk and the rest, lk is tk lk Tk or Tk.
 
-GRAMMAR = "A : 'a'\nB : 'b'\nC : 'c'\ns = x y C\nx = A x |\ny = B | z\nz = s B |\n%%\n%parsing start s\n"
-_RULES = "(VALUES ('s', 0, 'x'), ('s', 0, 'y'), ('s', 0, 'C'), ('x', 0, 'A'), ('x', 0, 'x'), ('y', 0, 'B'), ('y', 1, 'z'), ('z', 0, 's'), ('z', 0, 'B')) g(rule, alt, symbol)"
-_BODIES = "(VALUES ('s', 'xyC'), ('x', 'Ax'), ('x', ''), ('y', 'B'), ('y', 'z'), ('z', 'sB'), ('z', '')) g(rule, body)"
+_GRAMMAR_WORDS = f"""
+    SELECT doc_id, nr, length(w) % 2 = 0 AS even, count(*) OVER (PARTITION BY doc_id) AS size,
+        min(CASE WHEN length(w) % 2 = 1 THEN nr END) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS solid FROM ({_TURN_WORDS})
+"""
+#: What rk begins with: the terminals up to the first word of odd length; with ``nothing``, whether it may be empty.
+_BEGINS = f"SELECT doc_id, nr, 'T' || unnest(range(nr, coalesce(solid, size) + 1)) AS symbol FROM ({_GRAMMAR_WORDS})"
 
 
-def _sets():
-    from ..grammar.analysis import Sets
-    from ..grammar.dsl import read_grammar
+def turn_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    number = lambda k: (k + 1).cast("string")
+    numbered = lambda *parts: lambda w, k: F.concat(*(number(k) if p is None else p(w, k) if callable(p) else F.lit(p) for p in parts))
+    maybe = lambda w, k: F.when(F.length(w) % 2 == 0, " |").otherwise("")
+    rest = lambda w, k: F.when(k + 1 < F.size(words), F.concat(F.lit(" r"), (k + 2).cast("string"))).otherwise("")
+    pieces = [
+        numbered("T", None, " : 'w", None, "'\n"), numbered("t", None, " = T", None, maybe, "\n"), numbered("r", None, " = t", None, rest, "\n"),
+        numbered("l", None, " = t", None, " l", None, " T", None, " | T", None, "\n"),
+    ]
+    text = F.concat(*(F.array_join(F.transform(words, p), "") for p in pieces), F.lit("%%\n%parsing start r1\n"))
+    return turns(spark, sf_dir).filter(F.col("text").rlike("[A-Za-z]")).withColumn("text", text)
 
-    return Sets(read_grammar(GRAMMAR)[0])
 
+def _sets(spark: SparkSession, sf_dir: str, kind: str, rules: str) -> DataFrame:
+    found = grammars.analysis(turn_grammars(spark, sf_dir), [kind]).filter(F.substring("rule", 1, 1) == rules)
+    return found.select("doc_id", F.expr("cast(substring(rule, 2) as int)").alias("nr"), "symbol", "n")
 
-@query(f"""
-    WITH RECURSIVE r(rule, symbol) AS (SELECT rule, symbol FROM {_RULES} UNION SELECT r.rule, g.symbol FROM r JOIN {_RULES} ON r.symbol = g.rule)
-    SELECT rule, symbol AS terminal FROM r WHERE symbol = upper(symbol)
-""")
-def reachable_symbols(spark, sf_dir):
-    return spark.createDataFrame([(r, t) for r, own in _sets().terminals_of.items() for t in sorted(own)], "rule string, terminal string")
 
-
-_LEFTMOST = f"""d(rule, alternative, form) AS (
-        SELECT rule, body, body FROM {_BODIES} UNION SELECT d.rule, alternative, g.body || substr(d.form, 2) FROM d JOIN {_BODIES} ON d.form[1] = g.rule WHERE length(g.body || substr(d.form, 2)) <= 9)"""
-_FORMS = f"""e(form) AS (
-        SELECT 's$' UNION SELECT substr(form, 1, p - 1) || body || substr(form, p + 1) FROM (SELECT form, unnest(range(1, length(form) + 1)) AS p FROM e) JOIN {_BODIES} ON form[p] = rule WHERE length(form) + length(body) <= 8)"""
-_FOLLOW = "SELECT DISTINCT form[p] AS rule, CASE form[p + 1] WHEN '$' THEN 'EOF' ELSE form[p + 1] END AS terminal FROM (SELECT form, unnest(range(1, length(form))) AS p FROM e) WHERE form[p] <> upper(form[p]) AND form[p + 1] = upper(form[p + 1])"
+@query(f"SELECT doc_id, (size - nr + 1)::BIGINT AS n, nr::INT AS nr FROM ({_GRAMMAR_WORDS})")
+def reachable_symbols(spark, sf_dir):
+    """How many terminals are below each rule."""
+    return _sets(spark, sf_dir, "reachable", "r").groupBy("doc_id", "nr").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {_LEFTMOST} SELECT DISTINCT rule FROM d WHERE form[1] = rule")
+@query(f"SELECT doc_id, nr::INT AS nr FROM ({_GRAMMAR_WORDS}) WHERE even")
 def left_recursion(spark, sf_dir):
     """Rules that can begin with themselves, behind what may be empty."""
-    return spark.createDataFrame([(r,) for r, own in _sets().begins.items() if r in own], "rule string")
+    return _sets(spark, sf_dir, "left_recursive", "l").select("doc_id", "nr")
+
+
+_AFTER = f"""
+    SELECT w.doc_id, w.nr, b.symbol FROM ({_GRAMMAR_WORDS}) w JOIN ({_BEGINS}) b ON w.doc_id = b.doc_id AND b.nr = w.nr + 1
+    UNION ALL SELECT w.doc_id, w.nr, 'EOF' FROM ({_GRAMMAR_WORDS}) w LEFT JOIN ({_GRAMMAR_WORDS}) n ON w.doc_id = n.doc_id AND n.nr = w.nr + 1 WHERE n.solid IS NULL
+    UNION ALL SELECT doc_id, nr, 'T' || nr FROM ({_GRAMMAR_WORDS})
+"""
 
 
 @query(f"""
-    WITH RECURSIVE {_LEFTMOST}, {_FORMS}, f AS ({_FOLLOW})
-    SELECT rule, terminal, count(*) AS n FROM (
-        SELECT DISTINCT rule, alternative, form[1] AS terminal FROM d WHERE form <> '' AND form[1] = upper(form[1]) UNION SELECT d.rule, alternative, f.terminal FROM d JOIN f ON d.rule = f.rule WHERE form = '') GROUP BY ALL
+    SELECT doc_id, nr::INT AS nr, symbol, count(*) AS n FROM (
+        SELECT doc_id, nr, 'T' || nr AS symbol, 1 AS alternative FROM ({_GRAMMAR_WORDS}) UNION SELECT w.doc_id, w.nr, a.symbol, 2 FROM ({_GRAMMAR_WORDS}) w JOIN ({_AFTER}) a ON w.doc_id = a.doc_id AND w.nr = a.nr WHERE even) GROUP BY ALL
 """)
 def ll_table(spark, sf_dir):
-    """How many alternatives each cell of the LL(1) table has."""
-    from ..grammar.dsl import read_grammar
-    from ..grammar.tables import TableLL
-
-    grammar = read_grammar(GRAMMAR)[0]
-    return spark.createDataFrame([(r, t, len(own)) for (r, t), own in TableLL(grammar, _sets()).cells.items()], "rule string, terminal string, n long")
+    """How many alternatives each cell of the LL(1) table has, for rules that may be empty."""
+    return _sets(spark, sf_dir, "ll_cell", "t").withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"WITH RECURSIVE {_LEFTMOST} SELECT DISTINCT rule, form[1] AS terminal FROM d WHERE form[1] = upper(form[1])")
+@query(f"SELECT doc_id, nr::INT AS nr, symbol FROM ({_BEGINS})")
 def first_sets(spark, sf_dir):
-    return spark.createDataFrame([(r, t) for r, own in _sets().firsts.items() for t in sorted(own)], "rule string, terminal string")
+    return _sets(spark, sf_dir, "first", "r").select("doc_id", "nr", "symbol")
 
 
-@query(f"WITH RECURSIVE {_FORMS} {_FOLLOW}")
+@query(f"SELECT DISTINCT doc_id, nr::INT AS nr, symbol FROM ({_AFTER})")
 def follow_sets(spark, sf_dir):
-    return spark.createDataFrame([(r, t) for r, own in _sets().follows.items() for t in sorted(own)], "rule string, terminal string")
+    return _sets(spark, sf_dir, "follow", "t").select("doc_id", "nr", "symbol")
 
 
 # Text functions.

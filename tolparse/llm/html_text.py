@@ -7,12 +7,13 @@ where it dives below ``DIVE``. What lies between a surge and its dive is the tex
 Three things help the distribution:
 
 * Names lower weights. Lines within navigation, footers, asides, forms, or elements whose class, id or role names them a menu,
-  an advert, a notice, a sidebar, reader comments and the like weigh nothing, unless such an element holds most of the text.
+  an advert, a notice, a sidebar, reader comments and the like weigh nothing. Only where all other text is less than a surge does
+  such an element keep its weight, if it holds most of the text.
 * Boxes smooth the edges. A thin line next to a run stays if it stands in the same box (``div``, ``section``, ...) as the run's
   heavy lines, and a run's first or last lines go if they are mostly links or stand in boxes without heavy lines.
 * Marks (``article``, or else ``main``) are one box each. Where marks hold at least half as much as all runs outside them, lines
-  outside weigh nothing, and marks of less than a third of the heaviest one's weight do not count; else marks are ignored. An
-  article within an article is a comment, unless it has half the weight of the outer one.
+  outside weigh nothing; else marks are ignored. Marks of less than a third of the heaviest one's weight do not
+  count, but articles that are siblings of the heaviest one do. An article within an article is a comment, unless it has half the weight of the outer one.
 
 Defined results: null or empty html gives an empty text; a page without any surge gives all lines that weigh something
 (of its marks, if it has any); unclosed comments, scripts and tags reach to the end; unclosed elements end with their
@@ -62,7 +63,7 @@ BOXES = frozenset("article aside body center dialog div fieldset footer form hea
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     rf"|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']*+(?:\"[^\"]*+\"|'[^']*+')?)*?>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)",
@@ -78,11 +79,11 @@ _LAYOUT = frozenset("no has with without hide show".split())
 class _Element:
     """An open element: what it is, and where its lines begin and end (places)."""
 
-    __slots__ = ("begin", "box", "closed", "drop", "end", "holds", "inside", "mark", "name", "nr")
+    __slots__ = ("begin", "box", "closed", "drop", "end", "holds", "inside", "mark", "name", "nr", "parent")
 
     def __init__(self, name: str, nr: int, begin: int, drop: str, mark: str):
         self.name, self.nr, self.begin, self.end, self.drop, self.mark = name, nr, begin, -1, drop, mark
-        self.closed, self.holds, self.inside, self.box = False, 0, 0, nr
+        self.closed, self.holds, self.inside, self.box, self.parent = False, 0, 0, nr, 0
 
 
 class _Line:
@@ -169,8 +170,6 @@ def _blocks(html: str) -> tuple[list[_Line], list[_Element]]:
     for m in _TOKEN.finditer(html):
         text(html[at : m.start()])
         at = m.end()
-        if m["cdata"]:
-            text(m["cdata"])
         name = m["name"] or m["name2"]
         if not name:
             continue
@@ -197,7 +196,7 @@ def _blocks(html: str) -> tuple[list[_Line], list[_Element]]:
         nr += 1
         e = _Element(name, nr, place, drop, mark)
         marks += bool(mark)
-        e.holds, e.inside = marks, opened
+        e.holds, e.inside, e.parent = marks, opened, stack[-1].nr if stack else 0
         opened += bool(mark)
         if name not in BOXES:
             e.box = stack[-1].box if stack else 0
@@ -241,20 +240,24 @@ def _covered(lines: list[_Line], spans: Iterable[tuple[int, int]]) -> list[bool]
 
 
 def _lowered(lines: list[_Line], elements: list[_Element], surge: int) -> list[bool]:
-    """Lines that names say are not the article's; an element of most of the text, if that is a surge, has no such name."""
+    """Lines that names say are not the article's.
+
+    Where no more than these is left, less than a surge, an element of most of the text that is one has no such name: it is all that
+    the page has to say. As long as there is other text, comments and notices stay what they are, however long.
+    """
     marked = _covered(lines, ((e.begin, e.end) for e in elements if e.mark))
     some = any(marked)
     base = [line.weight if on or not some else 0 for line, on in zip(lines, marked, strict=True)]
     held, spans = _Sums(lines, base), []
     for e in elements:
-        if not e.drop or e.drop == "header" and e.inside:
-            continue
-        bulk = surge <= held(e) > held.sums[-1] / 2
-        if e.drop in ("header", "words") and bulk:
-            continue
-        # an element that nothing closes ends with its first block, if it would swallow an article
-        spans.append((e.begin, e.begin + 1 if e.holds and not e.closed else e.end))
-    return _covered(lines, spans)
+        if e.drop and not (e.drop == "header" and e.inside):
+            # an element that nothing closes ends with its first block, if it would swallow an article
+            spans.append((e, e.begin, e.begin + 1 if e.holds and not e.closed else e.end))
+    lowered = _covered(lines, (span[1:] for span in spans))
+    if sum(w for w, off in zip(base, lowered, strict=True) if not off) >= surge:
+        return lowered
+    bulk = lambda e: e.drop in ("header", "words") and surge <= held(e) > held.sums[-1] / 2
+    return _covered(lines, (span[1:] for span in spans if not bulk(span[0])))
 
 
 def _runs(weights: list[int], window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> list[tuple[int, int]]:
@@ -293,8 +296,8 @@ def _region(lines: list[_Line], elements: list[_Element], weights: list[int], ru
         inside, outside = sum(map(held, outer)), sum(in_run) - sum(map(ran, outer))
         if 2 * inside < outside:
             continue
-        heaviest = max(map(held, outer))
-        marks = [e for e in outer if 3 * held(e) >= heaviest]
+        heaviest = max(outer, key=held)
+        marks = [e for e in outer if 3 * held(e) >= held(heaviest) or kind == "article" and e.parent == heaviest.parent]
         region, k = [0] * len(lines), 0
         for n, line in enumerate(lines):
             while k < len(marks) and marks[k].end <= line.place:
@@ -318,13 +321,13 @@ def _comments(elements: list[_Element], lines: list[_Line], weights: list[int])
     return _covered(lines, spans)
 
 
-def _smoothed(lines: list[_Line], boxes: list[int], weights: list[int], free: list[bool], runs: list[tuple[int, int]], surge: int) -> list[bool]:
-    """Lines of the runs, with edges moved to those of their boxes; lines that are not ``free`` are dives of their own."""
+def _smoothed(lines: list[_Line], boxes: list[int], weights: list[int], free: list[bool], runs: list[tuple[int, int]], surge: int, marked: set[int]) -> list[bool]:
+    """Lines of the runs, with edges moved to those of their boxes; lines that are not ``free`` are dives of their own. ``marked`` boxes need no heavy lines."""
     on = [False] * len(lines)
-    heavy: set[int] = set()
+    heavy = set(marked)
     for a, b in runs:
         top = max(weights[a:b])
-        own = {boxes[k] for k in range(a, b) if 2 * weights[k] >= min(surge, top)}
+        own = {boxes[k] for k in range(a, b) if 2 * weights[k] >= min(surge, top)} | marked
         heavy |= own
         while a < b and (not free[a] or lines[a].links() or boxes[a] not in own and not lines[a].heading):
             a += 1
@@ -366,7 +369,7 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE, dive:
         weights = [w if r else 0 for w, r in zip(weights, region, strict=True)]
         boxes, runs = region, _runs(weights, window, surge, dive)
     if runs:
-        on = _smoothed(lines, boxes, weights, free, runs, surge)
+        on = _smoothed(lines, boxes, weights, free, runs, surge, set(region or ()) - {0})
     else:
         on = [x and (w > 0 or region is not None) for x, w in zip(free, weights, strict=True)]
     return "\n".join(line.text for line, taken in zip(lines, on, strict=True) if taken)

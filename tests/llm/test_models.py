@@ -155,6 +155,34 @@ def all_paths(model, seq):
     return total, start / total, move / total, emit / total
 
 
+def test_rows_that_share_an_id_have_lists_of_their_own(spark):
+    """Against all rows: a row's own vector under its own id is no candidate, another row of that id is."""
+    rng = np.random.default_rng(3)
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [1.0, 1.0])]
+    rows += [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 120, 400), rng.standard_normal((400, 2)), strict=True)]
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    x = np.array([v for _, v in distinct])
+    want = []
+    for i, v in distinct:
+        if i % 50 == 0:
+            score = (x @ np.array(v)) / np.linalg.norm(x, axis=1) / np.linalg.norm(v)
+            found = sorted((-round(s, 12), j) for s, (j, w) in zip(score, distinct, strict=True) if (j, w) != (i, v))[:5]
+            want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(found)]
+    got = multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, recall=1.0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 12)) for r in got) == sorted(want)
+
+
+def test_recall_of_the_index_on_more_rows(spark):
+    """At least 0.9 of the true neighbours, over all queries."""
+    sf = "/root/testdata/sf0.01"
+    rows = [r for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(int(ids[q]), int(ids[j])) for q in np.flatnonzero(ids % 50 == 0) for j in [n for n in np.argsort(-(x @ x[q]), kind="stable") if n != q][:5]}
+    got = {(r.query_id, r.vec_id) for r in queries.op3_multi_index(spark, sf).collect()}
+    assert len(got & true) >= 0.9 * len(true)
+
+
 def test_recursions_equal_all_paths():
     rng = np.random.default_rng(3)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)

@@ -118,24 +118,24 @@ def _doubles(column: pa.Array) -> np.ndarray:
 def _block_search(k: int):
     def search(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         """The k + 1 best ids of this block for each of its queries, over the cells that the query visits."""
-        none = pd.DataFrame({"q": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        none = pd.DataFrame({"q": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "own": pd.Series(dtype="bool")})
         if entries.empty or queries.empty:
             return none
         entries = entries.assign(least=[int(x[0]) for x in entries["ids"]]).sort_values(["second", "least"], kind="stable")
         e, q = (np.stack([np.asarray(v, np.float64) for v in f["vector"]]) for f in (entries, queries))
         score = (q @ e.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(e, axis=1)
         seconds, ids, least = entries["second"].to_numpy(), entries["ids"].tolist(), entries["least"].to_numpy()
-        rows = []
-        for n, (query, cells) in enumerate(zip(queries["q"].tolist(), queries["cells"], strict=True)):
+        keys, rows = entries["key"].tolist(), []
+        for n, (query, key, cells) in enumerate(zip(queries["q"].tolist(), queries["key"].tolist(), queries["cells"], strict=True)):
             at = np.flatnonzero(np.isin(seconds, cells))
             if len(at) > 2 * k + 2:  # all that tie with the k + 1st best stay for the exact order
                 own = score[n, at]
                 at = at[own >= np.partition(own, len(own) - k - 1)[len(own) - k - 1]]
             own = score[n, at]
             best = at[np.lexsort((least[at], -own))][: k + 1]
-            found = sorted((-score[n, x], int(i)) for x in best for i in ids[x])[: k + 1]
-            rows += [(query, i, -s) for s, i in found]
-        return pd.DataFrame(rows, columns=["q", "vec_id", "score"]) if rows else none
+            found = sorted((-score[n, x], int(i), keys[x] == key) for x in best for i in ids[x])[: k + 1]
+            rows += [(query, i, -s, own) for s, i, own in found]
+        return pd.DataFrame(rows, columns=["q", "vec_id", "score", "own"]) if rows else none
 
     return search
 
@@ -185,24 +185,27 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
                         first.append(i)
                         seconds.append((cells[cells // counts.shape[1] == i] % counts.shape[1]).astype(np.int32))
                 taken = own.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(first, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], ["q", "vector", "first", "cells"])
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(first, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], ["q", "vector", "key", "first", "cells"])
 
     asks = v.filter("asks").select("id", "key", "vector")
-    questions = written(asks.groupBy("key", "vector").agg(F.min("id").alias("q")).select("q", "vector", "key"), "questions")
-    visits = questions.select("q", "vector").mapInArrow(visit, f"q long, vector {kind}, first int, cells array<int>")
+    # a question is a vector, whatever the ids of the rows that ask it; its number is kept by the table
+    questions = written(asks.select("key", "vector").distinct().select(F.monotonically_increasing_id().alias("q"), "vector", "key"), "questions")
+    visits = written(questions.mapInArrow(visit, f"q long, vector {kind}, key long, first int, cells array<int>"), "visits")
     entry_blocks = np.maximum(1, -(-counts.sum(axis=1) // ENTRY_BLOCK)).tolist()
     query_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
     blocks = F.element_at(F.array(*map(F.lit, entry_blocks)), F.col("first") + 1)  # a number for each of at most 512 centroids
-    dealt = placed.withColumns({"eb": F.pmod(F.xxhash64("key"), blocks).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
-    asked = visits.withColumns({"qb": F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int"), "eb": F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))})
-    group = ["first", "eb", "qb"]
-    found = dealt.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(_block_search(k), "q long, vec_id long, score double")
+    visits = visits.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int"))
+    # cells meet blocks of queries before vectors do: an entry goes to the blocks of which some query visits its cell
+    wanted = visits.select("first", F.explode("cells").alias("second"), F.col("qb").alias("block")).distinct().toDF("first", "second", "block")
+    dealt = placed.join(wanted, ["first", "second"]).withColumn("eb", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    asked = visits.withColumn("eb", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    found = dealt.groupBy("first", "eb", "block").cogroup(asked.groupBy("first", "eb", "qb")).applyInPandas(_block_search(k), "q long, vec_id long, score double, own boolean")
     order = [F.desc("score"), F.asc("vec_id")]
     top = found.withColumn("place", F.row_number().over(W.Window.partitionBy("q").orderBy(*order))).filter(F.col("place") <= k + 1)
-    lists = top.groupBy("q").agg(F.collect_list(F.struct("place", "vec_id", "score")).alias("found"))
+    lists = top.groupBy("q").agg(F.collect_list(F.struct("place", "vec_id", "score", "own")).alias("found"))
     # many queries can have one vector, so they are dealt out: each answer has a copy for each of SALTS parts
     answers = questions.join(lists, "q").select("key", "vector", "found", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = asks.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     answered = salted.join(answers, ["key", "vector", "salt"]).select(F.col("id").alias("query_id"), "found")
-    others = F.slice(F.filter(F.sort_array("found"), lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.slice(F.filter(F.sort_array("found"), lambda x: ~x["own"] | (x["vec_id"] != F.col("query_id"))), 1, k)
     return answered.select("query_id", F.posexplode(others).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))

@@ -315,12 +315,31 @@ def test_ties_and_unknowns(fallback):
             assert all(counter.viterbi(w) == len(tokenizer.encode(w, add_special_tokens=False).ids) for w in words), (pieces, text)
 
 
+BYTES = [f"<0x{b:02X}>" for b in range(256)]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("kind", ["fractions", "eighths", "whole, marks within"])
+def test_any_scores_and_marks(fallback, kind):
+    """Whole texts against an independent unigram tokenizer: fractions that round, eighths that tie, and pieces with marks within."""
+    from tokenizers import Tokenizer, models
+
+    rng = random.Random(f"{kind} {fallback}")
+    score = {"fractions": lambda: -rng.random() * 3, "eighths": lambda: -rng.randrange(1, 24) / 8, "whole, marks within": lambda: float(-rng.randrange(1, 4))}[kind]
+    for _ in range(40):
+        made = {"".join(rng.choice("abcé▁") for _ in range(rng.randrange(1, 5))) for _ in range(14)} | {"▁a"}
+        pieces = [("<unk>", None), *((b, None) for b in BYTES if fallback), *((p, score()) for p in sorted(made))]
+        counter = piece_counts.PieceCounter(pieces, fallback)
+        assert not counter.by_words or not any("▁" in p.lstrip("▁") for p in made)
+        tokenizer = Tokenizer(models.Unigram([(p, 0.0 if s is None else s) for p, s in pieces], unk_id=0, byte_fallback=fallback))
+        for _ in range(25):
+            text = "".join(rng.choice("abcéd ab ") for _ in range(rng.randrange(1, 40)))
+            assert counter(text) == len(tokenizer.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).ids), (pieces, text)
+
+
 def test_piece_count_edge_cases(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "hello world", 5), (3, "hello world", 5)], "doc_id long, text string, n_pieces int")
     path = queries.tokenizer_path("piece_bpe_32k.model")
     assert sorted((r.doc_id, r.n_pieces) for r in piece_counts.piece_counts(df, path).collect())[:2] == [(1, 0), (2, 0)]
     assert piece_counts.piece_counts(df.limit(0), path).count() == 0
-    with pytest.raises(ValueError):
-        piece_counts.PieceCounter([("a", -0.5)], False)
-    with pytest.raises(ValueError):
-        piece_counts.PieceCounter([("a▁b", -1.0)], False)
+    assert piece_counts.PieceCounter([("▁a", -0.5), ("a", -0.5)], False)("a a") == 2 and piece_counts.PieceCounter([("▁a▁b", -1.0)], False)("a b") == 1

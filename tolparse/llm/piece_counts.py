@@ -6,8 +6,10 @@ their beginnings and only a better score replaces what is there, so the longest
 that no piece covers costs the unknown piece, and with byte fallback counts as its UTF-8 bytes; neighbouring unknown
 characters fuse only where there is no byte fallback.
 
-Scores are whole numbers, so sums are exact in any order, and no piece holds the word mark after another character: the
-best path of a text is then that of its words, and a worker computes each word once as long as it remembers it.
+Where scores are whole numbers, sums are exact in any order, and where no piece holds the word mark after another character,
+the best path of a text is that of its words: a worker then computes each word once as long as it remembers it. For any
+other vocabulary, as trained ones with fractions, the path of the whole text is computed, and scores are summed in the tokenizer's
+own order and type (doubles, from the text's beginning), so that roundings and ties are the tokenizer's.
 
 Defined results: null and empty texts have 0 pieces; empty tables give no rows; repeated rows stay rows of their own.
 """
@@ -76,16 +78,13 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float]], int, bool]:
 
 
 class PieceCounter:
-    """Counts by words; ``pieces``: (piece, score), where a piece without score never matches."""
+    """Counts by words where these can be told apart, else by whole texts; ``pieces``: (piece, score), where a piece without score never matches."""
 
     def __init__(self, pieces: list[tuple[str, float | None]], fallback: bool):
         import ahocorasick
 
         scored = {p: s for p, s in pieces if s is not None and p}
-        if any(not float(s).is_integer() for s in scored.values()):
-            raise ValueError("scores must be whole numbers")
-        if any(MARK in p.lstrip(MARK) for p in scored):
-            raise ValueError("a piece holds the word mark after another character")
+        self.by_words = all(float(s).is_integer() for s in scored.values()) and not any(MARK in p.lstrip(MARK) for p in scored)
         self.automaton = ahocorasick.Automaton()
         for p, s in scored.items():
             self.automaton.add_word(p, (len(p), s))
@@ -130,6 +129,8 @@ class PieceCounter:
         """Pieces of a text: blanks become word marks, one is put in front."""
         if not text:
             return 0
+        if not self.by_words:
+            return self.viterbi(MARK + text.replace(" ", MARK))
         total, known = 0, self.known
         for word in _WORD.findall(MARK + text.replace(" ", MARK)):
             n = known.get(word)

@@ -1200,3 +1200,159 @@ def reports_compared(spark, sf_dir):
     reports.compare_reports(spark, pair.first, pair.second, f"{folder}/out")
     side = lambda name: spark.read.parquet(f"{folder}/out/{name}").select(F.lit(name).alias("side"), "file", "value")
     return side("left").unionByName(side("right"))
+
+
+# The other bundled extractors, over a piece of code for each supplier; how often a part comes depends on the supplier's number.
+
+
+def _counted(spark: SparkSession, sf_dir: str, grammar: str, text, types: list[str]) -> DataFrame:
+    """(doc_id, type, n) of what a bundled grammar finds in ``text`` (a column over suppliers); documents with errors would have nothing."""
+    docs = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+    return frames.entities(docs, catalog.grammar(grammar), types).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+
+
+def _times(text: str, modulus: int, more: int = 0):
+    return F.repeat(F.lit(text), (F.col("s_suppkey") % modulus + more).cast("int"))
+
+
+def _counts(**numbers: str) -> str:
+    """SQL for (doc_id, type, n) of suppliers, without types that do not occur; k is the supplier's number."""
+    parts = (f"SELECT k AS doc_id, '{t.rstrip('_')}' AS type, ({n})::BIGINT AS n FROM (SELECT s_suppkey AS k FROM supplier)" for t, n in numbers.items())
+    return f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+@query(_counts(if_="k % 3 + 1", else_="k % 3 + 1", switch="k % 2", label="2 * (k % 2)"))
+def csharp_branch_counts(spark, sf_dir):
+    text = F.concat(_times("a(); if (x) { b(); } else { c(); }\n", 3, 1), _times("switch (y) { case 1: c(); break; default: d(); }\n", 2))
+    return _counted(spark, sf_dir, "csharp_branches", text, ["if", "else", "switch", "label"])
+
+
+@query(_counts(if_="k % 3 + 1", switch="k % 2", section="2 * (k % 2)"))
+def csharp_whole_branch_counts(spark, sf_dir):
+    text = F.concat(_times("a(); if (x) { b(); } else { c(); }\n", 3, 1), _times("switch (y) { case 1: c(); break; default: d(); }\n", 2))
+    return _counted(spark, sf_dir, "csharp_branches_whole", text, ["if", "switch", "section"])
+
+
+@query(_counts(loop="k % 4 + 1", do="1", if_="k % 4", else_="k % 4"))
+def csharp_operator_counts(spark, sf_dir):
+    text = F.concat(_times("for (;;) { if (x) { a(); } else { b(); } }\n", 4), F.lit("do { } while (x);"))
+    return _counted(spark, sf_dir, "csharp_operators_lr", text, ["loop", "do", "if", "else"])
+
+
+@query(_counts(scope="1", type="k % 5 + 1", enum="k % 2"))
+def csharp_member_counts(spark, sf_dir):
+    text = F.concat(F.lit("namespace N { /* class X { */ struct S { }\n"), _times("class C : B { int f = 1; void M() { } }\n", 5), _times("enum E { A }\n", 2), F.lit("}"))
+    return _counted(spark, sf_dir, "csharp_members", text, ["scope", "type", "enum"])
+
+
+@query(_counts(namespace="1", class_="k % 5"))
+def csharp_type_counts(spark, sf_dir):
+    text = F.concat(F.lit("namespace N { /* class X { */\n"), _times("class C : B { int f = 1; void M() { } }\n", 5), F.lit("}"))
+    return _counted(spark, sf_dir, "csharp_types", text, ["namespace", "class"])
+
+
+@query(_CODE)
+def java_lr_entities(spark, sf_dir):
+    return frames.entities(java_code(spark, sf_dir), catalog.grammar("java_lr"), ["class", "method", "field"]).select("doc_id", "type", "value")
+
+
+@query(_counts(class_="1", field="k % 3 + 1", method="k % 2"))
+def java_plain_counts(spark, sf_dir):
+    text = F.concat(F.lit("class C { // int no;\n"), _times("int f;\n", 3, 1), _times("void m(int a) { { x } y }\n", 2), F.lit("}"))
+    return _counted(spark, sf_dir, "java_plain_lr", text, ["class", "field", "method"])
+
+
+@query(_counts(routine="1 + k % 2", if_="k % 3", loop="k % 4"))
+def pascal_statement_counts(spark, sf_dir):
+    inner = F.concat(_times("if x > 1 then begin y := 2 end else z := 3;\n", 3), _times("for i := 1 to 5 do begin Q(i); end;\n", 4))
+    text = F.concat(F.lit("program P; procedure Q(x: real); begin y := 1; end;\n"), _times("function F: real; begin y := 1; end;\n", 2), F.lit("begin\n"), inner, F.lit("end."))
+    return _counted(spark, sf_dir, "pascal_statements", text, ["routine", "if", "loop"])
+
+
+@query(_counts(routine="k % 4 + 1"))
+def pascal_routine_counts(spark, sf_dir):
+    text = F.concat(F.lit("program P; function R: integer; begin z end; // procedure no;\n"), _times("procedure Q(x: real); begin case y of end; end;\n", 4), F.lit("begin end."))
+    return _counted(spark, sf_dir, "pascal_routines", text, ["routine"])
+
+
+@query(_counts(element="k % 7 + 1"))
+def xml_counts(spark, sf_dir):
+    text = F.concat(F.lit("<?xml version='1.0'?><a><!-- <x> -->"), _times("<b c='<'>it's", 7), _times("</b>", 7), F.lit("</a>"))
+    return _counted(spark, sf_dir, "xml", text, ["element"])
+
+
+@query(_counts(class_="1", field="k % 3", method="k % 2", function="1", enum="k % 2"))
+def typescript_counts(spark, sf_dir):
+    text = F.concat(F.lit("export class A<T extends B<C>> {\n"), _times("x: number = 1;\n", 3), _times("get<K>(a: b): c { }\n", 2), F.lit("}\nfunction g(x) { y }\n"), _times("enum E { A }\n", 2))
+    return _counted(spark, sf_dir, "typescript", text, ["class", "field", "method", "function", "enum"])
+
+
+@query(_counts(rule="k % 5 + 1", symbols="2"))
+def yacc_counts(spark, sf_dir):
+    text = F.concat(F.lit("%token <n> A B\n%left '+'\n%%\n"), _times("e : e[x] '+' t { x { y } } | t %prec B ;\n", 5), F.lit("t : A ;\n%%\nrest"))
+    return _counted(spark, sf_dir, "yacc", text, ["rule", "symbols"])
+
+
+@query(_counts(states="1", definition="k % 3", rule="k % 4 + 1", group="1"))
+def lex_counts(spark, sf_dir):
+    text = F.concat(F.lit("%x ST\n"), _times("D   [0-9]\n", 3), F.lit("%%\n"), _times("[a-z]+ { a }\n", 4), F.lit("<ST>abc { b }\n%%\nrest"))
+    return _counted(spark, sf_dir, "lex", text, ["states", "definition", "rule", "group"])
+
+
+@query(_counts(call="k % 5", block="1"))
+def brace_counts(spark, sf_dir):
+    return _counted(spark, sf_dir, "braces_lr", F.concat(_times("call(a b);\n", 5), F.lit("{ b { c } }")), ["call", "block"])
+
+
+@query(_counts(entry="k % 6 + 1", cause="k % 3 + k % 6"))
+def log_counts(spark, sf_dir):
+    """Water after water: entries of a log, with what caused them."""
+    text = F.concat(_times("7:2 info up and down caused by\n", 6), F.lit("8:3 last "), _times("caused by ", 3))
+    return _counted(spark, sf_dir, "consecutive_water", text, ["entry", "cause"])
+
+
+# Preprocessors in a row, grammar messages, spans, rendering.
+
+_CHAIN = "'{$define A}{ note }' || repeat('{$undef A}', (s_suppkey % 2)::INT) || '{$ifdef A}procedure p; begin x; end;{$else}function q: real; begin y; end;{$endif} begin end.'"
+
+
+@query(f"""
+    SELECT s_suppkey AS doc_id, (position(w IN t) - 1)::INT AS start_off FROM (SELECT s_suppkey, {_CHAIN} AS t, CASE s_suppkey % 2 WHEN 0 THEN 'procedure' ELSE 'function' END AS w FROM supplier)
+""")
+def pascal_chain(spark, sf_dir):
+    """Pascal's directives, then its routines with their blocks, by a pipeline of registered preprocessors; places in the whole texts."""
+    docs = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.expr(_CHAIN.replace("::INT", "").replace("(s_suppkey % 2)", "cast(s_suppkey % 2 as int)")).alias("text")))
+    chain = preprocess.pipeline(preprocess.REGISTRY["noop"](), preprocess.REGISTRY["conditional"](catalog.grammar("pascal_directives")))
+    nodes = preprocess.nodes_through(docs, visitors.with_visitors(catalog.grammar("pascal"), visitors.aggregate_routines), chain)
+    return nodes.filter("type = 'routine'").select("doc_id", "start_off")
+
+
+@query(f"SELECT doc_id, 'error' AS kind, count(*) AS n FROM ({_GRAMMAR_WORDS}) WHERE even GROUP BY doc_id")
+def grammar_messages(spark, sf_dir):
+    """What the checks say of each turn's grammar: every rule that can begin with itself."""
+    found = grammars.analysis(turn_grammars(spark, sf_dir), ["message"])
+    return found.groupBy("doc_id", F.col("rule").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, min(s) AS start_off, max(e) AS end_off FROM ({_LEAVES}) GROUP BY doc_id")
+def node_hulls(spark, sf_dir):
+    """The place of a document's root from those of its sentences alone."""
+    nodes = _leaves_and_blocks(spark, sf_dir)[0].withColumns({c: F.when(F.col("node_id") > 0, F.col(c)) for c in ("start_off", "end_off")})
+    return trees.spans(nodes).filter("node_id = 0").select("doc_id", "start_off", "end_off")
+
+
+@query(f"SELECT 'chars_count: ' || sum(chars_count) || '; tokens_count: ' || sum(tokens_count) || '; recovery_times: 0; longest_rollback: 0; recovery_times_any: 0' AS line FROM ({_STATS})")
+def stats_rendered(spark, sf_dir):
+    return entities.render_stats(entities.fold_stats(frames.stats(documents(spark, sf_dir), catalog.grammar("words"))))
+
+
+#: Options of a place in a rule hide all global ones: a pair's first word is a leaf there, its second one is dropped as everywhere.
+_PLACES_OF_WORDS = "WORD : [A-Za-z]+\n\ntext = pair*\npair = %nodes(leaf) word '-' word\nword = WORD letters\nletters = '!'?\n\n%%\n%parsing start text\n%nodes void word"
+
+
+@query(f"SELECT doc_id, w AS first, 1::BIGINT AS n FROM ({_TURN_WORDS})")
+def local_options(spark, sf_dir):
+    """Nodes whose options depend on where they stand."""
+    docs = turn_code(spark, sf_dir, lambda w: F.concat(w, F.lit("! - "), F.lit("x ")))
+    nodes = frames.nodes(docs, compile_grammar(_PLACES_OF_WORDS, "LL")).filter("symbol = 'word'")
+    return nodes.groupBy("doc_id", "node_id").agg(F.regexp_replace(F.array_join(F.first("value"), ""), "!", "").alias("first"), F.count("*").alias("n")).drop("node_id")

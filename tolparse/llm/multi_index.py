@@ -196,8 +196,9 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     blocks = F.element_at(F.array(*map(F.lit, entry_blocks)), F.col("first") + 1)  # a number for each of at most 512 centroids
     visits = visits.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int"))
     # cells meet blocks of queries before vectors do: an entry goes to the blocks of which some query visits its cell
-    wanted = visits.select("first", F.explode("cells").alias("second"), F.col("qb").alias("block")).distinct().toDF("first", "second", "block")
-    dealt = placed.join(wanted, ["first", "second"]).withColumn("eb", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    wanted = visits.groupBy("first", "qb").agg(F.array_distinct(F.flatten(F.collect_set("cells"))).alias("seconds")).toDF("of", "block", "seconds")  # 1,024 queries' cells
+    meets = (F.col("first") == F.col("of")) & F.array_contains("seconds", F.col("second"))
+    dealt = placed.join(wanted, meets).drop("of", "seconds").withColumn("eb", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     asked = visits.withColumn("eb", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     found = dealt.groupBy("first", "eb", "block").cogroup(asked.groupBy("first", "eb", "qb")).applyInPandas(_block_search(k), "q long, vec_id long, score double, own boolean")
     order = [F.desc("score"), F.asc("vec_id")]

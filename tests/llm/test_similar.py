@@ -65,3 +65,18 @@ def test_null_and_repeated_ids(spark, operator):
     rows = [(i, t, "en", "s", 1) for i, t in texts]
     got = sorted(((r.doc_id, r.text) for r in operator.deduplicated(spark.createDataFrame(rows, DOCS)).collect()), key=str)
     assert got == sorted([texts[0], texts[2], texts[4], texts[5]], key=str)
+
+
+def test_a_crowd_of_unlike_texts_makes_few_candidates(spark, monkeypatch):
+    """One shingle in very many texts that share nothing else: no pair of these is looked at."""
+    none = similar.np.array([], similar.np.int64)
+    monkeypatch.setattr(similar, "_frequent", lambda rows: (none, none))  # it may stand anywhere in the order
+    seen = []
+    write = similar.written
+    monkeypatch.setattr(similar, "written", lambda df, name: (out := write(df, name), seen.append((name, out.count())))[0])
+    texts = [f"one passage in all texts a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(600)] + [f"one passage in all texts a{k} b{k} c{k} d{k} e{k} f{k} g" for k in range(10)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    links = {(r.a, r.b) for r in similar.links(rows).collect()}
+    assert links == {(600 + k, k) for k in range(10)}
+    crowded = [n for name, n in seen if name == "similar-crowds"]
+    assert crowded and crowded[0] > 50 and sum(n for name, n in seen if name == "similar-met") <= 10

@@ -5,7 +5,10 @@ share one of the first n - ceil(0.8 n) + 1 of each, so an equality join on these
 sample. Pairs that sizes or positions rule out are left away; the rest are verified on all their shingles' XXH64 values.
 
 A shingle's texts, sorted by size, are paired with the next ``REACH`` each. The nearest ``NEXT`` are verified first; others only
-if these left them in different components, and so are, last, the pairs that are missing where a shingle has more texts.
+if these left them in different components. Where a shingle has more texts, of more than one component, these are told apart by
+what else they share: two similar texts have two common shingles among the first n - ceil(0.8 n) + 2, three among one more,
+and so on, so a crowd is split by pairs, then triples of shingles in their order, up to ``DEEP``; a part of few texts is paired
+whole, and so is what is left of a crowd that shares ``DEEP`` of its first shingles and still is of different components.
 
 Words are as for SimHash: split at ASCII white space, ASCII letters lower-cased. A text of fewer than five words has one
 shingle, all its words; null, empty and blank texts are equal.
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import gone_of_groups, sent, spread, written
 from .simhash import SEED, components
 
-WORDS, REACH, NEXT, SKETCH = 5, 24, 2, 1024
+WORDS, REACH, NEXT, SKETCH, DEEP = 5, 24, 2, 1024, 4
 #: Texts in the sample, occurrences in it that make a shingle frequent, frequent shingles at most.
 _SAMPLE, _OFTEN, _FREQUENT = 4096, 3, 65_536
 
@@ -55,21 +58,26 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
-    """(key, row, n, pos): the first shingles of every text, with their number in all and their place in the order."""
-    often = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+def _ordered(text: str | None, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """A text's shingles in the order for all texts, and how many of the first ones every similar text has one of."""
+    key = hashes(text)
+    n = len(key)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+        key = key[np.argsort(np.where(names[at] == key, counts[at], 0), kind="stable")]
+    return key, n - (4 * n + 4) // 5 + 1
+
+
+def _prefixes(rows: DataFrame, often) -> DataFrame:
+    """(key, row, n, pos): the first shingles of every text, with their number in all and their place in the order; ``often`` is a broadcast of ``_frequent``."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = often.value
         for own in (part.slice(k, 512) for part in parts for k in range(0, part.num_rows, 512)):
             out = []
             for row, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
-                key = hashes(text)
+                key, first = _ordered(text, names, counts)
                 n = len(key)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, key), len(names) - 1)
-                    key = key[np.argsort(np.where(names[at] == key, counts[at], 0), kind="stable")]
-                first = n - (4 * n + 4) // 5 + 1
                 out.append((key[:first], np.full(first, row, np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "row", "n", "pos"])
@@ -186,13 +194,59 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
+def _heads(rows: DataFrame, often) -> DataFrame:
+    """(row, heads): each text's first shingles in their order, with as many more as the parts of a crowd look at."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = often.value
+        for own in (part.slice(k, 512) for part in parts for k in range(0, part.num_rows, 512)):
+            found = [_ordered(t, names, counts) for t in own.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([key[: first + DEEP - 1] for key, first in found], pa.list_(pa.int64()))], ["row", "heads"])
+
+    return rows.mapInArrow(batches, "row long, heads array<long>")
+
+
+def _mixed(crowd: DataFrame) -> DataFrame:
+    """The rows of ``crowd`` (key, row, n, pos, root) whose key has texts of more than one component."""
+    split = crowd.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    return crowd.join(split, "key", "left_semi")
+
+
+def _across_crowds(crowd: DataFrame, rows: DataFrame, often, reach: int) -> DataFrame:
+    """(a, b): pairs of different components that share a crowded shingle, and ever more of their first ones where they are many."""
+    crowd = written(_mixed(crowd), "similar-crowds")
+    heads = written(_heads(rows.select("row", "text").join(sent(crowd.select("row").distinct()), "row", "left_semi"), often), "similar-heads")
+    pairs = None
+    for level in range(2, DEEP + 2):
+        if level > 2:
+            sizes = crowd.groupBy("key").count()
+            few = crowd.join(sizes.filter(F.col("count") <= reach).select("key"), "key", "left_semi") if level <= DEEP else crowd
+            x, y = few.alias("x"), few.alias("y")
+            bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + level - 2  # the last common shingle so far, all behind it, and those before
+            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (9 * bound >= 4 * (F.col("x.n") + F.col("y.n"))))
+            met = written(met.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "similar-met")
+            pairs = met if pairs is None else pairs.unionByName(met)
+            if level > DEEP:
+                break
+            crowd = crowd.join(sizes.filter(F.col("count") > reach).select("key"), "key", "left_semi")
+        # the next common shingle is behind the last one, among one more of the first ones than before
+        upto = F.col("n") - F.expr("(4 * n + 4) div 5") + level
+        later = crowd.join(heads, "row").withColumn("pos", F.explode(F.when(F.col("pos") + 1 < F.least(upto, F.col("n")), F.sequence(F.col("pos") + 1, (F.least(upto, F.col("n")) - 1).cast("int")))))
+        later = later.select(F.xxhash64("key", F.get("heads", F.col("pos"))).alias("key"), "row", "n", "pos", "root")
+        crowd = written(_mixed(later), "similar-crowds")
+        if crowd.isEmpty():
+            break
+    return pairs if pairs is not None else rows.sparkSession.createDataFrame([], "a long, b long")
+
+
 def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
     """(a, b) links between similar rows of ``rows`` (row, text) that join every pair of similar rows, over others at times.
 
     A key's neighbours are verified first, then pairs further apart that are not joined yet, and last those beyond the reach.
     """
     sketches = written(spread(rows.select("row", "text")).mapInArrow(_sketches, "row long, n long, narrow binary, wide binary"), "similar-sketches")
-    keyed = _prefixes(rows).repartition(F.col("key")).sortWithinPartitions("key", "n", "row")
+    often = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+    keyed = _prefixes(rows, often).repartition(F.col("key")).sortWithinPartitions("key", "n", "row")
     found = written(keyed.mapInArrow(_pairs(reach), "a long, b long, step int, key long, n int, pos int"), "similar-pairs")
     pairs = written(found.filter("b is not null").groupBy("a", "b").agg(F.min("step").alias("step")), "candidates")
     linked = _verified(pairs.filter(F.col("step") <= NEXT).select("a", "b"), rows, sketches)
@@ -203,12 +257,7 @@ def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
         return linked
     roots = components(linked)
     crowd = crowd.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
-    split = crowd.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    crowd = written(crowd.join(split, "key", "left_semi"), "similar-crowds")
-    x, y = crowd.alias("x"), crowd.alias("y")
-    bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (9 * bound >= 4 * (F.col("x.n") + F.col("y.n"))))
-    return linked.unionByName(_verified(written(across.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "candidates"), rows, sketches))
+    return linked.unionByName(_verified(written(_across_crowds(crowd, rows, often, reach).distinct(), "candidates"), rows, sketches))
 
 
 def duplicates(rows: DataFrame, reach: int = REACH) -> DataFrame:

@@ -74,7 +74,8 @@ def test_a_crowd_of_unlike_texts_makes_few_candidates(spark, monkeypatch):
     seen = []
     write = similar.written
     monkeypatch.setattr(similar, "written", lambda df, name: (out := write(df, name), seen.append((name, out.count())))[0])
-    texts = [f"one passage in all texts a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(600)] + [f"one passage in all texts a{k} b{k} c{k} d{k} e{k} f{k} g" for k in range(10)]
+    passage = next(p for j in range(999) if similar.hashes(p := f"one passage in all {j}")[0] < -8 * 10**18)  # among the first in the order of hashes
+    texts = [f"{passage} a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(600)] + [f"{passage} a{k} b{k} c{k} d{k} e{k} f{k} g" for k in range(10)]
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     links = {(r.a, r.b) for r in similar.links(rows).collect()}
     assert links == {(600 + k, k) for k in range(10)}

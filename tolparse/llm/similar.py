@@ -5,10 +5,9 @@ share one of the first n - ceil(0.8 n) + 1 of each, so an equality join on these
 sample. Pairs that sizes or positions rule out are left away; the rest are verified on all their shingles' XXH64 values.
 
 A shingle's texts, sorted by size, are paired with the next ``REACH`` each. The nearest ``NEXT`` are verified first; others only
-if these left them in different components. Where a shingle has more texts, of more than one component, these are told apart by
-what else they share: two similar texts have two common shingles among the first n - ceil(0.8 n) + 2, three among one more,
-and so on, so a crowd is split by pairs, then triples of shingles in their order, up to ``DEEP``; a part of few texts is paired
-whole, and so is what is left of a crowd that shares ``DEEP`` of its first shingles and still is of different components.
+if these left them in different components, and so are, last, the pairs that are missing where a shingle has more texts. Where it has
+more than ``PART``, its texts have to share another one for that: two similar texts have two common shingles among the first
+n - ceil(0.8 n) + 2 of each. So very many texts that have one shingle in common make no pairs; those that share two are paired.
 
 Words are as for SimHash: split at ASCII white space, ASCII letters lower-cased. A text of fewer than five words has one
 shingle, all its words; null, empty and blank texts are equal.
@@ -17,6 +16,7 @@ shingle, all its words; null, empty and blank texts are equal.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import gone_of_groups, sent, spread, written
 from .simhash import SEED, components
 
-WORDS, REACH, NEXT, SKETCH, DEEP = 5, 24, 2, 1024, 4
+WORDS, REACH, NEXT, SKETCH, PART = 5, 24, 2, 1024, 512
 #: Texts in the sample, occurrences in it that make a shingle frequent, frequent shingles at most.
 _SAMPLE, _OFTEN, _FREQUENT = 4096, 3, 65_536
 
@@ -195,13 +195,13 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _heads(rows: DataFrame, often) -> DataFrame:
-    """(row, heads): each text's first shingles in their order, with as many more as the parts of a crowd look at."""
+    """(row, heads): each text's first shingles in their order, of which every similar text has two."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = often.value
         for own in (part.slice(k, 512) for part in parts for k in range(0, part.num_rows, 512)):
             found = [_ordered(t, names, counts) for t in own.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([key[: first + DEEP - 1] for key, first in found], pa.list_(pa.int64()))], ["row", "heads"])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([key[: first + 1] for key, first in found], pa.list_(pa.int64()))], ["row", "heads"])
 
     return rows.mapInArrow(batches, "row long, heads array<long>")
 
@@ -212,34 +212,33 @@ def _mixed(crowd: DataFrame) -> DataFrame:
     return crowd.join(split, "key", "left_semi")
 
 
-def _across_crowds(crowd: DataFrame, rows: DataFrame, often, reach: int) -> DataFrame:
-    """(a, b): pairs of different components that share a crowded shingle, and ever more of their first ones where they are many."""
-    crowd = written(_mixed(crowd), "similar-crowds")
-    heads = written(_heads(rows.select("row", "text").join(sent(crowd.select("row").distinct()), "row", "left_semi"), often), "similar-heads")
-    pairs = None
-    for level in range(2, DEEP + 2):
-        if level > 2:
-            sizes = crowd.groupBy("key").count()
-            few = crowd.join(sizes.filter(F.col("count") <= reach).select("key"), "key", "left_semi") if level <= DEEP else crowd
-            x, y = few.alias("x"), few.alias("y")
-            bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + level - 2  # the last common shingle so far, all behind it, and those before
-            met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (9 * bound >= 4 * (F.col("x.n") + F.col("y.n"))))
-            met = written(met.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct(), "similar-met")
-            pairs = met if pairs is None else pairs.unionByName(met)
-            if level > DEEP:
-                break
-            crowd = crowd.join(sizes.filter(F.col("count") > reach).select("key"), "key", "left_semi")
-        # the next common shingle is behind the last one, among one more of the first ones than before
-        upto = F.col("n") - F.expr("(4 * n + 4) div 5") + level
-        later = crowd.join(heads, "row").withColumn("pos", F.explode(F.when(F.col("pos") + 1 < F.least(upto, F.col("n")), F.sequence(F.col("pos") + 1, (F.least(upto, F.col("n")) - 1).cast("int")))))
-        later = later.select(F.xxhash64("key", F.get("heads", F.col("pos"))).alias("key"), "row", "n", "pos", "root")
-        crowd = written(_mixed(later), "similar-crowds")
-        if crowd.isEmpty():
-            break
-    return pairs if pairs is not None else rows.sparkSession.createDataFrame([], "a long, b long")
-
-
-def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
+def _across_crowds(crowd: DataFrame, rows: DataFrame, often, part: int) -> DataFrame:
+    """(a, b): pairs of different components that share a crowded shingle, and another one where these are more than ``part``."""
+    crowd, found = written(_mixed(crowd), "similar-crowds"), []
+
+    def paired(few: DataFrame, level: int) -> None:
+        x, y = few.alias("x"), few.alias("y")
+        bound = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + level - 1  # the last common shingle so far, all behind it, and those before
+        possible = 9 * bound >= 4 * (F.col("x.n") + F.col("y.n"))
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.row") > F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & possible)
+        found.append(met.select(F.col("x.row").alias("a"), F.col("y.row").alias("b")))
+
+    sizes = crowd.groupBy("key").count()
+    many = written(sizes.filter(F.col("count") > part).select("key"), "similar-many")
+    if many.isEmpty():
+        paired(crowd, 1)
+    else:
+        paired(crowd.join(many, "key", "left_anti"), 1)
+        crowd = crowd.join(many, "key", "left_semi")
+        heads = _heads(rows.select("row", "text").join(sent(written(crowd.select("row").distinct(), "similar-rows")), "row", "left_semi"), often)
+        # the second common shingle is behind the first, among one more of the first ones
+        last = F.least(F.col("n") - F.expr("(4 * n + 4) div 5") + 2, F.col("n")) - 1
+        later = crowd.join(heads, "row").withColumn("pos", F.explode(F.when(F.col("pos") < last, F.sequence(F.col("pos") + 1, last.cast("int")))))
+        paired(written(_mixed(written(later.select(F.xxhash64("key", F.get("heads", F.col("pos"))).alias("key"), "row", "n", "pos", "root"), "similar-second")), "similar-crowds"), 2)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def links(rows: DataFrame, reach: int = REACH, part: int = PART) -> DataFrame:
     """(a, b) links between similar rows of ``rows`` (row, text) that join every pair of similar rows, over others at times.
 
     A key's neighbours are verified first, then pairs further apart that are not joined yet, and last those beyond the reach.
@@ -257,7 +256,7 @@ def links(rows: DataFrame, reach: int = REACH) -> DataFrame:
         return linked
     roots = components(linked)
     crowd = crowd.join(roots.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "n", "pos", F.coalesce("root", "row").alias("root"))
-    return linked.unionByName(_verified(written(_across_crowds(crowd, rows, often, reach).distinct(), "candidates"), rows, sketches))
+    return linked.unionByName(_verified(written(_across_crowds(crowd, rows, often, part), "candidates"), rows, sketches))
 
 
 def duplicates(rows: DataFrame, reach: int = REACH) -> DataFrame:

@@ -38,6 +38,12 @@ def test_urls(spark):
         url_filter.filter_urls(df, queries.URL_RULES, max_bytes=7)
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(["http://x.com/en/1", "http://example.com/en/7", "http://x.net/de/9", "http://example.net/de/8", "http://x.org/es/"])), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.rule: r.verdict for r in queries.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
 def test_cascade_is_exact(spark):
     universe = [f"key{i}" for i in range(6000)]
     listed = random.Random(1).sample(universe, 400) + ["unseen"]

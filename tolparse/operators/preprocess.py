@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..frames import messages, nodes, per_document
+from ..frames import GARBAGE, messages, nodes, per_document
 from ..parsing.engine import Parser
 from ..parsing.tree import Node
 
@@ -143,6 +144,7 @@ def cut(docs: DataFrame, find: Callable[[str], Iterable[tuple[int, int]]]) -> Da
         return "".join([*parts, text[begin:]]), [{"start_off": s, "end_off": e} for s, e in cuts], None
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(GARBAGE, 20, 100)
         for part in parts:
             for k in range(0, part.num_rows, 256):
                 own = part.slice(k, 256)

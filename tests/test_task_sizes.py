@@ -5,11 +5,17 @@ from tolparse.plans import queries
 
 
 def test_larger_tables_make_more_tasks_not_longer_ones(spark, tmp_path):
-    """Before, a table in few files was dealt out to as many tasks as there are cores, however large."""
+    """Before, a scan of as many partitions as cores was read as it was, however long the work on each of its rows."""
     rows = spark.range(40_000).select(F.col("id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("a bc").alias("text"))
     rows.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
-    sizes = [r["count"] for r in queries.turns(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(sizes) == 40_000 and max(sizes) <= 2 * 2048
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        sizes = [r["count"] for r in queries.turns(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sum(sizes) == 40_000 and max(sizes) <= 1000
 
 
 def test_counts_of_terminals_below(spark):

@@ -116,3 +116,27 @@ def test_many_grammars_as_documents(spark):
     assert of(1, "reachable") == {(r, s) for r, own in sets.terminals_of.items() for s in own} and of(1, "left_recursive") == {("l", "l")}
     assert any("left-recursive" in t for _, t in of(1, "message")) and of(2, "error") and of(None, "first") == {("s", "A")}
     assert {r[0] for r in rows} == {1, 2, None} and grammars.analysis(docs.limit(0)).count() == 0
+
+
+def test_words_are_searched_once_a_text(spark, sf_dir):
+    """Within a piece of a grammar's text, the turn's words must not be searched again for each word."""
+    from tolparse.plans.queries import turn_grammars
+
+    optimized = turn_grammars(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp_extract_all" not in line for line in optimized.split("\n") if "lambda" in line)
+
+
+def test_only_wanted_rules_leave_the_workers(spark):
+    from tolparse.operators import grammars
+
+    docs = spark.createDataFrame([(1, HEAD + "s = x B\nx = A |\n%%\n%parsing start s")], "doc_id long, text string")
+    got = {(r.kind, r.rule, r.symbol) for r in grammars.analysis(docs, ["first", "ll_cell"], only=lambda rule: rule == "x").collect()}
+    assert got == {("first", "x", "A"), ("ll_cell", "x", "A"), ("ll_cell", "x", "B")}
+
+
+def test_long_chains_of_rules():
+    """A chain of rules in the order that rounds over all rules follow worst, with a cycle behind it."""
+    names = [f"r{k * 7919 % 3001}" for k in range(3001)]
+    text = HEAD + "".join(f"{a} = {b} B | A\n" for a, b in zip(names, [*names[1:], names[-2]], strict=True)) + f"%%\n%parsing start {names[0]}"
+    sets = Sets(read_grammar(text)[0])
+    assert sets.firsts[names[0]] == {"A"} and sets.follows[names[-1]] == {"B"} and sets.left_recursive == set(names[-2:])

@@ -200,3 +200,22 @@ def test_blocks_of_parsed_texts(spark):
     messages = frames.messages(docs, with_blocks).filter("source = 'blocks'").collect()
     assert sorted(r.name for r in trees.cutting_blocks(nodes, blocks).collect()) == sorted(m.text.split("'")[1] for m in messages) != []
     assert trees.insert_blocks(nodes.limit(0), blocks).count() == 0 and trees.insert_blocks(nodes, blocks.limit(0)).count() == nodes.count()
+
+
+def test_brackets_run_one_fold(spark):
+    """What is left over and the places of stretches do not run the workers' fold again."""
+    tokens = spark.createDataFrame([(1, k, t) for k, t in enumerate("(b)d)(pq")], "doc_id long, tok_idx long, text string")
+    found = nesting.brackets(tokens, {"round": ("(", ")"), "b": ("b", "d"), "p": ("p", "q")}, stretch=2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {tuple(r)[1:] for r in found.collect()}
+    assert got == {(1, "b", 2, "round", 1), (0, "round", 3, "b", 0), (None, None, 4, "round", -1), (6, "p", 7, "p", 0), (5, "round", None, None, -1)}
+
+
+def test_folds_of_empty_partitions_and_null_keys(spark):
+    from tolparse.operators import folds
+
+    def start():
+        return lambda n=None: [("end",)] if n is None else []
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (2, 1), (2, 2)], "doc_id long, n int").repartition(1)
+    assert sorted(map(tuple, folds.emitted(rows, "n", ["n"], start, "what string").collect()), key=str) == [(1, "end"), (2, "end"), (None, "end")]

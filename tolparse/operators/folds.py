@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -24,6 +26,21 @@ def _schema(columns: str | StructType) -> StructType:
     return columns if isinstance(columns, StructType) else StructType.fromDDL(columns)
 
 
+def _starts(keys: pa.Array) -> list[int]:
+    """Where runs of equal keys begin; nulls are equal. For structs, where those of any field do."""
+    if not len(keys):
+        return []
+    columns = [keys.field(k) for k in range(keys.type.num_fields)] if pa.types.is_struct(keys.type) else [keys]
+    if any(pa.types.is_nested(c.type) for c in columns) or pa.types.is_struct(keys.type) and keys.null_count:
+        return list(range(len(keys)))
+    begins = np.zeros(len(keys), bool)
+    for c in columns:
+        ends = np.asarray(pc.run_end_encode(c).run_ends)
+        begins[ends[:-1]] = True
+    begins[0] = True
+    return np.flatnonzero(begins).tolist()
+
+
 def add_columns(rows: DataFrame, order: str, inputs: list[str], start: Callable[[], Step], added: str, key: str = "doc_id") -> DataFrame:
     """``rows`` with the columns ``added`` (DDL), computed by a fold over ``inputs`` in the order of ``order``; columns of those names are replaced."""
     new = _schema(added)
@@ -57,24 +74,33 @@ def emitted(rows: DataFrame, order: str, inputs: list[str], start: Callable[[],
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step, found = None, None, []
+        seen: list[tuple[object, int]] = []  # keys, and how many rows were found up to the end of each
 
         def full() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) if found else [[] for _ in arrow]
+            columns = list(zip(*found, strict=True)) if found else [[] for _ in fields]
+            ends = [n for _, n in seen] + [len(found)]
+            docs = pa.array([*(doc for doc, _ in seen), last], arrow.field(0).type)
+            docs = docs.take(pa.array(np.repeat(np.arange(len(ends)), np.diff([0, *ends]))))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([docs, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
         for part in parts:
-            keys, *values = (c.to_pylist() for c in part.columns)
-            for doc, *own in zip(keys, *values, strict=True):
+            values = [c.to_pylist() for c in part.columns[1:]]
+            starts = _starts(part.column(0))
+            for at, end in zip(starts, [*starts, part.num_rows][1:], strict=True):
+                doc = part.column(0)[at].as_py()
                 if step is None or doc != last:
                     if step is not None:
-                        found += [(last, *r) for r in step()]
+                        found += step()
+                        seen.append((last, len(found)))
                     last, step = doc, start()
-                found += [(doc, *r) for r in step(*own)]
-                if len(found) >= size:
-                    yield full()
+                for own in zip(*(v[at:end] for v in values), strict=True):
+                    found += step(*own)
+                    if len(found) >= size:
+                        yield full()
         if step is not None:
-            found += [(last, *r) for r in step()]
+            found += step()
         yield full()
 
     return rows.select(key, *inputs, F.col(order).alias("_order")).repartition(F.col(key)).sortWithinPartitions(key, "_order").drop("_order").mapInArrow(batches, schema)

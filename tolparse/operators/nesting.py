@@ -41,7 +41,7 @@ STRETCH = 1 << 16
 
 
 def _of_stretch():
-    """Pairs within a stretch, what is left open or closes what was opened before, and at its end by how much it rises.
+    """Pairs within a stretch, and what is left open or closes what was opened before.
 
     Levels are those of a pair's outside, counted from the stretch's beginning. Any closer closes the innermost opener, of whatever kind.
     """
@@ -51,15 +51,15 @@ def _of_stretch():
     def step(tok: int | None = None, kind: str | None = None, up: bool | None = None):
         nonlocal low
         if tok is None:
-            return [(at, own, None, None, low + k, None) for k, (at, own) in enumerate(opened)] + [(None, None, None, None, None, low + len(opened))]
+            return [(at, own, None, None, low + k) for k, (at, own) in enumerate(opened)]
         if not up:
             opened.append((tok, kind))
             return ()
         if opened:
             at, own = opened.pop()
-            return [(at, own, tok, kind, low + len(opened), None)]
+            return [(at, own, tok, kind, low + len(opened))]
         low -= 1
-        return [(None, None, tok, kind, low, None)]
+        return [(None, None, tok, kind, low)]
 
     return step
 
@@ -81,21 +81,22 @@ def brackets(tokens: DataFrame, pairs: Mapping[str, tuple[Iterable[str], Iterabl
     lookup = F.create_map(*[x for text, name, up in roles for x in (F.lit(text), F.struct(F.lit(name).alias("kind"), F.lit(bool(up)).alias("up")))])
     marks = tokens.filter(F.col(column).isin([r[0] for r in roles]) & F.col("tok_idx").isNotNull()).withColumn("_role", lookup[F.col(column)])
     marks = marks.select(F.struct("doc_id", F.floor(F.col("tok_idx") / stretch).alias("_nr")).alias("_key"), F.col("tok_idx").cast("long").alias("tok_idx"), "_role.kind", "_role.up")
-    found = folds.emitted(marks, "tok_idx", ["tok_idx", "kind", "up"], _of_stretch, "open_idx long, open_kind string, close_idx long, close_kind string, level long, rise long", "_key")
+    found = folds.emitted(marks, "tok_idx", ["tok_idx", "kind", "up"], _of_stretch, "open_idx long, open_kind string, close_idx long, close_kind string, level long", "_key")
+    # a stretch rises by its openers less its closers, so no second fold is needed to place what is left over
+    rises = marks.groupBy("_key").agg(F.sum(F.when(F.col("up"), -1).otherwise(1)).alias("rise"))
     before = W.Window.partitionBy("_key.doc_id").orderBy("_key._nr").rowsBetween(W.Window.unboundedPreceding, -1)
-    #: One row of each stretch, so the window below holds no document's tokens.
-    bases = found.filter("rise is not null").select("_key", F.coalesce(F.sum("rise").over(before), F.lit(0)).alias("_base"))
-    bases = bases.select(F.col("_key.doc_id").alias("_doc"), F.col("_key._nr").alias("_of"), "_base")
-    placed = found.filter("rise is null").join(bases, F.col("_key.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key._nr") == F.col("_of")))
+    #: One row of each stretch, so the window holds no document's tokens.
+    bases = rises.select(F.col("_key.doc_id").alias("_doc"), F.col("_key._nr").alias("_of"), F.coalesce(F.sum("rise").over(before), F.lit(0)).alias("_base"))
+    placed = found.join(bases, F.col("_key.doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key._nr") == F.col("_of")))
     placed = placed.select("_key.doc_id", "open_idx", "open_kind", "close_idx", "close_kind", (F.col("level") + F.col("_base")).alias("level"))
-    whole = (F.col("open_idx").isNotNull()) & (F.col("close_idx").isNotNull())
-    at_level = W.Window.partitionBy("doc_id", "level").orderBy(F.coalesce("open_idx", "close_idx"))
-    left = placed.filter(~whole)
-    met = left.withColumns({
+    # whole pairs are groups of their own, so the fold runs once for them and for what is left over
+    whole = F.when(F.col("close_idx").isNotNull(), F.col("open_idx"))
+    at_level = W.Window.partitionBy("doc_id", "level", whole).orderBy(F.coalesce("open_idx", "close_idx"))
+    met = placed.withColumns({
         "_open": F.lag("open_idx").over(at_level), "_kind": F.lag("open_kind").over(at_level), "_closed": F.lead("close_idx").over(at_level).isNotNull(),
     }).filter(F.col("close_idx").isNotNull() | ~F.col("_closed"))
-    met = met.withColumns({"open_idx": F.coalesce("open_idx", "_open"), "open_kind": F.coalesce("open_kind", "_kind")}).select(*placed.columns)
-    return placed.filter(whole).unionByName(met)
+    own = F.col("open_idx").isNotNull()
+    return met.withColumns({"open_idx": F.when(own, F.col("open_idx")).otherwise(F.col("_open")), "open_kind": F.when(own, F.col("open_kind")).otherwise(F.col("_kind"))}).select(*placed.columns)
 
 
 def first_errors(matched: DataFrame) -> DataFrame:

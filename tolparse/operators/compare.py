@@ -29,21 +29,35 @@ def chunk_values(entities: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
     return entities.select(*others, F.explode(parts).alias("value"))
 
 
-def difference(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that only the left, and only the right one has, as bags: each pair of equal rows cancels out.
+def surplus(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(columns, _n): rows that one side has more often, and by how many: positive where it is the left one, negative where it is the right one.
 
-    Equal rows are counted before they meet, so a value that repeats a million times is one row in the join.
+    Each side is read once; equal rows are counted before they are dealt out, so a value that repeats a million times is a row a task.
     """
     columns = left.columns
-    counted = lambda df, name: df.select(*columns).groupBy(*columns).agg(F.count("*").alias(name))
-    a, b = counted(left, "_a").withColumn("_b", F.lit(0).cast("long")), counted(right, "_b").withColumn("_a", F.lit(0).cast("long"))
-    both = a.unionByName(b).groupBy(*columns).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    return _repeated(both, F.col("_a") - F.col("_b"), columns), _repeated(both, F.col("_b") - F.col("_a"), columns)
+    both = left.select(*columns, F.lit(1).cast("long").alias("_n")).unionByName(right.select(*columns, F.lit(-1).cast("long").alias("_n")))
+    return both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+
+
+def difference(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that only the left, and only the right one has, as bags: each pair of equal rows cancels out."""
+    return sides(surplus(left, right))
+
+
+def sides(extra: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``surplus``, what only the left, and only the right one has."""
+    columns = [c for c in extra.columns if c != "_n"]
+    return _repeated(extra, F.col("_n"), columns), _repeated(extra, -F.col("_n"), columns)
+
+
+def symmetric(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that only one of the two has, as bags, in one pass over both."""
+    return _repeated(surplus(left, right), F.abs("_n"), left.columns)
 
 
 def _repeated(rows: DataFrame, times: Column, columns: list[str], most: int = 1 << 12) -> DataFrame:
     """``columns`` of each row so many times; in two steps, so that no array is longer than ``most`` or a surplus's number of such arrays."""
-    parts = rows.withColumn("_n", times).filter("_n > 0").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most))))
+    parts = rows.withColumn("_n", times.cast("long")).filter("_n > 0").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / most))))
     return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most).cast("long"), F.col("_n") - F.col("_part") * most)))).select(*columns)
 
 

@@ -219,3 +219,25 @@ def test_folds_of_empty_partitions_and_null_keys(spark):
 
     rows = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (2, 1), (2, 2)], "doc_id long, n int").repartition(1)
     assert sorted(map(tuple, folds.emitted(rows, "n", ["n"], start, "what string").collect()), key=str) == [(1, "end"), (2, "end"), (None, "end")]
+
+
+def test_bags_are_read_once(spark):
+    a = spark.createDataFrame([(1, "x")] * 3 + [(2, None)], "doc_id long, value string")
+    b = spark.createDataFrame([(1, "x")] + [(3, "y")] * 2, "doc_id long, value string")
+    passed = lambda df: df.mapInArrow(lambda parts: parts, df.schema)
+    both = compare.symmetric(passed(a), passed(b))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    left, right = compare.difference(a, b)
+    want = [(1, "x"), (1, "x"), (2, None)], [(3, "y"), (3, "y")]
+    assert [sorted(map(tuple, df.collect()), key=str) for df in (left, right)] == list(want) and sorted(map(tuple, both.collect()), key=str) == sorted(want[0] + want[1], key=str)
+
+
+def test_folders_of_reports_are_listed(spark, tmp_path):
+    from tolparse.sources import reports
+
+    rows = spark.createDataFrame([("words_a", "f", 0, "x"), ("words_b", "f", 0, "x"), ("words_b", "g", 1, "y")], "type string, file string, seq int, value string")
+    reports.write_value_report(rows, str(tmp_path / "r"))
+    folders = reports.report_folders(spark, str(tmp_path / "r"))
+    assert [f.rsplit("/", 1)[1] for f in folders] == ["type=words_a", "type=words_b"]
+    reports.compare_reports(spark, folders[0], folders[1], str(tmp_path / "out"))
+    assert [spark.read.parquet(str(tmp_path / "out" / side)).select("file", "value").collect() for side in ("left", "right")] == [[], [("g", "y")]]

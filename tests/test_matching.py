@@ -241,3 +241,12 @@ def test_folders_of_reports_are_listed(spark, tmp_path):
     assert [f.rsplit("/", 1)[1] for f in folders] == ["type=words_a", "type=words_b"]
     reports.compare_reports(spark, folders[0], folders[1], str(tmp_path / "out"))
     assert [spark.read.parquet(str(tmp_path / "out" / side)).select("file", "value").collect() for side in ("left", "right")] == [[], [("g", "y")]]
+
+
+def test_blocks_are_inserted_without_a_join_to_themselves(spark, sf_dir):
+    """Which blocks cut a node is found from their ids alone; before, all blocks were found once more for that."""
+    from tolparse.plans.queries import _leaves_and_blocks
+
+    nodes, lines = _leaves_and_blocks(spark, sf_dir)
+    plan = trees.insert_blocks(nodes, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and plan.count("LeftAnti") == 1

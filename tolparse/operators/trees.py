@@ -209,16 +209,21 @@ def water(nodes: DataFrame) -> DataFrame:
 # Blocks.
 
 
+def _cutting(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(_doc, _block): the ids of ``cutting_blocks``."""
+    own = blocks.select(DOC, "block_id", "start_off", "end_off")
+    below = nodes.filter("node_id > 0 and start_off is not null").select(DOC, "start_off", "end_off", (F.col("node_id") == F.col("last_desc")).alias("leaf"))
+    across = span_matches.matches(own, below, "overlaps").filter("not (right.start_off <= left.start_off and left.end_off <= right.end_off)").select(DOC, "left.block_id")
+    held = span_matches.matches(below.filter("leaf"), own, "includes").filter("left.start_off <> right.start_off or left.end_off <> right.end_off").select(DOC, "right.block_id")
+    return across.unionByName(held).distinct().select(F.col(DOC).alias("_doc"), F.col("block_id").alias("_block"))
+
+
 def cutting_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     """The rows of ``blocks`` (doc_id, block_id, start_off, end_off, ...) that cannot be nodes: an end of theirs is within a node that they do not hold, or they are within a leaf.
 
     The root may be cut: blocks before, behind and across its ends come below it. By two plane sweeps (``spans.matches``).
     """
-    own = blocks.select(DOC, "block_id", "start_off", "end_off")
-    below = nodes.filter("node_id > 0 and start_off is not null").select(DOC, "start_off", "end_off", (F.col("node_id") == F.col("last_desc")).alias("leaf"))
-    across = span_matches.matches(own, below, "overlaps").filter("not (right.start_off <= left.start_off and left.end_off <= right.end_off)").select(DOC, "left.block_id")
-    held = span_matches.matches(below.filter("leaf"), own, "includes").filter("left.start_off <> right.start_off or left.end_off <> right.end_off").select(DOC, "right.block_id")
-    bad = across.unionByName(held).distinct().select(F.col(DOC).alias("_doc"), F.col("block_id").alias("_block"))
+    bad = _cutting(nodes, blocks)
     return blocks.join(bad, F.col(DOC).eqNullSafe(F.col("_doc")) & (F.col("block_id") == F.col("_block")), "left_semi")
 
 
@@ -358,7 +363,7 @@ def insert_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
     it; one outside the root's segment comes below the root; nodes without a place stay between the same neighbours, outside a block that
     ends or begins there. Two streams in one sorted pass: a document's blocks are held, and of its nodes those that are open.
     """
-    bad = cutting_blocks(nodes, blocks).select(F.col(DOC).alias("_doc"), F.col("block_id").alias("_block"))
+    bad = _cutting(nodes, blocks)
     good = blocks.join(bad, F.col(DOC).eqNullSafe(F.col("_doc")) & (F.col("block_id") == F.col("_block")), "left_anti")
     out = StructType([f for f in nodes.schema.fields if f.name != DOC])
     edges = ["name", "start_off", "end_off", "head_end", "tail_start", "start_line", "end_line"]

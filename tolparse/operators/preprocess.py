@@ -6,6 +6,7 @@ import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,21 +15,23 @@ from pyspark.sql import window as W
 
 from ..frames import GARBAGE, messages, nodes, per_document
 from ..parsing.engine import Parser
+from ..parsing.lexer import Token
+from ..parsing.pieces import Piece
 from ..parsing.tree import Node
 
 EXCLUDED = "doc_id long, start_off int, end_off int"
 _CUTS = pa.list_(pa.struct([("start_off", pa.int32()), ("end_off", pa.int32())]))
 
 
-def condition(node: Node, defined: frozenset[str] | set[str]) -> bool:
-    """A C# condition: names, ``true``, ``! && ||`` and brackets."""
+def condition(node: Node, defined: frozenset[str] | set[str], word: Callable[[Node], str] = lambda n: "".join(n.value)) -> bool:
+    """A C# condition: names, ``true``, ``! && ||`` and brackets; ``word`` gives a leaf's text."""
     names = {"condition": any, "both": all}
     if node.symbol in names:
-        return names[node.symbol](condition(c, defined) for c in node.children if c.symbol in ("both", "atom"))
+        return names[node.symbol](condition(c, defined, word) for c in node.children if c.symbol in ("both", "atom"))
     if node.symbol == "atom":
         inner = next(c for c in node.children if c.symbol in ("atom", "condition", "ID"))
-        return condition(inner, defined) != any("".join(c.value) == "!" for c in node.children)
-    name = "".join(node.value)
+        return condition(inner, defined, word) != any(word(c) == "!" for c in node.children)
+    name = word(node)
     return name == "true" or name in defined
 
 
@@ -39,9 +42,11 @@ def excluded_by_directives(text: str, parser: Parser, predefined: Iterable[str]
     (for directives in braces: with the directive). Directives in a part left out do not count; an ``#if`` without end
     leaves out the rest.
     """
-    root = parser.parse(text).root
-    if root is None:
+    lexed = parser.lexer(text)
+    pieces = None if lexed.blocks or parser.rewriter.steps else parser.pieces(lexed.tokens)
+    if pieces is None and (root := parser.parse_tokens(lexed).root) is None:
         return []
+    found = _directives(root) if pieces is None else _directives_of(pieces, lexed.tokens)
     defined, out = set(predefined), []
     levels: list[dict] = []
     begin: int | None = None
@@ -56,12 +61,14 @@ def excluded_by_directives(text: str, parser: Parser, predefined: Iterable[str]
             out.append((begin, end))
         begin = None
 
-    for kind, node, start, end in _directives(root, text):
+    for kind, names, test, start, end in found:
+        if not text.startswith("}", end) and not text.startswith("*)", end - 1):  # it reaches to its line's end
+            stop = text.find("\n", end)
+            end = len(text) - 1 if stop < 0 else stop
         live = not levels or levels[-1]["live"]
-        names = ["".join(c.value) for c in node.children if c.symbol == "ID"]
         if kind in ("if", "ifdef", "ifndef"):
             if kind == "if":
-                holds = live and condition(next(c for c in node.children if c.symbol == "condition"), defined)
+                holds = live and test(defined)
             else:
                 holds = live and (names[0] in defined) == (kind == "ifdef")
             levels.append({"outer": live, "live": holds, "done": holds})
@@ -71,7 +78,7 @@ def excluded_by_directives(text: str, parser: Parser, predefined: Iterable[str]
             own = levels[-1]
             if not own["outer"]:
                 continue
-            holds = not own["done"] and (kind == "else" or condition(next(c for c in node.children if c.symbol == "condition"), defined))
+            holds = not own["done"] and (kind == "else" or test(defined))
             if own["live"]:
                 off(start)
             elif holds:
@@ -91,18 +98,32 @@ def excluded_by_directives(text: str, parser: Parser, predefined: Iterable[str]
 
 
 _KINDS = ("if", "elif", "else", "endif", "define", "undef", "ifdef", "ifndef")
+#: (kind, names, what tells whether its condition holds, first offset, last offset)
+Directive = tuple[str, list[str], Callable[[set[str]], bool], int, int]
 
 
-def _directives(root: Node, text: str) -> Iterator[tuple[str, Node, int, int]]:
-    """(kind, node, first offset, last offset) of each directive; one that ends without a brace reaches to its line's end."""
+def _directive_nodes(root: Node) -> list[tuple[str, list[Node], Node | None, int, int]]:
+    """(kind, nodes of names, condition, begin, end) of each directive."""
+    out = []
     for n in root.walk():
         if n.type in _KINDS:
             outer = n.parent if n.parent is not None and n.parent.symbol == "directive" else n
             start, end, _ = outer.span()
-            if not text.startswith("}", end) and not text.startswith("*)", end - 1):
-                stop = text.find("\n", end)
-                end = len(text) - 1 if stop < 0 else stop
-            yield n.type, n, start, end
+            out.append((n.type, [c for c in n.children if c.symbol == "ID"], next((c for c in n.children if c.symbol == "condition"), None), start, end))
+    return out
+
+
+def _directives(root: Node) -> Iterator[Directive]:
+    for kind, names, test, start, end in _directive_nodes(root):
+        yield kind, ["".join(c.value) for c in names], partial(condition, test), start, end
+
+
+def _directives_of(pieces: list[tuple[Piece, int]], tokens: list[Token]) -> Iterator[Directive]:
+    """The same from the pieces of a text, whose nodes have numbers of tokens in place of texts and offsets."""
+    for piece, at in pieces:
+        for kind, names, test, start, end in piece.read("directives", _directive_nodes):
+            word = lambda n, at=at: "".join([tokens[at + k].text for k in n.value])
+            yield kind, [word(c) for c in names], partial(condition, test, word=word), tokens[at + start].start, tokens[at + end].end
 
 
 def excluded(docs: DataFrame, parser: Parser, predefined: Iterable[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@ import pickle
 
 import pytest
 
-from tolparse import catalog
+from tolparse import catalog, frames
 from tolparse.operators import preprocess
 from tolparse.parsing import engine
 from tolparse.parsing.lexer import Lexer
@@ -79,3 +79,17 @@ def test_a_used_parser_can_be_sent_to_workers():
     parser = engine.compile_grammar("W : [a-z]+\nf = (W | Any)*\n%%\n%parsing start f")
     parser.parse("a ? b")
     assert shape(pickle.loads(pickle.dumps(parser)).parse("a ? b")) == shape(parser.parse("a ? b"))
+
+
+def test_counts_of_several_parsers_from_one_pass(spark, monkeypatch):
+    """Before, each form of water read and scanned all texts anew, and the counts were joined."""
+    texts = ["(a; b); [c! d]; ", "", "(a; b", "!;;!", "a; ] b;", *ODD]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parsers = {w.split("(")[0]: queries._item_parser(w) for w in queries._WATERS}
+    got = {r.doc_id: tuple(r)[1:] for r in frames.node_counts(docs, parsers, "item").collect()}
+    count = lambda p, t: sum(n.symbol == "item" for n in whole(p, t, monkeypatch).root.walk())
+    assert got == {k: tuple(count(p, t) for p in parsers.values()) for k, t in enumerate(texts)}
+    scanned = []
+    monkeypatch.setattr(Lexer, "scan", lambda self, text, f=Lexer.scan: (scanned.append(text), f(self, text))[1])
+    monkeypatch.setattr(frames, "per_document", lambda docs, rows, schema: list(rows(1, texts[0])))
+    assert frames.node_counts(None, parsers, "item") == [(1, 2, 3, 2, 2)] and len(scanned) == 2

@@ -4,7 +4,7 @@ import pytest
 
 from tolparse import catalog, frames
 from tolparse.operators import preprocess
-from tolparse.parsing import engine
+from tolparse.parsing import engine, visitors
 from tolparse.parsing.lexer import Lexer
 from tolparse.plans import queries
 
@@ -93,3 +93,13 @@ def test_counts_of_several_parsers_from_one_pass(spark, monkeypatch):
     monkeypatch.setattr(Lexer, "scan", lambda self, text, f=Lexer.scan: (scanned.append(text), f(self, text))[1])
     monkeypatch.setattr(frames, "per_document", lambda docs, rows, schema: list(rows(1, texts[0])))
     assert frames.node_counts(None, parsers, "item") == [(1, 2, 3, 2, 2)] and len(scanned) == 2
+
+
+def test_routines_are_counted_in_the_pass_that_parses(spark):
+    """Before, texts were parsed twice, and routines and what they hold were sorted, grouped and joined."""
+    text = "procedure p(a: integer); function q: integer; begin y := 1; end; begin z; end;\nprocedure r; forward;\n"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string")
+    found = frames.entities_holding(docs, visitors.with_visitors(catalog.grammar("pascal"), visitors.aggregate_routines), ["routine"], ["block", "routine"])
+    assert sorted((r.doc_id, r.value, r.block, r.routine) for r in found.collect()) == sorted([(1, "p", 1, 1), (1, "q", 1, 0), (1, "r", 0, 0)] * 2)
+    plan = queries.routine_visitor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
